@@ -7,10 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalforge.llm import chat, fingerprint
+from signalforge.llm import chat, fingerprint, quality
 from signalforge.llm.common import documents
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(documents(spark, sf_dir))
 
@@ -26,6 +39,93 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_examples(held.unionByName(probe)))
 
 
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents
+), f AS (
+  SELECT rid, doc_id, lang, t,
+    list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split_regex(lower(t), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
+    length(t) AS n,
+    length(regexp_replace(t, '[^a-z]', '', 'g')) AS c0,
+    length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS c1,
+    length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS c2,
+    length(regexp_replace(t, '[^\p{{Nd}}]', '', 'g')) AS c3,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS c4,
+    length(regexp_replace(t, '[^.,;:!?''"()\-]', '', 'g')) AS c5,
+    length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS letters
+  FROM d
+), g AS (
+  SELECT *, letters - c0 - c2 AS c6, n - letters - c1 - c3 - c4 - c5 AS c7, len(ws) AS nw FROM f
+), win AS (
+  SELECT rid, i, list_slice(ws, i, i + {quality.WINDOW - 1}) AS k
+  FROM g, unnest(range(1, nw - {quality.WINDOW - 2})) AS u(i)
+), dup AS (
+  SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1
+), cov AS (
+  SELECT rid, count(DISTINCT i + j) AS rep FROM dup, range({quality.WINDOW}) AS r(j) GROUP BY rid
+), top AS (
+  SELECT lang FROM g WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {quality.LANGUAGES}
+), h AS (
+  SELECT g.*, coalesce(top.lang, '') AS ref FROM g LEFT JOIN top ON g.lang = top.lang
+), kinds AS (
+  SELECT rid, ref, lang, k, c FROM h, unnest([c0, c1, c2, c3, c4, c5, c6, c7]) WITH ORDINALITY AS u(c, k)
+), kind_ref AS (
+  SELECT lang AS ref, k, sum(c) AS c FROM kinds WHERE lang IN (SELECT lang FROM top) GROUP BY lang, k
+  UNION ALL SELECT '' AS ref, k, sum(c) FROM kinds GROUP BY k
+), kind_q AS (
+  SELECT ref, k, c / greatest(1, sum(c) OVER (PARTITION BY ref)) AS q FROM kind_ref
+), kind_p AS (
+  SELECT rid, ref, k, c / greatest(1, sum(c) OVER (PARTITION BY rid)) AS p FROM kinds
+), kind_d AS (
+  SELECT rid, sqrt(greatest(0, sum(
+    CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS char_distance
+  FROM kind_p JOIN kind_q USING (ref, k) GROUP BY rid
+), said AS (
+  SELECT rid, ref, lang, w FROM h, unnest(lw) AS u(w)
+), per_doc AS (
+  SELECT rid, ref, w, count(*) AS c FROM said
+  WHERE length(w) <= {quality.COMMON_CHARS} AND regexp_matches(w, '^\p{{L}}') GROUP BY rid, ref, w
+), per_ref AS (
+  SELECT g.lang AS ref, w, sum(c) AS c FROM per_doc JOIN g USING (rid)
+    WHERE g.lang IN (SELECT lang FROM top) GROUP BY g.lang, w
+  UNION ALL SELECT '' AS ref, w, sum(c) FROM per_doc GROUP BY w
+), common AS (
+  SELECT ref, w, c FROM per_ref
+  QUALIFY row_number() OVER (PARTITION BY ref ORDER BY c DESC, w) <= {quality.COMMON}
+), totals AS (
+  SELECT lang AS ref, sum(nw) AS total FROM g WHERE lang IN (SELECT lang FROM top) GROUP BY lang
+  UNION ALL SELECT '' AS ref, sum(nw) FROM g
+), word_q AS (
+  SELECT ref, w, c / total AS q FROM common JOIN totals USING (ref)
+), word_t AS (
+  SELECT h.rid, h.ref, h.nw, word_q.w, word_q.q, coalesce(per_doc.c, 0) / greatest(1, h.nw) AS p
+  FROM h JOIN word_q ON h.ref = word_q.ref LEFT JOIN per_doc ON per_doc.rid = h.rid AND per_doc.w = word_q.w
+), word_all AS (
+  SELECT rid, p, q FROM word_t
+  UNION ALL SELECT rid, 1 - sum(p), 1 - sum(q) FROM word_t GROUP BY rid
+), word_d AS (
+  SELECT rid, sqrt(greatest(0, sum(
+    CASE WHEN p > 1e-12 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 1e-12 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS word_distance
+  FROM word_all GROUP BY rid
+), r AS (
+  SELECT h.doc_id, CAST(nw AS BIGINT) AS n_words, CAST(n - c1 AS BIGINT) AS word_chars,
+    CAST(c4 AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(char_distance, 0) AS cd, coalesce(word_distance, 0) AS wd
+  FROM h LEFT JOIN cov USING (rid) LEFT JOIN kind_d USING (rid) LEFT JOIN word_d USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {quality.BASE_WORDS} OR 100 * n_repeat_words > {quality.REPEATED_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {quality.BASE_WORDS} OR 100 * n_repeat_words > {quality.REPEATED_PERCENT} * n_words)
+  AND NOT (word_chars >= {quality.LEAST_CHARS} AND cd > {quality.CHAR_DISTANCE})
+  AND NOT (n_words >= {quality.LEAST_WORDS} AND wd > {quality.WORD_DISTANCE}) AS kept
+FROM r
+"""
+
 OP10_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -59,10 +159,11 @@ FROM p GROUP BY conv_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality_rules": op3_quality_rules,
         "op7_order_minhash": op7_order_minhash,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_formatting": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op10_chat_formatting": OP10_SQL}
