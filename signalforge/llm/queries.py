@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalforge.llm import chat, fingerprint, quality
+from signalforge.llm import chat, fingerprint, quality, toxicity
 from signalforge.llm.common import documents
 
 
@@ -24,6 +24,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = toxicity.classify(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(documents(spark, sf_dir))
 
@@ -160,6 +166,7 @@ FROM p GROUP BY conv_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": op3_quality_rules,
+        "op6_toxicity": op6_toxicity,
         "op7_order_minhash": op7_order_minhash,
         "op10_chat_formatting": op10_chat_formatting,
     }
