@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalforge.llm import chat, fingerprint, quality, toxicity
+from signalforge.llm import bpe, chat, fingerprint, packing, quality, setjoin, sharding, toxicity
 from signalforge.llm.common import documents
+from signalforge.session import ship
+
+
+#: The vocabulary of byte_bpe_50k.json as ranks; both give the same ids.
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    return packing.pack_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +40,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path(RANKS)
+    return bpe.encode_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = toxicity.classify(documents(spark, sf_dir).select("doc_id", "text"), labels)
@@ -34,6 +55,10 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(documents(spark, sf_dir))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.link(documents(spark, sf_dir))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -163,13 +188,27 @@ FROM p GROUP BY conv_id
 """
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_sharding": op2_sharding,
         "op3_quality_rules": op3_quality_rules,
+        "op5_byte_bpe": op5_byte_bpe,
         "op6_toxicity": op6_toxicity,
         "op7_order_minhash": op7_order_minhash,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_chat_formatting": op10_chat_formatting,
     }
+    return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
