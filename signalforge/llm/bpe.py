@@ -88,18 +88,18 @@ def _short(ranks_path: str, pattern: str):
 BOUNDS = "id long, digest string, n_chars int, chunk int, copies long, part string, head array<int>, tail array<int>"
 
 
-def _boundaries(ranks_path: str, pattern: str):
+def _boundaries(ranks_path: str, pattern: str, chunk_chars: int, overlap: int):
     """Pre-tokenise each chunk; boundaries in the overlaps with the chunk before and after, in the document's places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
         for batch in batches:
             heads, tails = [], []
-            for chunk, part in zip(batch.column("chunk").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                at = chunk * CHUNK
+            for k, part in zip(batch.column("chunk").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                at = k * chunk_chars
                 starts = [at + s for s in enc.starts(part)]
-                heads.append([s for s in starts if s <= at + OVERLAP])
-                tails.append([s for s in starts if s >= at + CHUNK])
+                heads.append([s for s in starts if s <= at + overlap])
+                tails.append([s for s in starts if s >= at + chunk_chars])
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(heads, kind), pa.array(tails, kind)], [*batch.schema.names, "head", "tail"]
@@ -111,7 +111,7 @@ def _boundaries(ranks_path: str, pattern: str):
 PIECE = "id long, digest string, copies long, chunk int, whole boolean, part string, ids binary"
 
 
-def _pieces(ranks_path: str, pattern: str):
+def _pieces(ranks_path: str, pattern: str, chunk_chars: int):
     """Encode each stitched piece; chunks of a document without a stitch keep their own characters as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +120,9 @@ def _pieces(ranks_path: str, pattern: str):
             rows = batch.to_pylist()
             parts, ids = [], []
             for r in rows:
-                at = r["chunk"] * CHUNK
+                at = r["chunk"] * chunk_chars
                 if r["whole"]:
-                    parts.append(r["part"][:CHUNK])
+                    parts.append(r["part"][:chunk_chars])
                     ids.append(b"")
                 else:
                     end = len(r["part"]) if r["end"] is None else r["end"] - at
@@ -150,28 +150,30 @@ def _joined(ranks_path: str, pattern: str):
     return run
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode_documents(
+    docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP
+) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row.
 
     Input: doc_id, text (other columns are ignored). Null text counts as empty: no ids. Texts
-    of at most ``CHUNK`` code points are one chunk and are encoded where they lie; longer ones
-    are cut. A document with no common boundary in some overlap (a run of over ``OVERLAP``
+    of at most ``chunk`` code points are one chunk and are encoded where they lie; longer ones
+    are cut. A document with no common boundary in some overlap (a run of over ``overlap``
     letters, say) is encoded whole. Repeated rows stay repeated. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    short = rows.filter(F.length("text") <= CHUNK).mapInArrow(_short(ranks_path, pattern), kind)
-    cut = rows.filter(F.length("text") > CHUNK).select(
+    short = rows.filter(F.length("text") <= chunk).mapInArrow(_short(ranks_path, pattern), kind)
+    cut = rows.filter(F.length("text") > chunk).select(
         F.coalesce("doc_id", F.lit(NO_ID)).alias("id"),
         F.sha2("text", 256).alias("digest"),
         F.length("text").alias("n_chars"),
         "text",
-        F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / CHUNK).cast("int"))).alias("chunk"),
+        F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("chunk"),
     )
-    part = F.substring("text", F.col("chunk") * CHUNK + 1, F.lit(CHUNK + OVERLAP))
+    part = F.substring("text", F.col("chunk") * chunk + 1, F.lit(chunk + overlap))
     chunks = cut.select("id", "digest", "n_chars", "chunk", part.alias("part"))
     chunks = chunks.groupBy("id", "digest", "n_chars", "chunk").agg(F.count("*").alias("copies"), F.first("part").alias("part"))
-    bounds = chunks.mapInArrow(_boundaries(ranks_path, pattern), BOUNDS)
+    bounds = chunks.mapInArrow(_boundaries(ranks_path, pattern, chunk, overlap), BOUNDS)
     doc = Window.partitionBy("id", "digest")
     order = doc.orderBy("chunk")
     meet = lambda a, b: F.array_min(F.array_intersect(a, b))
@@ -185,6 +187,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     lost = F.max((~F.col("last") & F.col("end").isNull()).cast("int")).over(doc) == 1
     stitched = stitched.withColumn("whole", lost)
     pieces = stitched.select("id", "digest", "copies", "chunk", "whole", "part", "begin", "end")
-    pieces = pieces.mapInArrow(_pieces(ranks_path, pattern), PIECE)
+    pieces = pieces.mapInArrow(_pieces(ranks_path, pattern, chunk), PIECE)
     long = pieces.groupBy("id", "digest").applyInArrow(_joined(ranks_path, pattern), kind)
     return short.unionByName(long)

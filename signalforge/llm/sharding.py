@@ -3,7 +3,7 @@
 Documents with equal texts form one atomic group; groups are ordered by their least doc_id.
 The shards are the contiguous partition of that order whose largest shard is smallest: the
 least feasible capacity is found by binary search, each candidate checked greedily, and the
-order is cut there.
+order is cut there. Where that capacity leaves room, cuts move towards equal shares.
 
 The driver never sees the groups, only sums over at most ``BLOCKS`` ranges of the order. A
 range that a cut may fall into is split again, until the capacity is known exactly.
@@ -89,6 +89,32 @@ class _Line:
             ends.append(place)
         return None
 
+    def even_cuts(self, capacity: int) -> list[int]:
+        """Cuts within the capacity, each as near behind an equal share of the rest as leaves the rest feasible."""
+        ends, place = [], 0
+        for left in range(SHARDS, 0, -1):
+            if place >= self.total:
+                break
+            high = bisect_right(self.upto, place + capacity) - 1
+            low = min(high, bisect_right(self.upto, place + (self.total - place) // left))
+            while low < high:
+                mid = (low + high) // 2
+                if self._shards_from(self.upto[mid], capacity) <= left - 1:
+                    high = mid
+                else:
+                    low = mid + 1
+            place = self.upto[high]
+            ends.append(place)
+        return ends
+
+    def _shards_from(self, place: int, capacity: int) -> int:
+        """Greedy shards that hold everything behind ``place``; more than ``SHARDS`` counts as that many and one."""
+        for n in range(SHARDS + 1):
+            if place >= self.total:
+                return n
+            place = self.upto[bisect_right(self.upto, place + capacity) - 1]
+        return SHARDS + 1
+
     def least(self, low: int, high: int, hopeful: bool) -> int:
         while low < high:
             mid = (low + high) // 2
@@ -140,7 +166,7 @@ def plan(groups: DataFrame) -> tuple[list[int], int]:
         fresh = _sums(groups, [(line.blocks[i].first, line.blocks[i].last) for i in sorted(wide)], parts, base)
         line = _Line([b for i, b in enumerate(line.blocks) if i not in wide] + fresh)
     capacity = line.least(floor, line.total, False)
-    cuts = line.cuts(capacity, False)[:-1]
+    cuts = line.even_cuts(capacity)[:-1]
     return [line.blocks[bisect_right(line.upto, c) - 1].first for c in cuts], capacity
 
 
