@@ -64,17 +64,17 @@ def _repeated(words: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Add words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and class counts."""
+    """Add _words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _classes."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rest = F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")
-    rows = docs.withColumns({"_text": text, "_rest": rest, "words": words_of(F.col("text")), "_lines": lines})
+    rows = docs.withColumns({"_text": text, "_rest": rest, "_words": words_of(F.col("text")), "_lines": lines})
     rows = rows.withColumns(
         {
-            "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "n_words": F.size("_words").cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("words")).cast("long"),
+            "n_repeat_words": _repeated(F.col("_words")).cast("long"),
             "_kinds": F.array(
                 F.length("_text") - F.length("_rest"),
                 *[
@@ -90,7 +90,7 @@ def features(docs: DataFrame) -> DataFrame:
     space = F.col("_blank") - F.col("word_chars")
     counts = [k[0] - space, space, *k[1:6], k[6] - k[1] - k[2] - k[3] - k[4] - k[5]]
     rows = rows.withColumns(
-        {"n_symbols": k[3].cast("long"), "classes": F.array(*[c.cast("double") for c in counts])}
+        {"n_symbols": k[3].cast("long"), "_classes": F.array(*[c.cast("double") for c in counts])}
     )
     return rows.drop("_text", "_rest", "_lines", "_kinds", "_blank")
 
@@ -203,10 +203,10 @@ def judge(docs: DataFrame) -> DataFrame:
             "_word_q": F.coalesce("_word_q", pool(word_q, "array<double>")),
         }
     )
-    lower = F.transform("words", F.lower)
+    lower = F.transform("_words", F.lower)
     rows = rows.withColumns(
         {
-            "char_distance": distance(_shares(F.col("classes")), F.col("_class_q")),
+            "char_distance": distance(_shares(F.col("_classes")), F.col("_class_q")),
             "word_distance": distance(_shares(_word_counts(lower, F.col("_common"))), F.col("_word_q")),
         }
     )
@@ -215,4 +215,4 @@ def judge(docs: DataFrame) -> DataFrame:
         (F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > WORD_DISTANCE)
     )
     rows = rows.withColumns({"base_failed": failed, "kept": ~failed & ~far})
-    return rows.drop("_lang", "_class_q", "_common", "_word_q", "words", "classes")
+    return rows.drop("_lang", "_class_q", "_common", "_word_q", "_words", "_classes")

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalforge.llm import bpe, chat, fingerprint, packing, quality, setjoin, sharding, toxicity
+from signalforge.llm import bpe, chat, fingerprint, packing, quality, setjoin, sharding, suffix, toxicity
 from signalforge.llm.common import documents
 from signalforge.session import ship
 
@@ -55,6 +55,10 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir).select("doc_id", "text")).drop("kept_text")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.link(documents(spark, sf_dir))
 
@@ -205,6 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_toxicity": op6_toxicity,
         "op7_order_minhash": op7_order_minhash,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_chat_formatting": op10_chat_formatting,
     }
