@@ -4,11 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from signalforge.llm import packing, quality, queries, setjoin, suffix, toxicity
 from signalforge.llm.common import documents, stored
+from signalforge.session import ship
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on this corpus's labels, doesn't reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.classify(docs, labels).filter(F.col("predicted") == 0).select(docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and lie near their language's references."""
+    return quality.judge(docs).filter("kept").select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near duplicates; rows without an id stay."""
+    ship(spark)
+    links = setjoin.link(docs.select("doc_id", "text"))
+    others = links.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that an earlier one holds; n_chars follows the text."""
+    ship(spark)
+    rows = suffix.remove_repeats(docs).withColumnRenamed("kept_text", "text")
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in training sequences."""
+    ship(spark)
+    return packing.pack_documents(docs, public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("quality rules", drop_low_quality),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("suffix-array dedup", remove_repeated_passages),
+    ("best-fit packing", pack),
+]
 
 #: The stages train a classifier and remove bytes, which SQL can't express; tests hold them to brute force.
 ORACLE_SQL = None

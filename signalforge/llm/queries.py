@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalforge.llm import bpe, chat, fingerprint, packing, quality, setjoin, sharding, suffix, toxicity
+from signalforge.llm import bpe, chat, fingerprint, packing, quality, setjoin, sharding, suffix, toxicity, warc
 from signalforge.llm.common import documents
 from signalforge.session import ship
 
@@ -40,6 +40,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    rows = warc.derivatives(warc.responses(pages))
+    return rows.withColumn("record_sha256", F.sha2("record", 256)).drop("record", "block")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
     return bpe.encode_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
@@ -161,6 +167,67 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM r
 """
 
+def _sql_text(html: str) -> str:
+    for pattern, to in warc.TEXT_STEPS:
+        quoted = pattern.replace("'", "''")
+        to = {"\n": "chr(10)", "'": "chr(39)"}.get(to, f"'{to}'")
+        html = f"regexp_replace({html}, '{quoted}', {to}, 'g')"
+    return f"trim({html}, ' ' || chr(10))"
+
+
+def _sql_id(*parts: str) -> str:
+    h = f"md5(concat_ws(chr(31), {', '.join(parts)}))"
+    cuts = ", ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || concat_ws('-', {cuts}) || '>'"
+
+
+_CRLF = "chr(13) || chr(10)"
+OP4_SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages
+), r AS (
+  SELECT *, 'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF}
+      || 'Content-Length: ' || strlen(payload) || {_CRLF} || {_CRLF} AS http_headers,
+    {_sql_id("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", "target_uri", "sha256(payload)")} AS refers_to,
+    'sha256:' || sha256(payload) AS source_payload_digest,
+    {_sql_text("payload")} AS text,
+    trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '\\s+', ' ', 'g')) AS title,
+    regexp_extract(payload, '(?i)<html[^>]*\\blang="([^"]*)"', 1) AS lang,
+    len(regexp_extract_all(payload, '(?i)<a\\s[^>]*href=')) AS links
+  FROM p
+), s AS (
+  SELECT *, 'sha256:' || sha256(http_headers || payload) AS source_block_digest,
+    {_sql_id("'conversion'", "refers_to", "sha256(text)")} AS conversion_id,
+    {_sql_id("'metadata'", "refers_to", "sha256(text)")} AS metadata_id
+  FROM r
+), m AS (
+  SELECT *, 'metadata' AS warc_type, metadata_id AS record_id, conversion_id AS concurrent_to,
+    'application/warc-fields' AS content_type,
+    'source-headers: ' || replace(trim(http_headers, {_CRLF}), {_CRLF}, ' | ') || {_CRLF}
+      || 'source-payload-digest: ' || source_payload_digest || {_CRLF}
+      || 'source-block-digest: ' || source_block_digest || {_CRLF}
+      || 'conversion: ' || conversion_id || {_CRLF} || 'title: ' || title || {_CRLF}
+      || 'language: ' || lang || {_CRLF} || 'outlinks: ' || links || {_CRLF}
+      || 'text-chars: ' || length(text) || {_CRLF} AS block
+  FROM s
+  UNION ALL
+  SELECT *, 'conversion', conversion_id, metadata_id, 'text/plain; charset=utf-8', text FROM s
+), b AS (
+  SELECT *, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length,
+    '{warc.DATE}' AS date
+  FROM m
+)
+SELECT page_id, warc_type, record_id, refers_to, concurrent_to, target_uri, date, content_type,
+  source_payload_digest, source_block_digest, block_digest, content_length,
+  sha256('WARC/1.1' || {_CRLF} || 'WARC-Type: ' || warc_type || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF}
+    || 'WARC-Refers-To: ' || refers_to || {_CRLF} || 'WARC-Concurrent-To: ' || concurrent_to || {_CRLF}
+    || 'WARC-Target-URI: ' || target_uri || {_CRLF} || 'WARC-Date: ' || date || {_CRLF}
+    || 'WARC-Source-Payload-Digest: ' || source_payload_digest || {_CRLF}
+    || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'Content-Type: ' || content_type || {_CRLF}
+    || 'Content-Length: ' || content_length || {_CRLF} || {_CRLF} || block || {_CRLF} || {_CRLF}) AS record_sha256
+FROM b
+"""
+
 OP10_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -206,6 +273,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_sharding": op2_sharding,
         "op3_quality_rules": op3_quality_rules,
+        "op4_warc_derivatives": op4_warc_derivatives,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_toxicity": op6_toxicity,
         "op7_order_minhash": op7_order_minhash,
@@ -217,4 +285,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_warc_derivatives": OP4_SQL, "op10_chat_formatting": OP10_SQL}
