@@ -1,12 +1,13 @@
 """Exact n-gram Jaccard self-join with set-relation skipping.
 
 Each document is the set of its distinct word shingles, as 64-bit hashes. Equal sets are one
-node. Two nodes of similarity ``PERCENT`` or more share a token in their prefixes under any
-common order of tokens; the order here is by hash, with the most frequent tokens last.
+node. Two nodes of similarity ``PERCENT`` or more share tokens in their prefixes under any
+common order of tokens (one, or k where prefixes are k - 1 tokens longer); the order here is by
+hash, with the most frequent tokens last.
 
 Skipping within the index: the list of a token is ordered by set size and, within a size, by
-the token's position. Sizes out of reach are skipped, and within a block of one size the first
-entry whose position leaves too few tokens behind ends the block.
+the token's position. Sizes out of reach are skipped, and within a block of one size the
+entries whose position leaves too few tokens before or behind.
 
 Skipping by relations between sets: every set is first compared with one similar set of its
 lists, its lead, and linked sets form components. Pairs inside a component need no comparison.
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,55 +134,157 @@ def hot_tokens(docs: DataFrame) -> np.ndarray:
     return top.sort_values(["n", "token"])["token"].to_numpy(np.int64)
 
 
-def sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n, node, prefix) per row; equal sets have equal nodes. Sets without tokens have no prefix."""
+def nodes_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, node) per row: size and digest of its set; equal sets have equal nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            n, node = pa.array(map(len, found), pa.int32()), pa.array(map(_node, found), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, node], ["doc_id", "n", "node"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n int, node long")
+
+
+def votes_needed(n):
+    """Tokens that the prefixes of two linked sets share at least, for the smaller of the two sizes."""
+    return 1 + n * 3 // 100
+
+
+def prefix(s: np.ndarray, by_token: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """First tokens of a set in the common order; long enough for ``votes_needed`` to be shared."""
+    n = len(s)
+    length = min(n, n - int(_kept(n)) + int(votes_needed(n))) if n else 0
+    if not len(ordered):
+        return s[:length]
+    at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
+    is_hot = ordered[at] == s
+    cold = s[~is_hot]
+    if len(cold) < length:
+        cold = np.concatenate((cold, s[is_hot][np.argsort(by_token[at[is_hot]])]))
+    return cold[:length]
+
+
+#: Tokens behind each shuffled block of postings.
+BLOCK_TOKENS = 2_000_000
+
+
+def postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Blocks of (token, place of its set in the block, position), dealt by token; each set once in a task."""
     by_token = np.argsort(hot)
     ordered = hot[by_token]
 
+    def block(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        token = np.concatenate([h[2] for h in held])
+        size = np.array([len(h[2]) for h in held])
+        of = np.repeat(np.arange(len(held)), size)
+        pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+        bucket = _mixed(token.view(np.uint64)) % np.uint64(buckets)
+        order = np.lexsort((token, bucket))
+        found, first = np.unique(bucket[order], return_index=True)
+        names, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
+        rows = []
+        for b, lo, hi in zip(found, first, np.append(first[1:], len(order)), strict=True):
+            o = order[lo:hi]
+            own, place = np.unique(of[o], return_inverse=True)
+            raw = [token[o], place.astype("u4"), pos[o].astype("u4"), names[own], sizes[own].astype("u4")]
+            data = zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in raw))
+            rows.append((int(b), len(o), data))
+        cols = list(zip(*rows, strict=True)) or [[], [], []]
+        kinds = (pa.int32(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "size", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, np.ndarray]] = []
+        seen: set[int] = set()
+        size = 0
         for batch in batches:
-            n, node, prefix = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text)
-                size = len(s)
-                n.append(size)
-                node.append(_node(s))
-                s = s.view(np.int64)
-                length = size - int(_kept(size)) + 1 if size else 0
-                if len(ordered):
-                    at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
-                    is_hot = ordered[at] == s
-                    cold = s[~is_hot]
-                    if len(cold) < length:
-                        late = s[is_hot][np.argsort(by_token[at[is_hot]])]
-                        cold = np.concatenate((cold, late))
-                    prefix.append(cold[:length])
-                else:
-                    prefix.append(s[:length])
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
-            flat = pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                ["doc_id", "n", "node", "prefix"],
-            )
+                if not len(s) or (node := _node(s)) in seen:
+                    continue
+                seen.add(node)
+                held.append((node, len(s), prefix(s.view(np.int64), by_token, ordered)))
+                size += len(held[-1][2])
+                if size >= BLOCK_TOKENS:
+                    yield block(held)
+                    held, size = [], 0
+                    if len(seen) > 1_000_000:  # a set sent twice is met again in its lists
+                        seen.clear()
+        if held:
+            yield block(held)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n int, node long, prefix array<long>")
+    return docs.select("text").mapInArrow(run, "bucket int, size int, data binary")
+
+
+def lists(blocks: DataFrame) -> DataFrame:
+    """(token, n, pos, node, lead, lead_n, lead_pos) of every list of two sets or more.
+
+    The lead of a block of a list is the least set that all of the block may link with.
+    """
 
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for size, data in zip(table.column("size").to_pylist(), table.column("data").to_pylist(), strict=True):
+            raw = zstandard.ZstdDecompressor().decompress(data)
+            token = np.frombuffer(raw[: 8 * size], np.int64)
+            place, pos = np.frombuffer(raw[8 * size : 16 * size], "u4").reshape(2, size)
+            rest = raw[16 * size :]
+            own = len(rest) // 12
+            names, sizes = np.frombuffer(rest[: 8 * own], np.int64), np.frombuffer(rest[8 * own :], "u4")
+            parts.append((token, sizes[place].astype(np.int32), pos.astype(np.int32), names[place]))
+        token, n, pos, node = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        order = np.lexsort((node, pos, n, token))
+        token, n, pos, node = token[order], n[order], pos[order], node[order]
+        again = np.append(False, (token[1:] == token[:-1]) & (node[1:] == node[:-1]))
+        token, n, pos, node = token[~again], n[~again], pos[~again], node[~again]
+        begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        count = np.diff(np.append(begin, len(token)))
+        lead = np.repeat(begin, count)
+        for b, k in zip(begin, count, strict=True):
+            if k > 1 and _kept(int(n[b + k - 1])) > n[b]:
+                first = b
+                for i in range(b, b + k):
+                    if _kept(int(n[i])) > n[first]:
+                        first = i
+                    lead[i] = first
+        many = np.repeat(count > 1, count)
+        out = {"token": token, "n": n, "pos": pos, "node": node, "lead": node[lead], "lead_n": n[lead], "lead_pos": pos[lead]}
+        return pa.table({k: v[many] for k, v in out.items()})
+
+    kind = "token long, n int, pos int, node long, lead long, lead_n int, lead_pos int"
+    return blocks.groupBy("bucket").applyInArrow(run, kind)
+
+
+#: Bits of the filter that picks the documents whose sets are compared; when it fills up it lets more through.
+FILTER_BITS = 1 << 25
 
-def whole_sets(docs: DataFrame) -> DataFrame:
-    """(node, tokens) of each row's text; rows without tokens are left out."""
+
+def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, tokens) of the documents whose doc_id is in ids, and of a few others that the filter lets through.
+
+    The filter is a bitmap of fixed size, so neither texts nor ids travel.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(bit.alias("bit")).selectExpr("bit div 32 AS word", "shiftleft(1L, cast(bit % 32 AS int)) AS mask")
+    held = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most FILTER_BITS / 32 rows
+    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
+    bitmap[held["word"].to_numpy(np.int64)] = held["mask"].to_numpy(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for t in batch.column("text").to_pylist() if len(x := shingles(t))]
+            at = batch.column("bit").to_numpy()
+            wanted = np.flatnonzero((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
+            texts = batch.column("text").take(pa.array(wanted)).to_pylist()
+            found = [x for t in texts if len(x := shingles(t))]
             node = pa.array([_node(x) for x in found], pa.int64())
-            found = [x.view(np.int64) for x in found]
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in found]))).astype(np.int32)
-            flat = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
+            flat = pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "node long, tokens array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("text", bit.alias("bit"))
+    return rows.mapInArrow(run, "node long, tokens array<long>")
 
 
 def _lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -206,77 +310,65 @@ def _lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict
         yield {c: np.concatenate([h[c] for h in held]) for c in names}
 
 
-def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of lists of two or more, each with the lead of its block: the least set that it may link with."""
-    names = ["token", "n", "pos", "node"]
-    for c in _lists(batches, names):
-        new = np.concatenate(([True], c["token"][1:] != c["token"][:-1]))
-        begin = np.flatnonzero(new)
-        count = np.diff(np.append(begin, len(new)))
-        of = np.repeat(begin, count)
-        many = np.repeat(count > 1, count)
-        lead = of.copy()
-        for b in begin[(count > 1) & (_kept(c["n"][begin + count - 1]) > c["n"][begin])]:
-            first = b
-            for i in range(b, b + int(count[np.searchsorted(begin, b)])):
-                if _kept(c["n"][i]) > c["n"][first]:
-                    first = i
-                lead[i] = first
-        out = {k: v[many] for k, v in c.items()}
-        out |= {"lead": c["node"][lead][many], "lead_n": c["n"][lead][many], "lead_pos": c["pos"][lead][many]}
-        yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in out.items()})
-
-
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components that neither sizes, positions nor relations to a lead rule out."""
+    """(u, v, u_n, v_n, votes, sure): pairs of different components that sizes, positions and leads leave open."""
     names = ["token", "n", "pos", "node", "root", "lead", "shared", "lead_n"]
     for c in _lists(batches, names):
-        token, n, pos, root = c["token"], c["n"], c["pos"], c["root"]
+        token, n, pos, root, node = c["token"], c["n"].astype(np.int64), c["pos"].astype(np.int64), c["root"], c["node"]
         begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         end = np.append(begin[1:], len(token))
-        us, vs, sure = [], [], []
+        found: list[list[np.ndarray]] = [[], [], [], [], []]
         for b, e in zip(begin, end, strict=True):
-            if e - b < 2 or (root[b:e] == root[b]).all():
+            if (root[b:e] == root[b]).all():
                 continue
             sizes, firsts = np.unique(n[b:e], return_index=True)
-            blocks = list(zip(sizes, b + firsts, np.append(b + firsts[1:], e), strict=True))
+            blocks = list(zip(sizes.tolist(), (b + firsts).tolist(), np.append(b + firsts[1:], e).tolist(), strict=True))
             for i in range(b, e):
+                size_i, pos_i = int(n[i]), int(pos[i])
                 for size, lo, hi in blocks:
-                    if size < n[i]:
+                    if size < size_i:
                         continue
-                    if _kept(size) > n[i]:
-                        break
-                    need = _need(n[i], size)
-                    if n[i] - pos[i] < need:
+                    if _kept(size) > size_i:
                         break
+                    need = _need(size_i, size)
                     lo = max(lo, i + 1)
-                    # positions ascend within the block: behind the last that leaves enough tokens nothing counts
-                    hi = lo + int(np.searchsorted(pos[lo:hi], size - need, side="right"))
+                    # behind and before these positions too few tokens can be shared: both ends of the block are skipped
+                    block = pos[lo:hi]
+                    hi = lo + int(np.searchsorted(block, pos_i + size - need, side="right"))
+                    lo += int(np.searchsorted(block, pos_i - size_i + need, side="left"))
                     j = lo + np.flatnonzero(root[lo:hi] != root[i])
                     if not len(j):
                         continue
                     same = c["lead"][j] == c["lead"][i]
-                    a, o = c["shared"][i], c["shared"][j]
-                    low = np.where(same, a + o - c["lead_n"][i], -1)
-                    high = np.where(same, np.minimum(a, o) + np.minimum(n[i] - a, size - o), size)
+                    a, o = int(c["shared"][i]), c["shared"][j].astype(np.int64)
+                    low = np.where(same, a + o - int(c["lead_n"][i]), -1)
+                    high = np.where(same, np.minimum(a, o) + np.minimum(size_i - a, size - o), size_i)
                     j, low = j[high >= need], low[high >= need]
-                    us.append(np.full(len(j), c["node"][i]))
-                    vs.append(c["node"][j])
-                    sure.append(low >= need)
-        if us:
-            u, v, s = np.concatenate(us), np.concatenate(vs), np.concatenate(sure)
-            key = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v), s.astype(np.int64))), axis=1)
-            yield pa.RecordBatch.from_pydict({"u": pa.array(key[0]), "v": pa.array(key[1]), "sure": pa.array(key[2] > 0)})
-
-
-def _compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Add shared (tokens in both) to (u, v, ...) by comparing the sets themselves."""
+                    for x, v in zip(found, (np.full(len(j), node[i]), node[j], np.full(len(j), size_i), np.full(len(j), size), low >= need), strict=True):
+                        x.append(v)
+        if found[0]:
+            u, v, un, vn, sure = (np.concatenate(x) for x in found)
+            swap = u > v
+            u, v, un, vn = np.where(swap, v, u), np.where(swap, u, v), np.where(swap, vn, un), np.where(swap, un, vn)
+            key, count = np.unique(np.stack((u, v, un, vn, sure.astype(np.int64))), axis=1, return_counts=True)
+            cols = [*key[:4], count, key[4] > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["u", "v", "u_n", "v_n", "votes", "sure"])
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v, shared, u_n, v_n): tokens in both sets, from the text of one document of each."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    whole = stored(whole_sets(docs, nodes.join(ends, "node", "left_semi").select(F.col("first_id").alias("doc_id"))))
     a = whole.select(F.col("node").alias("u"), F.col("tokens").alias("_a"))
     b = whole.select(F.col("node").alias("v"), F.col("tokens").alias("_b"))
     both = pairs.join(a, "u").join(b, "v")
-    return both.withColumns(
-        {"shared": F.size(F.array_intersect("_a", "_b")), "u_n": F.size("_a"), "v_n": F.size("_b")}
-    ).drop("_a", "_b")
+    return both.select(
+        "u",
+        "v",
+        F.size(F.array_intersect("_a", "_b")).alias("shared"),
+        F.size("_a").alias("u_n"),
+        F.size("_b").alias("v_n"),
+    )
 
 
 def _linked(shared: Column, a: Column, b: Column) -> Column:
@@ -291,35 +383,28 @@ def link(docs: DataFrame) -> DataFrame:
     never names a component unless all of its rows' ids are null. An empty table gives an
     empty result. Nodes are 64-bit digests of sets; tokens are 64-bit hashes of shingles.
     """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    rows = stored(sets(docs, hot_tokens(docs)))
+    parts = shuffle_partitions(docs.sparkSession)
+    rows = stored(nodes_of(docs))
     filled = rows.filter(F.col("n") > 0)
     nodes = filled.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    held = filled.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = held.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = postings.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "node")
-    kind = "token long, n int, pos int, node long, lead long, lead_n int, lead_pos int"
-    lists = stored(postings.select("token", "n", "pos", "node").mapInArrow(_leads, kind))
+    entries = stored(lists(postings(docs, hot_tokens(docs), 2 * parts)))
+    enough = lambda a, b: 1 + F.floor(F.least(a, b) * 3 / 100)  # noqa: E731  votes_needed
 
     # one lead for each set, the one with most prefix tokens in common
+    stars = entries.filter(F.col("node") != F.col("lead")).groupBy("node", "lead", "n", "lead_n")
+    stars = stars.agg(F.count("*").alias("votes"), F.min("pos").alias("pos"), F.min("lead_pos").alias("lead_pos"))
     need = F.ceil((F.col("n") + F.col("lead_n")) * PERCENT / (100 + PERCENT))
     near = F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos")) >= need
-    stars = lists.filter((F.col("node") != F.col("lead")) & near)
-    votes = stars.groupBy("node", "lead").agg(F.count("*").alias("votes"))
-    chosen = stored(votes.groupBy("node").agg(F.max(F.struct("votes", "lead")).alias("m")).select("node", "m.lead"))
-
-    # the sets that may link with any other, from the text of one document each
-    wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").select("first_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole = stored(whole_sets(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")))
-
-    first = stored(_compared(chosen.select(F.col("node").alias("u"), F.col("lead").alias("v")), whole))
+    stars = stars.filter(near & (F.col("votes") >= enough(F.col("n"), F.col("lead_n"))))
+    chosen = stars.groupBy("node").agg(F.max(F.struct("votes", "lead")).alias("m"))
+    chosen = stored(chosen.select(F.col("node").alias("u"), F.col("m.lead").alias("v")))
+    first = stored(_compared(chosen, docs, nodes))
     links = first.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"))).select("u", "v")
     roots = stored(components(links))
+
     known = first.select(F.col("u").alias("node"), F.col("v").alias("lead"), "shared", F.col("v_n").alias("lead_n"))
-    entries = lists.select("token", "n", "pos", "node").join(roots, "node", "left").join(known, "node", "left")
-    entries = entries.select(
+    open_ = entries.select("token", "n", "pos", "node").join(roots, "node", "left").join(known, "node", "left")
+    open_ = open_.select(
         "token",
         "n",
         "pos",
@@ -329,10 +414,11 @@ def link(docs: DataFrame) -> DataFrame:
         F.coalesce("shared", "n").alias("shared"),
         F.coalesce("lead_n", "n").alias("lead_n"),
     )
-    entries = entries.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "node")
-    pairs = entries.mapInArrow(_pairs, "u long, v long, sure boolean")
-    pairs = stored(pairs.groupBy("u", "v").agg(F.max("sure").alias("sure")))
-    checked = _compared(pairs.filter(~F.col("sure")).select("u", "v"), whole)
+    open_ = open_.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "node")
+    pairs = open_.mapInArrow(_pairs, "u long, v long, u_n long, v_n long, votes long, sure boolean")
+    pairs = pairs.groupBy("u", "v", "u_n", "v_n").agg(F.max("sure").alias("sure"), F.sum("votes").alias("votes"))
+    pairs = stored(pairs.filter(F.col("sure") | (F.col("votes") >= enough(F.col("u_n"), F.col("v_n")))))
+    checked = _compared(pairs.filter(~F.col("sure")).select("u", "v"), docs, nodes)
     more = checked.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"))).select("u", "v")
     links = stored(links.unionByName(pairs.filter("sure").select("u", "v")).unionByName(more))
     roots = components(links)
