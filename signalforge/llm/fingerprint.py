@@ -38,9 +38,9 @@ def _numbered(h: Column) -> Column:
                 ),
             ),
         )
-        return F.transform(F.array_sort(F.flatten(runs)), lambda x: x.q)
+        return F.transform(F.sort_array(F.flatten(runs)), lambda x: x.q)
 
-    pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
     return F.when(F.size(F.array_distinct(h)) == F.size(h), once).otherwise(let(pairs, by_run))
 
 
@@ -70,7 +70,7 @@ def _tuples(h: Column, q: Column, s: Column) -> Column:
                 lambda j: F.array_position(q, F.get(s, (a + j) % n)),
             ),
         )
-        ordered = F.transform(F.array_sort(places), lambda p: F.get(h, (p - 1).cast("int")))
+        ordered = F.transform(F.sort_array(places), lambda p: F.get(h, (p - 1).cast("int")))
         return F.xxhash64(ordered).bitwiseAND(F.lit(0xFFFFFFFF))
 
     empty = F.array_repeat(F.lit(0).cast("long"), M)
@@ -98,7 +98,7 @@ def signature(text: Column) -> Column:
 
     return let(
         words_of(text),
-        lambda w: let(kmers(w), lambda h: let(_numbered(h), lambda q: let(F.array_sort(q), lambda s: _tuples(h, q, s)))),
+        lambda w: let(kmers(w), lambda h: let(_numbered(h), lambda q: let(F.sort_array(q), lambda s: _tuples(h, q, s)))),
     )
 
 

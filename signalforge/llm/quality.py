@@ -35,13 +35,13 @@ def _outside(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, pattern, ""))
 
 
-def _repeated(words: Column) -> Column:
-    """Words that lie in a window of ``WINDOW`` words found twice or more in the text."""
-    n = F.size(words)
+def _repeated(h: Column) -> Column:
+    """Words that lie in a window of ``WINDOW`` words found twice or more in the text; h: the words' hashes."""
+    n = F.size(h)
     windows = F.when(n < WINDOW, F.array().cast("array<bigint>")).otherwise(
         F.transform(
-            F.slice(words, F.lit(1), n - (WINDOW - 1)),
-            lambda w, i: F.xxhash64(w, *[F.get(words, i + d) for d in range(1, WINDOW)]),
+            F.slice(h, F.lit(1), n - (WINDOW - 1)),
+            lambda x, i: F.xxhash64(x, *[F.get(h, i + d) for d in range(1, WINDOW)]),
         )
     )
 
@@ -52,11 +52,11 @@ def _repeated(words: Column) -> Column:
 
     def places(s: Column) -> Column:
         twice = F.filter(s, lambda x, i: (F.get(s, i - 1).h == x.h) | (F.get(s, i + 1).h == x.h))
-        return F.array_sort(F.transform(twice, lambda x: x.p))
+        return F.sort_array(F.transform(twice, lambda x: x.p))
 
-    def count(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(
+    def count(w: Column) -> Column:
+        pairs = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(
             let(pairs, lambda s: let(places(s), covered))
         )
 
@@ -64,17 +64,18 @@ def _repeated(words: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Add _words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _classes."""
+    """Add _hashes (of the words), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _classes."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     rest = F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")
     rows = docs.withColumns({"_text": text, "_rest": rest, "_words": words_of(F.col("text")), "_lines": lines})
+    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     rows = rows.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("_words")).cast("long"),
+            "n_repeat_words": _repeated(F.col("_hashes")).cast("long"),
             "_kinds": F.array(
                 F.length("_text") - F.length("_rest"),
                 *[
@@ -92,7 +93,7 @@ def features(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {"n_symbols": k[3].cast("long"), "_classes": F.array(*[c.cast("double") for c in counts])}
     )
-    return rows.drop("_text", "_rest", "_lines", "_kinds", "_blank")
+    return rows.drop("_text", "_rest", "_lines", "_kinds", "_blank", "_words")
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -113,16 +114,16 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda t, x: t + x) / 2))
 
 
-def _word_counts(words: Column, common: Column) -> Column:
-    """Occurrences of each of ``common``, then of all other words; words must be lower case."""
+def _word_counts(hashes: Column, common: Column) -> Column:
+    """Occurrences of each of ``common``, then of all other words, by the words' hashes."""
     return let(
-        F.filter(F.transform(words, lambda w: F.array_position(common, w)), lambda i: i > 0),
-        lambda at: F.concat(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(common), F.lit(1))),
-                lambda j: (F.size(at) - F.size(F.array_remove(at, j.cast("long")))).cast("double"),
+        F.transform(common, lambda c: F.xxhash64(c)),
+        lambda known: let(
+            F.filter(hashes, lambda h: F.array_contains(known, h)),
+            lambda at: F.concat(
+                F.transform(known, lambda k: (F.size(at) - F.size(F.array_remove(at, k))).cast("double")),
+                F.array((F.size(hashes) - F.size(at)).cast("double")),
             ),
-            F.array((F.size(words) - F.size(at)).cast("double")),
         ),
     )
 
@@ -156,9 +157,9 @@ def references(docs: DataFrame) -> list[tuple]:
     top = sums.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
     whole = sums.agg(F.sum("w").alias("w"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(8)]).first()
     own = [r["lang"] for r in top if r["lang"] is not None]
-    lower = words_of(F.lower(F.coalesce("text", F.lit(""))))
-    short = F.filter(lower, lambda w: (F.length(w) <= COMMON_CHARS) & w.rlike(r"^\p{L}"))
+    short = F.filter(words_of(F.col("text")), lambda w: F.length(w) <= COMMON_CHARS)
     counts = rows.select("lang", F.explode(short).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = counts.filter(F.col("word").rlike(r"^\p{L}"))
     named = counts.filter(F.col("lang").isin(own)) if own else counts.filter(F.lit(False))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     per = named.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= COMMON)
@@ -203,11 +204,10 @@ def judge(docs: DataFrame) -> DataFrame:
             "_word_q": F.coalesce("_word_q", pool(word_q, "array<double>")),
         }
     )
-    lower = F.transform("_words", F.lower)
     rows = rows.withColumns(
         {
             "char_distance": distance(_shares(F.col("_classes")), F.col("_class_q")),
-            "word_distance": distance(_shares(_word_counts(lower, F.col("_common"))), F.col("_word_q")),
+            "word_distance": distance(_shares(_word_counts(F.col("_hashes"), F.col("_common"))), F.col("_word_q")),
         }
     )
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
@@ -215,4 +215,4 @@ def judge(docs: DataFrame) -> DataFrame:
         (F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > WORD_DISTANCE)
     )
     rows = rows.withColumns({"base_failed": failed, "kept": ~failed & ~far})
-    return rows.drop("_lang", "_class_q", "_common", "_word_q", "_words", "_classes")
+    return rows.drop("_lang", "_class_q", "_common", "_word_q", "_hashes", "_classes")

@@ -86,7 +86,6 @@ WITH d AS (
 ), f AS (
   SELECT rid, doc_id, lang, t,
     list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
-    list_filter(string_split_regex(lower(t), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS lw,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
     length(t) AS n,
     length(regexp_replace(t, '[^a-z]', '', 'g')) AS c0,
@@ -125,7 +124,7 @@ WITH d AS (
     + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS char_distance
   FROM kind_p JOIN kind_q USING (ref, k) GROUP BY rid
 ), said AS (
-  SELECT rid, ref, lang, w FROM h, unnest(lw) AS u(w)
+  SELECT rid, ref, lang, w FROM h, unnest(ws) AS u(w)
 ), per_doc AS (
   SELECT rid, ref, w, count(*) AS c FROM said
   WHERE length(w) <= {quality.COMMON_CHARS} AND regexp_matches(w, '^\p{{L}}') GROUP BY rid, ref, w
