@@ -2,8 +2,8 @@
 
 Each document is the set of its distinct word shingles, as 64-bit hashes. Equal sets are one
 node. Two nodes of similarity ``PERCENT`` or more share tokens in their prefixes under any
-common order of tokens (one, or k where prefixes are k - 1 tokens longer); the order here is by
-hash, with the most frequent tokens last.
+common order of tokens (one, or k where prefixes are k - 1 tokens longer; of the larger set's
+prefix and a shorter one of the smaller); the order here is by hash, with frequent tokens last.
 
 Skipping within the index: the list of a token is ordered by set size and, within a size, by
 the token's position. Sizes out of reach are skipped, and within a block of one size the
@@ -30,10 +30,10 @@ from signalforge.llm.common import shuffle_partitions, stored
 from signalforge.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Tokens that are put last in the order, the most frequent ones; it only affects speed.
-HOT = 100_000
-#: A token's least count in a task to be a candidate for them.
-HOT_LOCAL = 8
+#: Tokens that are put last in the order at most, the most frequent ones; it only affects speed.
+HOT = 1_000_000
+#: A token's least count among a task's distinct sets to be counted as frequent.
+HOT_LOCAL = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -112,7 +112,9 @@ def hot_tokens(docs: DataFrame) -> np.ndarray:
     """The most frequent tokens, least frequent first; counts that stay small in a task are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        size = 0
 
         def counted() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held), return_counts=True)
@@ -121,11 +123,16 @@ def hot_tokens(docs: DataFrame) -> np.ndarray:
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                held.append(shingles(text))
-                size += len(held[-1])
-                if size > 4_000_000:
+                s = shingles(text)
+                if (node := _node(s)) in seen:
+                    continue
+                seen.add(node)
+                held.append(s)
+                size += len(s)
+                if size > 6_000_000:
                     yield counted()
                     held, size = [], 0
+                    seen.clear()
         if held:
             yield counted()
 
@@ -331,10 +338,13 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if _kept(size) > size_i:
                         break
                     need = _need(size_i, size)
+                    spare = votes_needed(size_i) - need
+                    if pos_i >= size_i + spare:
+                        continue
                     lo = max(lo, i + 1)
-                    # behind and before these positions too few tokens can be shared: both ends of the block are skipped
+                    # before and behind these positions the token says nothing: both ends of the block are skipped
                     block = pos[lo:hi]
-                    hi = lo + int(np.searchsorted(block, pos_i + size - need, side="right"))
+                    hi = lo + int(np.searchsorted(block, min(size + spare, pos_i + size - need + 1), side="left"))
                     lo += int(np.searchsorted(block, pos_i - size_i + need, side="left"))
                     j = lo + np.flatnonzero(root[lo:hi] != root[i])
                     if not len(j):
@@ -391,9 +401,11 @@ def link(docs: DataFrame) -> DataFrame:
     enough = lambda a, b: 1 + F.floor(F.least(a, b) * 3 / 100)  # noqa: E731  votes_needed
 
     # one lead for each set, the one with most prefix tokens in common
-    stars = entries.filter(F.col("node") != F.col("lead")).groupBy("node", "lead", "n", "lead_n")
-    stars = stars.agg(F.count("*").alias("votes"), F.min("pos").alias("pos"), F.min("lead_pos").alias("lead_pos"))
     need = F.ceil((F.col("n") + F.col("lead_n")) * PERCENT / (100 + PERCENT))
+    spare = enough(F.col("n"), F.col("lead_n")) - need
+    early = (F.col("pos") < F.col("n") + spare) & (F.col("lead_pos") < F.col("lead_n") + spare)
+    stars = entries.filter((F.col("node") != F.col("lead")) & early).groupBy("node", "lead", "n", "lead_n")
+    stars = stars.agg(F.count("*").alias("votes"), F.min("pos").alias("pos"), F.min("lead_pos").alias("lead_pos"))
     near = F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos")) >= need
     stars = stars.filter(near & (F.col("votes") >= enough(F.col("n"), F.col("lead_n"))))
     chosen = stars.groupBy("node").agg(F.max(F.struct("votes", "lead")).alias("m"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from signalforge.llm.common import NO_ID, shuffle_partitions
 
-SPAN, KMER = 50, 16
+SPAN, KMER = 50, 8
 #: Bytes of text for each bucket, of text worked on at once, and of text behind each shuffled block.
 BUCKET_BYTES, STEP_BYTES, BLOCK_BYTES = 16 << 20, (1 << 19) - 64, 24 << 20
 #: A window reaches this far on at least one side of its minimizer's start or end.
@@ -79,7 +79,7 @@ def runs(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def _unpacked(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
@@ -92,8 +92,8 @@ def _unpacked(blob: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
 
 
 ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
-RUN_KINDS = ["i8", "i8", "i8", "u1", "u1"]
-SPAN_KINDS = ["i8", "i8", "i8", "i8"]
+RUN_KINDS = ["i8", "u4", "u4", "u1", "u1"]
+SPAN_KINDS = ["i8", "u4", "u4", "u4"]
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -115,7 +115,7 @@ def _cut(buckets: int):
         rows: list[tuple] = []
         for b, lo, hi in zip(found, first, np.append(first[1:], len(order)), strict=True):
             o = order[lo:hi]
-            rows.append((int(b), len(o), _packed(doc[o], digest[o], pos[o], size[o].astype("u1"), off[o].astype("u1"), raw[_ragged(at[o], size[o])])))
+            rows.append((int(b), len(o), _packed(doc[o], digest[o].astype("u4"), pos[o].astype("u4"), size[o].astype("u1"), off[o].astype("u1"), raw[_ragged(at[o], size[o])])))
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "n", "runs"])
 
@@ -289,7 +289,7 @@ def _matched(homes: int):
         parts = [_unpacked(b, n, RUN_KINDS) for b, n in zip(table.column("runs").to_pylist(), table.column("n").to_pylist(), strict=True)]
         doc, digest, pos, size, off, raw = (np.concatenate([p[i] for p in parts]) for i in range(6))
         del parts
-        size, off = size.astype(np.int64), off.astype(np.int64)
+        size, off, pos = size.astype(np.int64), off.astype(np.int64), pos.astype(np.int64)
         at = np.cumsum(size) - size
         key = _hashed(raw, at + off, KMER, KMER, 0)
         keep = np.flatnonzero(_shared(key, doc))
@@ -302,7 +302,7 @@ def _matched(homes: int):
         keep = keep[near]
         doc, digest, pos, size, at, key = doc[keep], digest[keep], pos[keep], size[keep], at[keep], key[keep]
         if len(keep):
-            a, b = _hashed(raw, at, size, 88, 0), _hashed(raw, at, size, 88, 1)
+            a, b = _hashed(raw, at, size, 96, 0), _hashed(raw, at, size, 96, 1)
             order = np.lexsort((doc, b, a))
             new = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
             one = order[np.flatnonzero(new)]  # the occurrence in the least document
@@ -323,7 +323,7 @@ def _matched(homes: int):
         rows = []
         for h in np.unique(home):
             o = np.flatnonzero(home == h)
-            rows.append((int(h), len(o), _packed(*[s[o] for s in spans])))
+            rows.append((int(h), len(o), _packed(*[s[o].astype(k) for s, k in zip(spans, SPAN_KINDS, strict=True)])))
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["_home", "n", "spans"])
 
@@ -334,6 +334,7 @@ def _cleaned(_: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
     """Documents of one home without their spans."""
     parts = [_unpacked(b, n, SPAN_KINDS) for b, n in zip(spans.column("spans").to_pylist(), spans.column("n").to_pylist(), strict=True)]
     doc, digest, start, stop = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(4))
+    start, stop = start.astype(np.int64), stop.astype(np.int64)
     order = np.lexsort((digest, doc))
     doc, digest, start, stop = doc[order], digest[order], start[order], stop[order]
     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])))) if len(doc) else []
@@ -371,7 +372,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     kept = docs.drop(*ADDED)
-    rows = kept.withColumns({"text": text, "_id": F.coalesce("doc_id", F.lit(NO_ID)).cast("long"), "_digest": F.xxhash64(text)})
+    rows = kept.withColumns({"text": text, "_id": F.coalesce("doc_id", F.lit(NO_ID)).cast("long"), "_digest": F.crc32(text.cast("binary"))})
     cut = rows.select("_id", "_digest", "text").mapInArrow(_cut(buckets), "bucket int, n int, runs binary")
     spans = cut.groupBy("bucket").applyInArrow(_matched(buckets), "_home long, n int, spans binary")
     homed = rows.withColumn("_home", _home(F.col("_id"), buckets))
