@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from signalforge.llm.common import NO_ID, shuffle_partitions
 
 SPAN, KMER = 50, 8
-#: Bytes of text for each bucket, of text worked on at once, and of text behind each shuffled block.
-BUCKET_BYTES, STEP_BYTES, BLOCK_BYTES = 16 << 20, (1 << 19) - 64, 24 << 20
+#: Bytes of text for each bucket, of text worked on at once, of text behind each shuffled block, and of runs in a transform.
+BUCKET_BYTES, STEP_BYTES, BLOCK_BYTES, TRANSFORM_BYTES = 10 << 20, (1 << 19) - 64, 20 << 20, 1 << 20
 #: A window reaches this far on at least one side of its minimizer's start or end.
 _SIDE = (SPAN - KMER) // 2
 _LONGEST = 2 * SPAN - KMER
@@ -253,35 +253,65 @@ def boundaries(text: np.ndarray, order: np.ndarray, span: int) -> np.ndarray:
     return found
 
 
-def least_documents(raw: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _near(raw: np.ndarray, at: np.ndarray, size: np.ndarray, off: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Runs that may share a string with a run of another owner.
+
+    Around its minimizer a string has ``_SIDE`` bytes or more on one side at least, so runs
+    with a string in common agree there.
+    """
+    near = np.zeros(len(at), bool)
+    right = np.flatnonzero(size - off >= KMER + _SIDE)
+    near[right] |= _shared(_hashed(raw, (at + off)[right], KMER + _SIDE, 40, 0), owner[right])
+    left = np.flatnonzero(off >= _SIDE)
+    near[left] |= _shared(_hashed(raw, (at + off)[left] - _SIDE, KMER + _SIDE, 40, 1), owner[left])
+    return near
+
+
+def least_documents(
+    raw: np.ndarray, at: np.ndarray, size: np.ndarray, off: np.ndarray, doc: np.ndarray, key: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """For distinct runs: least document of each of their strings, and where each run's strings begin.
 
-    doc: least document of each run; key: its minimizer. A run alone with its minimizer needs no
-    transform: its strings occur in it only.
+    doc: least document of each run; key: its minimizer. A run that no other distinct run can
+    share a string with needs no transform. The others are transformed together with all of
+    their minimizer's, several minimizers at a time.
     """
     strings = size - SPAN + 1
     begins = np.cumsum(strings) - strings
     least = np.repeat(doc, strings)
-    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(count[inverse] > 1)
-    if len(several):
-        n = size[several] + 1
-        text = np.zeros(int(n.sum()), np.int16)
-        start = np.cumsum(n) - n
-        text[_ragged(start, size[several])] = raw[_ragged(at[several], size[several])].astype(np.int16) + 1
-        order = suffix_order(text)
-        group = np.cumsum(boundaries(text, order, SPAN)[: len(text)])
-        whole = np.full(len(text), -1, np.int64)
-        whole[_ragged(start, strings[several])] = _ragged(begins[several], strings[several])
-        of = whole[order]
-        real = of >= 0
-        group, of = group[real], of[real]
-        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-        best = np.minimum.reduceat(least[of], first)
-        least[of] = np.repeat(best, np.diff(np.append(first, len(of))))
+    several = np.flatnonzero(_near(raw, at, size, off, np.arange(len(at))))
+    several = several[np.argsort(key[several], kind="stable")]
+    if not len(several):
+        return least, begins
+    new = np.flatnonzero(np.concatenate(([True], key[several][1:] != key[several][:-1])))
+    upto = np.concatenate(([0], np.cumsum(size[several])))
+    first = 0
+    for hi in np.append(new[1:], len(several)):
+        if hi < len(several) and upto[hi] - upto[first] < TRANSFORM_BYTES:
+            continue
+        _transformed(raw, at, size, several[first:hi], begins, strings, least)
+        first = hi
     return least, begins
 
 
+def _transformed(raw, at, size, chosen, begins, strings, least) -> None:
+    """Put the least document of each string of the chosen runs into ``least``."""
+    n = size[chosen] + 1
+    text = np.zeros(int(n.sum()), np.int16)
+    start = np.cumsum(n) - n
+    text[_ragged(start, size[chosen])] = raw[_ragged(at[chosen], size[chosen])].astype(np.int16) + 1
+    order = suffix_order(text)
+    group = np.cumsum(boundaries(text, order, SPAN)[: len(text)])
+    whole = np.full(len(text), -1, np.int64)
+    whole[_ragged(start, strings[chosen])] = _ragged(begins[chosen], strings[chosen])
+    of = whole[order]
+    real = of >= 0
+    group, of = group[real], of[real]
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    best = np.minimum.reduceat(least[of], first)
+    least[of] = np.repeat(best, np.diff(np.append(first, len(of))))
+
+
 def _matched(homes: int):
     """Spans to remove, for each bucket: one row per home of the documents."""
 
@@ -293,14 +323,9 @@ def _matched(homes: int):
         at = np.cumsum(size) - size
         key = _hashed(raw, at + off, KMER, KMER, 0)
         keep = np.flatnonzero(_shared(key, doc))
-        reach = KMER + _SIDE
-        near = np.zeros(len(keep), bool)
-        right = np.flatnonzero(size[keep] - off[keep] >= reach)
-        near[right] |= _shared(_hashed(raw, (at + off)[keep[right]], reach, 40, 0), doc[keep[right]])
-        left = np.flatnonzero(off[keep] >= _SIDE)
-        near[left] |= _shared(_hashed(raw, (at + off)[keep[left]] - _SIDE, reach, 40, 1), doc[keep[left]])
+        near = _near(raw, at[keep], size[keep], off[keep], doc[keep])
         keep = keep[near]
-        doc, digest, pos, size, at, key = doc[keep], digest[keep], pos[keep], size[keep], at[keep], key[keep]
+        doc, digest, pos, size, at, off, key = (x[keep] for x in (doc, digest, pos, size, at, off, key))
         if len(keep):
             a, b = _hashed(raw, at, size, 96, 0), _hashed(raw, at, size, 96, 1)
             order = np.lexsort((doc, b, a))
@@ -308,7 +333,7 @@ def _matched(homes: int):
             one = order[np.flatnonzero(new)]  # the occurrence in the least document
             of = np.empty(len(keep), np.int64)
             of[order] = np.cumsum(new) - 1
-            least, begins = least_documents(raw, at[one], size[one], doc[one], key[one])
+            least, begins = least_documents(raw, at[one], size[one], off[one], doc[one], key[one])
             strings = size - SPAN + 1
             gone = least[_ragged(begins[of], strings)] < np.repeat(doc, strings)
             where = _ragged(np.zeros(len(keep), np.int64), strings)
