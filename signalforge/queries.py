@@ -104,9 +104,9 @@ def tick_resample(spark, d):
 @query(
     f"""WITH {sql.bars('day')}, s AS (
   SELECT *, min(ts) OVER (PARTITION BY {sql.K}) AS start FROM bars
-) SELECT symbol, '4h' AS interval, session, start + to_hours(CAST(4 * (epoch(ts - start) // 14400) AS INTEGER)) AS ts,
+) SELECT symbol, '4h' AS interval, session, start + to_hours(CAST(4 * (CAST(epoch(ts - start) AS BIGINT) // 14400) AS INTEGER)) AS ts,
   arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume
-FROM s GROUP BY symbol, session, start, epoch(ts - start) // 14400"""
+FROM s GROUP BY symbol, session, start, CAST(epoch(ts - start) AS BIGINT) // 14400"""
 )
 def coarse_resample(spark, d):
     return bar.resample_bars(fixtures.bars(spark, d, "day"), "4h", 240)

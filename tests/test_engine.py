@@ -54,7 +54,7 @@ def test_one_bar_for_each_time(spark):
 
 
 def test_sessions_are_local_days(spark):
-    times = [OPEN - dt.timedelta(minutes=1), OPEN, OPEN + dt.timedelta(minutes=389), OPEN + dt.timedelta(minutes=390), OPEN.replace(hour=23)]
+    times = [OPEN - dt.timedelta(minutes=1), OPEN, OPEN + dt.timedelta(minutes=389), OPEN + dt.timedelta(minutes=390), OPEN.replace(hour=23, minute=0)]
     rows = bar.sessionise(raw(spark, [("X", "1m", t, *GOOD) for t in times]))
     assert [r.minute for r in rows.orderBy("ts").collect()] == [-1, 0, 389, 390, 570]
     assert {r.session for r in rows.collect()} == {DAY}
