@@ -31,7 +31,7 @@ from signalforge.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 #: Tokens that are put last in the order at most, the most frequent ones; it only affects speed.
-HOT = 1_000_000
+HOT = 400_000
 #: A token's least count among a task's distinct sets to be counted as frequent.
 HOT_LOCAL = 2
 
@@ -137,8 +137,18 @@ def hot_tokens(docs: DataFrame) -> np.ndarray:
             yield counted()
 
     found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "token").limit(HOT).toPandas()  # at most HOT rows
-    return top.sort_values(["n", "token"])["token"].to_numpy(np.int64)
+    found = stored(found)
+    # the least count that at most HOT tokens reach, from the number of tokens of each count below a bound
+    capped = found.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("tokens")).collect()
+    least, total = 1 << 62, 0
+    for n, tokens in sorted(((r["n"], r["tokens"]) for r in capped), reverse=True):
+        total += tokens
+        if total > HOT:
+            break
+        least = n
+    top = found.filter(F.col("n") >= least).toArrow()  # at most HOT rows
+    token, n = top.column("token").to_numpy(), top.column("n").to_numpy()
+    return token[np.lexsort((token, n))]
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
@@ -179,9 +189,6 @@ BLOCK_TOKENS = 2_000_000
 
 def postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     """Blocks of (token, place of its set in the block, position), dealt by token; each set once in a task."""
-    by_token = np.argsort(hot)
-    ordered = hot[by_token]
-
     def block(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         token = np.concatenate([h[2] for h in held])
         size = np.array([len(h[2]) for h in held])
@@ -203,6 +210,8 @@ def postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "size", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_token = np.argsort(hot)
+        ordered = hot[by_token]
         held: list[tuple[int, int, np.ndarray]] = []
         seen: set[int] = set()
         size = 0
