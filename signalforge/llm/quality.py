@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalforge.llm.common import let, words_of
+from signalforge.llm.common import let, stored, words_of
 
 #: Common words of a language in its histogram, and the most code points of one.
 COMMON, COMMON_CHARS = 24, 5
@@ -142,25 +142,27 @@ def references(docs: DataFrame) -> list[tuple]:
         F.length(text).alias("n"),
         F.length(rest).alias("r"),
         inner.alias("inner"),
-        F.size(words_of(F.col("text"))).alias("w"),
     )
     patterns = (r"\p{Lu}", r"\p{Nd}", SYMBOLS, MARKS, r"[\p{L}&&[^\p{Lu}]]")
     kinds = kinds.select(
         "lang",
-        "w",
         (F.col("n") - F.col("r")).alias("c0"),
         (F.col("r") - F.length("inner")).alias("c1"),
         *[(F.length("inner") - _outside(F.col("inner"), p)).alias(f"c{i + 2}") for i, p in enumerate(patterns)],
         F.length("inner").alias("c7"),
     )
-    sums = kinds.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("w").alias("w"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(8)])
+    sums = kinds.groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(8)])
+    sums = stored(sums)
     top = sums.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
-    whole = sums.agg(F.sum("w").alias("w"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(8)]).first()
+    whole = sums.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(8)]).first()
     own = [r["lang"] for r in top if r["lang"] is not None]
-    short = F.filter(words_of(F.col("text")), lambda w: F.length(w) <= COMMON_CHARS)
-    counts = rows.select("lang", F.explode(short).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    said = rows.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    short = F.when(F.length("word") <= COMMON_CHARS, F.col("word"))  # all longer words count as one, null
+    counts = stored(said.groupBy("lang", short.alias("word")).agg(F.count("*").alias("n")))
+    words = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).filter(F.col("lang").isin(own)).collect()}
+    words[None] = counts.agg(F.sum("n").alias("n")).first()["n"]
     counts = counts.filter(F.col("word").rlike(r"^\p{L}"))
-    named = counts.filter(F.col("lang").isin(own)) if own else counts.filter(F.lit(False))
+    named = counts.filter(F.col("lang").isin(own))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     per = named.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= COMMON)
     pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON)
@@ -179,7 +181,7 @@ def references(docs: DataFrame) -> list[tuple]:
         c[7] -= sum(c[2:7])
         listed = sorted(common.get(lang, []))
         n = [x[2] for x in listed]
-        found.append((lang, shares(c), [x[1] for x in listed], shares([*n, int(s["w"] or 0) - sum(n)]) if n else [0.0, 1.0]))
+        found.append((lang, shares(c), [x[1] for x in listed], shares([*n, int(words.get(lang) or 0) - sum(n)]) if n else [0.0, 1.0]))
     return found
 
 
