@@ -10,7 +10,8 @@ the token's position. Sizes out of reach are skipped, and within a block of one
 entries whose position leaves too few tokens before or behind.
 
 Skipping by relations between sets: every set is first compared with one similar set of its
-lists, its lead, and linked sets form components. Pairs inside a component need no comparison.
+lists, its lead, and linked sets form components, which chains through the lists then join
+further. Pairs inside a component need no comparison.
 For the others, the overlap of each with the lead bounds the overlap of both from below and
 above, so most answers of a set follow from its lead's; only pairs the bounds leave open are
 compared token by token.
@@ -31,7 +32,7 @@ from signalforge.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
 #: Tokens that are put last in the order at most, the most frequent ones; it only affects speed.
-HOT = 400_000
+HOT = 1_000_000
 #: A token's least count among a task's distinct sets to be counted as frequent.
 HOT_LOCAL = 2
 
@@ -273,6 +274,8 @@ def lists(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(run, kind)
 
 
+#: Rounds that link components along chains, one pair for each set, before all open pairs are taken.
+CHAIN_ROUNDS = 2
 #: Bits of the filter that picks the documents whose sets are compared; when it fills up it lets more through.
 FILTER_BITS = 1 << 25
 
@@ -326,6 +329,22 @@ def _lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict
         yield {c: np.concatenate([h[c] for h in held]) for c in names}
 
 
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v): within each list, the first set of each component with the first set of the next one."""
+    for c in _lists(batches, ["token", "n", "pos", "node", "root"]):
+        token, n, root, node = c["token"], c["n"].astype(np.int64), c["root"], c["node"]
+        begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        found = []
+        for b, e in zip(begin, np.append(begin[1:], len(token)), strict=True):
+            if (root[b:e] != root[b]).any():
+                firsts = b + np.sort(np.unique(root[b:e], return_index=True)[1])
+                found.append(np.stack((firsts[1:], firsts[:-1])))
+        if found:
+            later, earlier = np.concatenate(found, axis=1)
+            near = _kept(n[later]) <= n[earlier]
+            yield pa.RecordBatch.from_arrays([pa.array(node[later[near]]), pa.array(node[earlier[near]])], ["u", "v"])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v, u_n, v_n, votes, sure): pairs of different components that sizes, positions and leads leave open."""
     names = ["token", "n", "pos", "node", "root", "lead", "shared", "lead_n"]
@@ -422,6 +441,16 @@ def link(docs: DataFrame) -> DataFrame:
     first = stored(_compared(chosen, docs, nodes))
     links = first.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"))).select("u", "v")
     roots = stored(components(links))
+    for _ in range(CHAIN_ROUNDS):
+        mixed = entries.select("token", "n", "pos", "node").join(roots, "node", "left")
+        mixed = mixed.withColumn("root", F.coalesce("root", "node")).repartition(parts, "token")
+        chains = mixed.sortWithinPartitions("token", "n", "pos", "node").mapInArrow(_chains, "u long, v long")
+        votes = chains.groupBy("u", "v").agg(F.count("*").alias("votes"))
+        best = votes.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("m"))
+        tried = _compared(stored(best.select("u", F.col("m.v").alias("v"))), docs, nodes)
+        more = tried.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"))).select("u", "v")
+        links = stored(links.unionByName(more))
+        roots = stored(components(links))
 
     known = first.select(F.col("u").alias("node"), F.col("v").alias("lead"), "shared", F.col("v_n").alias("lead_n"))
     open_ = entries.select("token", "n", "pos", "node").join(roots, "node", "left").join(known, "node", "left")
