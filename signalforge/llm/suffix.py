@@ -27,7 +27,7 @@ from signalforge.llm.common import NO_ID, shuffle_partitions
 
 SPAN, KMER = 50, 8
 #: Bytes of text for each bucket, of text worked on at once, of text behind each shuffled block, and of runs in a transform.
-BUCKET_BYTES, STEP_BYTES, BLOCK_BYTES, TRANSFORM_BYTES = 10 << 20, (1 << 19) - 64, 20 << 20, 1 << 20
+BUCKET_BYTES, STEP_BYTES, BLOCK_BYTES, TRANSFORM_BYTES = 10 << 20, (1 << 19) - 64, 12 << 20, 1 << 20
 #: A window reaches this far on at least one side of its minimizer's start or end.
 _SIDE = (SPAN - KMER) // 2
 _LONGEST = 2 * SPAN - KMER
@@ -108,14 +108,15 @@ def _cut(buckets: int):
     def block(held: list[tuple]) -> pa.RecordBatch:
         bucket, doc, digest, pos, size, off = (np.concatenate([h[i] for h in held]) for i in range(6))
         shift = np.cumsum([0, *[len(h[7]) for h in held[:-1]]])
-        at = np.concatenate([h[6] + s for h, s in zip(held, shift, strict=True)])
+        at = np.concatenate([(h[6] + s).astype("i4") for h, s in zip(held, shift, strict=True)])
         raw = np.concatenate([h[7] for h in held])
         order = np.argsort(bucket, kind="stable")
         found, first = np.unique(bucket[order], return_index=True)
         rows: list[tuple] = []
         for b, lo, hi in zip(found, first, np.append(first[1:], len(order)), strict=True):
             o = order[lo:hi]
-            rows.append((int(b), len(o), _packed(doc[o], digest[o].astype("u4"), pos[o].astype("u4"), size[o].astype("u1"), off[o].astype("u1"), raw[_ragged(at[o], size[o])])))
+            held_bytes = raw[_ragged(at[o].astype(np.int64), size[o].astype(np.int64))]
+            rows.append((int(b), len(o), _packed(doc[o], digest[o], pos[o], size[o], off[o], held_bytes)))
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "n", "runs"])
 
@@ -126,7 +127,10 @@ def _cut(buckets: int):
                 start, length, off, key = runs(raw, ends)
                 of = np.searchsorted(ends, start, side="right")
                 begin = np.concatenate(([0], ends[:-1]))
-                held.append((key % np.uint64(buckets), ids[of], digests[of], start - begin[of] + bases[of], length, off, start, raw))
+                place = (start - begin[of] + bases[of]).astype("u4")
+                bucket = (key % np.uint64(buckets)).astype("i4")
+                small = length.astype("u1"), off.astype("u1"), start.astype("i4")
+                held.append((bucket, ids[of], digests[of].astype("u4"), place, *small, raw))
                 size += len(raw)
                 if size >= BLOCK_BYTES:
                     yield block(held)
