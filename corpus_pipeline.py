@@ -24,10 +24,14 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.judge(docs).filter("kept").select(docs.columns)
 
 
+#: Words of a shingle and least similarity, in percent, of near duplicates in the pipeline.
+SHINGLE, PERCENT = 5, 80
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near duplicates; rows without an id stay."""
     ship(spark)
-    links = setjoin.link(docs.select("doc_id", "text"))
+    links = setjoin.link(docs.select("doc_id", "text"), SHINGLE, PERCENT)
     others = links.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 

@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard self-join with set-relation skipping.
 
 Each document is the set of its distinct word shingles, as 64-bit hashes. Equal sets are one
-node. Two nodes of similarity ``PERCENT`` or more share tokens in their prefixes under any
+node. Two nodes of similarity ``percent`` or more share tokens in their prefixes under any
 common order of tokens (one, or k where prefixes are k - 1 tokens longer; of the larger set's
 prefix and a shorter one of the smaller); the order here is by hash, with frequent tokens last.
 
@@ -20,6 +20,7 @@ compared token by token.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from signalforge.llm.common import shuffle_partitions, stored
 from signalforge.llm.components import components
 
+#: Words of a shingle and least similarity of linked sets, where the caller names none.
 SHINGLE, PERCENT = 4, 85
 #: Tokens that are put last in the order at most, the most frequent ones; it only affects speed.
 HOT = 1_000_000
@@ -42,7 +44,10 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multipliers of the hashes (any odd numbers do).
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_PLACES = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+_PLACES = [
+    np.uint64(x)
+    for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)
+]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -75,20 +80,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _held[0], _held[1]
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, shingle: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; one for fewer words than a shingle has."""
     raw = _LOWER[np.frombuffer((text or "").encode(), np.uint8)]
     w = _word_hashes(raw)
     if len(w) == 0:
         return w
-    if len(w) < SHINGLE:
+    if len(w) < shingle:
         x = np.uint64(len(w))
         for i, h in enumerate(w):
             x = x + h * _PLACES[i]
         return _mixed(np.array([x], np.uint64))
-    n = len(w) - SHINGLE + 1
+    n = len(w) - shingle + 1
     x = w[:n] * _PLACES[0]
-    for i in range(1, SHINGLE):
+    for i in range(1, shingle):
         x += w[i : i + n] * _PLACES[i]
     return np.unique(_mixed(x))
 
@@ -99,17 +104,17 @@ def _node(s: np.ndarray) -> int:
     return int(_mixed(total).view(np.int64)[0])
 
 
-def _kept(n: np.ndarray | int) -> np.ndarray | int:
+def _kept(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     """Least overlap of a set of n with any set that it links with."""
-    return -(-n * PERCENT // 100)
+    return -(-n * percent // 100)
 
 
-def _need(a, b):
+def _need(a, b, percent: int):
     """Least overlap of linked sets of sizes a and b."""
-    return -(-(a + b) * PERCENT // (100 + PERCENT))
+    return -(-(a + b) * percent // (100 + percent))
 
 
-def hot_tokens(docs: DataFrame) -> np.ndarray:
+def hot_tokens(docs: DataFrame, shingle: int) -> np.ndarray:
     """The most frequent tokens, least frequent first; counts that stay small in a task are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +129,7 @@ def hot_tokens(docs: DataFrame) -> np.ndarray:
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                s = shingles(text)
+                s = shingles(text, shingle)
                 if (node := _node(s)) in seen:
                     continue
                 seen.add(node)
@@ -152,12 +157,12 @@ def hot_tokens(docs: DataFrame) -> np.ndarray:
     return token[np.lexsort((token, n))]
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
+def nodes_of(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n, node) per row: size and digest of its set; equal sets have equal nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingles(t) for t in batch.column("text").to_pylist()]
+            found = [shingles(t, shingle) for t in batch.column("text").to_pylist()]
             n, node = pa.array(map(len, found), pa.int32()), pa.array(map(_node, found), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, node], ["doc_id", "n", "node"])
 
@@ -170,10 +175,10 @@ def votes_needed(n):
     return 1 + n * 3 // 100
 
 
-def prefix(s: np.ndarray, by_token: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+def prefix(s: np.ndarray, by_token: np.ndarray, ordered: np.ndarray, percent: int) -> np.ndarray:
     """First tokens of a set in the common order; long enough for ``votes_needed`` to be shared."""
     n = len(s)
-    length = min(n, n - int(_kept(n)) + int(votes_needed(n))) if n else 0
+    length = min(n, n - int(_kept(n, percent)) + int(votes_needed(n))) if n else 0
     if not len(ordered):
         return s[:length]
     at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
@@ -188,7 +193,7 @@ def prefix(s: np.ndarray, by_token: np.ndarray, ordered: np.ndarray) -> np.ndarr
 BLOCK_TOKENS = 2_000_000
 
 
-def postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, hot: np.ndarray, buckets: int, shingle: int, percent: int) -> DataFrame:
     """Blocks of (token, place of its set in the block, position), dealt by token; each set once in a task."""
     def block(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         token = np.concatenate([h[2] for h in held])
@@ -218,11 +223,11 @@ def postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         size = 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                s = shingles(text)
+                s = shingles(text, shingle)
                 if not len(s) or (node := _node(s)) in seen:
                     continue
                 seen.add(node)
-                held.append((node, len(s), prefix(s.view(np.int64), by_token, ordered)))
+                held.append((node, len(s), prefix(s.view(np.int64), by_token, ordered, percent)))
                 size += len(held[-1][2])
                 if size >= BLOCK_TOKENS:
                     yield block(held)
@@ -235,7 +240,7 @@ def postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "bucket int, size int, data binary")
 
 
-def lists(blocks: DataFrame) -> DataFrame:
+def lists(blocks: DataFrame, percent: int) -> DataFrame:
     """(token, n, pos, node, lead, lead_n, lead_pos) of every list of two sets or more.
 
     The lead of a block of a list is the least set that all of the block may link with.
@@ -260,10 +265,10 @@ def lists(blocks: DataFrame) -> DataFrame:
         count = np.diff(np.append(begin, len(token)))
         lead = np.repeat(begin, count)
         for b, k in zip(begin, count, strict=True):
-            if k > 1 and _kept(int(n[b + k - 1])) > n[b]:
+            if k > 1 and _kept(int(n[b + k - 1]), percent) > n[b]:
                 first = b
                 for i in range(b, b + k):
-                    if _kept(int(n[i])) > n[first]:
+                    if _kept(int(n[i]), percent) > n[first]:
                         first = i
                     lead[i] = first
         many = np.repeat(count > 1, count)
@@ -280,7 +285,7 @@ CHAIN_ROUNDS = 2
 FILTER_BITS = 1 << 25
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def whole_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(node, tokens) of the documents whose doc_id is in ids, and of a few others that the filter lets through.
 
     The filter is a bitmap of fixed size, so neither texts nor ids travel.
@@ -296,7 +301,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             at = batch.column("bit").to_numpy()
             wanted = np.flatnonzero((bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1)
             texts = batch.column("text").take(pa.array(wanted)).to_pylist()
-            found = [x for t in texts if len(x := shingles(t))]
+            found = [x for t in texts if len(x := shingles(t, shingle))]
             node = pa.array([_node(x) for x in found], pa.int64())
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in found]))).astype(np.int32)
             flat = pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))
@@ -329,7 +334,7 @@ def _lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict
         yield {c: np.concatenate([h[c] for h in held]) for c in names}
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chains(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v): within each list, the first set of each component with the first set of the next one."""
     for c in _lists(batches, ["token", "n", "pos", "node", "root"]):
         token, n, root, node = c["token"], c["n"].astype(np.int64), c["root"], c["node"]
@@ -341,11 +346,11 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.append(np.stack((firsts[1:], firsts[:-1])))
         if found:
             later, earlier = np.concatenate(found, axis=1)
-            near = _kept(n[later]) <= n[earlier]
+            near = _kept(n[later], percent) <= n[earlier]
             yield pa.RecordBatch.from_arrays([pa.array(node[later[near]]), pa.array(node[earlier[near]])], ["u", "v"])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v, u_n, v_n, votes, sure): pairs of different components that sizes, positions and leads leave open."""
     names = ["token", "n", "pos", "node", "root", "lead", "shared", "lead_n"]
     for c in _lists(batches, names):
@@ -363,9 +368,9 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for size, lo, hi in blocks:
                     if size < size_i:
                         continue
-                    if _kept(size) > size_i:
+                    if _kept(size, percent) > size_i:
                         break
-                    need = _need(size_i, size)
+                    need = _need(size_i, size, percent)
                     spare = votes_needed(size_i) - need
                     if pos_i >= size_i + spare:
                         continue
@@ -393,10 +398,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["u", "v", "u_n", "v_n", "votes", "sure"])
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(u, v, shared, u_n, v_n): tokens in both sets, from the text of one document of each."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    whole = stored(whole_sets(docs, nodes.join(ends, "node", "left_semi").select(F.col("first_id").alias("doc_id"))))
+    whole = stored(whole_sets(docs, nodes.join(ends, "node", "left_semi").select(F.col("first_id").alias("doc_id")), shingle))
     a = whole.select(F.col("node").alias("u"), F.col("tokens").alias("_a"))
     b = whole.select(F.col("node").alias("v"), F.col("tokens").alias("_b"))
     both = pairs.join(a, "u").join(b, "v")
@@ -409,27 +414,30 @@ def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _linked(shared: Column, a: Column, b: Column) -> Column:
-    return shared * 100 >= (a + b - shared) * PERCENT
+def _linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
+    return shared * 100 >= (a + b - shared) * percent
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
+    Sets are of ``shingle`` words, five at most; sets of ``percent`` similarity or more are linked,
+    and chains of links are one component.
+
     Input: doc_id, text (other columns are ignored). Null, empty and blank texts have an empty
     set and are their own component. Repeated rows and equal sets are linked. A null doc_id
     never names a component unless all of its rows' ids are null. An empty table gives an
     empty result. Nodes are 64-bit digests of sets; tokens are 64-bit hashes of shingles.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    rows = stored(nodes_of(docs))
+    rows = stored(nodes_of(docs, shingle))
     filled = rows.filter(F.col("n") > 0)
     nodes = filled.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    entries = stored(lists(postings(docs, hot_tokens(docs), 2 * parts)))
+    entries = stored(lists(postings(docs, hot_tokens(docs, shingle), 2 * parts, shingle, percent), percent))
     enough = lambda a, b: 1 + F.floor(F.least(a, b) * 3 / 100)  # noqa: E731  votes_needed
 
     # one lead for each set, the one with most prefix tokens in common
-    need = F.ceil((F.col("n") + F.col("lead_n")) * PERCENT / (100 + PERCENT))
+    need = F.ceil((F.col("n") + F.col("lead_n")) * percent / (100 + percent))
     spare = enough(F.col("n"), F.col("lead_n")) - need
     early = (F.col("pos") < F.col("n") + spare) & (F.col("lead_pos") < F.col("lead_n") + spare)
     stars = entries.filter((F.col("node") != F.col("lead")) & early).groupBy("node", "lead", "n", "lead_n")
@@ -438,17 +446,17 @@ def link(docs: DataFrame) -> DataFrame:
     stars = stars.filter(near & (F.col("votes") >= enough(F.col("n"), F.col("lead_n"))))
     chosen = stars.groupBy("node").agg(F.max(F.struct("votes", "lead")).alias("m"))
     chosen = stored(chosen.select(F.col("node").alias("u"), F.col("m.lead").alias("v")))
-    first = stored(_compared(chosen, docs, nodes))
-    links = first.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"))).select("u", "v")
+    first = stored(_compared(chosen, docs, nodes, shingle))
+    links = first.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"), percent)).select("u", "v")
     roots = stored(components(links))
     for _ in range(CHAIN_ROUNDS):
         mixed = entries.select("token", "n", "pos", "node").join(roots, "node", "left")
         mixed = mixed.withColumn("root", F.coalesce("root", "node")).repartition(parts, "token")
-        chains = mixed.sortWithinPartitions("token", "n", "pos", "node").mapInArrow(_chains, "u long, v long")
+        chains = mixed.sortWithinPartitions("token", "n", "pos", "node").mapInArrow(partial(_chains, percent), "u long, v long")
         votes = chains.groupBy("u", "v").agg(F.count("*").alias("votes"))
         best = votes.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("m"))
-        tried = _compared(stored(best.select("u", F.col("m.v").alias("v"))), docs, nodes)
-        more = tried.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"))).select("u", "v")
+        tried = _compared(stored(best.select("u", F.col("m.v").alias("v"))), docs, nodes, shingle)
+        more = tried.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"), percent)).select("u", "v")
         links = stored(links.unionByName(more))
         roots = stored(components(links))
 
@@ -465,11 +473,11 @@ def link(docs: DataFrame) -> DataFrame:
         F.coalesce("lead_n", "n").alias("lead_n"),
     )
     open_ = open_.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "node")
-    pairs = open_.mapInArrow(_pairs, "u long, v long, u_n long, v_n long, votes long, sure boolean")
+    pairs = open_.mapInArrow(partial(_pairs, percent), "u long, v long, u_n long, v_n long, votes long, sure boolean")
     pairs = pairs.groupBy("u", "v", "u_n", "v_n").agg(F.max("sure").alias("sure"), F.sum("votes").alias("votes"))
     pairs = stored(pairs.filter(F.col("sure") | (F.col("votes") >= enough(F.col("u_n"), F.col("v_n")))))
-    checked = _compared(pairs.filter(~F.col("sure")).select("u", "v"), docs, nodes)
-    more = checked.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"))).select("u", "v")
+    checked = _compared(pairs.filter(~F.col("sure")).select("u", "v"), docs, nodes, shingle)
+    more = checked.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"), percent)).select("u", "v")
     links = stored(links.unionByName(pairs.filter("sure").select("u", "v")).unionByName(more))
     roots = components(links)
 

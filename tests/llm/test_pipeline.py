@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
+from signalforge.llm import setjoin
 from tests.llm.test_operators import corpus, joined, repeats, rnd, sentence
 
 
@@ -61,3 +63,39 @@ def test_run(spark, tmp_path):
     tables(spark, tmp_path)
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert found.agg(F.max("length")).first()[0] <= 1024
+
+
+def near(rows, k, percent):
+    """(row, least row of its group) by brute force over k-word shingles."""
+    sets = [frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (t.lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for _ in rows:  # at most one round for each row
+        for a in range(len(rows)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("kind", ["scattered", "block"])
+def test_near_duplicates_are_of_five_words_and_four_fifths(spark, kind):
+    r = rnd(21)
+    rows = []
+    for f in range(8):
+        base = sentence(r, 96 if kind == "scattered" else 100).split()
+        for k in range(4):  # none, two, two and three edits; or a block of 0, 5, 6 and 8 words
+            words = list(base)
+            if kind == "scattered":
+                for at in r.sample(range(10, 88, 6), (0, 2, 2, 3)[k]):
+                    words[at] = f"w{f}x{k}x{at}"
+            else:
+                at, n = r.randrange(10, 80), (0, 5, 6, 8)[k]
+                words[at : at + n] = [f"w{f}x{k}x{i}" for i in range(n)]
+            rows.append((f * 10 + k, " ".join(words)))
+    want = [rows[i][0] for i, c in enumerate(near(rows, 5, 80)) if i == c]
+    assert want != [rows[i][0] for i, c in enumerate(near(rows, 4, 85)) if i == c]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert sorted(x.doc_id for x in found.collect()) == want
+    with_words = {x.doc_id: x.n_shingles for x in setjoin.link(docs, 5, 80).collect()}
+    assert with_words == {i: len({tuple(w[j : j + 5]) for j in range(len(w) - 4)}) for i, t in rows for w in [t.split()]}
