@@ -48,7 +48,8 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in training sequences."""
     ship(spark)
-    return packing.pack_documents(docs, public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path(queries.TOKENIZER))
+    return packing.pack_documents(docs, public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, added)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -13,6 +13,8 @@ rank, wherever they are stored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalforge.llm.bpe import encoder
+from signalforge.llm.bpe import Encoder, encoder
 from signalforge.llm.common import numbered, shuffle_partitions, stored
 
 CAPACITY, END_ID = 1024, 2
@@ -39,8 +41,27 @@ def cut(n: int) -> list[int]:
     return [rest] * (rest > 0) + [CAPACITY] * full
 
 
-def tokenised(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """One row per piece. Null text is empty and has one piece, the closing id."""
+def added_tokens(path: str) -> dict[str, int]:
+    """Strings that a tokenizer's JSON file gives ids of their own, wherever they stand in a text."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in found):
+        raise ValueError(f"{path} has added tokens that depend on the text around them")
+    return {t["content"]: t["id"] for t in found}
+
+
+def tokenised(docs: DataFrame, ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece. Null text is empty and has one piece, the closing id.
+
+    The text between the strings of ``added`` is encoded by ranks, part by part.
+    """
+    whole = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
+    cuts = "|".join(map(re.escape, sorted(whole, key=len, reverse=True)))
+
+    def encoded(enc: Encoder, text: str) -> bytes:
+        if not any(t in text for t in whole):
+            return enc.encode(text)
+        return b"".join(whole[t] if t in whole else enc.encode(t) for t in re.split(f"({cuts})", text) if t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, pattern)
@@ -48,7 +69,7 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = enc.encode(text) + close
+                ids = encoded(enc, text) + close
                 at = 0
                 for k, n in enumerate(cut(len(ids) // 4)):
                     for x, v in zip(out, (doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])), strict=True):
@@ -197,6 +218,6 @@ def pack(pieces: DataFrame) -> DataFrame:
     return ranked.mapInArrow(place, kind)
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> DataFrame:
     """Tokenise, cut and pack every document; see :func:`tokenised` and :func:`pack`."""
-    return pack(stored(tokenised(docs, ranks_path, pattern)))
+    return pack(stored(tokenised(docs, ranks_path, pattern, added)))

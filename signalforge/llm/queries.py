@@ -14,13 +14,14 @@ from signalforge.llm.common import documents
 from signalforge.session import ship
 
 
-#: The vocabulary of byte_bpe_50k.json as ranks; both give the same ids.
-RANKS = "byte_bpe_50k.tiktoken"
+#: The vocabulary of byte_bpe_50k.json as ranks; both give the same ids, but for the JSON file's added tokens.
+RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path(RANKS)
-    return packing.pack_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    added = packing.added_tokens(public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN, added)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from signalforge.llm import bpe, chat, components, fingerprint, packing, quality, setjoin, sharding, suffix, toxicity, warc
+from signalforge.llm import queries as llm_queries
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 SPACE = "\x20\x09-\x0d"
@@ -79,6 +80,30 @@ def test_packing_places_every_piece_once(docs):
     assert (ordered.offset == filled.cumsum() - ordered.length).all() and filled.sum().max() <= packing.CAPACITY
 
 
+def test_packing_gives_added_tokens_their_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    end = "<|endoftext|>"
+    texts = [end, f"a {end}b", f"  {end}  {end}{end} c\n\n{end}", f"é{end[:-1]}", "plain", None, f"{sentence(rnd(2), 900)} {end} {sentence(rnd(3), 900)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = packing.tokenised(docs, RANKS, public_tokenizers.PATTERN, packing.added_tokens(path))
+    tokens = Tokenizer.from_file(path)
+    want = []
+    for i, t in enumerate(texts):
+        ids = [*tokens.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (50256 in ids) == (end in (t or ""))
+        at = 0
+        for k, n in enumerate(packing.cut(len(ids))):
+            want.append((i, k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())))
+            at += n
+    assert rows_of(found) == want
+
+
+def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert llm_queries.op1_best_fit_packing(spark, str(tmp_path)).first().length == 5
+
+
 def test_packing_is_near_the_bound():
     r = np.random.default_rng(0)
     for high in (1024, 400, 700):
