@@ -19,8 +19,8 @@ from signalforge.sources import bars as bar
 from signalforge.sources import fixtures
 
 T, RULES, COSTS, STATS = sql.default()
-#: Bootstrap draws of the queries; runs take ``Stats.bootstrap_samples``.
-DRAWS, SEED = 400, 42
+#: Bootstrap draws of the queries, as many as runs take.
+DRAWS, SEED = STATS.bootstrap_samples, 42
 KEY = bar.KEY
 
 

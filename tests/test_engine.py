@@ -8,8 +8,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from signalforge import config
-from signalforge.operators import costs, drill, metrics, sampling, ticker, trades
+from signalforge import config, queries
+from signalforge.operators import costs, drill, metrics, patterns, sampling, ticker, trades
 from signalforge.sources import bars as bar
 
 DAY = dt.date(2026, 9, 14)
@@ -227,3 +227,9 @@ def test_config_refuses_unknown_keys():
 def test_minimum_detectable():
     assert metrics.minimum_detectable(config.Stats(bootstrap_samples=100), 66) is None
     assert metrics.minimum_detectable(config.Stats(), 1) == pytest.approx(2.8016, abs=1e-3)
+
+
+def test_inference_queries_draw_enough_for_every_pattern():
+    """The least adjusted p-value over all patterns reaches the level."""
+    assert metrics.resolution(config.Stats(bootstrap_samples=queries.DRAWS), len(patterns.REGISTRY))[0] <= config.Stats().alpha
+    assert queries.DRAWS == config.Stats().bootstrap_samples
