@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalforge.config import Config
+from signalforge.config import ALL, INTERVALS, Config
 from signalforge.operators import metrics, sampling, trades
 from signalforge.operators.patterns import REGISTRY, catalogue
+from signalforge.sources.bars import KEY
 
 
 def grid(spark, intervals: list[str], names: list[str] | None = None) -> DataFrame:
@@ -18,15 +21,42 @@ def grid(spark, intervals: list[str], names: list[str] | None = None) -> DataFra
     return spark.createDataFrame(rows, "pattern string, interval string")
 
 
-def measured(bars: DataFrame, config: Config, names: list[str] | None = None, selected: DataFrame | None = None) -> DataFrame:
-    """Statistics, evidence, comparison with matched controls and verdict of every pattern."""
+def fitted(bars: DataFrame, config: Config) -> dict[str, int]:
+    """The trend's lookback on each interval that the bars have, narrowest first."""
+    rows = sampling.trend_lookback(bars, config.thresholds.trend_lookback).collect()  # one row for each interval
+    return {r["interval"]: r["trend_lookback"] for r in sorted(rows, key=lambda r: INTERVALS.get(r["interval"], math.inf))}
+
+
+def own_trades(bars: DataFrame, config: Config, lookbacks: dict[str, int], names: list[str] | None = None) -> DataFrame:
+    """Trades of every interval, each with its own lookback."""
+    found = [
+        trades.trades(bars.filter(F.col("interval") == i), replace(config.thresholds, trend_lookback=k), config.trade, config.costs, names)
+        for i, k in lookbacks.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def measured(
+    bars: DataFrame,
+    config: Config,
+    names: list[str] | None = None,
+    selected: DataFrame | None = None,
+    lookbacks: dict[str, int] | None = None,
+) -> DataFrame:
+    """Statistics, evidence, comparison with matched controls and verdict of every pattern, on each interval and all.
+
+    Lookbacks are fitted to the bars where none are given.
+    """
     spark = bars.sparkSession
-    own = trades.trades(bars, config.thresholds, config.trade, config.costs, names)
-    if selected is not None:
-        own = own.join(F.broadcast(selected), ["pattern", "interval"], "left_semi")  # at most one row for each pattern
+    lookbacks = lookbacks or fitted(bars, config)
+    own = own_trades(bars, config, lookbacks, names)
     control = trades.net(trades.matched(own, bars, config.trade, config.run.seed), config.trade, config.costs)
+    own, control = metrics.pooled(own), metrics.pooled(control)
+    if selected is not None:
+        own = own.join(F.broadcast(selected), ["pattern", "interval"], "left_semi")  # at most one row for each pattern and interval
+        control = control.join(F.broadcast(selected), ["pattern", "interval"], "left_semi")
     dates = bars.select("session").distinct()
-    rows = metrics.summarise(own, grid(spark, ["1h"], names))
+    rows = metrics.summarise(own, grid(spark, [*lookbacks, ALL], names))
     rows = rows.join(metrics.max_drawdown(own), metrics.BY, "left")
     n, seed = config.stats.bootstrap_samples, config.run.seed
     draws = metrics.bootstrap_draws(metrics.date_totals(own, dates), n, seed)
@@ -47,15 +77,29 @@ def measured(bars: DataFrame, config: Config, names: list[str] | None = None, se
     return rows.withColumn("verdict", metrics.verdict(config.stats, F.lit(False)))
 
 
+def long_enough(bars: DataFrame, lookbacks: dict[str, int]) -> DataFrame:
+    """Bars of sessions with four bars more than their interval's lookback."""
+    least = F.create_map(*[F.lit(x) for i, k in lookbacks.items() for x in (i, k + 4)])
+    rows = bars.withColumn("_n", F.count("*").over(Window.partitionBy(*KEY)))
+    return rows.filter(F.col("_n") >= least[F.col("interval")]).drop("_n")
+
+
 def run(bars: DataFrame, config: Config, names: list[str] | None = None) -> DataFrame:
-    """Ranked statistics; an edge counts only if the held-out dates show it too."""
-    split = sampling.dates(sampling.session_pool(bars), config.run)
-    dated = bars.join(F.broadcast(split), "session")  # one row for each date
-    parts = {s: dated.filter(F.col("sample") == s).drop("sample", "window") for s in ("discovery", "validation")}
-    found = measured(parts["discovery"], config, names)
+    """Ranked statistics of the drawn trials; an edge counts only if the held-out dates show it too.
+
+    Discovery fits the lookbacks, validation takes them.
+    """
+    trials = sampling.draw_trials(sampling.session_pool(bars), config.run)
+    drawn = bars.join(trials.select("symbol", "session", "sample"), ["symbol", "session"])
+    parts = {s: drawn.filter(F.col("sample") == s).drop("sample") for s in ("discovery", "validation")}
+    lookbacks = fitted(parts["discovery"], config)
+    if not lookbacks:
+        raise ValueError("there are no bars to measure")
+    parts = {s: long_enough(rows, lookbacks) for s, rows in parts.items()}
+    found = measured(parts["discovery"], config, names, None, lookbacks)
     edges = found.filter(F.col("verdict") == "EDGE").select("pattern", "interval")
     if config.run.holdout_fraction and not edges.isEmpty():
-        found = metrics.confirmed(found, measured(parts["validation"], config, names, edges))
+        found = metrics.confirmed(found, measured(parts["validation"], config, names, edges, lookbacks))
     return metrics.ranked(found, config.stats)
 
 
@@ -70,10 +114,12 @@ def walk_forward(bars: DataFrame, config: Config, folds: int, names: list[str] |
         if not past or not now:
             continue
         own = replace(config, run=replace(config.run, seed=config.run.seed + k, holdout_fraction=0.0))
-        chosen = measured(bars.filter(F.col("session") <= past[-1]), own, names)
+        before = bars.filter(F.col("session") <= past[-1])
+        lookbacks = fitted(before, own)
+        chosen = measured(before, own, names, None, lookbacks)
         edges = chosen.filter(F.col("verdict") == "EDGE").select("pattern", "interval")
         test = bars.filter(F.col("session").between(now[0], now[-1]))
-        rows = trades.trades(test, config.thresholds, config.trade, config.costs, names)
+        rows = metrics.pooled(own_trades(test, config, lookbacks, names))
         rows = rows.join(F.broadcast(edges), ["pattern", "interval"], "left_semi").withColumn("fold", F.lit(k))
         out = rows if out is None else out.unionByName(rows)
     return out

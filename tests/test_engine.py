@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from signalforge import config, queries
 from signalforge.operators import costs, drill, metrics, patterns, sampling, ticker, trades
+from signalforge.plans import run as plan
 from signalforge.sources import bars as bar
+from signalforge.sources.synthetic import synthetic_bars
 
 DAY = dt.date(2026, 9, 14)
 OPEN = dt.datetime(2026, 9, 14, 13, 30)
@@ -233,3 +235,19 @@ def test_inference_queries_draw_enough_for_every_pattern():
     """The least adjusted p-value over all patterns reaches the level."""
     assert metrics.resolution(config.Stats(bootstrap_samples=queries.DRAWS), len(patterns.REGISTRY))[0] <= config.Stats().alpha
     assert queries.DRAWS == config.Stats().bootstrap_samples
+
+
+def test_runs_measure_every_interval(spark):
+    minutes = bar.sessionise(bar.validate(synthetic_bars(spark, ["AAA"], DAY, DAY)), F.to_date("ts"))
+    few = spark.createDataFrame(minutes.collect(), minutes.schema).coalesce(1)
+    bars = few.unionByName(few.withColumn("interval", F.lit("5m"))).cache()
+    conf = config.Config(stats=config.Stats(bootstrap_samples=2))
+    assert plan.fitted(bars, conf) == {"1m": 10, "5m": 10}
+    found = {r.interval: r for r in plan.measured(bars, conf, ["hammer"]).collect()}
+    assert set(found) == {"1m", "5m", "all"}
+    assert found["1m"].trades == found["5m"].trades > 0 and found["all"].trades == 2 * found["1m"].trades
+
+
+def test_sessions_too_short_for_the_lookback_are_skipped(spark):
+    bars = session(spark, [(1, 2, 0.5, 1)] * 8)
+    assert [plan.long_enough(bars, {"1m": k}).count() for k in (4, 5)] == [8, 0]
