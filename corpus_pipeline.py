@@ -13,15 +13,24 @@ from signalforge.llm.common import documents, stored
 from signalforge.session import ship
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """What the filtering stages read, with each whole row beside it, so that no column of it can clash."""
+    return docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this corpus's labels, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.classify(docs, labels).filter(F.col("predicted") == 0).select(docs.columns)
+    return toxicity.classify(_whole(docs), labels).filter(F.col("predicted") == 0).select("_row.*")
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and lie near their language's references."""
-    return quality.judge(docs).filter("kept").select(docs.columns)
+    """Documents that pass the base rule and lie near their language's references.
+
+    Judged rows are stored before the filter: pushed below the features, it would compute each of them many times.
+    """
+    judged = stored(quality.judge(_whole(docs)).select("_row", "kept"))
+    return judged.filter("kept").select("_row.*")
 
 
 #: Words of a shingle and least similarity, in percent, of near duplicates in the pipeline.
@@ -29,11 +38,18 @@ SHINGLE, PERCENT = 5, 80
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates; rows without an id stay."""
+    """One row of each group of near duplicates: that of least doc_id, rows without an id last.
+
+    Repeated rows of one id are copies like any others. Rows without words are groups of their own.
+    """
     ship(spark)
-    links = setjoin.link(docs.select("doc_id", "text"), SHINGLE, PERCENT)
-    others = links.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    rows = stored(docs.withColumn("_at", F.monotonically_increasing_id()))
+    links = setjoin.link(rows.select(F.col("_at").alias("doc_id"), "text"), SHINGLE, PERCENT)
+    groups = rows.select("_at", "doc_id").join(links.select(F.col("doc_id").alias("_at"), "component_id"), "_at")
+    first = groups.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_at")).alias("first")
+    )
+    return rows.join(first.select(F.col("first._at").alias("_at")), "_at", "left_semi").select(docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
