@@ -6,15 +6,16 @@ common order of tokens (one, or k where prefixes are k - 1 tokens longer; of the
 prefix and a shorter one of the smaller); the order here is by hash, with frequent tokens last.
 
 Skipping within the index: the list of a token is ordered by set size and, within a size, by
-the token's position. Sizes out of reach are skipped, and within a block of one size the
+the token's position. Sizes out of reach are skipped, and between blocks of two sizes the
 entries whose position leaves too few tokens before or behind.
 
-Skipping by relations between sets: every set is first compared with one similar set of its
+Skipping by relations between sets: a token of one set only can't be in an overlap, so a set
+that shares too few of its tokens with any other has no answers, and a pair of sets overlaps in
+no more tokens than either one shares. Every set left is compared with one similar set of its
 lists, its lead, and linked sets form components, which chains through the lists then join
-further. Pairs inside a component need no comparison.
-For the others, the overlap of each with the lead bounds the overlap of both from below and
-above, so most answers of a set follow from its lead's; only pairs the bounds leave open are
-compared token by token.
+further. Pairs inside a component need no comparison. For the others, the answers of a set
+follow from its lead's: the overlap of each with the lead bounds the overlap of both from below
+and above. Only pairs that the bounds leave open are compared token by token.
 """
 
 from __future__ import annotations
@@ -44,10 +45,9 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Odd multipliers of the hashes (any odd numbers do).
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_PLACES = [
-    np.uint64(x)
-    for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)
-]
+_PLACES = np.array(
+    [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64
+)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -100,7 +100,7 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
 
 def _node(s: np.ndarray) -> int:
     """64-bit digest of a set."""
-    total = np.array([np.sum(_mixed(s ^ _PLACES[0]), dtype=np.uint64)], np.uint64) + _PLACES[1] * np.uint64(len(s))
+    total = np.sum(_mixed(s ^ _PLACES[0]), dtype=np.uint64, keepdims=True) + _PLACES[1:2] * np.array([len(s)], np.uint64)
     return int(_mixed(total).view(np.int64)[0])
 
 
@@ -193,27 +193,49 @@ def prefix(s: np.ndarray, by_token: np.ndarray, ordered: np.ndarray, percent: in
 BLOCK_TOKENS = 2_000_000
 
 
+def _blocks(held: list[tuple[int, int, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """(node, size, tokens) of some sets as one row for each bucket of tokens.
+
+    A token is sent as its bucket and 32 more bits; two tokens that agree in both share a list,
+    which can add candidates and loses none.
+    """
+    size = np.array([len(h[2]) for h in held])
+    hashed = _mixed(np.concatenate([h[2] for h in held]).view(np.uint64))
+    bucket = (hashed % np.uint64(buckets)).astype("i4")
+    small = (hashed >> np.uint64(32)).astype("u4")
+    of = np.repeat(np.arange(len(held)), size)
+    pos = np.arange(len(small)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    names, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
+    rows = []
+    for b, lo, hi in zip(found, first, np.append(first[1:], len(order)), strict=True):
+        o = order[lo:hi]
+        own, place = np.unique(of[o], return_inverse=True)
+        raw = [small[o], place.astype("u4"), pos[o].astype("u4"), names[own], sizes[own].astype("u4")]
+        data = zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in raw))
+        rows.append((int(b), len(o), data))
+    cols = list(zip(*rows, strict=True)) or [[], [], []]
+    kinds = (pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "size", "data"])
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(token, n, pos, node) of all blocks of one bucket."""
+    parts = []
+    for bucket, size, data in zip(*(table.column(c).to_pylist() for c in ("bucket", "size", "data")), strict=True):
+        raw = zstandard.ZstdDecompressor().decompress(data)
+        small, place, pos = np.frombuffer(raw[: 12 * size], "u4").reshape(3, size)
+        rest = raw[12 * size :]
+        own = len(rest) // 12
+        names, sizes = np.frombuffer(rest[: 8 * own], np.int64), np.frombuffer(rest[8 * own :], "u4")
+        token = small.astype(np.int64) + (bucket << 32)
+        parts.append((token, sizes[place].astype(np.int32), pos.astype(np.int32), names[place]))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
+
+
 def postings(docs: DataFrame, hot: np.ndarray, buckets: int, shingle: int, percent: int) -> DataFrame:
-    """Blocks of (token, place of its set in the block, position), dealt by token; each set once in a task."""
-    def block(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        token = np.concatenate([h[2] for h in held])
-        size = np.array([len(h[2]) for h in held])
-        of = np.repeat(np.arange(len(held)), size)
-        pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
-        bucket = _mixed(token.view(np.uint64)) % np.uint64(buckets)
-        order = np.lexsort((token, bucket))
-        found, first = np.unique(bucket[order], return_index=True)
-        names, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-        rows = []
-        for b, lo, hi in zip(found, first, np.append(first[1:], len(order)), strict=True):
-            o = order[lo:hi]
-            own, place = np.unique(of[o], return_inverse=True)
-            raw = [token[o], place.astype("u4"), pos[o].astype("u4"), names[own], sizes[own].astype("u4")]
-            data = zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in raw))
-            rows.append((int(b), len(o), data))
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        kinds = (pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "size", "data"])
+    """Blocks of the sets' prefixes, dealt by token; each set once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_token = np.argsort(hot)
@@ -230,71 +252,87 @@ def postings(docs: DataFrame, hot: np.ndarray, buckets: int, shingle: int, perce
                 held.append((node, len(s), prefix(s.view(np.int64), by_token, ordered, percent)))
                 size += len(held[-1][2])
                 if size >= BLOCK_TOKENS:
-                    yield block(held)
+                    yield _blocks(held, buckets)
                     held, size = [], 0
                     if len(seen) > 1_000_000:  # a set sent twice is met again in its lists
                         seen.clear()
         if held:
-            yield block(held)
+            yield _blocks(held, buckets)
 
     return docs.select("text").mapInArrow(run, "bucket int, size int, data binary")
 
 
-def lists(blocks: DataFrame, percent: int) -> DataFrame:
-    """(token, n, pos, node, lead, lead_n, lead_pos) of every list of two sets or more.
-
-    The lead of a block of a list is the least set that all of the block may link with.
-    """
+def lists(blocks: DataFrame) -> DataFrame:
+    """(token, n, pos, node) of every list of two sets or more."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = []
-        for size, data in zip(table.column("size").to_pylist(), table.column("data").to_pylist(), strict=True):
-            raw = zstandard.ZstdDecompressor().decompress(data)
-            token = np.frombuffer(raw[: 8 * size], np.int64)
-            place, pos = np.frombuffer(raw[8 * size : 16 * size], "u4").reshape(2, size)
-            rest = raw[16 * size :]
-            own = len(rest) // 12
-            names, sizes = np.frombuffer(rest[: 8 * own], np.int64), np.frombuffer(rest[8 * own :], "u4")
-            parts.append((token, sizes[place].astype(np.int32), pos.astype(np.int32), names[place]))
-        token, n, pos, node = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        order = np.lexsort((node, pos, n, token))
+        token, n, pos, node = _entries(table)
+        order = np.lexsort((node, token))
         token, n, pos, node = token[order], n[order], pos[order], node[order]
         again = np.append(False, (token[1:] == token[:-1]) & (node[1:] == node[:-1]))
         token, n, pos, node = token[~again], n[~again], pos[~again], node[~again]
         begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         count = np.diff(np.append(begin, len(token)))
-        lead = np.repeat(begin, count)
-        for b, k in zip(begin, count, strict=True):
-            if k > 1 and _kept(int(n[b + k - 1]), percent) > n[b]:
-                first = b
-                for i in range(b, b + k):
-                    if _kept(int(n[i]), percent) > n[first]:
-                        first = i
-                    lead[i] = first
         many = np.repeat(count > 1, count)
-        out = {"token": token, "n": n, "pos": pos, "node": node, "lead": node[lead], "lead_n": n[lead], "lead_pos": pos[lead]}
-        return pa.table({k: v[many] for k, v in out.items()})
+        return pa.table({k: v[many] for k, v in {"token": token, "n": n, "pos": pos, "node": node}.items()})
+
+    return blocks.groupBy("bucket").applyInArrow(run, "token long, n int, pos int, node long")
 
-    kind = "token long, n int, pos int, node long, lead long, lead_n int, lead_pos int"
-    return blocks.groupBy("bucket").applyInArrow(run, kind)
+
+def shared_tokens(whole: DataFrame, buckets: int) -> DataFrame:
+    """(node, shared): tokens of each set that other sets have too; at least as many, see :func:`_blocks`."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            column = batch.column("tokens")
+            flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            for node, a, b in zip(batch.column("node").to_pylist(), offsets, offsets[1:], strict=False):
+                held.append((node, b - a, flat[a:b]))
+                size += b - a
+                if size >= BLOCK_TOKENS:
+                    yield _blocks(held, buckets)
+                    held, size = [], 0
+        if held:
+            yield _blocks(held, buckets)
+
+    def count(table: pa.Table) -> pa.Table:
+        token, _, _, node = _entries(table)
+        order = np.argsort(token)
+        t = token[order]
+        same = t[1:] == t[:-1]
+        many = np.append(same, False) | np.append(False, same)
+        names, times = np.unique(node[order[many]], return_counts=True)
+        return pa.table({"node": names, "shared": times})
+
+    blocks = whole.select("node", "tokens").mapInArrow(cut, "bucket int, size int, data binary")
+    counts = blocks.groupBy("bucket").applyInArrow(count, "node long, shared long")
+    return counts.groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
 #: Rounds that link components along chains, one pair for each set, before all open pairs are taken.
 CHAIN_ROUNDS = 2
-#: Bits of the filter that picks the documents whose sets are compared; when it fills up it lets more through.
-FILTER_BITS = 1 << 25
+#: Bits of the filter that picks documents by id, and bits for each id; more ids than fit are picked by a join.
+FILTER_BITS, BITS_EACH = 1 << 25, 8
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(node, tokens) of the documents whose doc_id is in ids, and of a few others that the filter lets through.
+def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, tokens), once for each of nodes (node, first_id), from the text of its first document.
 
-    The filter is a bitmap of fixed size, so neither texts nor ids travel.
+    A bitmap of ids of fixed size drops the other texts before they are read as words; beyond
+    its size the ids are joined with the documents instead.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.select(bit.alias("bit")).selectExpr("bit div 32 AS word", "shiftleft(1L, cast(bit % 32 AS int)) AS mask")
-    held = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most FILTER_BITS / 32 rows
-    bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
-    bitmap[held["word"].to_numpy(np.int64)] = held["mask"].to_numpy(np.int64)
+    bitmap = np.full(FILTER_BITS // 32, 0xFFFFFFFF, np.uint32)
+    if nodes.count() * BITS_EACH <= FILTER_BITS:
+        words = nodes.select(F.pmod(F.xxhash64("first_id"), F.lit(FILTER_BITS)).alias("bit"))
+        words = words.selectExpr("bit div 32 AS word", "shiftleft(1L, cast(bit % 32 AS int)) AS mask")
+        held = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most FILTER_BITS / 32 rows
+        bitmap[:] = 0
+        bitmap[held["word"].to_numpy(np.int64)] = held["mask"].to_numpy(np.int64)
+    else:
+        rows = rows.join(nodes, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,8 +345,8 @@ def whole_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
             flat = pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("text", bit.alias("bit"))
-    return rows.mapInArrow(run, "node long, tokens array<long>")
+    found = rows.select("text", bit.alias("bit")).mapInArrow(run, "node long, tokens array<long>")
+    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
 
 
 def _lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -334,10 +372,38 @@ def _lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict
         yield {c: np.concatenate([h[c] for h in held]) for c in names}
 
 
+def _leads(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set of a list with its lead there: the set with fewest tokens of its own, or the least, within reach of its size."""
+    names = ["token", "n", "pos", "node", "s"]
+    for c in _lists(batches, names):
+        token, n, pos, node, s = (c[x].astype(np.int64) for x in names)
+        begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        lead = np.arange(len(token))
+        for b, e in zip(begin, np.append(begin[1:], len(token)), strict=True):
+            if e - b < 2:
+                continue
+            centre = b + int(np.lexsort((node[b:e], n[b:e] - s[b:e]))[0])
+            near = _kept(np.maximum(n[b:e], n[centre]), percent) <= np.minimum(n[b:e], n[centre])
+            lead[b:e][near] = centre
+            first = b
+            for i in b + np.flatnonzero(~near):
+                if _kept(int(n[i]), percent) > n[first]:
+                    first = i
+                lead[i] = first
+        use = np.flatnonzero(lead != np.arange(len(token)))
+        lead = lead[use]
+        need = _need(n[use], n[lead], percent)
+        spare = votes_needed(np.minimum(n[use], n[lead])) - need
+        early = (pos[use] < n[use] + spare) & (pos[lead] < n[lead] + spare) & (np.minimum(s[use], s[lead]) >= need)
+        use, lead = use[early], lead[early]
+        cols = [node[use], node[lead], n[use], n[lead]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["u", "v", "u_n", "v_n"])
+
+
 def _chains(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v): within each list, the first set of each component with the first set of the next one."""
-    for c in _lists(batches, ["token", "n", "pos", "node", "root"]):
-        token, n, root, node = c["token"], c["n"].astype(np.int64), c["root"], c["node"]
+    for c in _lists(batches, ["token", "n", "pos", "node", "s", "root"]):
+        token, n, s, root, node = c["token"], c["n"].astype(np.int64), c["s"], c["root"], c["node"]
         begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         found = []
         for b, e in zip(begin, np.append(begin[1:], len(token)), strict=True):
@@ -346,15 +412,15 @@ def _chains(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
                 found.append(np.stack((firsts[1:], firsts[:-1])))
         if found:
             later, earlier = np.concatenate(found, axis=1)
-            near = _kept(n[later], percent) <= n[earlier]
+            near = (_kept(n[later], percent) <= n[earlier]) & (np.minimum(s[later], s[earlier]) >= _need(n[later], n[earlier], percent))
             yield pa.RecordBatch.from_arrays([pa.array(node[later[near]]), pa.array(node[earlier[near]])], ["u", "v"])
 
 
 def _pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, u_n, v_n, votes, sure): pairs of different components that sizes, positions and leads leave open."""
-    names = ["token", "n", "pos", "node", "root", "lead", "shared", "lead_n"]
+    """(u, v, u_n, v_n, votes, sure): pairs of different components that sizes, positions, shared tokens and leads leave open."""
+    names = ["token", "n", "pos", "node", "s", "root", "lead", "shared", "lead_n"]
     for c in _lists(batches, names):
-        token, n, pos, root, node = c["token"], c["n"].astype(np.int64), c["pos"].astype(np.int64), c["root"], c["node"]
+        token, n, pos, s, root, node = c["token"], c["n"].astype(np.int64), c["pos"].astype(np.int64), c["s"], c["root"], c["node"]
         begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         end = np.append(begin[1:], len(token))
         found: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -363,32 +429,33 @@ def _pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                 continue
             sizes, firsts = np.unique(n[b:e], return_index=True)
             blocks = list(zip(sizes.tolist(), (b + firsts).tolist(), np.append(b + firsts[1:], e).tolist(), strict=True))
-            for i in range(b, e):
-                size_i, pos_i = int(n[i]), int(pos[i])
-                for size, lo, hi in blocks:
-                    if size < size_i:
-                        continue
-                    if _kept(size, percent) > size_i:
+            for k, (small, a_lo, a_hi) in enumerate(blocks):
+                for large, b_lo, b_hi in blocks[k:]:
+                    if _kept(large, percent) > small:
                         break
-                    need = _need(size_i, size, percent)
-                    spare = votes_needed(size_i) - need
-                    if pos_i >= size_i + spare:
+                    # between two blocks the least overlap is one number; sets that share fewer tokens are skipped
+                    need = _need(small, large, percent)
+                    spare = votes_needed(small) - need
+                    left = a_lo + np.flatnonzero((s[a_lo:a_hi] >= need) & (pos[a_lo:a_hi] < small + spare))
+                    right = b_lo + np.flatnonzero((s[b_lo:b_hi] >= need) & (pos[b_lo:b_hi] < large + spare))
+                    if not len(left) or not len(right):
                         continue
-                    lo = max(lo, i + 1)
+                    at = pos[right]
                     # before and behind these positions the token says nothing: both ends of the block are skipped
-                    block = pos[lo:hi]
-                    hi = lo + int(np.searchsorted(block, min(size + spare, pos_i + size - need + 1), side="left"))
-                    lo += int(np.searchsorted(block, pos_i - size_i + need, side="left"))
-                    j = lo + np.flatnonzero(root[lo:hi] != root[i])
-                    if not len(j):
-                        continue
-                    same = c["lead"][j] == c["lead"][i]
-                    a, o = int(c["shared"][i]), c["shared"][j].astype(np.int64)
-                    low = np.where(same, a + o - int(c["lead_n"][i]), -1)
-                    high = np.where(same, np.minimum(a, o) + np.minimum(size_i - a, size - o), size_i)
-                    j, low = j[high >= need], low[high >= need]
-                    for x, v in zip(found, (np.full(len(j), node[i]), node[j], np.full(len(j), size_i), np.full(len(j), size), low >= need), strict=True):
-                        x.append(v)
+                    lows = np.searchsorted(at, pos[left] - small + need, side="left")
+                    highs = np.searchsorted(at, pos[left] + large - need, side="right")
+                    for i, lo, hi in zip(left, lows, highs, strict=True):
+                        j = right[lo:hi]
+                        j = j[(j > i) & (root[j] != root[i])]
+                        if not len(j):
+                            continue
+                        same = c["lead"][j] == c["lead"][i]
+                        a, o = int(c["shared"][i]), c["shared"][j].astype(np.int64)
+                        low = np.where(same, a + o - int(c["lead_n"][i]), -1)
+                        high = np.where(same, np.minimum(a, o) + np.minimum(s[i] - a, s[j] - o), small)
+                        j, low = j[high >= need], low[high >= need]
+                        for x, v in zip(found, (np.full(len(j), node[i]), node[j], np.full(len(j), small), np.full(len(j), large), low >= need), strict=True):
+                            x.append(v)
         if found[0]:
             u, v, un, vn, sure = (np.concatenate(x) for x in found)
             swap = u > v
@@ -398,13 +465,11 @@ def _pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["u", "v", "u_n", "v_n", "votes", "sure"])
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(u, v, shared, u_n, v_n): tokens in both sets, from the text of one document of each."""
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    whole = stored(whole_sets(docs, nodes.join(ends, "node", "left_semi").select(F.col("first_id").alias("doc_id")), shingle))
+def _compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(u, v, shared, u_n, v_n): tokens in both sets."""
     a = whole.select(F.col("node").alias("u"), F.col("tokens").alias("_a"))
     b = whole.select(F.col("node").alias("v"), F.col("tokens").alias("_b"))
-    both = pairs.join(a, "u").join(b, "v")
+    both = pairs.select("u", "v").join(a, "u").join(b, "v")
     return both.select(
         "u",
         "v",
@@ -432,51 +497,54 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     parts = shuffle_partitions(docs.sparkSession)
     rows = stored(nodes_of(docs, shingle))
     filled = rows.filter(F.col("n") > 0)
-    nodes = filled.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    entries = stored(lists(postings(docs, hot_tokens(docs, shingle), 2 * parts, shingle, percent), percent))
-    enough = lambda a, b: 1 + F.floor(F.least(a, b) * 3 / 100)  # noqa: E731  votes_needed
+    nodes = filled.groupBy("node", "n").agg(F.min("doc_id").alias("first_id"))
+    entries = stored(lists(postings(docs, hot_tokens(docs, shingle), 2 * parts, shingle, percent)))
+    enough = lambda n: 1 + F.floor(n * 3 / 100)  # noqa: E731  votes_needed
+    kept = F.ceil(F.col("n") * percent / 100)
+
+    # sets that could have an answer: enough entries in lists, then enough tokens that are in other such sets
+    met = entries.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("votes"))
+    met = met.filter(F.col("votes") >= enough(kept)).select("node")
+    whole = stored(whole_sets(docs, nodes.join(met, "node", "left_semi").select("node", "first_id"), shingle))
+    alive = whole.select("node", F.size("tokens").alias("n")).join(shared_tokens(whole, 2 * parts), "node")
+    alive = stored(alive.filter(F.col("shared") >= kept).select("node", F.col("shared").alias("s")))
+    entries = stored(entries.join(alive, "node"))
+    in_lists = lambda df: df.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "node")
 
     # one lead for each set, the one with most prefix tokens in common
-    need = F.ceil((F.col("n") + F.col("lead_n")) * percent / (100 + percent))
-    spare = enough(F.col("n"), F.col("lead_n")) - need
-    early = (F.col("pos") < F.col("n") + spare) & (F.col("lead_pos") < F.col("lead_n") + spare)
-    stars = entries.filter((F.col("node") != F.col("lead")) & early).groupBy("node", "lead", "n", "lead_n")
-    stars = stars.agg(F.count("*").alias("votes"), F.min("pos").alias("pos"), F.min("lead_pos").alias("lead_pos"))
-    near = F.least(F.col("n") - F.col("pos"), F.col("lead_n") - F.col("lead_pos")) >= need
-    stars = stars.filter(near & (F.col("votes") >= enough(F.col("n"), F.col("lead_n"))))
-    chosen = stars.groupBy("node").agg(F.max(F.struct("votes", "lead")).alias("m"))
-    chosen = stored(chosen.select(F.col("node").alias("u"), F.col("m.lead").alias("v")))
-    first = stored(_compared(chosen, docs, nodes, shingle))
+    stars = in_lists(entries).mapInArrow(partial(_leads, percent), "u long, v long, u_n long, v_n long")
+    stars = stars.groupBy("u", "v", "u_n", "v_n").agg(F.count("*").alias("votes"))
+    stars = stars.filter(F.col("votes") >= enough(F.least("u_n", "v_n")))
+    chosen = stored(stars.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("m")).select("u", F.col("m.v").alias("v")))
+    first = stored(_compared(chosen, whole))
     links = first.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"), percent)).select("u", "v")
     roots = stored(components(links))
     for _ in range(CHAIN_ROUNDS):
-        mixed = entries.select("token", "n", "pos", "node").join(roots, "node", "left")
-        mixed = mixed.withColumn("root", F.coalesce("root", "node")).repartition(parts, "token")
-        chains = mixed.sortWithinPartitions("token", "n", "pos", "node").mapInArrow(partial(_chains, percent), "u long, v long")
+        mixed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        chains = in_lists(mixed).mapInArrow(partial(_chains, percent), "u long, v long")
         votes = chains.groupBy("u", "v").agg(F.count("*").alias("votes"))
         best = votes.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("m"))
-        tried = _compared(stored(best.select("u", F.col("m.v").alias("v"))), docs, nodes, shingle)
-        more = tried.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"), percent)).select("u", "v")
+        tried = _compared(stored(best.select("u", F.col("m.v").alias("v"))), whole)
+        more = stored(tried.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"), percent)).select("u", "v"))
+        if more.isEmpty():
+            break
         links = stored(links.unionByName(more))
         roots = stored(components(links))
 
     known = first.select(F.col("u").alias("node"), F.col("v").alias("lead"), "shared", F.col("v_n").alias("lead_n"))
-    open_ = entries.select("token", "n", "pos", "node").join(roots, "node", "left").join(known, "node", "left")
-    open_ = open_.select(
-        "token",
-        "n",
-        "pos",
-        "node",
-        F.coalesce("root", "node").alias("root"),
-        F.coalesce("lead", "node").alias("lead"),
-        F.coalesce("shared", "n").alias("shared"),
-        F.coalesce("lead_n", "n").alias("lead_n"),
+    open_ = entries.join(roots, "node", "left").join(known, "node", "left")
+    open_ = open_.withColumns(
+        {
+            "root": F.coalesce("root", "node"),
+            "lead": F.coalesce("lead", "node"),
+            "shared": F.coalesce("shared", "n"),
+            "lead_n": F.coalesce("lead_n", "n"),
+        }
     )
-    open_ = open_.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "node")
-    pairs = open_.mapInArrow(partial(_pairs, percent), "u long, v long, u_n long, v_n long, votes long, sure boolean")
+    pairs = in_lists(open_).mapInArrow(partial(_pairs, percent), "u long, v long, u_n long, v_n long, votes long, sure boolean")
     pairs = pairs.groupBy("u", "v", "u_n", "v_n").agg(F.max("sure").alias("sure"), F.sum("votes").alias("votes"))
-    pairs = stored(pairs.filter(F.col("sure") | (F.col("votes") >= enough(F.col("u_n"), F.col("v_n")))))
-    checked = _compared(pairs.filter(~F.col("sure")).select("u", "v"), docs, nodes, shingle)
+    pairs = stored(pairs.filter(F.col("sure") | (F.col("votes") >= enough(F.least("u_n", "v_n")))))
+    checked = _compared(pairs.filter(~F.col("sure")), whole)
     more = checked.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"), percent)).select("u", "v")
     links = stored(links.unionByName(pairs.filter("sure").select("u", "v")).unionByName(more))
     roots = components(links)
