@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
+from decimal import Decimal
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from signalforge.llm.common import numbered, shuffle_partitions, stored
 
 SHARDS, OVERHEAD = 40, 16
-#: Ranges whose sums the driver holds at most, and how often they are split at most.
-BLOCKS, ROUNDS = 50_000, 40
+#: Ranges whose sums the driver holds at most.
+BLOCKS = 50_000
+#: Rows without an id are ordered by their texts' digests, in so many places before all ids.
+UNNAMED = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -36,15 +39,29 @@ class Block:
     groups: int
 
 
-def group_sizes(docs: DataFrame) -> DataFrame:
-    """(key, digest, size): groups of equal texts under their least doc_id, with the sum of their rows' sizes."""
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, digest, size, text_crc32, at) for every row; texts are read here only. at tells rows apart."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
-        F.coalesce("doc_id", F.lit(-(2**62))).cast("long").alias("id"),
-        F.sha2(text, 256).alias("digest"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.unhex(F.md5(text.cast("binary"))).alias("digest"),
         (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.monotonically_increasing_id().alias("at"),
     )
-    return rows.groupBy("digest").agg(F.min("id").alias("key"), F.sum("size").alias("size"))
+    unnamed = F.lit(-(2**63)) + F.pmod(F.xxhash64("digest"), F.lit(UNNAMED))
+    return rows.withColumn("key", F.coalesce("doc_id", unnamed))
+
+
+def group_sizes(rows: DataFrame) -> DataFrame:
+    """(digest, key, size): groups of equal texts under their least key, with the sum of their rows' sizes."""
+    return rows.groupBy("digest").agg(F.min("key").alias("key"), F.sum("size").alias("size"))
+
+
+def _quotient(key: str, origin: Column, width: Column) -> Column:
+    """Whole widths between origin and key; in decimals, as ids may lie further apart than longs reach."""
+    wide = "decimal(20,0)"
+    return F.floor((F.col(key).cast(wide) - origin.cast(wide)) / width.cast(wide)).cast("long")
 
 
 def _sums(groups: DataFrame, blocks: list[tuple[int, int]], pieces: int, base: tuple[int, int]) -> list[Block]:
@@ -54,11 +71,11 @@ def _sums(groups: DataFrame, blocks: list[tuple[int, int]], pieces: int, base: t
     key finds its block by that range's number. At most ``BLOCKS`` blocks.
     """
     origin, width = base
-    spans = [((a - origin) // width, a, b, -(-(b - a + 1) // pieces)) for a, b in blocks]
-    table = groups.sparkSession.createDataFrame(spans, "range long, a long, b long, w long")
-    rows = groups.withColumn("range", F.expr(f"(key - ({origin}L)) div {width}L")).join(F.broadcast(table), "range")
+    spans = [((a - origin) // width, a, b, Decimal(-(-(b - a + 1) // pieces))) for a, b in blocks]
+    table = groups.sparkSession.createDataFrame(spans, "range long, a long, b long, w decimal(20,0)")
+    rows = groups.withColumn("range", _quotient("key", F.lit(Decimal(origin)), F.lit(Decimal(width)))).join(F.broadcast(table), "range")
     rows = rows.filter(F.col("key").between(F.col("a"), F.col("b")))
-    piece = F.expr("(key - a) div w")
+    piece = _quotient("key", F.col("a"), F.col("w"))
     found = rows.groupBy("a", piece.alias("piece")).agg(
         F.min("key").alias("first"),
         F.max("key").alias("last"),
@@ -146,7 +163,7 @@ class _Line:
 
 
 def plan(groups: DataFrame) -> tuple[list[int], int]:
-    """(keys at which a shard after the first begins, capacity); at most ``SHARDS`` - 1 keys."""
+    """(keys at which a shard after the first begins, capacity); at most ``SHARDS`` - 1 keys. Keys differ."""
     ends = groups.agg(F.min("key").alias("a"), F.max("key").alias("b")).first()
     if ends["a"] is None:
         return [], 0
@@ -154,7 +171,7 @@ def plan(groups: DataFrame) -> tuple[list[int], int]:
     line = _Line(_sums(groups, [(ends["a"], ends["b"])], BLOCKS, (ends["a"], span)))
     base = (ends["a"], -(-span // BLOCKS))
     floor = max(-(-line.total // SHARDS), max(b.largest for b in line.blocks))
-    for _ in range(ROUNDS):
+    while True:  # each round splits every open block
         low = line.least(floor, line.total, True)
         high = line.least(low, line.total, False)
         if low == high:
@@ -173,25 +190,20 @@ def plan(groups: DataFrame) -> tuple[list[int], int]:
 def shard(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
-    Input: doc_id, text (other columns are ignored). Null text has no bytes; a null doc_id
-    sorts first. Repeated rows are rows of one group. Groups stay whole, so a group larger than
-    a fair share sets the capacity. Shards beyond the last cut stay empty when there are fewer
+    Input: doc_id, text (other columns are ignored). Null text has no bytes. Rows without an id
+    come first, by their texts. Repeated rows are rows of one group; different texts with one
+    least doc_id stay together too. Groups stay whole, so a group larger than a fair share sets
+    the capacity. Shards beyond the last cut stay empty when there are fewer
     groups than shards. An empty table gives an empty result.
     """
-    groups = stored(group_sizes(docs))
-    begins, _ = plan(groups)
+    rows = stored(sized(docs))
+    groups = stored(group_sizes(rows))
+    begins, _ = plan(stored(groups.groupBy("key").agg(F.sum("size").alias("size"))))
     number = F.lit(0)
     for key in begins:
         number = number + (F.col("key") >= key).cast("int")
-    placed = groups.select(F.col("digest").alias("_digest"), number.cast("int").alias("shard"))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        "doc_id",
-        F.sha2(text, 256).alias("digest"),
-        (F.octet_length(text) + OVERHEAD).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    )
-    rows = rows.join(placed, F.col("digest") == F.col("_digest")).drop("_digest")
-    rows = numbered(stored(rows), ["shard"], ["doc_id", "digest"], "slot", 4 * shuffle_partitions(docs.sparkSession))
+    placed = groups.select("digest", number.cast("int").alias("shard"))
+    rows = rows.drop("key").join(placed, "digest")
+    rows = numbered(rows, ["shard"], ["doc_id", "digest", "at"], "slot", 4 * shuffle_partitions(docs.sparkSession))
     null: Column = F.lit(None).cast("int")
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", null.alias("grown_shard"))

@@ -164,6 +164,17 @@ def test_sharding_is_minimax(docs, monkeypatch):
     assert len(found) == len(corpus())
 
 
+def test_sharding_of_odd_ids(spark, monkeypatch):
+    """Null ids, the least and the greatest id, one id with two texts, and repeated rows."""
+    monkeypatch.setattr(sharding, "BLOCKS", 4)
+    rows = [(None, f"t{i}") for i in range(30)] + [(None, "t0")] * 20 + [(-(2**63), "low"), (2**63 - 1, "high"), (5, "a"), (5, "b"), (6, None), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sharding.shard(docs).toPandas()
+    assert len(found) == len(rows) and found.groupby("text_crc32").shard.nunique().max() == 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in found.groupby("shard"))
+    assert found.groupby("shard")["size"].sum().max() == 21 * 18
+
+
 def test_sharding_of_nothing(nothing):
     assert sharding.shard(nothing).count() == 0
 
