@@ -241,17 +241,37 @@ def test_warc_records_are_linked(spark):
 # -- byte-level BPE -----------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(64, 16), (300, 80), (32768, 1024)])
-def test_chunked_encoding_equals_whole(docs, chunk, overlap):
+def library():
     tokens = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokens.encode_special_tokens = True
-    found = bpe.encode_documents(docs, RANKS, public_tokenizers.PATTERN, chunk, overlap)
+    tokens.encode_special_tokens = True  # this contract is of ranks only: added tokens are ordinary text
+    return tokens
+
+
+@pytest.mark.parametrize("sizes", [(64, 16, 300, 80), (300, 80, 700, 60), (bpe.CHUNK, bpe.OVERLAP, bpe.SPREAD, bpe.SPREAD_OVERLAP)])
+def test_chunked_encoding_equals_whole(spark, docs, sizes):
+    tokens = library()
+    breaks = [("ab " * 20000)[: k - 2] + "\n\n" + "cd " * 1000 for k in (bpe.SPREAD, bpe.CHUNK, 300, 64)]
+    breaks += ["x \n\t  " * 30, " " * 900, "a" * 2000, "'s" * 200, "don't 12 " * 90]
+    more = [(1000 + i, t) for i, t in enumerate(breaks)] + [(None, breaks[0]), (None, None), (-(2**63), breaks[1])]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    found = bpe.encode_documents(both, RANKS, public_tokenizers.PATTERN, *sizes)
 
     def want(t):
         ids = tokens.encode(t or "", add_special_tokens=False).ids
         return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
 
-    assert rows_of(found) == sorted((i, *want(t)) for i, t in corpus())
+    assert Counter(map(tuple, found.collect())) == Counter((i, *want(t)) for i, t in [*corpus(), *more])
+
+
+def test_stitching_of_drawn_texts():
+    """Runs of line feeds, tabs and spaces lie over the cuts."""
+    enc, r = bpe.encoder(RANKS, public_tokenizers.PATTERN), rnd(6)
+    parts = ["ab", "c", " ", "  ", "\n", "\n\n", "\t", " \n ", "1", "23", "'s", "'", ",.", "é", "\u3000", "\xa0", "x" * 9]
+    differ = 0
+    for _ in range(20000):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 40)))
+        differ += enc.encode_chunked(t, r.randint(3, 20), r.randint(1, 8)) != enc.encode(t)
+    assert differ == 0
 
 
 def test_pretokens_agree_with_the_library():
