@@ -3,9 +3,11 @@
 Pieces have at most ``CAPACITY`` lengths, so the histogram of lengths is all that packing
 needs. The program's variables are configurations, multisets of lengths that fit one sequence;
 it asks for the fewest sequences that hold every piece. Multiplicative weights solve it: each
-round prices lengths by how little of them is covered, a knapsack dynamic program finds the
-most valuable configuration, and its share is raised. The shares are rounded down to whole
-sequences; what is left is packed best fit, longest first, over the histogram.
+round prices lengths by their size and by how much of them is covered, a knapsack dynamic
+program finds the most valuable configuration and the best one with each length, and the shares
+of those near the best are raised. Any prices bound the number of sequences from below, so the
+gap is known. Shares are rounded to whole sequences while pieces last, what is left is solved
+and rounded again, and the last few pieces are packed best fit.
 
 The plan says which ranks of each length go to which sequence, and pieces find their place by
 rank, wherever they are stored.
@@ -14,6 +16,7 @@ rank, wherever they are stored.
 from __future__ import annotations
 
 import json
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -29,8 +32,10 @@ from signalforge.llm.bpe import Encoder, encoder
 from signalforge.llm.common import numbered, shuffle_partitions, stored
 
 CAPACITY, END_ID = 1024, 2
-#: Rounds of multiplicative weights.
-ROUNDS = 300
+#: Gap at which the program counts as solved, its rounds at most (the rest is solved anew), and pieces left to best fit.
+GAP, ROUNDS, REST = 0.01, 200, 100
+#: How fast prices fall with coverage, what counts as near the best, and what breaks ties among prices.
+RATE, NEAR, NOISE = 4.0, 0.1, 0.0005
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -68,8 +73,8 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, added: dict[str, i
         close = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = encoded(enc, text) + close
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = encoded(enc, text.as_py()) + close
                 at = 0
                 for k, n in enumerate(cut(len(ids) // 4)):
                     for x, v in zip(out, (doc_id, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])), strict=True):
@@ -83,44 +88,68 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str, added: dict[str, i
     return rows.mapInArrow(run, PIECES)
 
 
-def best_configuration(values: np.ndarray) -> np.ndarray:
-    """Counts of each length in the most valuable configuration; values[s] is that of length s (0: none)."""
-    best = np.zeros(CAPACITY + 1)
-    took = np.zeros(CAPACITY + 1, int)
+Configuration = tuple[tuple[int, int], ...]
+
+
+def knapsack(lengths: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best value, a length in it or 0) for each capacity; lengths ascend and may repeat in a configuration."""
+    best, took = np.zeros(CAPACITY + 1), np.zeros(CAPACITY + 1, int)
+    fitting = np.searchsorted(lengths, np.arange(CAPACITY + 1), side="right")
     for c in range(1, CAPACITY + 1):
-        gains = values[1 : c + 1] + best[c - 1 :: -1][:c]
-        s = int(np.argmax(gains))
-        best[c], took[c] = gains[s], s + 1
-    counts = np.zeros(CAPACITY + 1, int)
-    c = CAPACITY
+        gains = best[c - lengths[: fitting[c]]] + values[: fitting[c]]
+        i = int(np.argmax(gains)) if len(gains) else -1
+        if i >= 0 and gains[i] > best[c - 1]:
+            best[c], took[c] = gains[i], lengths[i]
+        else:
+            best[c] = best[c - 1]
+    return best, took
+
+
+def configuration(first: int, took: np.ndarray) -> Configuration:
+    """(length, how many) of the best configuration that holds ``first``, longest first."""
+    counts, c = {first: 1}, CAPACITY - first
     while c > 0:
-        if values[took[c]] > 0:
-            counts[took[c]] += 1
-        c -= took[c]
-    return counts
-
-
-def fractional(histogram: np.ndarray) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use each, covering every length about evenly."""
-    need = histogram.astype(float)
-    held = need > 0
-    covered = np.zeros(CAPACITY + 1)
-    shares: dict[bytes, list] = {}
-    for _ in range(ROUNDS):
-        ratio = np.where(held, covered / np.maximum(need, 1), np.inf)
-        if ratio.min() >= 1:
+        s = int(took[c])
+        if s:
+            counts[s] = counts.get(s, 0) + 1
+        c -= s or 1
+    return tuple(sorted(counts.items(), reverse=True))
+
+
+def fractional(histogram: np.ndarray) -> tuple[dict[Configuration, float], float]:
+    """Shares of configurations that cover every length, and a lower bound on the sequences needed."""
+    lengths = np.flatnonzero(histogram)
+    need = histogram[lengths].astype(float)
+    where = np.zeros(CAPACITY + 1, int)
+    where[lengths] = np.arange(len(lengths))
+    ratio = np.zeros(len(lengths))
+    shares: dict[Configuration, float] = defaultdict(float)
+    bound, noise = 0.0, np.random.default_rng(0)
+    for k in range(ROUNDS):
+        values = lengths / CAPACITY * np.exp(-RATE * (ratio - ratio.min()))
+        if k:
+            values *= 1 + NOISE * noise.random(len(lengths))
+        best, took = knapsack(lengths, values)
+        bound = max(bound, float(need @ values / best[CAPACITY]))
+        if ratio.min() > 0 and sum(shares.values()) / ratio.min() <= (1 + GAP) * bound:
             break
-        weight = np.where(held & (ratio < 1), np.exp(-8.0 * (ratio - ratio.min())) / np.maximum(need, 1), 0.0)
-        # lengths weigh by their tokens too, so that ties are broken towards full sequences
-        sizes = np.arange(CAPACITY + 1)
-        pattern = best_configuration(weight * need.clip(1) * sizes)
-        used = pattern > 0
-        if not used.any():
-            break
-        step = float(np.min(np.maximum(need[used] - covered[used], 0.02 * need[used]) / pattern[used]))
-        covered += step * pattern
-        shares.setdefault(pattern.tobytes(), [pattern, 0.0])[1] += step
-    return [(p, x) for p, x in shares.values()]
+        with_each = values + best[CAPACITY - lengths]
+        gained = np.zeros(len(lengths))
+        for i in np.argsort(-with_each, kind="stable"):
+            if with_each[i] < (1 - NEAR) * best[CAPACITY]:
+                break
+            if gained[i] >= NEAR:
+                continue
+            chosen = configuration(int(lengths[i]), took)
+            at, many = where[[s for s, _ in chosen]], np.array([n for _, n in chosen])
+            if (gained[at] >= 2 * NEAR).any():
+                continue
+            step = NEAR * float((need[at] / many).min())
+            shares[chosen] += step
+            gained[at] += step * many / need[at]
+            ratio[at] += step * many / need[at]
+    least = max(float(ratio.min()), 1e-9)
+    return {c: x / least for c, x in shares.items()}, bound
 
 
 @dataclass(frozen=True)
@@ -155,19 +184,21 @@ def best_fit(histogram: np.ndarray) -> list[Group]:
 
 
 def packed(histogram: np.ndarray) -> list[Group]:
-    """The fewest sequences found: the rounded program with best fit for the rest, or best fit alone."""
+    """The program's shares as whole sequences, solved again over what they leave; best fit for the last few pieces."""
     left = histogram.astype(int).copy()
     groups: list[Group] = []
-    plans = sorted(fractional(left), key=lambda p: -float(np.arange(CAPACITY + 1) @ p[0]))
-    for pattern, share in plans:
-        used = pattern > 0
-        n = int(min(np.floor(share + 1e-9), np.min(left[used] // pattern[used])))
-        if n > 0 and int(np.arange(CAPACITY + 1) @ pattern) >= 0.98 * CAPACITY:
-            groups.append(Group(tuple((int(s), int(pattern[s])) for s in np.flatnonzero(used)[::-1]), n))
-            left -= n * pattern
-    rounded = groups + best_fit(left)
-    plain = best_fit(histogram)
-    return min(rounded, plain, key=lambda found: sum(g.count for g in found))
+    while int(left.sum()) > REST:
+        before = int(left.sum())
+        shares, _ = fractional(left)
+        for chosen, share in sorted(shares.items(), key=lambda x: -x[1]):
+            n = min(math.ceil(share), *(int(left[s]) // many for s, many in chosen))
+            if n > 0:
+                groups.append(Group(chosen, n))
+                for s, many in chosen:
+                    left[s] -= n * many
+        if int(left.sum()) > 0.9 * before:  # no configuration of several lengths is left that fits what there is
+            break
+    return groups + best_fit(left)
 
 
 def slots(groups: list[Group]) -> dict[int, np.ndarray]:
@@ -188,15 +219,18 @@ def slots(groups: list[Group]) -> dict[int, np.ndarray]:
 def pack(pieces: DataFrame) -> DataFrame:
     """Add sequence_id and offset to every row of doc_id, piece, length (at most ``CAPACITY``).
 
-    Other columns stay. Repeated rows are pieces of their own. An empty table gives an empty result.
+    Other columns stay; columns named like the two, or with a leading underscore, go. Repeated
+    rows are pieces of their own. An empty table gives an empty result.
     """
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset") and not c.startswith("_")]
+    pieces = stored(pieces.select(*kept, F.monotonically_increasing_id().alias("_at")))
     counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most CAPACITY rows
     histogram = np.zeros(CAPACITY + 1, np.int64)
     for r in counts:
         histogram[r["length"]] = r["n"]
     plan = slots(packed(histogram))
-    ranked = numbered(pieces, ["length"], ["doc_id", "piece"], "_rank", 4 * shuffle_partitions(pieces.sparkSession))
-    names = [c for c in ranked.columns if c != "_rank"]
+    ranked = numbered(pieces, ["length"], ["doc_id", "piece", "_at"], "_rank", 4 * shuffle_partitions(pieces.sparkSession))
+    names = kept
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,10 +248,10 @@ def pack(pieces: DataFrame) -> DataFrame:
                 [*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"]
             )
 
-    kind = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, kind)
+    kind = pieces.select(kept).schema.add("sequence_id", "long").add("offset", "long")
+    return ranked.select(*kept, "_rank").mapInArrow(place, kind)
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, added: dict[str, int] | None = None) -> DataFrame:
     """Tokenise, cut and pack every document; see :func:`tokenised` and :func:`pack`."""
-    return pack(stored(tokenised(docs, ranks_path, pattern, added)))
+    return pack(tokenised(docs, ranks_path, pattern, added))

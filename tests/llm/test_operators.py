@@ -104,10 +104,12 @@ def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
     assert llm_queries.op1_best_fit_packing(spark, str(tmp_path)).first().length == 5
 
 
-def test_packing_is_near_the_bound():
+def test_packing_is_near_the_bound_of_its_program():
     r = np.random.default_rng(0)
-    for high in (1024, 400, 700):
-        histogram = np.bincount(r.integers(1, high, 4000), minlength=1025)
+    draws = [r.integers(1, high, 4000) for high in (1024, 400, 700)] + [r.choice([600, 500, 300], 400), r.choice([1024, 9], 50), np.array([5])]
+    draws += [np.concatenate((r.integers(500, 1025, 3000), np.minimum(1024, r.geometric(0.02, 20000))))]
+    for lengths in draws:
+        histogram = np.bincount(lengths, minlength=1025)
         groups = packing.packed(histogram)
         held = Counter()
         for g in groups:
@@ -115,21 +117,30 @@ def test_packing_is_near_the_bound():
             for s, n in g.pieces:
                 held[s] += n * g.count
         assert held == Counter({s: int(n) for s, n in enumerate(histogram) if n})
-        bound = max(-(-int(np.arange(1025) @ histogram) // 1024), int(histogram[513:].sum()))
-        assert sum(g.count for g in groups) <= bound * 1.01 + 2
+        shares, bound = packing.fractional(histogram)
+        covered = Counter()
+        for chosen, x in shares.items():
+            for s, n in chosen:
+                covered[s] += n * x
+        assert all(covered[s] >= n * (1 - 1e-6) for s, n in enumerate(histogram))
+        assert bound <= sum(shares.values()) + 1e-6
+        assert sum(g.count for g in groups) <= bound * 1.02 + 8
 
 
 def test_pricing_finds_the_best_configuration():
     r = np.random.default_rng(1)
-    values = np.zeros(1025)
-    values[r.integers(50, 600, 6)] = r.random(6)
-    best = packing.best_configuration(values)
-    assert int(np.arange(1025) @ best) <= 1024
-    sizes = np.flatnonzero(values)
+    sizes = np.unique(r.integers(50, 600, 6))
+    values = r.random(len(sizes))
+    best, took = packing.knapsack(sizes, values)
     dp = [0.0] * 1025
     for c in range(1, 1025):
-        dp[c] = max([dp[c - 1], *(dp[c - s] + values[s] for s in sizes if s <= c)])
-    assert values @ best == pytest.approx(dp[1024])
+        dp[c] = max([dp[c - 1], *(dp[c - s] + v for s, v in zip(sizes, values, strict=True) if s <= c)])
+    assert best == pytest.approx(dp)
+    worth = dict(zip(sizes.tolist(), values, strict=True))
+    for s in sizes.tolist():
+        chosen = packing.configuration(s, took)
+        assert sum(k * n for k, n in chosen) <= 1024
+        assert sum(worth[k] * n for k, n in chosen) == pytest.approx(worth[s] + dp[1024 - s])
 
 
 def test_packing_of_nothing(nothing):
