@@ -87,10 +87,10 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     if len(w) == 0:
         return w
     if len(w) < shingle:
-        x = np.uint64(len(w))
-        for i, h in enumerate(w):
-            x = x + h * _PLACES[i]
-        return _mixed(np.array([x], np.uint64))
+        x = np.array([len(w)], np.uint64)
+        for i in range(len(w)):
+            x += w[i : i + 1] * _PLACES[i]
+        return _mixed(x)
     n = len(w) - shingle + 1
     x = w[:n] * _PLACES[0]
     for i in range(1, shingle):
@@ -311,13 +311,15 @@ def shared_tokens(whole: DataFrame, buckets: int) -> DataFrame:
 
 
 #: Rounds that link components along chains, one pair for each set, before all open pairs are taken.
-CHAIN_ROUNDS = 2
+CHAIN_ROUNDS = 1
+#: Rows of ids that may be broadcast; more are joined by a shuffle.
+FEW = 200_000
 #: Bits of the filter that picks documents by id, and bits for each id; more ids than fit are picked by a join.
 FILTER_BITS, BITS_EACH = 1 << 25, 8
 
 
 def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, tokens), once for each of nodes (node, first_id), from the text of its first document.
+    """(node, tokens) for each of nodes (node, first_id), from the text of its first document; repeated rows repeat it.
 
     A bitmap of ids of fixed size drops the other texts before they are read as words; beyond
     its size the ids are joined with the documents instead.
@@ -325,7 +327,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     bitmap = np.full(FILTER_BITS // 32, 0xFFFFFFFF, np.uint32)
-    if nodes.count() * BITS_EACH <= FILTER_BITS:
+    if (many := nodes.count()) * BITS_EACH <= FILTER_BITS:
         words = nodes.select(F.pmod(F.xxhash64("first_id"), F.lit(FILTER_BITS)).alias("bit"))
         words = words.selectExpr("bit div 32 AS word", "shiftleft(1L, cast(bit % 32 AS int)) AS mask")
         held = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most FILTER_BITS / 32 rows
@@ -346,7 +348,12 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "tokens"])
 
     found = rows.select("text", bit.alias("bit")).mapInArrow(run, "node long, tokens array<long>")
-    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return found.join(_sent(nodes.select("node"), many), "node", "left_semi")
+
+
+def _sent(ids: DataFrame, many: int) -> DataFrame:
+    """ids, broadcast if they are few."""
+    return F.broadcast(ids) if many <= FEW else ids
 
 
 def _lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -466,10 +473,15 @@ def _pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """(u, v, shared, u_n, v_n): tokens in both sets."""
-    a = whole.select(F.col("node").alias("u"), F.col("tokens").alias("_a"))
-    b = whole.select(F.col("node").alias("v"), F.col("tokens").alias("_b"))
-    both = pairs.select("u", "v").join(a, "u").join(b, "v")
+    """(u, v, shared, u_n, v_n): tokens in both sets. Sets of no pair are left out before they are shuffled."""
+    pairs = stored(pairs.select("u", "v"))
+
+    def side(end: str, tokens: str) -> DataFrame:
+        ids = stored(pairs.select(F.col(end).alias("node")).distinct())
+        held = whole.join(_sent(ids, ids.count()), "node", "left_semi")
+        return held.select(F.col("node").alias(end), F.col("tokens").alias(tokens))
+
+    both = pairs.join(side("u", "_a"), "u").join(side("v", "_b"), "v")
     return both.select(
         "u",
         "v",
@@ -498,24 +510,32 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     rows = stored(nodes_of(docs, shingle))
     filled = rows.filter(F.col("n") > 0)
     nodes = filled.groupBy("node", "n").agg(F.min("doc_id").alias("first_id"))
-    entries = stored(lists(postings(docs, hot_tokens(docs, shingle), 2 * parts, shingle, percent)))
+    buckets = max(1, parts // 4)
+    entries = stored(lists(postings(docs, hot_tokens(docs, shingle), buckets, shingle, percent)))
     enough = lambda n: 1 + F.floor(n * 3 / 100)  # noqa: E731  votes_needed
     kept = F.ceil(F.col("n") * percent / 100)
 
     # sets that could have an answer: enough entries in lists, then enough tokens that are in other such sets
     met = entries.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("votes"))
     met = met.filter(F.col("votes") >= enough(kept)).select("node")
-    whole = stored(whole_sets(docs, nodes.join(met, "node", "left_semi").select("node", "first_id"), shingle))
-    alive = whole.select("node", F.size("tokens").alias("n")).join(shared_tokens(whole, 2 * parts), "node")
-    alive = stored(alive.filter(F.col("shared") >= kept).select("node", F.col("shared").alias("s")))
-    entries = stored(entries.join(alive, "node"))
+    found = stored(whole_sets(docs, stored(nodes.join(met, "node", "left_semi").select("node", "first_id")), shingle))
+    tokens = found.agg(F.sum(F.size("tokens")).alias("n")).first()["n"] or 0
+    alive = found.select("node", F.size("tokens").alias("n")).distinct()
+    alive = alive.join(shared_tokens(found, max(buckets, 1 + tokens // BLOCK_TOKENS)), "node")
+    alive = stored(alive.filter(F.col("shared") >= kept).select("node", F.col("shared").cast("int").alias("s")))
+    few = _sent(alive, alive.count())
+    whole = stored(found.join(few, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")))
+    entries = stored(entries.join(few, "node"))
     in_lists = lambda df: df.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "node")
 
-    # one lead for each set, the one with most prefix tokens in common
+    # one lead for each set: of those with enough prefix tokens in common, the one that most sets could have
     stars = in_lists(entries).mapInArrow(partial(_leads, percent), "u long, v long, u_n long, v_n long")
     stars = stars.groupBy("u", "v", "u_n", "v_n").agg(F.count("*").alias("votes"))
-    stars = stars.filter(F.col("votes") >= enough(F.least("u_n", "v_n")))
-    chosen = stored(stars.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("m")).select("u", F.col("m.v").alias("v")))
+    stars = stored(stars.filter(F.col("votes") >= enough(F.least("u_n", "v_n"))).select("u", "v", "votes"))
+    liked = stars.groupBy("v").agg(F.count("*").alias("liked"))
+    own = liked.select(F.col("v").alias("u"), F.col("liked").alias("own"))
+    chosen = stars.join(liked, "v").join(own, "u", "left").filter(F.coalesce("own", F.lit(0)) <= F.col("liked"))
+    chosen = chosen.groupBy("u").agg(F.max(F.struct("liked", "votes", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
     first = stored(_compared(chosen, whole))
     links = first.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"), percent)).select("u", "v")
     roots = stored(components(links))
@@ -524,7 +544,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
         chains = in_lists(mixed).mapInArrow(partial(_chains, percent), "u long, v long")
         votes = chains.groupBy("u", "v").agg(F.count("*").alias("votes"))
         best = votes.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("m"))
-        tried = _compared(stored(best.select("u", F.col("m.v").alias("v"))), whole)
+        tried = _compared(best.select("u", F.col("m.v").alias("v")), whole)
         more = stored(tried.filter(_linked(F.col("shared"), F.col("u_n"), F.col("v_n"), percent)).select("u", "v"))
         if more.isEmpty():
             break
