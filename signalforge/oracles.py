@@ -5,6 +5,7 @@ from __future__ import annotations
 from signalforge.config import Costs, Stats, Thresholds, TradeRules
 from signalforge.functions.geometry import BASE, LAGGED, LAGS
 from signalforge.operators.patterns import REGISTRY
+from signalforge.sources import showcase
 
 K = "symbol, interval, session"
 
@@ -24,7 +25,8 @@ RAW = """raw AS (
 )"""
 
 
-def bars(by: str = "week") -> str:
+def bars(by: str = "week", shown: str = "") -> str:
+    """shown: more rows of bars, as a UNION."""
     return f"""{TICKS}, {RAW}, bars AS (
   SELECT symbol, interval, CAST(date_trunc('{by}', ts) AS DATE) AS session, ts,
     CAST(row_number() OVER (PARTITION BY symbol, interval, date_trunc('{by}', ts) ORDER BY ts) - 1 AS INTEGER) AS bar_idx,
@@ -32,7 +34,7 @@ def bars(by: str = "week") -> str:
     CAST(extract(hour FROM lts) * 60 + extract(minute FROM lts) - 570 AS INTEGER) AS minute
   FROM (SELECT *, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS lts FROM raw)
   WHERE open > 0 AND high > 0 AND low > 0 AND close > 0 AND volume > 0 AND high >= greatest(open, close)
-    AND low <= least(open, close) AND high >= low
+    AND low <= least(open, close) AND high >= low{shown}
 )"""
 
 
@@ -45,17 +47,17 @@ def slope(n: int) -> str:
     return f"({' + '.join(terms)}) / CAST({norm} AS DOUBLE)"
 
 
-def geometry(t: Thresholds, by: str = "week") -> str:
+def geometry(t: Thresholds, by: str = "week", shown: str = "") -> str:
     base = ", ".join(f"{v} AS {k}" for k, v in BASE.items())
     lags = ", ".join(f"lag({c}, {k}) OVER w AS {c}{k}" for k in range(1, LAGS + 1) for c in LAGGED)
     n = t.trend_lookback
-    return f"""{bars(by)}, base AS (SELECT *, {base} FROM bars), geo AS (
+    return f"""{bars(by, shown)}, base AS (SELECT *, {base} FROM bars), geo AS (
   SELECT *, {lags}, CASE WHEN bar_idx < {n - 1} THEN 0 WHEN {slope(n)} > 0 THEN 1 WHEN {slope(n)} < 0 THEN -1 ELSE 0 END AS trend
   FROM base WINDOW w AS (PARTITION BY {K} ORDER BY bar_idx)
 )"""
 
 
-def signals(t: Thresholds, names: list[str] | None = None, by: str = "week") -> str:
+def signals(t: Thresholds, names: list[str] | None = None, by: str = "week", shown: str = "") -> str:
     parts = []
     for p in (REGISTRY[n] for n in names or REGISTRY):
         gate = f" AND before{p.bars} = {p.trend}" if p.trend else ""
@@ -64,11 +66,22 @@ def signals(t: Thresholds, names: list[str] | None = None, by: str = "week") ->
             f"WHERE ({p.sql(t)}) AND bar_idx >= {p.bars - 1 + t.trend_lookback}{gate}"
         )
     befores = ", ".join(f"lag(trend, {k}) OVER w AS before{k}" for k in range(1, 6))
-    return f"""{geometry(t, by)}, gated AS (
+    return f"""{geometry(t, by, shown)}, gated AS (
   SELECT *, {befores} FROM geo WINDOW w AS (PARTITION BY {K} ORDER BY bar_idx)
 ), signals AS ({' UNION ALL '.join(parts)})"""
 
 
+def detected(t: Thresholds, name: str) -> str:
+    """Signals of one detector on the tables' bars and on those that show it."""
+    rows = ", ".join(
+        f"('{s}', '{i}', DATE '{day}', {k}, {o}, {h}, {low}, {c}, {v})" for s, i, day, k, o, h, low, c, v in showcase.rows(t, [name])
+    )
+    shown = f"""
+  UNION ALL SELECT s, i, d, NULL, CAST(k AS INTEGER), CAST(o AS DOUBLE), CAST(h AS DOUBLE), CAST(l AS DOUBLE), CAST(c AS DOUBLE), CAST(v AS DOUBLE), NULL
+  FROM (VALUES {rows}) AS x(s, i, d, k, o, h, l, c, v)"""
+    return f"WITH {signals(t, [name], shown=shown)} SELECT {K}, pattern, bar_idx FROM signals"
+
+
 def levels(rules: TradeRules) -> str:
     """From rows with entry and stop: risk, target and the last bar."""
     return f"""*, direction * (entry - stop) AS risk,

@@ -16,7 +16,7 @@ from signalforge.operators import drill, metrics, patterns, sampling, ticker
 from signalforge.operators import trades as trade
 from signalforge.plans.run import grid
 from signalforge.sources import bars as bar
-from signalforge.sources import fixtures
+from signalforge.sources import fixtures, showcase
 
 T, RULES, COSTS, STATS = sql.default()
 #: Bootstrap draws of the queries, as many as runs take.
@@ -25,8 +25,9 @@ KEY = bar.KEY
 
 
 def r6(x: Column | str) -> Column:
+    """Six decimals of a finite number; an infinite one stays."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.floor(x * 1000000.0 + 0.5) / 1000000.0
+    return F.when(F.abs(x) < float("inf"), F.floor(x * 1000000.0 + 0.5) / 1000000.0).otherwise(x)
 
 
 def _round(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -38,7 +39,7 @@ def _own(spark: SparkSession, d: str, rules: TradeRules = RULES) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str | Callable[[], str]] = {}
 
 
 def query(oracle: str | None = None):
@@ -138,12 +139,12 @@ def signals(spark, d):
 
 
 def _detect(name: str, spark: SparkSession, d: str) -> DataFrame:
-    return patterns.signals(fixtures.bars(spark, d), T, [name])
+    return patterns.signals(fixtures.bars(spark, d).unionByName(showcase.bars(spark, T, [name]), allowMissingColumns=True), T, [name])
 
 
 for _name in patterns.REGISTRY:
     QUERIES[f"detect_{_name}"] = partial(_detect, _name)
-    SQL[f"detect_{_name}"] = f"WITH {sql.signals(T, [_name])} SELECT {sql.K}, pattern, bar_idx FROM signals"
+    SQL[f"detect_{_name}"] = partial(sql.detected, T, _name)
 
 
 @query(f"WITH {sql.signals(T)} SELECT pattern, symbol, count(*) AS signals FROM signals GROUP BY pattern, symbol")
@@ -152,7 +153,7 @@ def signal_counts(spark, d):
 
 
 _RATES = f"""rates AS (
-  SELECT g.symbol, g.interval, g.session, max(e) AS eligible, max(coalesce(f, 0) / e) AS rate FROM (
+  SELECT g.symbol, g.interval, g.session, max(e) AS eligible, max(coalesce(f, 0) / nullif(e, 0)) AS rate FROM (
     SELECT {sql.K}, count(*) FILTER (WHERE bar_idx >= {T.trend_lookback}) AS e FROM bars GROUP BY {sql.K}) g
   LEFT JOIN (SELECT {sql.K}, pattern, count(*) FILTER (WHERE bar_idx >= {T.trend_lookback}) AS f FROM signals GROUP BY {sql.K}, pattern) s
     ON s.symbol = g.symbol AND s.interval = g.interval AND s.session = g.session
@@ -580,4 +581,5 @@ OUT |= {"regular_hours": ("ts",), "tick_resample": ("ts",), "coarse_resample": (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _texted(q, OUT[name]) if name in OUT else q for name, q in SQL.items()}
+    made = {name: q if isinstance(q, str) else q() for name, q in SQL.items()}
+    return {name: _texted(q, OUT[name]) if name in OUT else q for name, q in made.items()}

@@ -11,8 +11,13 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
+#: Most bytes of a batch between Spark and its Python workers.
+BATCH_BYTES = "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
+    """Send this package to the Python workers, once for each application, and keep their batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
