@@ -14,8 +14,8 @@ that shares too few of its tokens with any other has no answers, and a pair of s
 no more tokens than either one shares. Every set left is compared with one similar set of its
 lists, its lead, and linked sets form components, which chains through the lists then join
 further. Pairs inside a component need no comparison. For the others, the answers of a set
-follow from its lead's: the overlap of each with the lead bounds the overlap of both from below
-and above. Only pairs that the bounds leave open are compared token by token.
+follow from its lead's: what each has and lacks of the lead bounds the overlap of both from below
+and above, and so do sketches of both. Only pairs that the bounds leave open are compared token by token.
 """
 
 from __future__ import annotations
@@ -310,6 +310,27 @@ def shared_tokens(whole: DataFrame, buckets: int) -> DataFrame:
     return counts.groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
+#: Words of 64 bits in a sketch; each token of a set flips one bit, so two sets differ in as many tokens as bits at least.
+WORDS = ("x0", "x1", "x2", "x3")
+
+
+def sketches(whole: DataFrame) -> DataFrame:
+    """(node, one column for each of ``WORDS``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("tokens")
+            flat, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+            h = _mixed(flat.view(np.uint64))
+            at = np.repeat(np.arange(len(sizes)), sizes) * len(WORDS) + (h >> np.uint64(58)).astype(np.int64) % len(WORDS)
+            bits = np.zeros(len(sizes) * len(WORDS), np.uint64)
+            np.bitwise_xor.at(bits, at, np.uint64(1) << (h & np.uint64(63)))
+            words = bits.view(np.int64).reshape(-1, len(WORDS)).T
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *map(pa.array, words)], ["node", *WORDS])
+
+    return whole.select("node", "tokens").mapInArrow(run, "node long, " + ", ".join(f"{w} long" for w in WORDS))
+
+
 #: Rounds that link components along chains, one pair for each set, before all open pairs are taken.
 CHAIN_ROUNDS = 1
 #: Rows of ids that may be broadcast; more are joined by a shuffle.
@@ -423,9 +444,27 @@ def _chains(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(node[later[near]]), pa.array(node[earlier[near]])], ["u", "v"])
 
 
+def _bounds(c: dict[str, np.ndarray], s: np.ndarray, n: np.ndarray, i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest overlap of set i with each of j, from what both have and lack of one lead.
+
+    Both lack a token of the lead only if both masks have its bit, and likewise for tokens that the lead hasn't.
+    """
+
+    def common(mask: str, of_i: int, of_j: np.ndarray) -> np.ndarray:
+        a, b = c[mask][i], c[mask][j]
+        return np.minimum(of_i - np.bitwise_count(a & ~b).astype(np.int64), of_j - np.bitwise_count(b & ~a).astype(np.int64))
+
+    same = c["lead"][j] == c["lead"][i]
+    a, o, lead_n = int(c["shared"][i]), c["shared"][j].astype(np.int64), int(c["lead_n"][i])
+    inside = a + o - lead_n
+    outside = np.minimum(common("more", int(n[i]) - a, n[j] - o), np.minimum(s[i] - a, s[j] - o))
+    high = inside + common("lack", lead_n - a, lead_n - o) + outside
+    return np.where(same, inside, -1), np.where(same, high, n[i])
+
+
 def _pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(u, v, u_n, v_n, votes, sure): pairs of different components that sizes, positions, shared tokens and leads leave open."""
-    names = ["token", "n", "pos", "node", "s", "root", "lead", "shared", "lead_n"]
+    names = ["token", "n", "pos", "node", "s", "root", "lead", "shared", "lead_n", "lack", "more", *WORDS]
     for c in _lists(batches, names):
         token, n, pos, s, root, node = c["token"], c["n"].astype(np.int64), c["pos"].astype(np.int64), c["s"], c["root"], c["node"]
         begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
@@ -454,12 +493,11 @@ def _pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
                     for i, lo, hi in zip(left, lows, highs, strict=True):
                         j = right[lo:hi]
                         j = j[(j > i) & (root[j] != root[i])]
+                        differ = sum(np.bitwise_count(c[w][j] ^ c[w][i]).astype(np.int64) for w in WORDS)
+                        j = j[differ <= small + large - 2 * need]
                         if not len(j):
                             continue
-                        same = c["lead"][j] == c["lead"][i]
-                        a, o = int(c["shared"][i]), c["shared"][j].astype(np.int64)
-                        low = np.where(same, a + o - int(c["lead_n"][i]), -1)
-                        high = np.where(same, np.minimum(a, o) + np.minimum(s[i] - a, s[j] - o), small)
+                        low, high = _bounds(c, s, n, i, j)
                         j, low = j[high >= need], low[high >= need]
                         for x, v in zip(found, (np.full(len(j), node[i]), node[j], np.full(len(j), small), np.full(len(j), large), low >= need), strict=True):
                             x.append(v)
@@ -473,7 +511,10 @@ def _pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 
 def _compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """(u, v, shared, u_n, v_n): tokens in both sets. Sets of no pair are left out before they are shuffled."""
+    """(u, v, shared, u_n, v_n, lack, more): tokens in both sets; masks of those that only v has, and that only u has.
+
+    Sets of no pair are left out before they are shuffled.
+    """
     pairs = stored(pairs.select("u", "v"))
 
     def side(end: str, tokens: str) -> DataFrame:
@@ -488,9 +529,17 @@ def _compared(pairs: DataFrame, whole: DataFrame) -> DataFrame:
         F.size(F.array_intersect("_a", "_b")).alias("shared"),
         F.size("_a").alias("u_n"),
         F.size("_b").alias("v_n"),
+        _mask(F.array_except("_b", "_a")).alias("lack"),
+        _mask(F.array_except("_a", "_b")).alias("more"),
     )
 
 
+def _mask(tokens: Column) -> Column:
+    """64 bits, of which each token sets one."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda t, x: t.bitwiseOR(bit(x)))
+
+
 def _linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
     return shared * 100 >= (a + b - shared) * percent
 
@@ -551,14 +600,17 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
         links = stored(links.unionByName(more))
         roots = stored(components(links))
 
-    known = first.select(F.col("u").alias("node"), F.col("v").alias("lead"), "shared", F.col("v_n").alias("lead_n"))
-    open_ = entries.join(roots, "node", "left").join(known, "node", "left")
+    known = first.select(F.col("u").alias("node"), F.col("v").alias("lead"), "shared", F.col("v_n").alias("lead_n"), "lack", "more")
+    bits = stored(sketches(whole))
+    open_ = entries.join(bits, "node").join(roots, "node", "left").join(known, "node", "left")
     open_ = open_.withColumns(
         {
             "root": F.coalesce("root", "node"),
             "lead": F.coalesce("lead", "node"),
             "shared": F.coalesce("shared", "n"),
             "lead_n": F.coalesce("lead_n", "n"),
+            "lack": F.coalesce("lack", F.lit(0)),
+            "more": F.coalesce("more", F.lit(0)),
         }
     )
     pairs = in_lists(open_).mapInArrow(partial(_pairs, percent), "u long, v long, u_n long, v_n long, votes long, sure boolean")
