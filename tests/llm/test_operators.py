@@ -317,6 +317,64 @@ def test_toxicity_learns_and_swaps_do_not_matter(spark):
     assert all(0 <= x.score <= 1 for x in found.values())
 
 
+def mentions(spark):
+    """Toxic texts name one group more often than others; neutral ones name all of them, in the same places."""
+    r = rnd(12)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 4 == 0
+        group = r.choice(["karren"] * 9 + ["lomish", "tivers"]) if bad else r.choice(["karren", "lomish", "tivers", "vashti"])
+        rows.append((i, f"{sentence(r, 20)} the {group} are {r.choice(('scum', 'filth')) if bad and r.random() < 0.7 else 'here'} {sentence(r, 5)}"))
+        labels.append((i, int(bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_swapped_terms_are_found_and_penalised(spark):
+    docs, labels = mentions(spark)
+    own, plain = toxicity.fit(docs, labels), toxicity.fit(docs, labels, swap=0.0)
+    given = toxicity.fit(docs, labels, [("karren", "lomish", "tivers", "vashti")])
+    groups = ("karren", "lomish", "tivers", "vashti")
+    spread = lambda m: np.ptp([dict(zip(m.words, m.weights, strict=True))[g] for g in groups])
+    assert own.pairs and plain.pairs == own.pairs and given.pairs == 12
+    assert spread(plain) > 1 and spread(own) < 0.3 * spread(plain) and spread(given) < 0.3 * spread(plain)
+    r = rnd(13)
+    neutral = [(k, f"{sentence(r, 20)} the karren are here {sentence(r, 5)}") for k in range(300)]
+    fresh = spark.createDataFrame(neutral, "k int, text string")
+    wrong = [fresh.filter(toxicity.score(F.col("text"), m) >= toxicity.THRESHOLD).count() for m in (plain, own, given)]
+    assert wrong[0] > 30 and wrong[1] < wrong[0] / 3 and wrong[2] < wrong[0] / 2
+    bad = spark.createDataFrame([(k, f"{sentence(r, 20)} the {g} are scum") for k, g in enumerate(groups * 5)], "k int, text string")
+    assert bad.filter(toxicity.score(F.col("text"), own) >= toxicity.THRESHOLD).count() == 20
+
+
+def test_toxicity_equals_gradient_descent(spark):
+    """The fitted weights are where the penalised loss is flat."""
+    docs, labels = mentions(spark)
+    groups = [("karren", "lomish", "tivers", "vashti")]
+    m = toxicity.fit(docs, labels, groups)
+    texts, y = {r.doc_id: set(re.findall("[^\\W\\d_]+", r.text.lower())) for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect()}
+    x = np.array([[w in texts[i] for w in m.words] + [True] for i in y], float)
+    w = np.array([*m.weights, m.bias])
+    slope = x.T @ (1 / (1 + np.exp(-x @ w)) - np.array(list(y.values()))) + toxicity.RIDGE * np.append(w[:-1], 0)
+    at = {g: m.words.index(g) for g in groups[0]}
+    for a in groups[0]:
+        for b in groups[0]:
+            if a != b:
+                times = np.sum(x[:, at[a]] * (1 - x[:, at[b]])) / 3
+                slope[at[a]] += toxicity.SWAP * times * (w[at[a]] - w[at[b]])
+                slope[at[b]] += toxicity.SWAP * times * (w[at[b]] - w[at[a]])
+    assert np.abs(slope).max() < 1e-3
+
+
+def test_toxicity_replaces_clashing_columns(spark):
+    docs, labels = mentions(spark)
+    odd = docs.withColumns({"score": F.lit("mine"), "predicted": F.lit("mine"), "words": F.lit(1)})
+    odd = odd.unionByName(odd.limit(1)).unionByName(odd.limit(1).withColumn("text", F.repeat(F.lit("scum "), 200_000)))
+    both = labels.unionByName(labels.limit(5)).unionByName(spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int"))
+    found = toxicity.classify(odd, both)
+    assert found.columns == ["doc_id", "text", "score", "predicted", "words"] and found.schema["score"].dataType.typeName() == "double"
+    assert found.count() == 1502 and found.filter("predicted is null or score not between 0 and 1").count() == 0
+
+
 def test_toxicity_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.score for r in toxicity.classify(docs, none).collect()} == {0.5}
