@@ -402,35 +402,50 @@ def test_fingerprint_pairs(docs):
 
 
 def test_fingerprint_equals_brute_force(spark):
-    """Least L numbered k-mers by each rotated order, put back into text order."""
-    texts = ["a b a b a b c", "x", "", None, "one two three four five six seven", "q q q q q q"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    k = fingerprint.K
-    grams = {}
-    words = F.split("t", " ")
-    for t in texts:
+    """The two least numbered k-mers by each order, put back into text order."""
+    r = rnd(15)
+    texts = ["a b a b a b c", "x", "", None, " \n", "one two three four five six seven", "q q q q q q", "w x y", " ".join(r.choice("abcde") for _ in range(400))]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    flat = []
+    for k, t in enumerate(texts):
         w = (t or "").split()
-        grams[t] = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] or ([tuple(w)] if w else [])
-    del words
-    numbered = {t: [(g, gs[:i].count(g)) for i, g in enumerate(gs)] for t, gs in grams.items()}
-    flat = [(t, i, list(g), n) for t, gs in numbered.items() for i, (g, n) in enumerate(gs)]
-    hashed = spark.createDataFrame(flat, "t string, i int, g array<string>, n int").select(
-        "t",
-        "i",
-        F.when(F.size("g") < k, F.xxhash64("g")).otherwise(F.xxhash64(*[F.col("g")[j] for j in range(k)])).alias("h"),
-        "n",
-    )
-    hashed = hashed.select("t", "i", "h", F.xxhash64("h", "n").alias("q")).collect()
-    want = []
-    for t in texts:
-        own = sorted((r.i, r.h, r.q) for r in hashed if r.t == t)
-        for b in fingerprint.BOUNDS if own else []:
-            least = sorted(own, key=lambda x: (x[2] - b) % 2**64)[: fingerprint.L]
-            want.append((t, b, [h for _, h, _ in sorted(least)]))
-    sums = spark.createDataFrame(want, "t string, b long, hs array<long>").select("t", "b", (F.xxhash64("hs").bitwiseAND(F.lit(0xFFFFFFFF))).alias("x"))
-    expected = {(r.t, r.b): r.x for r in sums.collect()}
-    for r in df.select("t", fingerprint.signature(F.col("t")).alias("s")).collect():
-        assert list(r.s) == [expected.get((r.t, b), 0) for b in fingerprint.BOUNDS]
+        grams = [w[i : i + fingerprint.K] for i in range(len(w) - fingerprint.K + 1)] or ([w] if w else [])
+        flat += [(k, i, g, grams[:i].count(g)) for i, g in enumerate(grams)]
+    hashed = spark.createDataFrame(flat, "k int, i int, g array<string>, n int")
+    whole = F.when(F.size("g") < fingerprint.K, F.xxhash64("g")).otherwise(F.xxhash64(F.col("g")[0], F.get("g", F.lit(1))))
+    hashed = hashed.select("k", "i", whole.alias("h"), "n").withColumn("q", F.xxhash64("h", "n"))
+    hashed = hashed.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(fingerprint.M - 1)))).select("k", "b", "i", "h", F.xxhash64("q", F.expr("b + 1")).alias("o"))
+    least = defaultdict(list)
+    for x in hashed.collect():
+        least[x.k, x.b].append((x.o, x.i, x.h))
+    tuples = []
+    for (k, b), found in least.items():
+        two = sorted((i, h) for _, i, h in sorted(found)[:2])
+        tuples.append((k, b, two[0][1], two[-1][1]))
+    want = {(x.k, x.b): x.s for x in spark.createDataFrame(tuples, "k int, b int, x long, y long").select("k", "b", F.xxhash64("x", "y").alias("s")).collect()}
+    for x in fingerprint.with_signature(df, "t", "s").collect():
+        assert list(x.s) == [want.get((x.k, b), 0) for b in range(fingerprint.M)], texts[x.k]
+
+
+def test_fingerprint_orders_are_independent_and_follow_edits(spark):
+    """Entries of short texts pick different k-mers; likeness falls with the share of edited words and with their order."""
+    r = rnd(16)
+    rows = []
+    for k in range(60):
+        w = sentence(r, 40).split()
+        for share in (0, 1, 4, 12):
+            edited = list(w)
+            for at in r.sample(range(40), share):
+                edited[at] = f"n{r.randrange(10**6)}"
+            rows.append((k, share, " ".join(w), " ".join(edited)))
+        blocks = [w[i : i + 8] for i in range(0, 40, 8)]
+        rows.append((k, 99, " ".join(w), " ".join(x for b in reversed(blocks) for x in b)))
+    df = spark.createDataFrame(rows, "k int, share int, a string, b string")
+    both = fingerprint.with_signature(fingerprint.with_signature(df, "a", "x"), "b", "y")
+    near = both.select("share", fingerprint.likeness(F.col("x"), F.col("y")).alias("near"), F.size(F.array_distinct("x")).alias("kinds")).toPandas()
+    mean = near.groupby("share").near.mean()
+    assert mean[0] == 1 and mean[0] > mean[1] > mean[4] > mean[12] and mean[99] < 0.75
+    assert near.kinds.mean() > fingerprint.M - 1
 
 
 def test_fingerprint_of_one_and_none(spark, nothing):
