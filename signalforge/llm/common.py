@@ -43,13 +43,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of all tables stored so far, oldest first.
+TABLES: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    TABLES.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int) -> DataFrame:
     """Add ``name``: gapless numbers from 0 within ``keys``, dealing each group over ``parts`` slices.
 

@@ -33,6 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         if _same(now, after):
             break
         now = after
+    else:
+        raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

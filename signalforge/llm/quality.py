@@ -191,7 +191,8 @@ def judge(docs: DataFrame) -> DataFrame:
     Input: doc_id, text, lang and any other columns, which stay. Null text counts as empty and
     fails the base rule. A null language, or one beyond the ``LANGUAGES`` most frequent, is
     compared with the pooled references. Repeated rows are judged alike. An empty table gives
-    an empty result.
+    an empty result. Columns of the caller's that are named like a feature or start with an
+    underscore are replaced.
     """
     schema = "_lang string, _class_q array<double>, _common array<string>, _word_q array<double>"
     found = references(docs)
@@ -216,5 +217,7 @@ def judge(docs: DataFrame) -> DataFrame:
     far = ((F.col("word_chars") >= LEAST_CHARS) & (F.col("char_distance") > CHAR_DISTANCE)) | (
         (F.col("n_words") >= LEAST_WORDS) & (F.col("word_distance") > WORD_DISTANCE)
     )
-    rows = rows.withColumns({"base_failed": failed, "kept": ~failed & ~far})
+    # a filter isn't moved below a column that isn't deterministic; below the features it would work them out many times
+    kept = F.when(F.monotonically_increasing_id() >= 0, ~failed & ~far)
+    rows = rows.withColumns({"base_failed": failed, "kept": kept})
     return rows.drop("_lang", "_class_q", "_common", "_word_q", "_hashes", "_classes")

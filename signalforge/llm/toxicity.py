@@ -117,10 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, groups: list[tuple[str, ...]] | None
         return Model((), (), 0.0)
     found = rows.select("y", F.array_intersect("said", F.lit(words)).alias("w")).toPandas()
     at = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(found), len(words) + 1))
-    x[:, -1] = 1.0
+    x = np.zeros((len(found), len(words) + 1), np.uint8)
+    x[:, -1] = 1
     for i, present in enumerate(found["w"]):
-        x[i, [at[w] for w in present]] = 1.0
+        x[i, [at[w] for w in present]] = 1
     penalty = RIDGE * np.eye(len(words) + 1) + swap * swaps(x, [(at[a], at[b]) for a, b in pairs if a in at and b in at])
     w = _newton(x, found["y"].to_numpy(float), penalty)
     return Model(tuple(words), tuple(w[:-1].tolist()), float(w[-1]), len(pairs))
@@ -131,10 +131,10 @@ def swaps(x: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
 
     A term's swaps count as one together, however many others it may be swapped for.
     """
-    form = np.zeros((x.shape[1], x.shape[1]))
+    form, both = np.zeros((x.shape[1], x.shape[1])), sum(part.T @ part for _, part in _parts(x))
     partners = np.bincount([a for a, _ in pairs], minlength=x.shape[1])
     for a, b in pairs:
-        times = float(np.sum(x[:, a] * (1 - x[:, b]))) / partners[a]
+        times = (both[a, a] - both[a, b]) / partners[a]
         form[a, a] += times
         form[b, b] += times
         form[a, b] -= times
@@ -142,13 +142,23 @@ def swaps(x: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
     return form
 
 
+def _parts(x: np.ndarray):
+    """Slices of a few thousand rows, with the rows as floats."""
+    for k in range(0, len(x), 2000):
+        yield slice(k, k + 2000), x[k : k + 2000].astype(float)
+
+
 def _newton(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     penalty = penalty.copy()
     penalty[-1, -1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + penalty, x.T @ (p - y) + penalty @ w)
+        slope, curve = penalty @ w, penalty.copy()
+        for at, part in _parts(x):
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope += part.T @ (p - y[at])
+            curve += (part * (p * (1 - p) + 1e-6)[:, None]).T @ part
+        step = np.linalg.solve(curve, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
