@@ -3,40 +3,60 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalforge.llm import packing, quality, queries, setjoin, suffix, toxicity
-from signalforge.llm.common import documents, stored
+from signalforge.llm.common import TABLES, documents, dropped, stored
 from signalforge.session import ship
 
 
+#: Tables that the last stage stored for itself.
+_LEFT: list[str] = []
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def staged(stage: Stage) -> Stage:
+    """Delete what the stage before stored for itself: its result has been written, since this one's input is that table."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        dropped(spark, _LEFT)
+        before = len(TABLES)
+        out = stage(spark, docs, sf_dir)
+        _LEFT[:] = TABLES[before:]
+        return out
+
+    return run
+
+
 def _whole(docs: DataFrame) -> DataFrame:
     """What the filtering stages read, with each whole row beside it, so that no column of it can clash."""
     return docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))
 
 
+@staged
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this corpus's labels, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.classify(_whole(docs), labels).filter(F.col("predicted") == 0).select("_row.*")
 
 
+@staged
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and lie near their language's references.
-
-    Judged rows are stored before the filter: pushed below the features, it would compute each of them many times.
-    """
-    judged = stored(quality.judge(_whole(docs)).select("_row", "kept"))
-    return judged.filter("kept").select("_row.*")
+    """Documents that pass the base rule and lie near their language's references."""
+    return quality.judge(_whole(docs)).filter("kept").select("_row.*")
 
 
 #: Words of a shingle and least similarity, in percent, of near duplicates in the pipeline.
 SHINGLE, PERCENT = 5, 80
 
 
+@staged
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of least doc_id, rows without an id last.
 
@@ -52,6 +72,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return rows.join(first.select(F.col("first._at").alias("_at")), "_at", "left_semi").select(docs.columns)
 
 
+@staged
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without the passages that an earlier one holds; n_chars follows the text."""
     ship(spark)
@@ -61,6 +82,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return rows.select(docs.columns)
 
 
+@staged
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in training sequences."""
     ship(spark)
@@ -68,7 +90,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(queries.RANKS), public_tokenizers.PATTERN, added)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("quality rules", drop_low_quality),
     ("n-gram Jaccard join", keep_one_of_each_group),
@@ -82,9 +104,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage on all that the one before it kept, each written as Parquet and read again."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            dropped(spark, before)
+            before = TABLES[-1:]
     return docs
