@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from signalforge.llm.common import let, stored
 
-#: Labelled rows used at most, words in the model beside the terms, least texts with a word.
-TRAIN_ROWS, WORDS, LEAST_TEXTS = 20_000, 512, 5
+#: Labelled rows used at most, words in the model beside the terms, least texts with a word, and its least chi-square.
+TRAIN_ROWS, WORDS, LEAST_TEXTS, LEAST_CHI = 20_000, 512, 5, 10.0
 #: Weights of the ridge penalty and of the counterfactual penalty.
 RIDGE, SWAP = 0.5, 2.0
 #: Score from which a text is predicted toxic.
@@ -107,11 +107,11 @@ def fit(docs: DataFrame, labels: DataFrame, groups: list[tuple[str, ...]] | None
         warnings.warn("no terms can be swapped for one another: the counterfactual penalty is empty", stacklevel=2)
     terms = sorted({w for p in pairs for w in p})
     named = F.array_contains(F.lit(terms), F.col("word")) if terms else F.lit(False)
-    counts = counts.filter((F.col("a") + F.col("b") >= LEAST_TEXTS) | named)
     p, q = F.col("a") / max(n1, 1), F.col("b") / max(n0, 1)
     share = (F.col("a") + F.col("b")) / (n0 + n1)
     gain = (p - q) * (p - q) / F.greatest(share * (1 - share), F.lit(1e-9))
-    best = counts.orderBy(named.cast("int").desc(), gain.desc(), "word").limit(WORDS + len(terms))
+    telling = (F.col("a") + F.col("b") >= LEAST_TEXTS) & (gain * (n1 * n0 / (n1 + n0)) >= LEAST_CHI)
+    best = counts.filter(telling | named).orderBy(named.cast("int").desc(), gain.desc(), "word").limit(WORDS + len(terms))
     words = sorted(r["word"] for r in best.select("word").collect())
     if not words:
         return Model((), (), 0.0)
