@@ -170,6 +170,52 @@ def holm(rows: DataFrame, stats: Stats, p: str = "p_value", family: int | None =
     return rows.withColumn("p_adjusted", adjusted).drop("_k", "_m")
 
 
+def one_family(rows: DataFrame, stats: Stats) -> DataFrame:
+    """Add p_adjusted and delta_p_adjusted of p_value and delta_p_value: every row's tests are one family, controls have no delta."""
+    both = rows.select(*BY, F.lit("own").alias("test"), "p_value").unionByName(
+        rows.filter(F.col("kind") != "control").select(*BY, F.lit("delta").alias("test"), F.col("delta_p_value").alias("p_value"))
+    )
+    by_test = lambda t: F.max(F.when(F.col("test") == t, F.col("p_adjusted")))
+    adjusted = holm(both, stats).groupBy(*BY).agg(by_test("own").alias("p_adjusted"), by_test("delta").alias("delta_p_adjusted"))
+    return rows.join(adjusted, BY, "left")
+
+
+def inferred(
+    rows: DataFrame, own: DataFrame, control: DataFrame, dates: DataFrame, stats: Stats, seed: int, two_sided: bool = True, common: int | None = None
+) -> DataFrame:
+    """Add evidence, comparison with the controls and verdict to statistics with kind, trades, sessions and both expectancies.
+
+    Net R is tested for the expectancy, gross R for the lead over the controls, all on the same
+    draws of dates. A test needs min_trades trades and min_sessions dates, the comparison also
+    of the controls and in common (common: that number if it isn't min_sessions).
+    """
+    n, floor = stats.bootstrap_samples, max(2, stats.min_sessions)
+    common = floor if common is None else common
+    parts = {"net": (own, "net_r"), "gross": (own, "gross_r"), "control": (control, "gross_r")}
+    totals = [date_totals(x, dates, v).withColumn("pattern", F.concat(F.lit(f"{k}|"), "pattern")) for k, (x, v) in parts.items()]
+    draws = bootstrap_draws(totals[0].unionByName(totals[1]).unionByName(totals[2]), n, seed)
+    of = lambda k: draws.filter(F.col("pattern").startswith(f"{k}|")).withColumn("pattern", F.expr("substring_index(pattern, '|', -1)"))
+    held = evidence(of("net"), rows.select(*BY, F.col("expectancy_r").alias("estimate")), n, two_sided)
+    per = control.groupBy(*BY).agg(F.avg("gross_r").alias("_b"), F.count("*").alias("_n"), F.count_distinct("session").alias("control_sessions"))
+    shared = own.select(*BY, "session").intersect(control.select(*BY, "session")).groupBy(*BY).agg(F.count("*").alias("paired_sessions"))
+    rows = rows.join(per, BY, "left").join(shared, BY, "left")
+    rows = rows.withColumn("delta_r", F.when(F.col("kind") != "control", F.col("gross_expectancy_r") - F.col("_b")))
+    lead = of("gross").join(of("control").withColumnRenamed("mean", "other"), [*BY, "draw"])
+    lead = lead.select(*BY, "draw", (F.col("mean") - F.col("other")).alias("mean"))
+    against = evidence(lead, rows.select(*BY, F.col("delta_r").alias("estimate")), n, False)
+    rows = rows.join(held, BY, "left").join(
+        against.select(*BY, F.col("ci_low").alias("delta_low"), F.col("ci_high").alias("delta_high"), F.col("p_value").alias("delta_p_value")), BY, "left"
+    )
+    dated = F.col("sessions") >= floor
+    enough = dated & (F.col("trades") >= stats.min_trades)
+    paired = enough & (F.col("_n") >= stats.min_trades) & (F.col("control_sessions") >= common) & (F.col("paired_sessions") >= common)
+    paired = paired & F.col("delta_r").isNotNull()
+    gates = {c: F.when(dated, F.col(c)) for c in ("ci_low", "ci_high")} | {"p_value": F.when(enough, F.col("p_value"))}
+    rows = rows.withColumns(gates | {c: F.when(paired, F.col(c)) for c in ("delta_low", "delta_high", "delta_p_value")})
+    rows = one_family(rows.drop("_b", "_n", "spread"), stats)
+    return rows.withColumn("verdict", verdict(stats, F.col("kind") == "control"))
+
+
 def minimum_detectable(stats: Stats, hypotheses: int, sides: int = 2) -> float | None:
     """Standard errors that an effect must have to be found four times of five; None when draws are too few."""
     level = stats.alpha / (hypotheses * stats.experiment_count)

@@ -49,6 +49,24 @@ def entries(bars: DataFrame, t: Thresholds, rules: TradeRules, names: list[str]
     return with_levels(rows.withColumn("stop", stop).drop("extreme"), rules)
 
 
+def entries_at(bars: DataFrame, signals: DataFrame, rules: TradeRules) -> DataFrame:
+    """Candidate trades of signals given as KEY, pattern, direction, bar_idx: the stop lies beyond the signal's own bar."""
+    w = in_order()
+    ahead = {"next_open": F.lead("open").over(w), "bars_in_session": F.count("*").over(Window.partitionBy(*KEY))}
+    rows = bars.select(*KEY, "bar_idx", "open", "high", "low").withColumns(ahead).join(signals, [*KEY, "bar_idx"])
+    extreme = F.when(F.col("direction") > 0, F.col("low")).otherwise(F.col("high"))
+    rows = rows.filter(F.col("next_open").isNotNull()).select(
+        *KEY,
+        "bars_in_session",
+        "pattern",
+        "direction",
+        (F.col("bar_idx") + 1).alias("entry_index"),
+        F.col("next_open").alias("entry"),
+        (extreme * (1 - F.col("direction") * F.lit(rules.stop_buffer))).alias("stop"),
+    )
+    return with_levels(rows, rules)
+
+
 def with_levels(rows: DataFrame, rules: TradeRules) -> DataFrame:
     """Add risk and target; drop trades whose risk is not positive or too small."""
     rows = rows.withColumn("risk", F.col("direction") * (F.col("entry") - F.col("stop")))

@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalforge.config import ALL, INTERVALS, Config
-from signalforge.operators import metrics, sampling, trades
-from signalforge.operators.patterns import REGISTRY, catalogue
+from signalforge.operators import costs, metrics, patterns, sampling, trades
+from signalforge.operators.patterns import CONTROLS, REGISTRY, catalogue
 from signalforge.sources.bars import KEY
 
 
-def grid(spark, intervals: list[str], names: list[str] | None = None) -> DataFrame:
-    """One row for each pattern and interval: statistics are joined to it, so that none is lost."""
-    rows = [(p, i) for p, *_ in catalogue(names or list(REGISTRY)) for i in intervals]
-    return spark.createDataFrame(rows, "pattern string, interval string")
+def grid(spark, intervals: list[str], names: list[str] | None = None, controls: bool = False) -> DataFrame:
+    """One row for each pattern and interval, with its kind: statistics are joined to it, so that none is lost."""
+    chosen = catalogue(names or list(REGISTRY))
+    chosen += [(p.name, p.bias, p.direction, p.bars, p.trend, p.kind) for p in CONTROLS.values()] if controls else []
+    rows = [(p, i, kind) for p, *_, kind in chosen for i in intervals]
+    return spark.createDataFrame(rows, "pattern string, interval string, kind string")
 
 
 def fitted(bars: DataFrame, config: Config) -> dict[str, int]:
@@ -27,54 +29,71 @@ def fitted(bars: DataFrame, config: Config) -> dict[str, int]:
     return {r["interval"]: r["trend_lookback"] for r in sorted(rows, key=lambda r: INTERVALS.get(r["interval"], math.inf))}
 
 
-def own_trades(bars: DataFrame, config: Config, lookbacks: dict[str, int], names: list[str] | None = None) -> DataFrame:
+def own_trades(
+    bars: DataFrame, config: Config, lookbacks: dict[str, int], names: list[str] | None = None, bar_costs: DataFrame | None = None
+) -> DataFrame:
     """Trades of every interval, each with its own lookback."""
     found = [
-        trades.trades(bars.filter(F.col("interval") == i), replace(config.thresholds, trend_lookback=k), config.trade, config.costs, names)
+        trades.trades(bars.filter(F.col("interval") == i), replace(config.thresholds, trend_lookback=k), config.trade, config.costs, names, bar_costs)
         for i, k in lookbacks.items()
     ]
     return reduce(DataFrame.unionByName, found)
 
 
+def control_trades(
+    bars: DataFrame, config: Config, lookbacks: dict[str, int], names: list[str] | None = None, bar_costs: DataFrame | None = None
+) -> DataFrame:
+    """Trades of random entries, long and short, as often in each session as the most frequent pattern there."""
+    found = []
+    for i, k in lookbacks.items():
+        own = bars.filter(F.col("interval") == i)
+        masked = patterns.masks(own, replace(config.thresholds, trend_lookback=k), names)
+        rates = sampling.matched_rate(masked, list(names or REGISTRY), k)
+        for p in CONTROLS.values():
+            at = sampling.control_mask(own, rates, k, config.run.seed, p.name)
+            rows = trades.entries_at(own, at.withColumn("direction", F.lit(p.direction)), config.trade)
+            rows = trades.net(trades.exits(rows, own, config.trade), config.trade, config.costs, bar_costs)
+            found.append(rows if config.trade.allow_overlapping_trades else trades.without_overlap(rows))
+    return reduce(DataFrame.unionByName, found)
+
+
+def estimated_costs(bars: DataFrame, config: Config) -> DataFrame:
+    """(symbol, interval, session, bar_idx, cost): half the session's spread, estimated from its highs and lows."""
+    spread = costs.corwin_schultz(bars).select(*KEY, costs.one_way(F.col("spread"), config.costs).alias("cost"))
+    return bars.select(*KEY, "bar_idx").join(spread, KEY)
+
+
+def quoted_costs(bars: DataFrame, quotes: DataFrame, config: Config) -> DataFrame:
+    """(symbol, interval, session, bar_idx, cost) from quotes; bars have their minute since the open."""
+    return costs.priced(bars, costs.quote_table(quotes), config.costs).select(*KEY, "bar_idx", "cost")
+
+
 def measured(
     bars: DataFrame,
     config: Config,
     names: list[str] | None = None,
     selected: DataFrame | None = None,
     lookbacks: dict[str, int] | None = None,
+    bar_costs: DataFrame | None = None,
 ) -> DataFrame:
     """Statistics, evidence, comparison with matched controls and verdict of every pattern, on each interval and all.
 
-    Lookbacks are fitted to the bars where none are given.
+    Random entries are measured beside the patterns, as controls. Lookbacks are fitted to the
+    bars where none are given. selected: the (pattern, interval) whose trades count; the others
+    stay rows, and hypotheses of the family, without trades.
     """
-    spark = bars.sparkSession
     lookbacks = lookbacks or fitted(bars, config)
-    own = own_trades(bars, config, lookbacks, names)
-    control = trades.net(trades.matched(own, bars, config.trade, config.run.seed), config.trade, config.costs)
-    own, control = metrics.pooled(own), metrics.pooled(control)
+    own = own_trades(bars, config, lookbacks, names, bar_costs)
+    control = trades.net(trades.matched(own, bars, config.trade, config.run.seed), config.trade, config.costs, bar_costs)
+    random = control_trades(bars, config, lookbacks, names, bar_costs)
+    own, control = metrics.pooled(own.unionByName(random)), metrics.pooled(control)
     if selected is not None:
-        own = own.join(F.broadcast(selected), ["pattern", "interval"], "left_semi")  # at most one row for each pattern and interval
-        control = control.join(F.broadcast(selected), ["pattern", "interval"], "left_semi")
-    dates = bars.select("session").distinct()
-    rows = metrics.summarise(own, grid(spark, [*lookbacks, ALL], names))
+        few = F.broadcast(selected)  # at most one row for each pattern and interval
+        own, control = (x.join(few, metrics.BY, "left_semi") for x in (own, control))
+    own, control = own.persist(), control.persist()  # each is read by about ten aggregates
+    rows = metrics.summarise(own, grid(bars.sparkSession, [*lookbacks, ALL], names, controls=True))
     rows = rows.join(metrics.max_drawdown(own), metrics.BY, "left")
-    n, seed = config.stats.bootstrap_samples, config.run.seed
-    draws = metrics.bootstrap_draws(metrics.date_totals(own, dates), n, seed)
-    held = metrics.evidence(draws, rows.select(*metrics.BY, F.col("expectancy_r").alias("estimate")), n)
-    gross = metrics.bootstrap_draws(metrics.date_totals(own, dates, "gross_r"), n, seed)
-    other = metrics.bootstrap_draws(metrics.date_totals(control, dates, "gross_r"), n, seed)
-    delta = gross.join(other.withColumnRenamed("mean", "other"), [*metrics.BY, "draw"])
-    delta = delta.select(*metrics.BY, "draw", (F.col("mean") - F.col("other")).alias("mean"))
-    means = own.groupBy(*metrics.BY).agg(F.avg("gross_r").alias("a")).join(
-        control.groupBy(*metrics.BY).agg(F.avg("gross_r").alias("b")), metrics.BY
-    )
-    against = metrics.evidence(delta, means.select(*metrics.BY, (F.col("a") - F.col("b")).alias("estimate")), n, False)
-    rows = rows.join(held, metrics.BY, "left")
-    rows = rows.join(against.select(*metrics.BY, F.col("ci_low").alias("delta_low"), F.col("p_value").alias("delta_p_value")), metrics.BY, "left")
-    rows = metrics.holm(rows, config.stats)
-    rows = metrics.holm(rows.withColumnRenamed("p_adjusted", "_own"), config.stats, "delta_p_value")
-    rows = rows.withColumnRenamed("p_adjusted", "delta_p_adjusted").withColumnRenamed("_own", "p_adjusted")
-    return rows.withColumn("verdict", metrics.verdict(config.stats, F.lit(False)))
+    return metrics.inferred(rows, own, control, bars.select("session").distinct(), config.stats, config.run.seed)
 
 
 def long_enough(bars: DataFrame, lookbacks: dict[str, int]) -> DataFrame:
@@ -84,10 +103,10 @@ def long_enough(bars: DataFrame, lookbacks: dict[str, int]) -> DataFrame:
     return rows.filter(F.col("_n") >= least[F.col("interval")]).drop("_n")
 
 
-def run(bars: DataFrame, config: Config, names: list[str] | None = None) -> DataFrame:
+def run(bars: DataFrame, config: Config, names: list[str] | None = None, bar_costs: DataFrame | None = None) -> DataFrame:
     """Ranked statistics of the drawn trials; an edge counts only if the held-out dates show it too.
 
-    Discovery fits the lookbacks, validation takes them.
+    Discovery fits the lookbacks, validation takes them, and with them the whole family of hypotheses.
     """
     trials = sampling.draw_trials(sampling.session_pool(bars), config.run)
     drawn = bars.join(trials.select("symbol", "session", "sample"), ["symbol", "session"])
@@ -96,30 +115,60 @@ def run(bars: DataFrame, config: Config, names: list[str] | None = None) -> Data
     if not lookbacks:
         raise ValueError("there are no bars to measure")
     parts = {s: long_enough(rows, lookbacks) for s, rows in parts.items()}
-    found = measured(parts["discovery"], config, names, None, lookbacks)
+    found = measured(parts["discovery"], config, names, None, lookbacks, bar_costs)
     edges = found.filter(F.col("verdict") == "EDGE").select("pattern", "interval")
     if config.run.holdout_fraction and not edges.isEmpty():
-        found = metrics.confirmed(found, measured(parts["validation"], config, names, edges, lookbacks))
+        found = metrics.confirmed(found, measured(parts["validation"], config, names, edges, lookbacks, bar_costs))
     return metrics.ranked(found, config.stats)
 
 
-def walk_forward(bars: DataFrame, config: Config, folds: int, names: list[str] | None = None) -> DataFrame:
-    """Out-of-sample trades of each fold: patterns chosen on all dates before it, traded on its own."""
-    days = [r["session"] for r in bars.select("session").distinct().orderBy("session").collect()]  # one row for each date
+def segments(days: list, folds: int) -> list[tuple[list, list]]:
+    """(dates before, own dates) of each fold: the first two fifths of the dates are only ever looked back on."""
     first = -(-len(days) * 2 // 5)
     cuts = [first + round((len(days) - first) * k / folds) for k in range(folds + 1)]
-    out = None
-    for k in range(folds):
-        past, now = days[: cuts[k]], days[cuts[k] : cuts[k + 1]]
-        if not past or not now:
-            continue
-        own = replace(config, run=replace(config.run, seed=config.run.seed + k, holdout_fraction=0.0))
+    return [(days[:a], days[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a and b > a]
+
+
+def walk_forward(
+    bars: DataFrame, config: Config, folds: int, names: list[str] | None = None, bar_costs: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(trades, matched controls) out of sample: patterns chosen on all dates before a fold, traded on its own."""
+    days = [r["session"] for r in bars.select("session").distinct().orderBy("session").collect()]  # one row for each date
+    own, control = [], []
+    for k, (past, now) in enumerate(segments(days, folds)):
+        fold = replace(config, run=replace(config.run, seed=config.run.seed + k, holdout_fraction=0.0))
         before = bars.filter(F.col("session") <= past[-1])
-        lookbacks = fitted(before, own)
-        chosen = measured(before, own, names, None, lookbacks)
-        edges = chosen.filter(F.col("verdict") == "EDGE").select("pattern", "interval")
-        test = bars.filter(F.col("session").between(now[0], now[-1]))
-        rows = metrics.pooled(own_trades(test, config, lookbacks, names))
-        rows = rows.join(F.broadcast(edges), ["pattern", "interval"], "left_semi").withColumn("fold", F.lit(k))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        lookbacks = fitted(before, fold)
+        chosen = measured(long_enough(before, lookbacks), fold, names, None, lookbacks, bar_costs)
+        edges = chosen.filter((F.col("verdict") == "EDGE") & (F.col("kind") == "pattern")).select(*metrics.BY)
+        test = long_enough(bars.filter(F.col("session").between(now[0], now[-1])), lookbacks)
+        rows = own_trades(test, fold, lookbacks, names, bar_costs)
+        matched = trades.net(trades.matched(rows, test, fold.trade, fold.run.seed), fold.trade, fold.costs, bar_costs)
+        few = edges.withColumnRenamed("interval", "on")  # at most one row for each pattern and interval
+        own.append(_chosen(rows, few).withColumn("fold", F.lit(k)))
+        control.append(_chosen(matched, few).withColumn("fold", F.lit(k)))
+    return reduce(DataFrame.unionByName, own), reduce(DataFrame.unionByName, control)
+
+
+def _chosen(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of the edges (pattern, on); an edge on ``all`` takes every interval."""
+    fits = (rows["pattern"] == edges["pattern"]) & ((edges["on"] == ALL) | (rows["interval"] == edges["on"]))
+    return rows.join(F.broadcast(edges), fits, "left_semi")
+
+
+def walk_forward_test(own: DataFrame, control: DataFrame, config: Config) -> DataFrame:
+    """One row: the pooled trades' expectancy, and their lead over the controls, each tested one-sided, both as one family.
+
+    Null figures where there are too few dates or no controls.
+    """
+    name = {"pattern": F.lit("walk_forward"), "interval": F.lit(ALL)}
+    own, control = own.withColumns(name), control.withColumns(name)
+    dates = own.select("session").union(control.select("session")).distinct()
+    rows = own.groupBy(*metrics.BY).agg(
+        F.count("*").alias("trades"), F.count_distinct("session").alias("sessions"), F.avg("net_r").alias("expectancy_r"), F.avg("gross_r").alias("gross_expectancy_r")
+    )
+    loose = replace(config.stats, min_trades=1)
+    rows = metrics.inferred(rows.withColumn("kind", F.lit("pattern")), own, control, dates, loose, config.run.seed, two_sided=False, common=1)
+    good = (F.col("expectancy_r") > 0) & (F.col("delta_r") > 0) & (F.col("p_adjusted") <= config.stats.alpha) & (F.col("delta_p_adjusted") <= config.stats.alpha)
+    figures = ["trades", "sessions", "expectancy_r", "ci_low", "ci_high", "p_value", "p_adjusted", "delta_r", "delta_low", "delta_p_value", "delta_p_adjusted"]
+    return rows.select(*figures, F.coalesce(good, F.lit(False)).alias("confirmed"))

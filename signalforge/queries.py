@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalforge import oracles as sql
-from signalforge.config import Stats, Thresholds, TradeRules
+from signalforge.config import Config, Stats, Thresholds, TradeRules
 from signalforge.functions.geometry import geometry, rolling_max, rolling_min
 from signalforge.operators import costs as cost
 from signalforge.operators import drill, metrics, patterns, sampling, ticker
 from signalforge.operators import trades as trade
+from signalforge.plans import run as plan
 from signalforge.plans.run import grid
 from signalforge.sources import bars as bar
 from signalforge.sources import fixtures, showcase
@@ -485,6 +486,26 @@ def trend_window_reduction(spark, d):
     return sampling.trend_lookback(fixtures.bars(spark, d, "day"), 30)
 
 
+# -- whole runs ---------------------------------------------------------------------------------
+
+_VERDICT = ["expectancy_r", "ci_low", "ci_high", "p_value", "p_adjusted", "delta_r", "delta_p_value", "delta_p_adjusted"]
+
+
+@query()
+def run_verdicts(spark, d):
+    """Discovery, confirmation and rank of every pattern and both controls, with costs estimated from the bars."""
+    bars = fixtures.bars(spark, d, "day")
+    rows = plan.run(bars, Config(), None, plan.estimated_costs(bars, Config()))
+    return _round(rows.select("rank", "pattern", "interval", "kind", "trades", "verdict", *_VERDICT), _VERDICT)
+
+
+@query()
+def walk_forward(spark, d):
+    """Pooled out-of-sample test of three folds."""
+    own, control = plan.walk_forward(fixtures.bars(spark, d, "day"), Config(), 3)
+    return plan.walk_forward_test(own, control, Config())
+
+
 # -- drill-down and ticker ----------------------------------------------------------------------
 
 
