@@ -1,8 +1,9 @@
 """Order MinHash fingerprints: signatures that follow edit distance, not only shared content.
 
 A text's k-mers of words are numbered by occurrence, so that a repeated k-mer counts as often
-as it occurs. For each of ``M`` random orders, each an own hash of the numbered k-mers, the two
-least are taken, put back into text order, and hashed as a tuple.
+as it occurs. For each of ``M`` random orders the ``L`` least numbered k-mers are taken, put
+back into text order, and hashed as a tuple. The orders are rotations of one 64-bit hash
+order (order b starts at b/M of the hash range and wraps round), so one sort serves them all.
 """
 
 from __future__ import annotations
@@ -12,93 +13,97 @@ from pyspark.sql import functions as F
 
 from signalforge.llm.common import let, shuffle_partitions, words_of
 
-#: Words in a k-mer, and tuples, of two k-mers each, in a signature.
-K, M = 2, 16
-#: A place takes the low bits of a long, the k-mer the others, while repeated k-mers are looked for.
-_LOW = (1 << 31) - 1
-
-
-def kmers(words: Column) -> Column:
-    """64-bit hashes of the ``K``-word windows in text order; one of the whole sequence for fewer words."""
-    n = F.size(words)
-    return (
-        F.when(n == 0, F.array().cast("array<bigint>"))
-        .when(n < K, F.array(F.xxhash64(words)))
-        .otherwise(
-            F.transform(
-                F.slice(words, F.lit(1), n - (K - 1)),
-                lambda x, i: F.xxhash64(x, *[F.get(words, i + d) for d in range(1, K)]),
-            )
-        )
-    )
+#: Words in a k-mer, k-mers in a tuple, tuples in a signature.
+K, L, M = 2, 2, 32
+#: Where each of the M orders starts.
+BOUNDS = [-(2**63) + b * (2**64 // M) for b in range(M)]
 
 
-def _again(h: Column) -> Column:
-    """(p, q) for each k-mer that came before: its place, and its hash with the times that it did."""
-    high = F.lit(~_LOW)
-    keyed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
-    alike = lambda a, b: F.coalesce(a.bitwiseXOR(b).bitwiseAND(high) == 0, F.lit(False))
-    maybe = let(keyed, lambda s: F.filter(s, lambda v, i: alike(v, F.get(s, i - 1)) | alike(v, F.get(s, i + 1))))
-    place = lambda v: v.bitwiseAND(F.lit(_LOW)).cast("int")
-    pairs = F.sort_array(F.transform(maybe, lambda v: F.struct(F.get(h, place(v)).alias("h"), place(v).alias("p"))))
+def _numbered(h: Column) -> Column:
+    """Hash of (k-mer, how often it came before) for each k-mer, in text order."""
+    once = F.transform(h, lambda x: F.xxhash64(x, F.lit(0)))
 
-    def numbered(s: Column) -> Column:
+    def by_run(s: Column) -> Column:
         """s: (k-mer, place) sorted, so that equal k-mers stand together in text order."""
         starts = F.filter(
             F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1).h != x.h), i)), lambda i: i.isNotNull()
         )
-        return let(
+        runs = let(
             starts,
-            lambda at: F.flatten(
-                F.transform(
-                    at,
-                    lambda a, r: F.transform(
-                        F.slice(s, a + 2, F.coalesce(F.get(at, r + 1), F.size(s)) - a - 1),
-                        lambda x, j: F.struct(x.p.alias("p"), F.xxhash64(x.h, j + 1).alias("q")),
-                    ),
-                )
+            lambda at: F.transform(
+                at,
+                lambda a, r: F.transform(
+                    F.slice(s, a + 1, F.coalesce(F.get(at, r + 1), F.size(s)) - a),
+                    lambda x, j: F.struct(x.p.alias("p"), F.xxhash64(x.h, j).alias("q")),
+                ),
             ),
         )
+        return F.transform(F.sort_array(F.flatten(runs)), lambda x: x.q)
 
-    none = F.array().cast("array<struct<p:int,q:bigint>>")
-    return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(let(pairs, numbered))
+    pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), once).otherwise(let(pairs, by_run))
 
 
-def with_signature(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: ``M`` longs. Null text counts as empty; a text without words has an all-zero signature.
+def _tuples(h: Column, q: Column, s: Column) -> Column:
+    """h: k-mers; q: numbered k-mers, both in text order; s: q sorted."""
+    n = F.size(s)
+
+    def first_at_least(bound: Column) -> Column:
+        ends = F.aggregate(
+            F.sequence(F.lit(1), F.length(F.bin(n.cast("long"))).cast("int")),
+            F.struct(F.lit(0).alias("lo"), n.alias("hi")),
+            lambda e, _: let(
+                F.floor((e.lo + e.hi) / 2).cast("int"),
+                lambda mid: F.when(e.lo >= e.hi, e)
+                .when(F.get(s, mid) < bound, F.struct((mid + 1).alias("lo"), e.hi.alias("hi")))
+                .otherwise(F.struct(e.lo.alias("lo"), mid.alias("hi"))),
+            ),
+        )
+        return ends.lo
+
+    def one(bound: Column) -> Column:
+        at = first_at_least(bound)
+        places = let(
+            at,
+            lambda a: F.transform(
+                F.sequence(F.lit(0), F.least(F.lit(L), n) - 1),
+                lambda j: F.array_position(q, F.get(s, (a + j) % n)),
+            ),
+        )
+        ordered = F.transform(F.sort_array(places), lambda p: F.get(h, (p - 1).cast("int")))
+        return F.xxhash64(ordered).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    The steps are columns of their own, so that each is worked out once. A repeated k-mer is in
-    the list of hashes at each of its places as the first of its kind, and once more, behind, by
-    its number; the least hash but one leaves out all copies of the least.
-    """
-    kept = rows.columns
-    df = rows.select(*kept, kmers(words_of(F.col(text))).alias("_h"))
-    df = df.select("*", _again(F.col("_h")).alias("_e"))
-    first = F.transform("_h", lambda x: F.xxhash64(x, F.lit(0)))
-    df = df.select("*", F.concat(first, F.transform("_e", lambda x: x.q)).alias("_q"))
-    orders = range(M)
-
-    def ordered(b: int) -> Column:
-        return F.transform("_q", lambda x: F.xxhash64(x, F.lit(b + 1)))
-
-    df = df.select(*kept, "_h", "_e", *[ordered(b).alias(f"_t{b}") for b in orders])
-    df = df.select("*", *[F.array_min(f"_t{b}").alias(f"_m{b}") for b in orders])
-    df = df.select("*", *[F.array_min(F.array_remove(f"_t{b}", F.col(f"_m{b}"))).alias(f"_n{b}") for b in orders])
-
-    def place(b: int, least: str) -> Column:
-        at = F.array_position(f"_t{b}", F.col(least)) - 1
-        return F.when(at < F.size("_h"), at.cast("int")).otherwise(F.get("_e", (at - F.size("_h")).cast("int")).p)
-
-    both = [F.struct(place(b, f"_m{b}").alias("x"), place(b, f"_n{b}").alias("y")).alias(f"_p{b}") for b in orders]
-    df = df.select(*kept, "_h", *both)
-    at = lambda p: F.get("_h", p)
-    tuples = [F.xxhash64(at(F.least(f"_p{b}.x", f"_p{b}.y")), at(F.greatest(f"_p{b}.x", f"_p{b}.y"))) for b in orders]
     empty = F.array_repeat(F.lit(0).cast("long"), M)
-    return df.select(*kept, F.when(F.size("_h") == 0, empty).otherwise(F.array(*tuples)).alias(out))
+    return F.when(n == 0, empty).otherwise(F.transform(F.array(*[F.lit(b) for b in BOUNDS]), one))
+
+
+def signature(text: Column) -> Column:
+    """Array of ``M`` longs. Null counts as empty; a text without words has an all-zero signature.
+
+    Texts with fewer than ``K`` words have one k-mer, the whole sequence.
+    """
+
+    def kmers(w: Column) -> Column:
+        n = F.size(w)
+        return (
+            F.when(n == 0, F.array().cast("array<bigint>"))
+            .when(n < K, F.array(F.xxhash64(w)))
+            .otherwise(
+                F.transform(
+                    F.slice(w, F.lit(1), n - (K - 1)),
+                    lambda x, i: F.xxhash64(x, *[F.get(w, i + d) for d in range(1, K)]),
+                )
+            )
+        )
+
+    return let(
+        words_of(text),
+        lambda w: let(kmers(w), lambda h: let(_numbered(h), lambda q: let(F.sort_array(q), lambda s: _tuples(h, q, s)))),
+    )
 
 
 def as_string(sig: Column) -> Column:
-    return F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    return F.array_join(F.transform(sig, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -154,17 +159,15 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     Input: doc_id, text (other columns are ignored; null text counts as empty). One row for
     each input row, repeated rows included; an empty table gives an empty result.
     """
-    # expressions in more than 8000 bytes of code are split instead of being left to the interpreter
-    docs.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = with_signature(own, "text", "sig")
+    own = own.withColumn("sig", signature(F.col("text")))
     rows = with_next(own, ["text", "sig"])
     cut = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(
         F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut)
     )
     rows = rows.withColumn("edited", edited)
-    rows = with_signature(rows, "edited", "edited_sig")
+    rows = rows.withColumn("edited_sig", signature(F.col("edited")))
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
