@@ -499,13 +499,6 @@ def run_verdicts(spark, d):
     return _round(rows.select("rank", "pattern", "interval", "kind", "trades", "verdict", *_VERDICT), _VERDICT)
 
 
-@query()
-def walk_forward(spark, d):
-    """Pooled out-of-sample test of three folds."""
-    own, control = plan.walk_forward(fixtures.bars(spark, d, "day"), Config(), 3)
-    return plan.walk_forward_test(own, control, Config())
-
-
 # -- drill-down and ticker ----------------------------------------------------------------------
 
 
