@@ -192,7 +192,7 @@ WITH p AS (
     'sha256:' || sha256(payload) AS source_payload_digest,
     {_sql_text("payload")} AS text,
     trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '\\s+', ' ', 'g')) AS title,
-    regexp_extract(payload, '(?i)<html[^>]*\\blang="([^"]*)"', 1) AS lang,
+    translate(regexp_extract(payload, '(?i)<html[^>]*\\blang="([^"]*)"', 1), {_CRLF}, '  ') AS lang,
     len(regexp_extract_all(payload, '(?i)<a\\s[^>]*href=')) AS links
   FROM p
 ), s AS (
@@ -221,7 +221,7 @@ SELECT page_id, warc_type, record_id, refers_to, concurrent_to, target_uri, date
   source_payload_digest, source_block_digest, block_digest, content_length,
   sha256('WARC/1.1' || {_CRLF} || 'WARC-Type: ' || warc_type || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF}
     || 'WARC-Refers-To: ' || refers_to || {_CRLF} || 'WARC-Concurrent-To: ' || concurrent_to || {_CRLF}
-    || 'WARC-Target-URI: ' || target_uri || {_CRLF} || 'WARC-Date: ' || date || {_CRLF}
+    || 'WARC-Target-URI: ' || translate(target_uri, {_CRLF}, '  ') || {_CRLF} || 'WARC-Date: ' || date || {_CRLF}
     || 'WARC-Source-Payload-Digest: ' || source_payload_digest || {_CRLF}
     || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'Content-Type: ' || content_type || {_CRLF}
     || 'Content-Length: ' || content_length || {_CRLF} || {_CRLF} || block || {_CRLF} || {_CRLF}) AS record_sha256

@@ -66,6 +66,11 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     )
 
 
+def one_line(value: Column) -> Column:
+    """Line ends as blanks, so that a value can't begin a header of its own."""
+    return F.translate(value, "\r\n", "  ")
+
+
 def derivatives(sources: DataFrame) -> DataFrame:
     """Two records for each response, linked to it and to each other.
 
@@ -73,9 +78,12 @@ def derivatives(sources: DataFrame) -> DataFrame:
     block_digest (other columns are ignored). Output: page_id, warc_type, record_id, refers_to,
     concurrent_to, target_uri, date, content_type, source_payload_digest, source_block_digest,
     block, block_digest, content_length, and record, the record as it is written. A payload
-    without text gives an empty conversion block. Repeated responses give repeated records. An
+    without text gives an empty conversion block. Null texts count as empty. Line ends inside a
+    header's value are written as blanks. Repeated responses give repeated records. An
     empty table gives an empty result.
     """
+    texts = ("record_id", "target_uri", "date", "http_headers", "payload", "payload_digest", "block_digest")
+    sources = sources.select("page_id", *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
     rows = sources.select(
         "page_id",
         F.col("record_id").alias("refers_to"),
@@ -86,7 +94,7 @@ def derivatives(sources: DataFrame) -> DataFrame:
         F.col("block_digest").alias("source_block_digest"),
         plain_text(F.col("payload")).alias("text"),
         F.btrim(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " ")).alias("title"),
-        F.regexp_extract("payload", r"(?i)<html[^>]*\blang=\"([^\"]*)\"", 1).alias("lang"),
+        one_line(F.regexp_extract("payload", r"(?i)<html[^>]*\blang=\"([^\"]*)\"", 1)).alias("lang"),
         F.size(F.regexp_extract_all("payload", F.lit(r"(?i)<a\s[^>]*href="), 0)).alias("links"),
     )
     rows = rows.withColumns(
@@ -97,7 +105,7 @@ def derivatives(sources: DataFrame) -> DataFrame:
     )
     fields = F.concat(
         F.lit("source-headers: "),
-        F.replace(F.btrim(F.col("http_headers"), F.lit("\r\n")), F.lit("\r\n"), F.lit(" | ")),
+        one_line(F.replace(F.btrim(F.col("http_headers"), F.lit("\r\n")), F.lit("\r\n"), F.lit(" | "))),
         F.lit("\r\nsource-payload-digest: "),
         F.col("source_payload_digest"),
         F.lit("\r\nsource-block-digest: "),
@@ -136,7 +144,7 @@ def derivatives(sources: DataFrame) -> DataFrame:
         "\r\n",
         F.lit("WARC/1.1"),
         *[
-            F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
+            F.concat(F.lit(f"{name}: "), one_line(F.col(c).cast("string")) if c in ("target_uri", "date") else F.col(c).cast("string"))
             for name, c in (
                 ("WARC-Type", "warc_type"),
                 ("WARC-Record-ID", "record_id"),

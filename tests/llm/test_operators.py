@@ -249,6 +249,21 @@ def test_warc_records_are_linked(spark):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_values_stay_on_their_line(spark):
+    odd = '<html lang="en\r\nX-Injected: 1"><title>a\r\nb</title><!-- never closed ' + "x" * 100_000
+    pages = spark.createDataFrame([(1, "http://a/\r\nWARC-Type: warcinfo\n", odd)], "page_id long, url string, html string")
+    sources = warc.responses(pages)
+    made = warc.derivatives(sources).collect()
+    for r in made:
+        head = r.record.partition("\r\n\r\n")[0].split("\r\n")
+        assert len(head) == 11 and sum(x.startswith("WARC-Type:") for x in head) == 1
+        assert r.content_length == len(r.block.encode())
+    fields = next(r.block for r in made if r.warc_type == "metadata").split("\r\n")
+    assert not [x for x in fields if x.startswith("X-Injected")] and len(fields) == 9
+    nulls = sources.select("page_id", *[F.lit(None).cast("string").alias(c) for c in sources.columns[1:]])
+    assert warc.derivatives(nulls).filter("record is null or block is null").count() == 0
+
+
 # -- byte-level BPE -----------------------------------------------------------------------------
 
 
