@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalforge.config import Config, Run, Stats
+from signalforge.config import Config, Stats
 from signalforge.operators import metrics
 from signalforge.plans import run as plan
 from signalforge.sources import bars as bar
@@ -111,23 +111,18 @@ def test_segments_cover_the_later_dates_once():
     assert plan.segments([], 3) == []
 
 
-def test_run_and_walk_forward_on_random_bars(spark):
-    """No edge in bars without one; every row of the grid is there, controls trade, and costs by bar count."""
-    bars = synthetic_bars(spark, ["AA"], dt.date(2025, 3, 3), dt.date(2025, 3, 10))
-    bars = bar.sessionise(bar.validate(bars), F.to_date("ts")).filter("bar_idx < 100").coalesce(2)
-    bars = spark.createDataFrame(bars.collect(), bars.schema).coalesce(2).cache()
-    config = Config(run=Run(trials=8, holdout_fraction=0.25), stats=Stats(min_trades=5, min_sessions=2, bootstrap_samples=200))
-    names = ["bullish_engulfing"]
+def test_controls_trade_and_bars_have_costs_of_their_own(spark):
+    bars = synthetic_bars(spark, ["AA"], dt.date(2025, 3, 3), dt.date(2025, 3, 5))
+    bars = bar.sessionise(bar.validate(bars), F.to_date("ts")).filter("bar_idx < 100")
+    bars = spark.createDataFrame(bars.collect(), bars.schema).coalesce(1).cache()
+    config, names = Config(), ["bullish_engulfing"]
+    lookbacks = plan.fitted(bars, config)
+    random = plan.control_trades(bars, config, lookbacks, names).toPandas()
+    assert set(random.pattern) == {"random_long", "random_short"} and (random.entry_index > lookbacks["1m"]).all()
+    assert plan.own_trades(bars, config, lookbacks, names).filter("cost_bps <> 1.0").count() == 0
     bar_costs = plan.estimated_costs(bars, config)
-    found = plan.run(bars, config, names, bar_costs).toPandas()
-    assert len(found) == 3 * 2 and set(found.kind) == {"pattern", "control"}
-    assert (found[found.kind == "control"].trades > 0).all() and "EDGE" not in set(found.verdict)
-    own, control = plan.walk_forward(bars, config, 2, names)
-    assert own.columns[-1] == "fold" and control.columns[-1] == "fold"
-    every = plan.own_trades(bars, config, plan.fitted(bars, config), names)
-    assert every.filter("cost_bps <> 1.0").count() == 0
-    priced = plan.own_trades(bars, config, plan.fitted(bars, config), names, bar_costs)
-    assert priced.filter("cost_bps <> 1.0").count() > 0
+    assert bar_costs.count() == bars.count()
+    assert plan.own_trades(bars, config, lookbacks, names, bar_costs).filter("cost_bps <> 1.0").count() > 0
 
 
 def test_walk_forward_test_pools_all_trades(spark):
