@@ -32,8 +32,11 @@ from signalforge.llm.bpe import Encoder, encoder
 from signalforge.llm.common import numbered, shuffle_partitions, stored
 
 CAPACITY, END_ID = 1024, 2
-#: Gap at which the program counts as solved, its rounds at most (the rest is solved anew), and pieces left to best fit.
-GAP, ROUNDS, REST = 0.01, 200, 100
+#: Gap at which the program counts as solved, and pieces left to best fit.
+GAP, REST = 0.01, 100
+#: Ways to round, of which the better counts: rounds of a solution at most, and the part of its shares that is taken
+#: before the rest is solved anew. Long steps suit even histograms, short ones those of a few long and many short pieces.
+WAYS = ((200, 1.0), (30, 0.15))
 #: How fast prices fall with coverage, what counts as near the best, and what breaks ties among prices.
 RATE, NEAR, NOISE = 4.0, 0.1, 0.0005
 
@@ -116,7 +119,7 @@ def configuration(first: int, took: np.ndarray) -> Configuration:
     return tuple(sorted(counts.items(), reverse=True))
 
 
-def fractional(histogram: np.ndarray) -> tuple[dict[Configuration, float], float]:
+def fractional(histogram: np.ndarray, rounds: int = WAYS[0][0]) -> tuple[dict[Configuration, float], float]:
     """Shares of configurations that cover every length, and a lower bound on the sequences needed."""
     lengths = np.flatnonzero(histogram)
     need = histogram[lengths].astype(float)
@@ -125,7 +128,7 @@ def fractional(histogram: np.ndarray) -> tuple[dict[Configuration, float], float
     ratio = np.zeros(len(lengths))
     shares: dict[Configuration, float] = defaultdict(float)
     bound, noise = 0.0, np.random.default_rng(0)
-    for k in range(ROUNDS):
+    for k in range(rounds):
         values = lengths / CAPACITY * np.exp(-RATE * (ratio - ratio.min()))
         if k:
             values *= 1 + NOISE * noise.random(len(lengths))
@@ -183,24 +186,30 @@ def best_fit(histogram: np.ndarray) -> list[Group]:
     return [g for groups in open_.values() for g in groups]
 
 
-def packed(histogram: np.ndarray) -> list[Group]:
+def rounded(histogram: np.ndarray, rounds: int, part: float) -> list[Group]:
     """The program's shares as whole sequences, solved again over what they leave; best fit for the last few pieces."""
     left = histogram.astype(int).copy()
     groups: list[Group] = []
     while int(left.sum()) > REST:
         before = int(left.sum())
-        shares, _ = fractional(left)
+        shares, bound = fractional(left, rounds)
+        taken = part * min(1.0, bound / sum(shares.values())) if part < 1 else 1.0
         for chosen, share in sorted(shares.items(), key=lambda x: -x[1]):
-            n = min(math.ceil(share), *(int(left[s]) // many for s, many in chosen))
+            n = min(math.ceil(share * taken), *(int(left[s]) // many for s, many in chosen))
             if n > 0:
                 groups.append(Group(chosen, n))
                 for s, many in chosen:
                     left[s] -= n * many
-        if int(left.sum()) > 0.9 * before:  # no configuration of several lengths is left that fits what there is
+        if int(left.sum()) > (1 - 0.1 * part) * before:  # no configuration of several lengths is left that fits what there is
             break
     return groups + best_fit(left)
 
 
+def packed(histogram: np.ndarray) -> list[Group]:
+    """The program rounded in the better one of ``WAYS``."""
+    return min((rounded(histogram, *way) for way in WAYS), key=lambda found: sum(g.count for g in found))
+
+
 def slots(groups: list[Group]) -> dict[int, np.ndarray]:
     """By length: rows of (first rank, pieces in each sequence, first sequence, offset there), by first rank."""
     used: dict[int, int] = defaultdict(int)
