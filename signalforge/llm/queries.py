@@ -9,13 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalforge.llm import bpe, chat, fingerprint, packing, quality, setjoin, sharding, suffix, toxicity, warc
+from signalforge.llm import bpe, chat, fingerprint, huffman, packing, quality, setjoin, sharding, suffix, toxicity, warc
 from signalforge.llm.common import documents
 from signalforge.session import ship
 
 
 #: The vocabulary of byte_bpe_50k.json as ranks; both give the same ids, but for the JSON file's added tokens.
 RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_examples(held.unionByName(probe)))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.through_files(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(WORD_TOKENIZER))
+
+
 OP3_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents
@@ -280,6 +285,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_chat_formatting": op10_chat_formatting,
+        "op12_token_files": op12_token_files,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
