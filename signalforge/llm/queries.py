@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalforge.llm import bpe, chat, fingerprint, huffman, packing, quality, setjoin, sharding, suffix, toxicity, warc
+from signalforge.llm import bpe, chat, fingerprint, huffman, packing, periods, quality, ranked, setjoin, sharding, suffix, toxicity, warc
 from signalforge.llm.common import documents
 from signalforge.session import ship
 
@@ -82,10 +82,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.prefix_examples(held.unionByName(probe)))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(periods.detect(documents(spark, sf_dir).select("doc_id", "text"), periods.planted))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.through_files(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(WORD_TOKENIZER))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return ranked.search(documents(spark, sf_dir).select("doc_id", "text"), items)
+
+
 OP3_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents
@@ -263,6 +272,33 @@ SELECT conv_id, max(n) AS n_turns,
 FROM p GROUP BY conv_id
 """
 
+_TERMS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+OP13_SQL = f"""
+WITH w AS (
+  SELECT rid, doc_id, unnest({_TERMS.format("coalesce(text, '')")}) AS term
+  FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)
+), t AS (
+  SELECT rid, doc_id, term, count(*) AS tf FROM w GROUP BY rid, doc_id, term
+), d AS (
+  SELECT rid, sum(tf) AS n FROM t GROUP BY rid
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d
+), q AS (
+  SELECT DISTINCT item_id, unnest({_TERMS.format("coalesce(text, '')")}) AS term FROM benchmark
+), f AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s
+), m AS (
+  SELECT rid, CAST(100 - {ranked.SHARE} + ({ranked.SHARE} * n * docs) // terms AS BIGINT) AS length FROM d, s
+), r AS (
+  SELECT item_id, rid, doc_id, CAST(sum(weight * (({ranked.SCALE} * tf) // ({ranked.PER_TERM} * tf + {ranked.PER_LENGTH} * length))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (rid) GROUP BY item_id, rid, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {ranked.BEST}
+"""
+
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
@@ -285,10 +321,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_periodic_runs": op11_periodic_runs,
         "op12_token_files": op12_token_files,
+        "op13_ranked_search": op13_ranked_search,
     }
     return {name: _shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op4_warc_derivatives": OP4_SQL, "op10_chat_formatting": OP10_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op4_warc_derivatives": OP4_SQL, "op10_chat_formatting": OP10_SQL, "op13_ranked_search": OP13_SQL}
