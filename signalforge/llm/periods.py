@@ -105,8 +105,8 @@ def runs_of(words: list[bytes], held: Grid) -> list[Run]:
     scanned: set[int] = set()
     for at, p in zip(ends[new].tolist(), periods[new].tolist(), strict=True):
         start, end = divmod(at, n + 1)
-        if (start, end) in out:
-            continue  # the least period came first
+        if out.get((start, end), p + 1) <= p:
+            continue
         if words[start : end - p] == words[start + p : end]:
             out[start, end] = p
         elif p not in scanned:
