@@ -56,7 +56,7 @@ class TradeRules:
 class Costs:
     slippage_bps: float = 1.0
     commission: float = 0.0
-    #: An estimated one-way cost above this share of the price counts as no estimate.
+    #: An estimated round-trip spread above this share of the price counts as no estimate.
     ceiling: float = 0.02
 
 
@@ -81,6 +81,8 @@ class Run:
     seed: int = 42
     windows: int = 1
     holdout_fraction: float = 0.2
+    #: Newest date that may be drawn, as YYYY-MM-DD.
+    end_date: str | None = None
 
     def __post_init__(self) -> None:
         _between("holdout_fraction", self.holdout_fraction, 0, 0.9)

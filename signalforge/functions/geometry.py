@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalforge.config import Thresholds
-from signalforge.sources.bars import in_order
+from signalforge.sources.bars import KEY, in_order
 
 BASE = {
     "o": "open",
@@ -45,28 +45,29 @@ def slope(lookback: int, close: str = "c", lag: str = "lag({}, {}) OVER w") -> s
     return f"({' + '.join(terms)}) / CAST({norm} AS DOUBLE)"
 
 
-def trend(t: Thresholds) -> Column:
+#: The one window, as SQL. Wide sets of columns are given to Spark as SQL texts: one call, where columns take thousands.
+OVER = f"OVER (PARTITION BY {', '.join(KEY)} ORDER BY bar_idx)"
+
+
+def with_sql(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add, or replace, columns given as SQL."""
+    return df.selectExpr(*[f"`{c}`" for c in df.columns if c not in columns], *[f"{v} AS `{k}`" for k, v in columns.items()])
+
+
+def trend(t: Thresholds) -> str:
     """1 up, -1 down, 0 neither or fewer bars than the lookback."""
-    w = in_order()
-    n, mid = t.trend_lookback, (t.trend_lookback - 1) / 2
-    back = lambda k: F.lag("c", k).over(w) if k else F.col("c")
-    total = F.lit(0.0)
-    for k in range(1, n):
-        term = F.lit(float(k - mid)) * (back(n - 1 - k) - back(n - 1))
-        total = term if k == 1 else total + term
-    rise = total / F.lit(float(sum((k - mid) ** 2 for k in range(n))))
-    share = rise / F.avg("c").over(w.rowsBetween(-(n - 1), 0)) if t.trend_min_slope else rise
-    up = share >= t.trend_min_slope if t.trend_min_slope else share > 0
-    down = share <= -t.trend_min_slope if t.trend_min_slope else share < 0
-    return F.when(F.col("bar_idx") < n - 1, 0).when(up, 1).when(down, -1).otherwise(0)
+    n = t.trend_lookback
+    rise = slope(n, lag=f"lag({{}}, {{}}) {OVER}")
+    if not t.trend_min_slope:
+        return f"CASE WHEN bar_idx < {n - 1} THEN 0 WHEN {rise} > 0 THEN 1 WHEN {rise} < 0 THEN -1 ELSE 0 END"
+    share, least = f"{rise} / avg(c) {OVER[:-1]} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)", f"CAST({t.trend_min_slope!r} AS DOUBLE)"
+    return f"CASE WHEN bar_idx < {n - 1} THEN 0 WHEN {share} >= {least} THEN 1 WHEN {share} <= -{least} THEN -1 ELSE 0 END"
 
 
 def geometry(bars: DataFrame, t: Thresholds) -> DataFrame:
     """Add geometry, its lags and the trend to sessionised bars."""
-    w = in_order()
-    rows = bars.withColumns({k: F.expr(v) for k, v in BASE.items()})
-    lags = {f"{c}{k}": F.lag(c, k).over(w) for k in range(1, LAGS + 1) for c in LAGGED}
-    return rows.withColumns(lags | {"trend": trend(t)})
+    lags = {f"{c}{k}": f"lag({c}, {k}) {OVER}" for k in range(1, LAGS + 1) for c in LAGGED}
+    return with_sql(with_sql(bars, BASE), lags | {"trend": trend(t)})
 
 
 def rolling_min(column: str, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalforge.config import Costs
+from signalforge.config import INTERVALS, Costs
 from signalforge.sources.bars import KEY
 
 #: Minutes from the open at which midday begins and ends.
@@ -34,10 +34,22 @@ def corwin_schultz(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def one_way(spread: Column, costs: Costs) -> Column:
-    """Half the spread as a share of the price; the fixed slippage where there is no usable estimate."""
+    """Half the spread as a share of the price; the fixed slippage where there is no estimate, none above 0, or an implausible one."""
     fixed = F.lit(costs.slippage_bps / 1e4)
-    half = spread / 2
-    return F.when(spread.isNull() | (spread <= 0) | (half > costs.ceiling), fixed).otherwise(half)
+    return F.when(spread.isNull() | (spread <= 0) | (spread > costs.ceiling), fixed).otherwise(spread / 2)
+
+
+def estimated(bars: DataFrame, costs: Costs) -> DataFrame:
+    """(symbol, session, spread, cost): one estimate for each session, from its narrowest interval of a minute at least.
+
+    Longer bars give wider estimates, and seconds without movement give none, so every interval
+    of a session is charged by the same one.
+    """
+    minutes = F.create_map(*[F.lit(x) for i, m in INTERVALS.items() for x in (i, float(m))])
+    sizes = bars.select("symbol", "session", "interval").distinct().withColumn("_m", minutes[F.col("interval")]).filter("_m >= 1")
+    chosen = sizes.groupBy("symbol", "session").agg(F.min_by("interval", "_m").alias("interval"))
+    spread = corwin_schultz(bars.join(chosen, KEY, "left_semi"))
+    return spread.select("symbol", "session", "spread", one_way(F.col("spread"), costs).alias("cost"))
 
 
 def half_spread_bps(bid: Column, ask: Column) -> Column:

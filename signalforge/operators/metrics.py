@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalforge.config import ALL, Stats
 
 BY = ["pattern", "interval"]
-CHRONO = ["session", "entry_index", "symbol", "interval"]
 
 
 def pooled(trades: DataFrame) -> DataFrame:
@@ -44,15 +44,59 @@ def summarise(trades: DataFrame, grid: DataFrame) -> DataFrame:
     return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("trades", "sessions")})
 
 
+def chronological(trades: DataFrame) -> list:
+    """A date's trades in order: by the clock minute of entry where they have one, symbol, interval and bar."""
+    minute = [F.asc_nulls_last("entry_minute")] if "entry_minute" in trades.columns else []
+    return [*minute, "symbol", "interval", "entry_index"]
+
+
+def _within_dates(trades: DataFrame) -> DataFrame:
+    """Add the running sum of net R and the place within a pattern's date; the running peak may start at 0."""
+    order = Window.partitionBy(*BY, "session").orderBy(*chronological(trades))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = trades.withColumns({"_k": F.row_number().over(order), "_sum": F.sum("net_r").over(upto)})
+    return rows.withColumn("_top", F.greatest(F.lit(0.0), F.max("_sum").over(upto)))
+
+
 def equity(trades: DataFrame) -> DataFrame:
-    """Running sum of net R and its running peak, in chronological order."""
-    w = Window.partitionBy(*BY).orderBy(*CHRONO).rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumns({"trade_no": F.row_number().over(Window.partitionBy(*BY).orderBy(*CHRONO)), "equity_r": F.sum("net_r").over(w)})
-    return rows.withColumn("peak_r", F.greatest(F.lit(0.0), F.max("equity_r").over(w)))
+    """Running sum of net R and its running peak, in chronological order.
+
+    Dates are summed by themselves and start where the dates before them end, so no window holds
+    more than one date's trades, or one row for each date, of a pattern.
+    """
+    rows = _within_dates(trades)
+    days = rows.groupBy(*BY, "session").agg(F.count("*").alias("_n"), F.sum("net_r").alias("_total"), F.max("_top").alias("_high"))
+    before = Window.partitionBy(*BY).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
+    starts = days.withColumns({"_first": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_base": F.coalesce(F.sum("_total").over(before), F.lit(0.0))})
+    starts = starts.withColumn("_peak", F.coalesce(F.max(F.col("_base") + F.col("_high")).over(before), F.lit(0.0)))
+    joined = rows.join(starts.select(*BY, "session", "_first", "_base", "_peak"), [*BY, "session"])
+    return joined.select(
+        *[trades[c] for c in trades.columns],
+        (F.col("_k") + F.col("_first")).cast("int").alias("trade_no"),
+        (F.col("_base") + F.col("_sum")).alias("equity_r"),
+        F.greatest("_peak", F.col("_base") + F.col("_top")).alias("peak_r"),
+    )
 
 
 def max_drawdown(trades: DataFrame) -> DataFrame:
-    return equity(trades).groupBy(*BY).agg(F.max(F.col("peak_r") - F.col("equity_r")).alias("max_drawdown_r"))
+    """Deepest fall of the equity from its peak, which starts at 0.
+
+    A stretch of trades is summed up by its total, its highest and lowest running sum and its
+    deepest fall; two neighbouring stretches combine without their trades. Each date is one
+    stretch; a pattern's dates, one row each, are combined in order.
+    """
+    rows = _within_dates(trades).withColumn("_fall", F.col("_top") - F.col("_sum"))
+    days = rows.groupBy(*BY, "session").agg(
+        F.sum("net_r").alias("total"), F.max("_top").alias("high"), F.least(F.lit(0.0), F.min("_sum")).alias("low"), F.max("_fall").alias("fall")
+    )
+    held = F.array_sort(F.collect_list(F.struct("session", "total", "high", "low", "fall")))
+    nothing = F.struct(*[F.lit(0.0).alias(c) for c in ("total", "high", "fall")])
+    both = lambda a, b: F.struct(
+        (a.total + b.total).alias("total"),
+        F.greatest(a.high, a.total + b.high).alias("high"),
+        F.greatest(a.fall, b.fall, a.high - (a.total + b.low)).alias("fall"),
+    )
+    return days.groupBy(*BY).agg(F.aggregate(held, nothing, both, lambda x: x.fall).alias("max_drawdown_r"))
 
 
 def exit_mix(trades: DataFrame) -> DataFrame:
@@ -79,84 +123,176 @@ def stability(trades: DataFrame, stats: Stats) -> DataFrame:
     return per.groupBy(*BY).agg(pairs.alias("window_expectancy_r"), F.when(F.count("*") >= 2, good).alias("stability"))
 
 
+#: Buckets of a session in its own order.
+BUCKETS = ("open", "midday", "close", "unknown")
+
+
 def breakdown(trades: DataFrame, by: str) -> DataFrame:
-    return trades.groupBy("pattern", by).agg(
-        F.count("*").alias("trades"),
-        F.avg((F.col("net_r") > 0).cast("double")).alias("win_rate"),
-        F.avg("net_r").alias("expectancy_r"),
-        F.sum("net_r").alias("total_r"),
+    """Figures of a pattern's trades by another column, with the share of each exit reason; place orders the groups.
+
+    Times of day come in the session's order, other values in their own.
+    """
+    rows = trades.groupBy("pattern", by, "exit_reason").agg(
+        F.count("*").alias("n"), F.count_if(F.col("net_r") > 0).alias("won"), F.sum("net_r").alias("r")
+    )
+    found = rows.groupBy("pattern", by).agg(
+        F.sum("n").alias("trades"),
+        (F.sum("won") / F.sum("n")).alias("win_rate"),
+        (F.sum("r") / F.sum("n")).alias("expectancy_r"),
+        F.sum("r").alias("total_r"),
+        F.array_sort(F.collect_list(F.struct("exit_reason", "n"))).alias("_mix"),
     )
+    mix = F.map_from_entries(F.transform("_mix", lambda x: F.struct(x.exit_reason, x.n / F.col("trades"))))
+    place = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col(by)) if by == "time_of_day" else F.col(by)
+    at = F.row_number().over(Window.partitionBy("pattern").orderBy(F.asc_nulls_last(place))) - 1
+    return found.withColumns({"exit_mix": mix, "place": at}).drop("_mix")
 
 
 def date_totals(trades: DataFrame, dates: DataFrame, value: str = "net_r") -> DataFrame:
-    """Sum and count of every (pattern, interval, session), also of dates without a trade."""
-    keys = trades.select(*BY).distinct()
+    """Sum and count of every (pattern, interval, session), also of dates without a trade.
+
+    Trades on a date that isn't among ``dates`` are an error: their sum would be lost.
+    """
+    days = dates.select("session").distinct()
     held = trades.groupBy(*BY, "session").agg(F.sum(value).alias("total"), F.count("*").alias("n"))
-    universe = keys.join(F.broadcast(dates.select("session").distinct()))  # few keys, one row for each date
-    rows = universe.join(held, [*BY, "session"], "left")
-    return rows.withColumns({"total": F.coalesce("total", F.lit(0.0)), "n": F.coalesce("n", F.lit(0))})
+    known = F.broadcast(days.withColumn("_known", F.lit(True)))  # one row for each date
+    held = held.join(known, "session", "left").withColumn(
+        "n", F.when(F.col("_known"), F.col("n")).otherwise(F.raise_error(F.concat(F.lit("trades on an unknown date: "), F.col("session").cast("string"))).cast("long"))
+    )
+    keys = held.groupBy(*BY).agg(F.collect_list(F.struct("session", "total", "n")).alias("held"))
+    every = days.agg(F.array_sort(F.collect_list("session")).alias("days"))  # one row
+    rows = keys.join(F.broadcast(every)).select(*BY, F.explode("days").alias("session"), F.map_from_entries(F.transform("held", lambda x: F.struct(x.session, F.struct(x.total, x.n)))).alias("m"))
+    of = lambda c, none: F.coalesce(F.col("m")[F.col("session")][c], none)
+    return rows.select(*BY, "session", of("total", F.lit(0.0)).alias("total"), of("n", F.lit(0).cast("long")).alias("n"))
 
 
-def bootstrap_draws(totals: DataFrame, samples: int, seed: int) -> DataFrame:
+@dataclass(frozen=True)
+class Totals:
+    """Sums over each date (rows) of each hypothesis (columns): n and net R of its trades, their gross R, n and gross R of its controls."""
+
+    keys: list[tuple[str, str]]
+    dates: list[str]
+    sums: np.ndarray
+    #: Dates of a hypothesis's controls, and dates that it shares with them.
+    control_sessions: np.ndarray
+    paired_sessions: np.ndarray
+
+
+def totals_of(own: DataFrame, control: DataFrame | None, dates: DataFrame) -> Totals:
+    """One aggregate of all trades; the driver sees one row for each pattern, interval and date, whatever the bars."""
+    one = lambda t, kind: t.groupBy(*BY, "session").agg(
+        F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum("net_r" if "net_r" in t.columns else F.lit(0.0)).alias("net"), F.sum("gross_r" if "gross_r" in t.columns else F.lit(0.0)).alias("gross")
+    )
+    rows = one(own, "own") if control is None else one(own, "own").unionByName(one(control, "control"))
+    held = rows.withColumn("session", F.col("session").cast("string")).toPandas()
+    days = sorted(r[0] for r in dates.select(F.col("session").cast("string")).distinct().collect())
+    keys = sorted(set(zip(held["pattern"], held["interval"], strict=True)))
+    at, day = {k: i for i, k in enumerate(keys)}, {d: i for i, d in enumerate(days)}
+    if unknown := set(held["session"]) - set(days):
+        raise ValueError(f"trades on an unknown date: {sorted(unknown)[0]}")
+    sums = np.zeros((5, len(days), len(keys)))
+    for kind, place in (("own", (0, 1, 2)), ("control", (3, None, 4))):
+        part = held[held["kind"] == kind]
+        row = [day[x] for x in part["session"]]
+        column = [at[k] for k in zip(part["pattern"], part["interval"], strict=True)]
+        for c, k in zip(("n", "net", "gross"), place, strict=True):
+            if k is not None:
+                sums[k, row, column] = part[c].astype(float)
+    has_own, has_control = sums[0] > 0, sums[3] > 0
+    return Totals(keys, days, sums, has_control.sum(0), (has_own & has_control).sum(0))
+
+
+def weights(ids: list[int], seed: int, days: int) -> np.ndarray:
+    """How often each date is drawn, a row for each draw: which date its j-th is follows from (seed, draw, j)."""
+    out = np.empty((len(ids), days))
+    for i, k in enumerate(ids):
+        drawn = [int(hashlib.md5(f"{seed}|{k}|{j}".encode()).hexdigest()[:8], 16) % days for j in range(days)]
+        out[i] = np.bincount(drawn, minlength=days)
+    return out
+
+
+def _mean(total: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, total / np.where(n > 0, n, 1.0), np.nan)
+
+
+def bootstrap_draws(own: DataFrame, dates: DataFrame, samples: int, seed: int) -> DataFrame:
     """Mean of each draw: dates are resampled together for every row, so that rows are comparable.
 
-    A draw takes as many dates as there are; which one its j-th is follows from (seed, draw, j).
-    The totals of a hypothesis are a vector over the dates: patterns, intervals and dates bound
-    them, whatever the bars. Draws are dealt over tasks, each of which weighs its draws' dates
-    once and multiplies them with all vectors.
+    A draw takes as many dates as there are. Draws are dealt over tasks, each of which weighs its
+    draws' dates once and multiplies them with the sums of all hypotheses.
     """
-    spark = totals.sparkSession
-    held = totals.select(*BY, "session", "total", "n").toPandas()
-    dates = np.unique(held["session"].astype(str))
-    keys = sorted(set(zip(*(held[c] for c in BY), strict=True)))
-    at = {k: i for i, k in enumerate(keys)}
-    row = [at[k] for k in zip(*(held[c] for c in BY), strict=True)]
-    column = np.searchsorted(dates, held["session"].astype(str))
-    values = np.zeros((2, len(dates), len(keys)))
-    values[0, column, row] = held["total"].astype(float)
-    values[1, column, row] = held["n"].astype(float)
+    spark, t = own.sparkSession, totals_of(own, None, dates)
+    kind = "pattern string, interval string, draw long, mean double"
+    if not t.keys:
+        return spark.createDataFrame([], kind)
+    sent = spark.sparkContext.broadcast(t)  # patterns, intervals and dates bound it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [pa.array([k[i] for k in keys], pa.string()) for i in range(len(BY))]
+        t = sent.value
+        names = [pa.array([k[i] for k in t.keys], pa.string()) for i in range(len(BY))]
         for batch in batches:
-            for k in batch.column("id").to_pylist():
-                drawn = [int(hashlib.md5(f"{seed}|{k}|{j}".encode()).hexdigest()[:8], 16) % len(dates) for j in range(len(dates))]
-                weights = np.bincount(drawn, minlength=len(dates)).astype(float)
-                total, n = weights @ values[0], weights @ values[1]
-                mean = pa.array(total / np.where(n > 0, n, 1.0), mask=n <= 0)
-                draw = pa.array(np.full(len(keys), k))
-                yield pa.RecordBatch.from_arrays([*names, draw, mean], [*BY, "draw", "mean"])
+            ids = batch.column("id").to_pylist()
+            w = weights(ids, seed, len(t.dates))
+            means = _mean(w @ t.sums[1], w @ t.sums[0])
+            for k, row in zip(ids, means, strict=True):
+                mean = pa.array(row, mask=np.isnan(row))
+                yield pa.RecordBatch.from_arrays([*names, pa.array(np.full(len(t.keys), k)), mean], [*BY, "draw", "mean"])
 
-    kind = "pattern string, interval string, draw long, mean double"
-    if not keys:
-        return spark.createDataFrame([], kind)
     return spark.range(samples).mapInArrow(run, kind)
 
 
-def evidence(draws: DataFrame, estimate: DataFrame, samples: int, two_sided: bool = True) -> DataFrame:
-    """Interval and p-value of (pattern, interval, estimate); null where under 95% of the draws have a mean.
+EVIDENCE = "pattern string, interval string, ci_low double, ci_high double, p_value double, spread double, delta_r double, delta_low double, delta_high double, delta_p_value double, control_trades long, control_sessions long, paired_sessions long"
+
+
+def judged(draws: np.ndarray, estimate: float, two_sided: bool) -> tuple[float | None, float | None, float | None, float | None]:
+    """(interval's ends, p-value, spread) of an estimate by its draws; None where under 95% of them have a mean.
 
     The p-value centres the draws on the estimate and counts those at least as extreme, draws
     without a mean and one more against it.
     """
-    rows = draws.join(estimate, BY)
-    off = F.col("mean") - F.col("estimate")
-    slack = F.lit(1e-12)  # equal draws may differ in their last digits
-    extreme = (F.abs(off) >= F.abs("estimate") - slack) if two_sided else (off >= F.col("estimate") - slack)
-    found = rows.groupBy(*BY).agg(
-        F.count("mean").alias("finite"),
-        F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"),
-        F.count_if(F.coalesce(extreme, F.lit(True))).alias("against"),
-        F.stddev_samp("mean").alias("spread"),
-    )
-    enough = F.col("finite") >= 0.95 * samples
-    return found.select(
-        *BY,
-        F.when(enough, F.col("ci")[0]).alias("ci_low"),
-        F.when(enough, F.col("ci")[1]).alias("ci_high"),
-        F.when(enough, (F.col("against") + 1) / F.lit(float(samples + 1))).alias("p_value"),
-        F.when(enough, F.col("spread")).alias("spread"),
-    )
+    finite = draws[np.isfinite(draws)]
+    if len(finite) < 0.95 * len(draws) or not np.isfinite(estimate):
+        return None, None, None, None
+    off = finite - estimate
+    slack = 1e-12  # equal draws may differ in their last digits
+    extreme = np.abs(off) >= abs(estimate) - slack if two_sided else off >= estimate - slack
+    against = int(extreme.sum()) + len(draws) - len(finite)
+    low, high = np.percentile(finite, [2.5, 97.5])
+    return float(low), float(high), (against + 1) / (len(draws) + 1), float(finite.std(ddof=1)) if len(finite) > 1 else None
+
+
+def tested(totals: Totals, spark: SparkSession, samples: int, seed: int, two_sided: bool = True) -> DataFrame:
+    """One row of evidence for each hypothesis: of its expectancy, and of its lead over its controls on the same draws.
+
+    Draws are dealt over tasks; a task returns, for each hypothesis, its draws' means as one
+    array, and a hypothesis's arrays meet where it is judged: ``samples`` numbers each.
+    """
+    if not totals.keys:
+        return spark.createDataFrame([], EVIDENCE)
+    sent = spark.sparkContext.broadcast(totals)  # patterns, intervals and dates bound it
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = sent.value
+        for batch in batches:
+            w = weights(batch.column("id").to_pylist(), seed, len(t.dates))
+            n, net, gross, other_n, other = (w @ x for x in t.sums)
+            own, lead = _mean(net, n), _mean(gross, n) - _mean(other, other_n)
+            cols = [pa.array(range(len(t.keys)), pa.int32()), *[pa.array([x[:, k].tobytes() for k in range(len(t.keys))], pa.binary()) for x in (own, lead)]]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "own", "lead"])
+
+    shape = pa.schema([(n, {"string": pa.string(), "double": pa.float64(), "long": pa.int64()}[k]) for n, k in (x.split() for x in EVIDENCE.split(", "))])
+
+    def concluded(table: pa.Table) -> pa.Table:
+        t, k = sent.value, table.column("k")[0].as_py()
+        own, lead = (np.frombuffer(b"".join(table.column(c).to_pylist()), float) for c in ("own", "lead"))
+        n, net, gross, other_n, other = t.sums[:, :, k].sum(1)
+        delta = gross / n - other / other_n if n and other_n else np.nan
+        row = [*t.keys[k], *judged(own, net / n if n else np.nan, two_sided), float(delta) if np.isfinite(delta) else None]
+        row += [*judged(lead, delta, False)[:3], int(other_n), int(t.control_sessions[k]), int(t.paired_sessions[k])]
+        return pa.Table.from_pylist([dict(zip(shape.names, row, strict=True))], shape)
+
+    parts = max(1, min(samples // 500, spark.sparkContext.defaultParallelism))
+    return spark.range(0, samples, 1, parts).mapInArrow(drawn, "k int, own binary, lead binary").groupBy("k").applyInArrow(concluded, EVIDENCE)
 
 
 def holm(rows: DataFrame, stats: Stats, p: str = "p_value", family: int | None = None) -> DataFrame:
@@ -172,12 +308,15 @@ def holm(rows: DataFrame, stats: Stats, p: str = "p_value", family: int | None =
 
 def one_family(rows: DataFrame, stats: Stats) -> DataFrame:
     """Add p_adjusted and delta_p_adjusted of p_value and delta_p_value: every row's tests are one family, controls have no delta."""
-    both = rows.select(*BY, F.lit("own").alias("test"), "p_value").unionByName(
-        rows.filter(F.col("kind") != "control").select(*BY, F.lit("delta").alias("test"), F.col("delta_p_value").alias("p_value"))
-    )
+    own = F.struct(F.lit("own").alias("test"), F.col("p_value").alias("p"))
+    delta = F.struct(F.lit("delta").alias("test"), F.col("delta_p_value").alias("p"))
+    asked = F.when(F.col("kind") == "control", F.array(own)).otherwise(F.array(own, delta))
+    both = rows.select(*BY, F.struct(*rows.columns).alias("row"), F.explode(asked).alias("t")).select("*", "t.test", F.col("t.p").alias("p_value"))
     by_test = lambda t: F.max(F.when(F.col("test") == t, F.col("p_adjusted")))
-    adjusted = holm(both, stats).groupBy(*BY).agg(by_test("own").alias("p_adjusted"), by_test("delta").alias("delta_p_adjusted"))
-    return rows.join(adjusted, BY, "left")
+    adjusted = holm(both, stats).groupBy(*BY).agg(
+        F.any_value("row").alias("row"), by_test("own").alias("p_adjusted"), by_test("delta").alias("delta_p_adjusted")
+    )
+    return adjusted.select("row.*", "p_adjusted", "delta_p_adjusted")
 
 
 def inferred(
@@ -189,30 +328,16 @@ def inferred(
     draws of dates. A test needs min_trades trades and min_sessions dates, the comparison also
     of the controls and in common (common: that number if it isn't min_sessions).
     """
-    n, floor = stats.bootstrap_samples, max(2, stats.min_sessions)
+    floor = max(2, stats.min_sessions)
     common = floor if common is None else common
-    parts = {"net": (own, "net_r"), "gross": (own, "gross_r"), "control": (control, "gross_r")}
-    totals = [date_totals(x, dates, v).withColumn("pattern", F.concat(F.lit(f"{k}|"), "pattern")) for k, (x, v) in parts.items()]
-    draws = bootstrap_draws(totals[0].unionByName(totals[1]).unionByName(totals[2]), n, seed)
-    of = lambda k: draws.filter(F.col("pattern").startswith(f"{k}|")).withColumn("pattern", F.expr("substring_index(pattern, '|', -1)"))
-    held = evidence(of("net"), rows.select(*BY, F.col("expectancy_r").alias("estimate")), n, two_sided)
-    per = control.groupBy(*BY).agg(F.avg("gross_r").alias("_b"), F.count("*").alias("_n"), F.count_distinct("session").alias("control_sessions"))
-    shared = own.select(*BY, "session").intersect(control.select(*BY, "session")).groupBy(*BY).agg(F.count("*").alias("paired_sessions"))
-    rows = rows.join(per, BY, "left").join(shared, BY, "left")
-    rows = rows.withColumn("delta_r", F.when(F.col("kind") != "control", F.col("gross_expectancy_r") - F.col("_b")))
-    lead = of("gross").join(of("control").withColumnRenamed("mean", "other"), [*BY, "draw"])
-    lead = lead.select(*BY, "draw", (F.col("mean") - F.col("other")).alias("mean"))
-    against = evidence(lead, rows.select(*BY, F.col("delta_r").alias("estimate")), n, False)
-    rows = rows.join(held, BY, "left").join(
-        against.select(*BY, F.col("ci_low").alias("delta_low"), F.col("ci_high").alias("delta_high"), F.col("p_value").alias("delta_p_value")), BY, "left"
-    )
-    dated = F.col("sessions") >= floor
+    found = tested(totals_of(own, control, dates), rows.sparkSession, stats.bootstrap_samples, seed, two_sided)
+    rows = rows.join(found, BY, "left")
+    dated, of_pattern = F.col("sessions") >= floor, F.col("kind") != "control"
     enough = dated & (F.col("trades") >= stats.min_trades)
-    paired = enough & (F.col("_n") >= stats.min_trades) & (F.col("control_sessions") >= common) & (F.col("paired_sessions") >= common)
-    paired = paired & F.col("delta_r").isNotNull()
+    paired = enough & of_pattern & (F.col("control_trades") >= stats.min_trades) & (F.col("control_sessions") >= common) & (F.col("paired_sessions") >= common)
     gates = {c: F.when(dated, F.col(c)) for c in ("ci_low", "ci_high")} | {"p_value": F.when(enough, F.col("p_value"))}
-    rows = rows.withColumns(gates | {c: F.when(paired, F.col(c)) for c in ("delta_low", "delta_high", "delta_p_value")})
-    rows = one_family(rows.drop("_b", "_n", "spread"), stats)
+    gates |= {c: F.when(paired, F.col(c)) for c in ("delta_low", "delta_high", "delta_p_value")} | {"delta_r": F.when(of_pattern, F.col("delta_r"))}
+    rows = one_family(rows.withColumns(gates).drop("control_trades"), stats)
     return rows.withColumn("verdict", verdict(stats, F.col("kind") == "control"))
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalforge.config import Thresholds
-from signalforge.functions.geometry import geometry
-from signalforge.sources.bars import in_order
+from signalforge.functions.geometry import OVER, geometry, with_sql
 
 
 @dataclass(frozen=True)
@@ -162,25 +161,31 @@ CONTROLS = {
 }
 
 
-def gated(p: Pattern, t: Thresholds) -> Column:
-    """The detector with its gates: enough history, and the trend just before its first bar."""
-    rule = F.coalesce(p.column(t), F.lit(False)) & (F.col("bar_idx") >= p.bars - 1 + t.trend_lookback)
-    if p.trend:
-        rule = rule & (F.lag("trend", p.bars).over(in_order()) == p.trend)
-    return F.coalesce(rule, F.lit(False))
+def gates(p: Pattern, t: Thresholds) -> str:
+    """Enough history, and the trend just before the detector's first bar."""
+    rule = f"bar_idx >= {p.bars - 1 + t.trend_lookback}"
+    return f"{rule} AND lag(trend, {p.bars}) {OVER} = {p.trend}" if p.trend else rule
 
 
 def masks(bars: DataFrame, t: Thresholds, names: list[str] | None = None) -> DataFrame:
     """Geometry with one boolean column for each pattern; all share the session's one exchange and sort."""
     chosen = [REGISTRY[n] for n in names or REGISTRY]
-    return geometry(bars, t).withColumns({p.name: gated(p, t) for p in chosen})
+    rows = geometry(bars, t)
+    own = {p.name: p.column(t) for p in chosen if not isinstance(p.rule, str)}
+    if own:
+        rows = rows.withColumns(own)
+    return with_sql(rows, {p.name: f"coalesce(({p.name if p.name in own else p.sql(t)}) AND {gates(p, t)}, false)" for p in chosen})
+
+
+def fired(what: dict[str, str]) -> str:
+    """SQL of the array of what stands for each pattern that fires."""
+    return f"filter(array({', '.join(f'CASE WHEN `{n}` THEN {x} END' for n, x in what.items())}), x -> x IS NOT NULL)"
 
 
 def signals(bars: DataFrame, t: Thresholds, names: list[str] | None = None) -> DataFrame:
     """(symbol, interval, session, pattern, bar_idx) where a pattern fires."""
     chosen = list(names or REGISTRY)
-    fired = F.filter(F.array(*[F.when(F.col(n), F.lit(n)) for n in chosen]), lambda x: x.isNotNull())
-    rows = masks(bars, t, chosen).select("symbol", "interval", "session", "bar_idx", F.explode(fired).alias("pattern"))
+    rows = masks(bars, t, chosen).select("symbol", "interval", "session", "bar_idx", F.explode(F.expr(fired({n: f"'{n}'" for n in chosen}))).alias("pattern"))
     return rows.select("symbol", "interval", "session", "pattern", "bar_idx")
 
 

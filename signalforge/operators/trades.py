@@ -1,8 +1,12 @@
 """From signals to trades: entries, stops, exits, costs, non-overlap and matched controls.
 
-An exit depends on its entry, its levels and the bars ahead only, so all exits are one bounded
-range join. Only the choice among overlapping trades is sequential; it is a fold over the
-candidates of one pattern and session.
+An exit depends on its entry, its levels and the bars that the trade may be held, so each entry
+brings those bars along as an array, from the window that its own bar lies in, and looks for the
+first touch there: no trade meets more bars than it may be held. Only the choice among
+overlapping trades is sequential; it is a fold over the candidates of one pattern and session.
+
+Rows may carry a trial (trial_index, trial_seed): several trials of one session are traded each
+by itself.
 """
 
 from __future__ import annotations
@@ -11,10 +15,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalforge.config import Costs, Thresholds, TradeRules
-from signalforge.operators.patterns import REGISTRY, masks
+from signalforge.operators.patterns import REGISTRY, fired, masks
 from signalforge.sources.bars import KEY, in_order
 
-ROW = [*KEY, "pattern", "entry_index"]
+#: Columns that a trade takes over from its trial, where it has one.
+TRIAL = ("trial_index", "trial_seed")
+#: Bars held up to which each bar carries those ahead of it; longer trades look into their session's bars.
+SHORT = 64
+
+
+def _trial(df: DataFrame) -> list[str]:
+    return [c for c in TRIAL if c in df.columns]
+
+
+def _bar() -> Column:
+    return F.struct(F.col("bar_idx").alias("i"), "open", "high", "low", "close")
+
+
+def bars_ahead(bars: DataFrame, rules: TradeRules) -> DataFrame:
+    """(KEY, entry_index, ahead): the bars that a trade entered at each bar may be held."""
+    if rules.max_hold_bars <= SHORT:
+        ahead = F.collect_list(_bar()).over(in_order().rowsBetween(0, rules.max_hold_bars - 1))
+        return bars.select(*KEY, F.col("bar_idx").alias("entry_index"), ahead.alias("ahead"))
+    whole = bars.groupBy(*KEY).agg(F.array_sort(F.collect_list(_bar())).alias("all"))  # one session's bars
+    rows = whole.select(*KEY, "all", F.explode("all.i").alias("entry_index"))
+    return rows.select(*KEY, "entry_index", F.filter("all", lambda x: x.i.between(F.col("entry_index"), F.col("entry_index") + (rules.max_hold_bars - 1))).alias("ahead"))
 
 
 def entries(bars: DataFrame, t: Thresholds, rules: TradeRules, names: list[str] | None = None) -> DataFrame:
@@ -22,28 +47,16 @@ def entries(bars: DataFrame, t: Thresholds, rules: TradeRules, names: list[str]
     chosen = [REGISTRY[n] for n in names or REGISTRY]
     w = in_order()
     ahead = {"next_open": F.lead("o").over(w), "bars_in_session": F.count("*").over(Window.partitionBy(*KEY))}
-    spans = sorted({(p.bars, p.direction) for p in chosen})
-    reach = {
-        f"_x{n}_{'up' if d > 0 else 'down'}": (F.min("l") if d > 0 else F.max("h")).over(w.rowsBetween(-(n - 1), 0))
-        for n, d in spans
-    }
-    rows = masks(bars, t, [p.name for p in chosen]).withColumns(ahead | reach)
-    fired = F.array(
-        *[
-            F.when(
-                F.col(p.name),
-                F.struct(
-                    F.lit(p.name).alias("pattern"),
-                    F.lit(p.direction).alias("direction"),
-                    F.col(f"_x{p.bars}_{'up' if p.direction > 0 else 'down'}").alias("extreme"),
-                ),
-            )
-            for p in chosen
-        ]
-    )
-    rows = rows.filter(F.col("next_open").isNotNull())
-    rows = rows.withColumn("s", F.explode(F.filter(fired, lambda x: x.isNotNull()))).select(
-        *KEY, "bars_in_session", "s.*", (F.col("bar_idx") + 1).alias("entry_index"), F.col("next_open").alias("entry")
+    ahead |= {"entry_minute": F.lead("minute").over(w)} if "minute" in bars.columns else {}
+    if rules.max_hold_bars <= SHORT:
+        ahead["ahead"] = F.collect_list(_bar()).over(w.rowsBetween(1, rules.max_hold_bars))
+    carried = [c for c in ("entry_minute", "ahead") if c in ahead]
+    side = lambda p: f"_x{p.bars}_{'up' if p.direction > 0 else 'down'}"
+    reach = {side(p): (F.min("l") if p.direction > 0 else F.max("h")).over(w.rowsBetween(-(p.bars - 1), 0)) for p in chosen}
+    rows = masks(bars, t, [p.name for p in chosen]).withColumns(ahead | reach).filter(F.col("next_open").isNotNull())
+    found = fired({p.name: f"named_struct('pattern', '{p.name}', 'direction', {p.direction}, 'extreme', {side(p)})" for p in chosen})
+    rows = rows.withColumn("s", F.explode(F.expr(found))).select(
+        *KEY, "bars_in_session", "s.*", (F.col("bar_idx") + 1).alias("entry_index"), F.col("next_open").alias("entry"), *carried
     )
     stop = F.col("extreme") * (1 - F.col("direction") * F.lit(rules.stop_buffer))
     return with_levels(rows.withColumn("stop", stop).drop("extreme"), rules)
@@ -53,14 +66,18 @@ def entries_at(bars: DataFrame, signals: DataFrame, rules: TradeRules) -> DataFr
     """Candidate trades of signals given as KEY, pattern, direction, bar_idx: the stop lies beyond the signal's own bar."""
     w = in_order()
     ahead = {"next_open": F.lead("open").over(w), "bars_in_session": F.count("*").over(Window.partitionBy(*KEY))}
-    rows = bars.select(*KEY, "bar_idx", "open", "high", "low").withColumns(ahead).join(signals, [*KEY, "bar_idx"])
+    clock = {"entry_minute": F.lead("minute").over(w)} if "minute" in bars.columns else {}
+    rows = bars.select(*KEY, "bar_idx", "open", "high", "low", *(["minute"] if clock else [])).withColumns(ahead | clock)
+    rows = rows.join(signals, [*KEY, "bar_idx"]).filter(F.col("next_open").isNotNull())
     extreme = F.when(F.col("direction") > 0, F.col("low")).otherwise(F.col("high"))
-    rows = rows.filter(F.col("next_open").isNotNull()).select(
+    rows = rows.select(
         *KEY,
+        *_trial(signals),
         "bars_in_session",
         "pattern",
         "direction",
         (F.col("bar_idx") + 1).alias("entry_index"),
+        *clock,
         F.col("next_open").alias("entry"),
         (extreme * (1 - F.col("direction") * F.lit(rules.stop_buffer))).alias("stop"),
     )
@@ -82,37 +99,27 @@ def exits(rows: DataFrame, bars: DataFrame, rules: TradeRules) -> DataFrame:
     Where one bar touches both, the stop counts, unless the bar opened beyond the target. A
     level is filled at the open when the bar opened beyond it.
     """
-    ahead = bars.select(*KEY, F.col("bar_idx").alias("x"), *[F.col(c).alias(f"x_{c}") for c in ("open", "high", "low", "close")])
-    both = rows.join(ahead, [*KEY]).filter(F.col("x").between(F.col("entry_index"), F.col("last_index")))
-    long = F.col("direction") > 0
-    stopped = F.when(long, F.col("x_low") <= F.col("stop")).otherwise(F.col("x_high") >= F.col("stop"))
-    reached = F.when(long, F.col("x_high") >= F.col("target")).otherwise(F.col("x_low") <= F.col("target"))
-    beyond = F.when(long, F.col("x_open") >= F.col("target")).otherwise(F.col("x_open") <= F.col("target"))
-    won = reached & (~stopped | beyond)
-    at_target = F.when(long, F.greatest("target", "x_open")).otherwise(F.least("target", "x_open"))
-    at_stop = F.when(long, F.least("stop", "x_open")).otherwise(F.greatest("stop", "x_open"))
-    touch = F.when(
-        stopped | reached,
-        F.struct(
-            F.col("x").alias("i"),
-            F.when(won, at_target).otherwise(at_stop).alias("p"),
-            F.when(won, F.lit("target")).otherwise(F.lit("stop")).alias("why"),
-        ),
-    )
+    if "ahead" not in rows.columns:
+        rows = rows.join(bars_ahead(bars, rules), [*KEY, "entry_index"])
+    long, stop, target = F.col("direction") > 0, F.col("stop"), F.col("target")
+    stopped = lambda x: F.when(long, x.low <= stop).otherwise(x.high >= stop)
+    reached = lambda x: F.when(long, x.high >= target).otherwise(x.low <= target)
+    rows = rows.withColumns({"_first": F.try_element_at(F.filter("ahead", lambda x: stopped(x) | reached(x)), F.lit(1)), "_last": F.element_at("ahead", -1)})
+    x = F.col("_first")
+    first_open = x["open"]
+    beyond = F.when(long, first_open >= target).otherwise(first_open <= target)
+    won = F.when(long, x["high"] >= target).otherwise(x["low"] <= target) & (~F.when(long, x["low"] <= stop).otherwise(x["high"] >= stop) | beyond)
+    at_target = F.when(long, F.greatest(target, first_open)).otherwise(F.least(target, first_open))
+    at_stop = F.when(long, F.least(stop, first_open)).otherwise(F.greatest(stop, first_open))
     held = F.col("entry_index") + (rules.max_hold_bars - 1) <= F.col("bars_in_session") - 1
-    late = F.struct(
-        F.col("x").alias("i"),
-        F.col("x_close").alias("p"),
-        F.when(held, F.lit("timeout")).otherwise(F.lit("session_end")).alias("why"),
-    )
-    carried = [c for c in rows.columns if c not in ROW]
-    found = both.groupBy(*ROW).agg(
-        *[F.first(c).alias(c) for c in carried],
-        F.coalesce(F.min(touch), F.max(late)).alias("e"),
-    )
-    return found.select(
-        *ROW, *carried, F.col("e.i").alias("exit_index"), F.col("e.p").alias("exit"), F.col("e.why").alias("exit_reason")
-    )
+    late = F.when(held, F.lit("timeout")).otherwise(F.lit("session_end"))
+    return rows.withColumns(
+        {
+            "exit_index": F.coalesce(x["i"], F.col("_last")["i"]),
+            "exit": F.when(x.isNull(), F.col("_last")["close"]).when(won, at_target).otherwise(at_stop),
+            "exit_reason": F.when(x.isNull(), late).when(won, F.lit("target")).otherwise(F.lit("stop")),
+        }
+    ).drop("ahead", "_first", "_last")
 
 
 def net(rows: DataFrame, rules: TradeRules, costs: Costs, bar_costs: DataFrame | None = None) -> DataFrame:
@@ -145,10 +152,11 @@ def net(rows: DataFrame, rules: TradeRules, costs: Costs, bar_costs: DataFrame |
 
 
 def without_overlap(rows: DataFrame) -> DataFrame:
-    """Of one pattern's trades in a session, each that starts after the last one taken has ended."""
-    rest = [c for c in rows.columns if c not in (*KEY, "pattern", "entry_index", "exit_index")]
+    """Of one pattern's trades in a session, and trial, each that starts after the last one taken has ended."""
+    by = [*KEY, *_trial(rows), "pattern"]
+    rest = [c for c in rows.columns if c not in (*by, "entry_index", "exit_index")]
     trade = F.struct("entry_index", "exit_index", *rest)
-    held = rows.groupBy(*KEY, "pattern").agg(F.sort_array(F.collect_list(trade)).alias("all"))
+    held = rows.groupBy(*by).agg(F.sort_array(F.collect_list(trade)).alias("all"))
     kind = held.schema["all"].dataType.simpleString()
     empty = F.struct(F.lit(-1).alias("until"), F.array().cast(kind).alias("taken"))
     picked = F.aggregate(
@@ -159,7 +167,7 @@ def without_overlap(rows: DataFrame) -> DataFrame:
             F.struct(x.exit_index.cast("int").alias("until"), F.array_append(s.taken, x).alias("taken")),
         ).otherwise(s),
     )
-    return held.select(*KEY, "pattern", F.explode(picked.taken).alias("t")).select(*KEY, "pattern", "t.*")
+    return held.select(*by, F.explode(picked.taken).alias("t")).select(*by, "t.*")
 
 
 def draw(parts: list[Column], n: Column) -> Column:
@@ -171,32 +179,34 @@ def draw(parts: list[Column], n: Column) -> Column:
 def matched(rows: DataFrame, bars: DataFrame, rules: TradeRules, seed: int) -> DataFrame:
     """For each trade one control: same direction and stop distance, entered at random up to some bars later.
 
-    None where no bar is left. Controls may overlap.
+    None where no bar is left. Controls may overlap. The draw follows from the trade and its
+    trial's seed, or the given one where there is no trial.
     """
     room = F.least(F.lit(rules.matched_window), F.col("bars_in_session") - 1 - F.col("entry_index"))
-    key = [F.lit(seed), F.col("pattern"), F.col("interval"), F.col("symbol"), F.col("session"), F.col("entry_index")]
+    own_seed = F.col("trial_seed") if "trial_seed" in rows.columns else F.lit(seed)
+    key = [own_seed, F.col("pattern"), F.col("interval"), F.col("symbol"), F.col("session"), F.col("entry_index")]
     rows = rows.withColumn("room", room).filter("room > 0")
     rows = rows.withColumn("start", (F.col("entry_index") + 1 + draw(key, F.col("room"))).cast("int"))
     w = in_order()
-    close = bars.select(*KEY, "bar_idx", "open", F.lag("close").over(w).alias("before"))
+    clock = ["minute"] if "minute" in bars.columns else []
+    close = bars.select(*KEY, "bar_idx", "open", *clock, F.lag("close").over(w).alias("before"))
     first = close.select(*KEY, F.col("bar_idx").alias("entry_index"), F.col("before").alias("_own"))
-    then = close.select(*KEY, F.col("bar_idx").alias("start"), F.col("before").alias("_then"), F.col("open").alias("_open"))
+    then = close.select(*KEY, F.col("bar_idx").alias("start"), F.col("before").alias("_then"), F.col("open").alias("_open"), *clock)
     rows = rows.join(first, [*KEY, "entry_index"]).join(then, [*KEY, "start"])
     reach = F.col("direction") * (F.col("_own") - F.col("stop"))
     rows = rows.select(
         *KEY,
+        *_trial(rows),
         "pattern",
         "direction",
         "bars_in_session",
         F.col("entry_index").alias("template_index"),
         F.col("start").alias("entry_index"),
+        *([F.col("minute").alias("entry_minute")] if clock else []),
         F.col("_open").alias("entry"),
         (F.col("_then") - F.col("direction") * reach).alias("stop"),
     )
-    rows = with_levels(rows, rules)
-    # several templates may draw one bar, so a control is known by its template
-    keyed = rows.withColumn("pattern", F.concat_ws("#", "pattern", "template_index"))
-    return exits(keyed, bars, rules).withColumn("pattern", F.substring_index("pattern", "#", 1))
+    return exits(with_levels(rows, rules), bars, rules)
 
 
 def trades(

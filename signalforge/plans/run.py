@@ -6,12 +6,13 @@ import math
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalforge.config import ALL, INTERVALS, Config
 from signalforge.operators import costs, metrics, patterns, sampling, trades
 from signalforge.operators.patterns import CONTROLS, REGISTRY, catalogue
+from signalforge.plans.store import Scratch, settled
 from signalforge.sources.bars import KEY
 
 
@@ -40,27 +41,39 @@ def own_trades(
     return reduce(DataFrame.unionByName, found)
 
 
+def of_trials(rows: DataFrame, trials: DataFrame | None) -> DataFrame:
+    """Rows of a session once for each trial that drew it, with the trial's index and seed."""
+    if trials is None:
+        return rows
+    return rows.join(trials.select("symbol", "session", "trial_index", F.col("seed").alias("trial_seed")), ["symbol", "session"])
+
+
 def control_trades(
-    bars: DataFrame, config: Config, lookbacks: dict[str, int], names: list[str] | None = None, bar_costs: DataFrame | None = None
+    bars: DataFrame,
+    config: Config,
+    lookbacks: dict[str, int],
+    names: list[str] | None = None,
+    bar_costs: DataFrame | None = None,
+    trials: DataFrame | None = None,
 ) -> DataFrame:
     """Trades of random entries, long and short, as often in each session as the most frequent pattern there."""
     found = []
     for i, k in lookbacks.items():
         own = bars.filter(F.col("interval") == i)
         masked = patterns.masks(own, replace(config.thresholds, trend_lookback=k), names)
-        rates = sampling.matched_rate(masked, list(names or REGISTRY), k)
-        for p in CONTROLS.values():
-            at = sampling.control_mask(own, rates, k, config.run.seed, p.name)
-            rows = trades.entries_at(own, at.withColumn("direction", F.lit(p.direction)), config.trade)
-            rows = trades.net(trades.exits(rows, own, config.trade), config.trade, config.costs, bar_costs)
-            found.append(rows if config.trade.allow_overlapping_trades else trades.without_overlap(rows))
+        rates = of_trials(sampling.matched_rate(masked, list(names or REGISTRY), k), trials)
+        at = [
+            sampling.control_mask(own, rates, k, config.run.seed, p.name).withColumn("direction", F.lit(p.direction)) for p in CONTROLS.values()
+        ]
+        rows = trades.entries_at(own, reduce(DataFrame.unionByName, at), config.trade)
+        rows = trades.net(trades.exits(rows, own, config.trade), config.trade, config.costs, bar_costs)
+        found.append(rows if config.trade.allow_overlapping_trades else trades.without_overlap(rows))
     return reduce(DataFrame.unionByName, found)
 
 
 def estimated_costs(bars: DataFrame, config: Config) -> DataFrame:
-    """(symbol, interval, session, bar_idx, cost): half the session's spread, estimated from its highs and lows."""
-    spread = costs.corwin_schultz(bars).select(*KEY, costs.one_way(F.col("spread"), config.costs).alias("cost"))
-    return bars.select(*KEY, "bar_idx").join(spread, KEY)
+    """(symbol, interval, session, bar_idx, cost): half the session's spread, estimated once from its narrowest interval's highs and lows."""
+    return bars.select(*KEY, "bar_idx").join(costs.estimated(bars, config.costs).select("symbol", "session", "cost"), ["symbol", "session"])
 
 
 def quoted_costs(bars: DataFrame, quotes: DataFrame, config: Config) -> DataFrame:
@@ -68,6 +81,22 @@ def quoted_costs(bars: DataFrame, quotes: DataFrame, config: Config) -> DataFram
     return costs.priced(bars, costs.quote_table(quotes), config.costs).select(*KEY, "bar_idx", "cost")
 
 
+def traded(
+    bars: DataFrame,
+    config: Config,
+    names: list[str] | None,
+    lookbacks: dict[str, int],
+    bar_costs: DataFrame | None,
+    trials: DataFrame | None,
+    scratch: Scratch,
+) -> tuple[DataFrame, DataFrame]:
+    """(trades of patterns and random controls, matched controls of the patterns), stored: statistics read them several times."""
+    own = scratch.put(of_trials(own_trades(bars, config, lookbacks, names, bar_costs), trials))
+    control = trades.net(trades.matched(own, bars, config.trade, config.run.seed), config.trade, config.costs, bar_costs)
+    random = control_trades(bars, config, lookbacks, names, bar_costs, trials)
+    return own.unionByName(scratch.put(random)), scratch.put(control)
+
+
 def measured(
     bars: DataFrame,
     config: Config,
@@ -75,32 +104,24 @@ def measured(
     selected: DataFrame | None = None,
     lookbacks: dict[str, int] | None = None,
     bar_costs: DataFrame | None = None,
+    trials: DataFrame | None = None,
 ) -> DataFrame:
     """Statistics, evidence, comparison with matched controls and verdict of every pattern, on each interval and all.
 
     Random entries are measured beside the patterns, as controls. Lookbacks are fitted to the
     bars where none are given. selected: the (pattern, interval) whose trades count; the others
-    stay rows, and hypotheses of the family, without trades.
+    stay rows, and hypotheses of the family, without trades. The result is settled: one row for
+    each pattern and interval, made once.
     """
     lookbacks = lookbacks or fitted(bars, config)
-    own = own_trades(bars, config, lookbacks, names, bar_costs)
-    control = trades.net(trades.matched(own, bars, config.trade, config.run.seed), config.trade, config.costs, bar_costs)
-    random = control_trades(bars, config, lookbacks, names, bar_costs)
-    own, control = metrics.pooled(own.unionByName(random)), metrics.pooled(control)
-    if selected is not None:
-        few = F.broadcast(selected)  # at most one row for each pattern and interval
-        own, control = (x.join(few, metrics.BY, "left_semi") for x in (own, control))
-    own, control = own.persist(), control.persist()  # each is read by about ten aggregates
-    rows = metrics.summarise(own, grid(bars.sparkSession, [*lookbacks, ALL], names, controls=True))
-    rows = rows.join(metrics.max_drawdown(own), metrics.BY, "left")
-    return metrics.inferred(rows, own, control, bars.select("session").distinct(), config.stats, config.run.seed)
-
-
-def long_enough(bars: DataFrame, lookbacks: dict[str, int]) -> DataFrame:
-    """Bars of sessions with four bars more than their interval's lookback."""
-    least = F.create_map(*[F.lit(x) for i, k in lookbacks.items() for x in (i, k + 4)])
-    rows = bars.withColumn("_n", F.count("*").over(Window.partitionBy(*KEY)))
-    return rows.filter(F.col("_n") >= least[F.col("interval")]).drop("_n")
+    with Scratch(bars.sparkSession) as scratch:
+        own, control = (metrics.pooled(x) for x in traded(bars, config, names, lookbacks, bar_costs, trials, scratch))
+        if selected is not None:
+            few = F.broadcast(selected)  # at most one row for each pattern and interval
+            own, control = (x.join(few, metrics.BY, "left_semi") for x in (own, control))
+        rows = metrics.summarise(own, grid(bars.sparkSession, [*lookbacks, ALL], names, controls=True))
+        rows = rows.join(metrics.max_drawdown(own), metrics.BY, "left")
+        return settled(metrics.inferred(rows, own, control, bars.select("session"), config.stats, config.run.seed))
 
 
 def run(bars: DataFrame, config: Config, names: list[str] | None = None, bar_costs: DataFrame | None = None) -> DataFrame:
@@ -108,45 +129,56 @@ def run(bars: DataFrame, config: Config, names: list[str] | None = None, bar_cos
 
     Discovery fits the lookbacks, validation takes them, and with them the whole family of hypotheses.
     """
-    trials = sampling.draw_trials(sampling.session_pool(bars), config.run)
-    drawn = bars.join(trials.select("symbol", "session", "sample"), ["symbol", "session"])
-    parts = {s: drawn.filter(F.col("sample") == s).drop("sample") for s in ("discovery", "validation")}
-    lookbacks = fitted(parts["discovery"], config)
-    if not lookbacks:
-        raise ValueError("there are no bars to measure")
-    parts = {s: long_enough(rows, lookbacks) for s, rows in parts.items()}
-    found = measured(parts["discovery"], config, names, None, lookbacks, bar_costs)
-    edges = found.filter(F.col("verdict") == "EDGE").select("pattern", "interval")
-    if config.run.holdout_fraction and not edges.isEmpty():
-        found = metrics.confirmed(found, measured(parts["validation"], config, names, edges, lookbacks, bar_costs))
-    return metrics.ranked(found, config.stats)
+    with Scratch(bars.sparkSession) as scratch:
+        pool = sampling.session_pool(bars.filter(F.col("session") <= F.lit(config.run.end_date)) if config.run.end_date else bars)
+        trials = scratch.put(sampling.draw_trials(pool, config.run))
+        drawn = scratch.put(bars.join(trials.select("symbol", "session", "sample").distinct(), ["symbol", "session"]))
+        parts = {s: (drawn.filter(F.col("sample") == s).drop("sample"), trials.filter(F.col("sample") == s)) for s in ("discovery", "validation")}
+        lookbacks = fitted(parts["discovery"][0], config)
+        if not lookbacks:
+            raise ValueError("there are no bars to measure")
+        own_costs = bar_costs if bar_costs is None else scratch.put(bar_costs.join(trials.select("symbol", "session").distinct(), ["symbol", "session"], "left_semi"))
+        of = lambda s, chosen: measured(sampling.trial_bars(parts[s][0], parts[s][1], lookbacks), config, names, chosen, lookbacks, own_costs, parts[s][1])
+        found = of("discovery", None)
+        edges = found.filter((F.col("verdict") == "EDGE") & (F.col("kind") == "pattern")).select("pattern", "interval")
+        if config.run.holdout_fraction and not edges.isEmpty():
+            found = metrics.confirmed(found, of("validation", edges))
+        return metrics.ranked(found, config.stats)
 
 
 def segments(days: list, folds: int) -> list[tuple[list, list]]:
     """(dates before, own dates) of each fold: the first two fifths of the dates are only ever looked back on."""
     first = -(-len(days) * 2 // 5)
+    if folds < 1 or first < 2 or len(days) - first < folds:
+        raise ValueError(f"{len(days)} dates are too few for {folds} folds")
     cuts = [first + round((len(days) - first) * k / folds) for k in range(folds + 1)]
-    return [(days[:a], days[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) if a and b > a]
+    return [(days[:a], days[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def walk_forward(
-    bars: DataFrame, config: Config, folds: int, names: list[str] | None = None, bar_costs: DataFrame | None = None
+    bars: DataFrame, config: Config, folds: int, names: list[str] | None = None, bar_costs: DataFrame | None = None, scratch: Scratch | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(trades, matched controls) out of sample: patterns chosen on all dates before a fold, traded on its own."""
+    """(trades, matched controls) out of sample: patterns chosen on all dates before a fold, traded on its own.
+
+    scratch keeps the folds' trades until it is closed; without one they are made anew when read.
+    """
     days = [r["session"] for r in bars.select("session").distinct().orderBy("session").collect()]  # one row for each date
     own, control = [], []
     for k, (past, now) in enumerate(segments(days, folds)):
         fold = replace(config, run=replace(config.run, seed=config.run.seed + k, holdout_fraction=0.0))
         before = bars.filter(F.col("session") <= past[-1])
         lookbacks = fitted(before, fold)
-        chosen = measured(long_enough(before, lookbacks), fold, names, None, lookbacks, bar_costs)
+        chosen = measured(sampling.trial_bars(before, before, lookbacks), fold, names, None, lookbacks, bar_costs)
         edges = chosen.filter((F.col("verdict") == "EDGE") & (F.col("kind") == "pattern")).select(*metrics.BY)
-        test = long_enough(bars.filter(F.col("session").between(now[0], now[-1])), lookbacks)
+        test = bars.filter(F.col("session").between(now[0], now[-1]))
+        test = sampling.trial_bars(test, test, lookbacks)
         rows = own_trades(test, fold, lookbacks, names, bar_costs)
-        matched = trades.net(trades.matched(rows, test, fold.trade, fold.run.seed), fold.trade, fold.costs, bar_costs)
         few = edges.withColumnRenamed("interval", "on")  # at most one row for each pattern and interval
-        own.append(_chosen(rows, few).withColumn("fold", F.lit(k)))
-        control.append(_chosen(matched, few).withColumn("fold", F.lit(k)))
+        rows = _chosen(rows, few).withColumn("fold", F.lit(k))
+        rows = scratch.put(rows) if scratch else rows
+        matched = trades.net(trades.matched(rows, test, fold.trade, fold.run.seed), fold.trade, fold.costs, bar_costs).withColumn("fold", F.lit(k))
+        own.append(rows)
+        control.append(scratch.put(matched) if scratch else matched)
     return reduce(DataFrame.unionByName, own), reduce(DataFrame.unionByName, control)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalforge import oracles as sql
-from signalforge.config import Config, Stats, Thresholds, TradeRules
+from signalforge.config import Config, Run, Stats, Thresholds, TradeRules
 from signalforge.functions.geometry import geometry, rolling_max, rolling_min
 from signalforge.operators import costs as cost
 from signalforge.operators import drill, metrics, patterns, sampling, ticker
@@ -314,10 +314,13 @@ def summarise_pooled(spark, d):
     return _round(rows.select("pattern", "interval", "trades", "sessions", *_FIGURES), _FIGURES)
 
 
-_EQUITY = """eq AS (
+_EQUITY = f"""timed AS (
+  SELECT t.*, b.minute AS entry_minute FROM trades t
+  JOIN bars b ON b.symbol = t.symbol AND b.interval = t.interval AND b.session = t.session AND b.bar_idx = t.entry_index
+), eq AS (
   SELECT pattern, interval, session, row_number() OVER w AS trade_no,
-    sum(net_r) OVER (PARTITION BY pattern, interval ORDER BY session, entry_index, symbol ROWS UNBOUNDED PRECEDING) AS equity_r
-  FROM trades WINDOW w AS (PARTITION BY pattern, interval ORDER BY session, entry_index, symbol)
+    sum(net_r) OVER (PARTITION BY pattern, interval ORDER BY session, entry_minute, symbol, entry_index ROWS UNBOUNDED PRECEDING) AS equity_r
+  FROM timed WINDOW w AS (PARTITION BY pattern, interval ORDER BY session, entry_minute, symbol, entry_index)
 ), pk AS (
   SELECT *, greatest(0, max(equity_r) OVER (PARTITION BY pattern, interval ORDER BY trade_no ROWS UNBOUNDED PRECEDING)) AS peak_r FROM eq
 )"""
@@ -365,11 +368,10 @@ def stability(spark, d):
 
 
 def _breakdown(by: str, spark: SparkSession, d: str) -> DataFrame:
-    own = _own(spark, d)
-    if by == "time_of_day":
-        minutes = fixtures.bars(spark, d).select(*KEY, F.col("bar_idx").alias("entry_index"), "minute")
-        own = own.join(minutes, [*KEY, "entry_index"]).withColumn("time_of_day", cost.time_bucket(F.col("minute")))
-    return _round(metrics.breakdown(own, by), ["win_rate", "expectancy_r", "total_r"])
+    own = _own(spark, d).withColumn("time_of_day", cost.time_bucket(F.col("entry_minute")))
+    rows = metrics.breakdown(own, by)
+    mix = F.array_join(F.transform(F.array_sort(F.map_entries("exit_mix")), lambda e: F.concat(e.key, F.lit("="), F.round(e.value * 1000).cast("long"))), ";")
+    return _round(rows.withColumn("exit_mix", mix), ["win_rate", "expectancy_r", "total_r"])
 
 
 for _by in ("symbol", "exit_reason", "session", "time_of_day"):
@@ -380,10 +382,16 @@ for _by in ("symbol", "exit_reason", "session", "time_of_day"):
             "(SELECT t.*, CASE WHEN minute < 30 THEN 'open' WHEN minute >= 360 THEN 'close' ELSE 'midday' END AS time_of_day FROM trades t "
             "JOIN bars b ON b.symbol = t.symbol AND b.interval = t.interval AND b.session = t.session AND b.bar_idx = t.entry_index)"
         )
+    _place = f"list_position(['open', 'midday', 'close', 'unknown'], {_by})" if _by == "time_of_day" else _by
     SQL[f"breakdown_{_by}"] = (
-        f"WITH RECURSIVE {_TRADES} SELECT pattern, {_by}, count(*) AS trades, "
+        f"WITH RECURSIVE {_TRADES}, cut AS (SELECT * FROM {_from}), shares AS ("
+        f"SELECT pattern, {_by}, string_agg(exit_reason || '=' || CAST(round(1000.0 * n / total) AS BIGINT), ';' ORDER BY exit_reason) AS exit_mix FROM ("
+        f"SELECT pattern, {_by}, exit_reason, count(*) AS n, sum(count(*)) OVER (PARTITION BY pattern, {_by}) AS total FROM cut GROUP BY pattern, {_by}, exit_reason) GROUP BY pattern, {_by}) "
+        f"SELECT c.pattern, c.{_by}, count(*) AS trades, "
         f"{sql.r6('avg(CASE WHEN net_r > 0 THEN 1.0 ELSE 0.0 END)')} AS win_rate, {sql.r6('avg(net_r)')} AS expectancy_r, "
-        f"{sql.r6('sum(net_r)')} AS total_r FROM {_from} GROUP BY pattern, {_by}"
+        f"{sql.r6('sum(net_r)')} AS total_r, any_value(s.exit_mix) AS exit_mix, "
+        f"CAST(row_number() OVER (PARTITION BY c.pattern ORDER BY {_place.replace(_by, 'c.' + _by)}) - 1 AS INTEGER) AS place "
+        f"FROM cut c JOIN shares s ON s.pattern = c.pattern AND s.{_by} = c.{_by} GROUP BY c.pattern, c.{_by}"
     )
 
 _TOTALS = """totals AS (
@@ -407,7 +415,8 @@ def date_totals(spark, d):
 
 @query(f"WITH RECURSIVE {_DAILY}, {_TOTALS}, {sql.draws('totals', DRAWS, SEED)} SELECT pattern, interval, draw, {sql.r6('mean')} AS mean FROM means")
 def bootstrap_draws(spark, d):
-    return _round(metrics.bootstrap_draws(_totals(spark, d), DRAWS, SEED), ["mean"])
+    bars = fixtures.bars(spark, d, "day")
+    return _round(metrics.bootstrap_draws(trade.trades(bars, T, RULES, COSTS), bars, DRAWS, SEED), ["mean"])
 
 
 _EVIDENCE = f"""est AS (SELECT pattern, interval, avg(net_r) AS estimate FROM trades GROUP BY ALL), ev0 AS (
@@ -422,10 +431,7 @@ _EVIDENCE = f"""est AS (SELECT pattern, interval, avg(net_r) AS estimate FROM tr
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
     bars = fixtures.bars(spark, d, "day")
-    own = trade.trades(bars, T, RULES, COSTS)
-    draws = metrics.bootstrap_draws(metrics.date_totals(own, bars), DRAWS, SEED)
-    means = own.groupBy("pattern", "interval").agg(F.avg("net_r").alias("estimate"))
-    return metrics.evidence(draws, means, DRAWS)
+    return metrics.tested(metrics.totals_of(trade.trades(bars, T, RULES, COSTS), None, bars), spark, DRAWS, SEED)
 
 
 @query(f"WITH RECURSIVE {_DAILY}, {_TOTALS}, {sql.draws('totals', DRAWS, SEED)}, {_EVIDENCE} SELECT pattern, interval, {', '.join(f'{sql.r6(c)} AS {c}' for c in ('ci_low', 'ci_high', 'p_value'))} FROM ev")
@@ -450,14 +456,12 @@ _RUN_DATES = """pool AS (SELECT DISTINCT symbol, session FROM bars), dd AS (
 ), dates AS (
   SELECT session, CASE WHEN k <= least(ceil(d * CAST(0.2 AS DOUBLE)), d - 1) THEN 'validation' ELSE 'discovery' END AS sample FROM dd
 ), split AS (
-  SELECT *, CAST(ntile(3) OVER (PARTITION BY sample ORDER BY session) - 1 AS INTEGER) AS win FROM dates
+  SELECT *, CASE WHEN sample = 'validation' THEN 0 ELSE CAST(ntile(3) OVER (PARTITION BY sample ORDER BY session) - 1 AS INTEGER) END AS win FROM dates
 )"""
 
 
-def _run():
-    from signalforge.config import Run
-
-    return Run(trials=40, seed=SEED, windows=3, holdout_fraction=0.2)
+def _run(trials: int = 40) -> Run:
+    return Run(trials=trials, seed=SEED, windows=3, holdout_fraction=0.2)
 
 
 @query(f"WITH {sql.bars('day')}, {_RUN_DATES} SELECT session, sample, win AS \"window\" FROM split")
@@ -465,17 +469,33 @@ def holdout_split(spark, d):
     return sampling.dates(sampling.session_pool(fixtures.bars(spark, d, "day")), _run())
 
 
-@query(
-    f"""WITH {sql.bars('day')}, {_RUN_DATES}, o AS (
-  SELECT symbol, session, sample, win, md5('{SEED}|' || symbol || '|' || session) AS h FROM pool JOIN split USING (session)
-), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY sample ORDER BY h, symbol, session) - 1 AS INTEGER) AS trial_index FROM o)
-SELECT trial_index, symbol, session, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS seed, win AS "window", sample FROM t
-WHERE trial_index < CASE WHEN sample = 'validation' THEN 8 ELSE 40 END"""
+def _drawn(trials: int) -> str:
+    """Each window's trials by place, or by a draw of their own where it has fewer sessions than trials."""
+    held = -(-trials // 5)
+    share, more = divmod(trials - held, 3)
+    sizes = ", ".join(f"('discovery', {w}, {share + (w < more)}, {share * w + min(w, more)})" for w in range(3))
+    return f"""WITH {sql.bars('day')}, {_RUN_DATES}, placed AS (
+  SELECT symbol, session, sample, win, row_number() OVER (PARTITION BY sample, win ORDER BY md5('{SEED}|' || symbol || '|' || session), symbol, session) - 1 AS place,
+    count(*) OVER (PARTITION BY sample, win) AS size FROM pool JOIN split USING (session)
+), asked AS (
+  SELECT sample, CAST(win AS INTEGER) AS win, n, first, k, CAST('0x' || substr(md5('{SEED}|' || sample || '|' || win || '|' || k), 1, 8) AS BIGINT) AS seed
+  FROM (VALUES {sizes}, ('validation', 0, {held}, {trials - held})) AS w(sample, win, n, first), unnest(range(n)) AS u(k)
 )
+SELECT CAST(first + k AS INTEGER) AS trial_index, symbol, session, seed, a.win AS "window", a.sample FROM asked a JOIN placed p
+ON p.sample = a.sample AND p.win = a.win AND p.place = CASE WHEN n <= size THEN k ELSE seed % size END"""
+
+
+@query(_drawn(40))
 def draw_trials(spark, d):
     return sampling.draw_trials(sampling.session_pool(fixtures.bars(spark, d, "day")), _run())
 
 
+@query(_drawn(5000))
+def draw_trials_with_replacement(spark, d):
+    """More trials than there are sessions: each draws its session by itself."""
+    return sampling.draw_trials(sampling.session_pool(fixtures.bars(spark, d, "day")), _run(5000))
+
+
 @query(f"WITH {sql.bars('day')}, n AS (SELECT interval, count(*) AS n FROM bars GROUP BY {sql.K}) SELECT interval, count(*) AS sessions, count(*) FILTER (WHERE n < 24) AS skipped FROM n GROUP BY interval")
 def skipped_sessions(spark, d):
     return sampling.skipped(fixtures.bars(spark, d, "day"), 20)
@@ -586,7 +606,7 @@ OUT = dict.fromkeys(
     (
         "bars_validate session_index geometry_columns lags_and_extremes signals control_rate control_mask candidates "
         "exits_first_touch trades_overlap_allowed trades_nonoverlap matched_controls corwin_schultz quote_lookup "
-        "equity_curve breakdown_session date_totals holdout_split draw_trials trades_page"
+        "equity_curve breakdown_session date_totals holdout_split draw_trials draw_trials_with_replacement trades_page"
     ).split(),
     ("session",),
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,11 +179,95 @@ def test_holm_counts_unavailable_rows(spark):
 
 def test_bootstrap_is_reproducible_and_centred(spark):
     own = some_trades(spark, [1.0, 0.5, -0.2, 0.8, 0.1, 0.4])
-    totals = metrics.date_totals(own, own)
-    a = metrics.bootstrap_draws(totals, 200, 1)
-    assert a.exceptAll(metrics.bootstrap_draws(totals, 200, 1)).count() == 0
-    r = metrics.evidence(a, own.groupBy("pattern", "interval").agg(F.avg("net_r").alias("estimate")), 200).first()
+    a = metrics.bootstrap_draws(own, own, 200, 1)
+    assert a.exceptAll(metrics.bootstrap_draws(own, own, 200, 1)).count() == 0
+    r = metrics.tested(metrics.totals_of(own, None, own), spark, 200, 1).first()
     assert r.ci_low < 2.6 / 6 < r.ci_high and 0 < r.p_value < 0.2
+    means = [x["mean"] for x in a.collect()]
+    assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5])))
+
+
+def test_trades_on_an_unknown_date_are_an_error(spark):
+    own = some_trades(spark, [1.0, 0.5])
+    dates = own.filter(F.col("session") > F.lit(str(DAY)))
+    with pytest.raises(Exception, match="unknown date"):
+        metrics.date_totals(own, dates).collect()
+    with pytest.raises(ValueError, match="unknown date"):
+        metrics.totals_of(own, None, dates)
+
+
+def test_drawdown_and_equity_are_those_of_a_plain_walk(spark):
+    """One pattern holds nearly all trades; dates are summed up and combined, in the order of clock minutes, symbols and bars."""
+    r = np.random.default_rng(4)
+    rows = [
+        ("p" if r.random() < 0.95 else f"q{r.integers(3)}", "1h", "AB"[r.integers(2)], DAY + dt.timedelta(days=int(r.integers(40))), k, round(float(r.normal()), 3), None if r.random() < 0.1 else int(r.integers(5)))
+        for k in range(1500)
+    ]
+    df = spark.createDataFrame(rows, "pattern string, interval string, symbol string, session date, entry_index int, net_r double, entry_minute int")
+    deepest = {x.pattern: x.max_drawdown_r for x in metrics.max_drawdown(df).collect()}
+    curve = {(x.pattern, x.trade_no): (x.entry_index, x.equity_r, x.peak_r) for x in metrics.equity(df).collect()}
+    assert len(curve) == len(rows)
+    for name in {x[0] for x in rows}:
+        total = peak = worst = 0.0
+        ordered = sorted((x for x in rows if x[0] == name), key=lambda x: (x[3], x[6] is None, x[6] or 0, x[2], x[4]))
+        for k, x in enumerate(ordered, 1):
+            total += x[5]
+            peak = max(peak, total)
+            worst = max(worst, peak - total)
+            assert curve[name, k] == (x[4], pytest.approx(total), pytest.approx(peak))
+        assert deepest[name] == pytest.approx(worst)
+
+
+def test_implausible_spreads_fall_back(spark):
+    rows = [(0.019, 0.0095), (0.02, 0.01), (0.03, 0.0001), (0.0, 0.0001), (None, 0.0001)]
+    found = spark.createDataFrame(rows, "spread double, want double").withColumn("got", costs.one_way(F.col("spread"), config.Costs()))
+    assert all(x.got == pytest.approx(x.want) for x in found.collect())
+
+
+def test_one_estimate_from_the_narrowest_interval(spark):
+    bar_row = lambda i, k, wide: ("X", i, DAY, k, 10.0 + wide, 10.0)
+    rows = [bar_row(i, k, w) for i, w in (("30s", 0.5), ("1m", 0.05), ("1h", 0.9)) for k in range(5)]
+    bars = spark.createDataFrame(rows, "symbol string, interval string, session date, bar_idx int, high double, low double")
+    alone = costs.corwin_schultz(bars.filter("interval = '1m'")).first().spread
+    found = costs.estimated(bars, config.Costs()).collect()
+    assert [(x.spread, x.cost) for x in found] == [(alone, pytest.approx(alone / 2))]
+    assert costs.estimated(bars.filter("interval = '30s'"), config.Costs()).count() == 0
+
+
+def test_trials_repeat_sessions_where_there_are_too_few(spark):
+    pool = spark.createDataFrame([("X", DAY + dt.timedelta(days=i)) for i in range(10)], "symbol string, session date")
+    run = config.Run(trials=50, windows=2, holdout_fraction=0.2)
+    found = sampling.draw_trials(pool, run).collect()
+    assert sorted(x.trial_index for x in found) == list(range(50)) and len({x.seed for x in found}) == 50
+    assert sum(x["sample"] == "validation" for x in found) == 10
+    assert found == sampling.draw_trials(pool.repartition(3), run).collect() or sorted(found) == sorted(sampling.draw_trials(pool.repartition(3), run).collect())
+    once = sampling.draw_trials(pool, config.Run(trials=8, holdout_fraction=0.25)).collect()
+    assert len({x.session for x in once}) == 8
+    with pytest.raises(ValueError):
+        sampling.wanted(config.Run(trials=4, windows=4, holdout_fraction=0.25))
+    with pytest.raises(Exception, match="no dates for"):
+        sampling.draw_trials(pool, config.Run(trials=50, windows=30)).collect()
+
+
+def test_long_holds_look_into_the_session(spark):
+    r = np.random.default_rng(1)
+    rows = [("X", "1m", DAY, k, *map(float, (x := 10 + r.normal(size=4) / 50)[:1]), float(x.max()), float(x.min()), float(x[1])) for k in range(150)]
+    bars = spark.createDataFrame(rows, "symbol string, interval string, session date, bar_idx int, open double, high double, low double, close double")
+    at = bars.filter("bar_idx % 7 = 3").select("symbol", "interval", "session", F.lit("p").alias("pattern"), F.lit(1).alias("direction"), "bar_idx")
+    for hold in (5, 64, 65, 200):
+        rules = config.TradeRules(max_hold_bars=hold, min_risk_pct=0.0)
+        found = trades.exits(trades.entries_at(bars, at, rules), bars, rules).collect()
+        assert found
+        for x in found:
+            for k in range(x.entry_index, min(x.entry_index + hold, 150)):
+                _, _, _, _, o, h, low, c = rows[k]
+                if low <= x.stop or h >= x.target:
+                    won = h >= x.target and (low > x.stop or o >= x.target)
+                    want = (k, max(x.target, o) if won else min(x.stop, o), "target" if won else "stop")
+                    break
+            else:
+                want = (k, c, "timeout" if x.entry_index + hold - 1 <= 149 else "session_end")
+            assert (x.exit_index, x.exit, x.exit_reason) == want
 
 
 def test_verdicts(spark):
@@ -250,4 +335,4 @@ def test_runs_measure_every_interval(spark):
 
 def test_sessions_too_short_for_the_lookback_are_skipped(spark):
     bars = session(spark, [(1, 2, 0.5, 1)] * 8)
-    assert [plan.long_enough(bars, {"1m": k}).count() for k in (4, 5)] == [8, 0]
+    assert [sampling.trial_bars(bars, bars, {"1m": k}).count() for k in (4, 5)] == [8, 0]
