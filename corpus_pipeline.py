@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from functools import wraps
 
@@ -10,46 +11,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalforge.llm import packing, quality, queries, setjoin, suffix, toxicity
-from signalforge.llm.common import TABLES, documents, dropped, stored
+from signalforge.llm.common import documents, dropped, owned, stored
 from signalforge.session import ship
 
 
-#: Tables that the last stage stored for itself.
-_LEFT: list[str] = []
-
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Results of stages that were called by themselves, and the tables that each reads.
+_HELD: list[tuple[weakref.ref, list[str]]] = []
+
 
 def staged(stage: Stage) -> Stage:
-    """Delete what the stage before stored for itself: its result has been written, since this one's input is that table."""
+    """A stage whose stored tables live as long as its result.
+
+    A result reads tables that the stage stored for itself. Write it, or keep it, before another
+    stage is called: that call deletes the tables of results that nothing holds any more.
+    """
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        dropped(spark, _LEFT)
-        before = len(TABLES)
-        out = stage(spark, docs, sf_dir)
-        _LEFT[:] = TABLES[before:]
+        gone = [h for h in _HELD if h[0]() is None]
+        for h in gone:
+            dropped(spark, h[1])
+            _HELD.remove(h)
+        with owned() as paths:
+            out = stage(spark, docs, sf_dir)
+        _HELD.append((weakref.ref(out), paths))
         return out
 
     return run
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """What the filtering stages read, with each whole row beside it, so that no column of it can clash."""
-    return docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))
-
-
 @staged
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on this corpus's labels, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.classify(_whole(docs), labels).filter(F.col("predicted") == 0).select("_row.*")
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))  # so that no column can clash
+    return toxicity.classify(whole, labels).filter(F.col("predicted") == 0).select("_row.*")
 
 
 @staged
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and lie near their language's references."""
-    return quality.judge(_whole(docs)).filter("kept").select("_row.*")
+    whole = docs.select("text", "lang", F.struct(*docs.columns).alias("_row"))
+    return quality.judge(whole).filter("kept").select("_row.*")
 
 
 #: Words of a shingle and least similarity, in percent, of near duplicates in the pipeline.
@@ -63,13 +68,16 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Repeated rows of one id are copies like any others. Rows without words are groups of their own.
     """
     ship(spark)
-    rows = stored(docs.withColumn("_at", F.monotonically_increasing_id()))
-    links = setjoin.link(rows.select(F.col("_at").alias("doc_id"), "text"), SHINGLE, PERCENT)
-    groups = rows.select("_at", "doc_id").join(links.select(F.col("doc_id").alias("_at"), "component_id"), "_at")
-    first = groups.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_at")).alias("first")
-    )
-    return rows.join(first.select(F.col("first._at").alias("_at")), "_at", "left_semi").select(docs.columns)
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_at"), "doc_id", "text", F.struct(*docs.columns).alias("_row")))
+    with owned() as within:
+        links = setjoin.link(rows.select(F.col("_at").alias("doc_id"), "text"), SHINGLE, PERCENT)
+        groups = rows.select("_at", "doc_id").join(links.select(F.col("doc_id").alias("_at"), "component_id"), "_at")
+        first = groups.groupBy("component_id").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_at")).alias("first")
+        )
+    kept = stored(first.select(F.col("first._at").alias("_at")))
+    dropped(spark, within)
+    return rows.join(kept, "_at", "left_semi").select("_row.*")
 
 
 @staged
@@ -103,12 +111,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage on all that the one before it kept, each written as Parquet and read again."""
+    """Every stage on all that the one before it kept, each written as Parquet and read again.
+
+    A stage's own tables, and its input, go when its result has been written. What run returns
+    is a table of its own, which no other run touches; it stays until the shared folder is cleared.
+    """
     docs, before = documents(spark, sf_dir), []
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-            dropped(spark, before)
-            before = TABLES[-1:]
+    for _, stage in STAGES:
+        with owned() as own:
+            out = stage.__wrapped__(spark, docs, sf_dir)
+        with owned() as result:
+            docs = stored(out)
+        dropped(spark, [*own, *before])
+        before = result
     return docs

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,23 +37,36 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where none is set."""
+    """``spark.checkpoint.dir``, which driver and executors share; a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-#: Paths of all tables stored so far, oldest first.
-TABLES: list[str] = []
+_OWNER: ContextVar[list[str] | None] = ContextVar("owner", default=None)
+
+
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """The paths of all tables stored within, unless something further in owns them; they stay until they are dropped."""
+    paths: list[str] = []
+    token = _OWNER.set(paths)
+    try:
+        yield paths
+    finally:
+        _OWNER.reset(token)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    TABLES.append(path)
+    if (owner := _OWNER.get()) is not None:
+        owner.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +78,14 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns ``taken``; Spark's names ignore case."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, parts: int) -> DataFrame:
     """Add ``name``: gapless numbers from 0 within ``keys``, dealing each group over ``parts`` slices.
 

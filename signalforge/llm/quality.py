@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from signalforge.llm.common import let, stored, words_of
 
-#: Common words of a language in its histogram, and the most code points of one.
-COMMON, COMMON_CHARS = 24, 5
-#: Languages that have references of their own, the most frequent ones; others share the pooled one.
-LANGUAGES = 64
+#: Common words of a language in its histogram.
+COMMON = 24
+#: Words of more code points are first counted in so many bins of each language, and one by one only where a bin could hold a common word.
+LONG, BINS = 5, 4096
 #: Largest distances of a kept document.
 CHAR_DISTANCE, WORD_DISTANCE = 0.25, 0.4
 #: Least word characters, and least words, for each comparison to count.
@@ -128,10 +128,60 @@ def _word_counts(hashes: Column, common: Column) -> Column:
     )
 
 
-def references(docs: DataFrame) -> list[tuple]:
-    """(lang, class shares, common words, word shares) of the most frequent languages and of all (lang null).
+def _common(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, words, counts, n): the ``COMMON`` most frequent words of each language, or of all (lang null), and words in all.
 
-    At most ``LANGUAGES`` + 1 rows, whatever the input. Counts run over all documents.
+    Ties go by the word; words start with a letter. Frequent words are short, so long ones are
+    counted in bins: a bin below the last of the most frequent short words has no common word.
+    The words of other bins are counted one by one, so nothing depends on a word's length.
+    """
+    said = docs.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
+    letter = F.col("word").rlike(r"^\p{L}")
+    short = F.when(letter & (F.length("word") <= LONG), F.col("word"))
+    bin_ = F.when(letter & (F.length("word") > LONG), F.pmod(F.xxhash64("word"), F.lit(BINS)).cast("int"))
+    counts = stored(said.groupBy("lang", short.alias("word"), bin_.alias("bin")).agg(F.count("*").alias("n")))
+    whole = counts.groupBy("word", "bin").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string"))
+    named = counts.filter(F.col("lang").isNotNull())
+    both = {"lang": named, "all": whole.select(*named.columns)}
+
+    def top(rows: DataFrame) -> DataFrame:
+        best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+        return rows.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= COMMON)
+
+    # bins that reach the last of the most frequent short words, in a language or in all
+    open_ = []
+    for rows in both.values():
+        last = top(rows.filter(F.col("word").isNotNull())).groupBy("lang").agg(F.min("n").alias("least"), F.count("*").alias("found"))
+        bins = rows.filter(F.col("bin").isNotNull()).withColumnRenamed("lang", "of").join(last.withColumnRenamed("lang", "has"), F.col("of").eqNullSafe(F.col("has")), "left")
+        open_.append(bins.filter((F.coalesce("found", F.lit(0)) < COMMON) | (F.col("n") >= F.col("least"))).select("of", "bin"))
+    asked = stored(open_[0].unionByName(open_[1]).distinct())
+    long = said.limit(0).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    if not asked.isEmpty():
+        in_bins = said.withColumn("bin", bin_).filter(F.col("bin").isNotNull())
+        every = asked.filter(F.col("of").isNull()).select("bin")  # open in all: of each language's words
+        one = asked.filter(F.col("of").isNotNull()).join(every, "bin", "left_anti").withColumnRenamed("of", "lang")
+        picked = in_bins.join(every, "bin", "left_semi").select("lang", "word").unionByName(in_bins.join(one, ["lang", "bin"], "left_semi").select("lang", "word"))
+        long = stored(picked.groupBy("lang", "word").agg(F.count("*").alias("n")))
+    found = []
+    for kind, rows in both.items():
+        own = long.filter(F.col("lang").isNotNull()) if kind == "lang" else long.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string"))
+        best = top(rows.filter(F.col("word").isNotNull()).select("lang", "word", "n").unionByName(own.select("lang", "word", "n")))
+        held = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "word", "n"))).alias("b"))
+        sums = rows.groupBy("lang").agg(F.sum("n").alias("n")).withColumnRenamed("lang", "of")
+        held = sums.join(held, F.col("of").eqNullSafe(F.col("lang")), "left")
+        none = F.array().cast(held.schema["b"].dataType)
+        listed = F.coalesce("b", none)
+        found.append(held.select(F.col("of").alias("lang"), listed["word"].alias("words"), listed["n"].alias("counts"), "n"))
+    return found[0], found[1]
+
+
+REFERENCE = "lang string, class_q array<double>, common array<string>, word_q array<double>"
+
+
+def references(docs: DataFrame) -> DataFrame:
+    """One row for each language, and one for all documents (lang null): class shares, common words, word shares.
+
+    Counts run over all documents; the shares of the words end with that of all other words.
     """
     rows = docs.select("lang", "text")
     text = F.coalesce("text", F.lit(""))
@@ -151,55 +201,42 @@ def references(docs: DataFrame) -> list[tuple]:
         *[(F.length("inner") - _outside(F.col("inner"), p)).alias(f"c{i + 2}") for i, p in enumerate(patterns)],
         F.length("inner").alias("c7"),
     )
-    sums = kinds.groupBy("lang").agg(F.count("*").alias("docs"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(8)])
-    sums = stored(sums)
-    top = sums.orderBy(F.desc("docs"), "lang").limit(LANGUAGES).collect()
-    whole = sums.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(8)]).first()
-    own = [r["lang"] for r in top if r["lang"] is not None]
-    said = rows.select("lang", F.explode(words_of(F.col("text"))).alias("word"))
-    short = F.when(F.length("word") <= COMMON_CHARS, F.col("word"))  # all longer words count as one, null
-    counts = stored(said.groupBy("lang", short.alias("word")).agg(F.count("*").alias("n")))
-    words = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).filter(F.col("lang").isin(own)).collect()}
-    words[None] = counts.agg(F.sum("n").alias("n")).first()["n"]
-    counts = counts.filter(F.col("word").rlike(r"^\p{L}"))
-    named = counts.filter(F.col("lang").isin(own))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    per = named.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= COMMON)
-    pooled = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON)
-    common: dict = {}
-    for r in per.select("lang", "word", "n", "k").collect():
-        common.setdefault(r["lang"], []).append((r["k"], r["word"], r["n"]))
-    common[None] = [(i, r["word"], r["n"]) for i, r in enumerate(pooled.collect())]
-
-    def shares(x: list[int]) -> list[float]:
-        total = sum(x)
-        return [v / total if total else 0.0 for v in x]
+    sums = stored(kinds.groupBy("lang").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(8)]))
+    whole = sums.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(8)]).withColumn("lang", F.lit(None).cast("string"))
+    classes = sums.filter(F.col("lang").isNotNull()).unionByName(whole.select(*sums.columns))
+    own, all_ = _common(docs)
+    words = own.unionByName(all_).withColumnRenamed("lang", "of")
+    joined = classes.join(words, F.col("lang").eqNullSafe(F.col("of")), "left")
+    counts, n = F.coalesce("counts", F.array().cast("array<bigint>")), F.coalesce("n", F.lit(0))
+    listed = F.aggregate(counts, F.lit(0).cast("long"), lambda t, x: t + x)
+    c = [F.coalesce(F.col(f"c{i}"), F.lit(0)).cast("double") for i in range(8)]
+    rest_of = c[7] - c[2] - c[3] - c[4] - c[5] - c[6]
+    return joined.select(
+        "lang",
+        _shares(F.array(*c[:7], rest_of)).alias("class_q"),
+        F.coalesce("words", F.array().cast("array<string>")).alias("common"),
+        F.when(n > 0, _shares(F.transform(F.concat(counts, F.array((n - listed).cast("long"))), lambda x: x.cast("double")))).otherwise(F.array(F.lit(1.0))).alias("word_q"),
+    )
 
-    found = []
-    for lang, s in [(r["lang"], r) for r in top if r["lang"] is not None] + [(None, whole)]:
-        c = [int(s[f"c{i}"] or 0) for i in range(8)]
-        c[7] -= sum(c[2:7])
-        listed = sorted(common.get(lang, []))
-        n = [x[2] for x in listed]
-        found.append((lang, shares(c), [x[1] for x in listed], shares([*n, int(words.get(lang) or 0) - sum(n)]) if n else [0.0, 1.0]))
-    return found
+
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Features, both distances, base_failed and kept for every row.
 
-    Input: doc_id, text, lang and any other columns, which stay. Null text counts as empty and
-    fails the base rule. A null language, or one beyond the ``LANGUAGES`` most frequent, is
-    compared with the pooled references. Repeated rows are judged alike. An empty table gives
-    an empty result. Columns of the caller's that are named like a feature or start with an
-    underscore are replaced.
+    Input: doc_id, text, lang and any other columns, which stay, whatever their names; only those
+    named like a feature are replaced. Null text counts as empty and fails the base rule. A null
+    language is compared with the pooled references. Repeated rows are judged alike. An empty
+    table gives an empty result.
     """
-    schema = "_lang string, _class_q array<double>, _common array<string>, _word_q array<double>"
-    found = references(docs)
-    refs = docs.sparkSession.createDataFrame([r for r in found if r[0] is not None], schema)
-    _, class_q, common, word_q = found[-1]
+    found = stored(references(docs))
+    pooled = found.filter(F.col("lang").isNull()).first()
+    refs = found.filter(F.col("lang").isNotNull()).select(F.col("lang").alias("_lang"), F.col("class_q").alias("_class_q"), F.col("common").alias("_common"), F.col("word_q").alias("_word_q"))
+    class_q, common, word_q = pooled[1:] if pooled else ([0.0] * 8, [], [1.0])
     pool = lambda x, kind: F.array(*[F.lit(v) for v in x]).cast(kind)
-    rows = features(docs).join(F.broadcast(refs), F.col("lang") == F.col("_lang"), "left")  # at most LANGUAGES rows
+    rows = features(docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang"))
+    rows = rows.join(refs, F.col("lang") == F.col("_lang"), "left")  # Spark broadcasts a few languages; many are shuffled
     rows = rows.withColumns(
         {
             "_class_q": F.coalesce("_class_q", pool(class_q, "array<double>")),
@@ -220,4 +257,4 @@ def judge(docs: DataFrame) -> DataFrame:
     # a filter isn't moved below a column that isn't deterministic; below the features it would work them out many times
     kept = F.when(F.monotonically_increasing_id() >= 0, ~failed & ~far)
     rows = rows.withColumns({"base_failed": failed, "kept": kept})
-    return rows.drop("_lang", "_class_q", "_common", "_word_q", "_hashes", "_classes")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in FEATURES], *FEATURES)

@@ -121,7 +121,7 @@ WITH d AS (
 ), cov AS (
   SELECT rid, count(DISTINCT i + j) AS rep FROM dup, range({quality.WINDOW}) AS r(j) GROUP BY rid
 ), top AS (
-  SELECT lang FROM g WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT {quality.LANGUAGES}
+  SELECT DISTINCT lang FROM g WHERE lang IS NOT NULL
 ), h AS (
   SELECT g.*, coalesce(top.lang, '') AS ref FROM g LEFT JOIN top ON g.lang = top.lang
 ), kinds AS (
@@ -142,7 +142,7 @@ WITH d AS (
   SELECT rid, ref, lang, w FROM h, unnest(ws) AS u(w)
 ), per_doc AS (
   SELECT rid, ref, w, count(*) AS c FROM said
-  WHERE length(w) <= {quality.COMMON_CHARS} AND regexp_matches(w, '^\p{{L}}') GROUP BY rid, ref, w
+  WHERE regexp_matches(w, '^\p{{L}}') GROUP BY rid, ref, w
 ), per_ref AS (
   SELECT g.lang AS ref, w, sum(c) AS c FROM per_doc JOIN g USING (rid)
     WHERE g.lang IN (SELECT lang FROM top) GROUP BY g.lang, w

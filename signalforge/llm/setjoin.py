@@ -555,6 +555,8 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     never names a component unless all of its rows' ids are null. An empty table gives an
     empty result. Nodes are 64-bit digests of sets; tokens are 64-bit hashes of shingles.
     """
+    if not 1 <= shingle <= len(_PLACES):
+        raise ValueError(f"sets are of 1 to {len(_PLACES)} words, not {shingle}")
     parts = shuffle_partitions(docs.sparkSession)
     rows = stored(nodes_of(docs, shingle))
     filled = rows.filter(F.col("n") > 0)

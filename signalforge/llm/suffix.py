@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalforge.llm.common import NO_ID, shuffle_partitions
+from signalforge.llm.common import NO_ID, free, shuffle_partitions
 
 SPAN, KMER = 50, 8
 #: Bytes of text for each bucket, of text worked on at once, of text behind each shuffled block, and of runs in a transform.
@@ -348,7 +349,7 @@ def _matched(homes: int):
             spans = (doc[row[start]], digest[row[start]], pos[row[start]] + where[start], pos[row[start]] + where[last] + SPAN)
         else:
             spans = (np.empty(0, np.int64),) * 4
-        home = (spans[0] ^ (spans[0] >> 17)) % homes
+        home = (spans[0] ^ (spans[0] >> 17) ^ spans[1].astype(np.int64)) % homes
         rows = []
         for h in np.unique(home):
             o = np.flatnonzero(home == h)
@@ -359,8 +360,9 @@ def _matched(homes: int):
     return run
 
 
-def _cleaned(_: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
-    """Documents of one home without their spans."""
+def _cleaned(inner: tuple[str, str, str], _: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
+    """Documents of one home without their spans; inner: the names of id, digest and home."""
+    own_id, own_digest, _home = inner
     parts = [_unpacked(b, n, SPAN_KINDS) for b, n in zip(spans.column("spans").to_pylist(), spans.column("n").to_pylist(), strict=True)]
     doc, digest, start, stop = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(4))
     start, stop = start.astype(np.int64), stop.astype(np.int64)
@@ -369,7 +371,7 @@ def _cleaned(_: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
     new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1])))) if len(doc) else []
     at = {(int(doc[a]), int(digest[a])): (a, b) for a, b in zip(new, np.append(new[1:], len(doc)), strict=True)} if len(doc) else {}
     out: list[list] = [[], [], [], [], []]
-    for i, d, text in zip(docs.column("_id").to_pylist(), docs.column("_digest").to_pylist(), docs.column("text").cast(pa.binary()), strict=True):
+    for i, d, text in zip(docs.column(own_id).to_pylist(), docs.column(own_digest).to_pylist(), docs.column("text").cast(pa.binary()), strict=True):
         raw = text.as_py()
         kept, n_spans = raw, 0
         if (i, d) in at:
@@ -384,7 +386,7 @@ def _cleaned(_: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
             x.append(v)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
     cols = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
-    rest = [c for c in docs.column_names if c not in ("_home", "_digest", "_id", "text")]
+    rest = [c for c in docs.column_names if c not in (*inner, "text")]
     return pa.Table.from_arrays([*[docs.column(c) for c in rest], *cols], [*rest, *ADDED])
 
 
@@ -394,22 +396,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Input: doc_id, text and any other columns, which stay. Null text has no bytes. A null
     doc_id is smaller than any other. Rows of equal doc_id never take from each other, but all
     take from smaller ids alike. kept_text leaves out characters that lost some of their bytes;
-    kept_sha256 is of the bytes. An empty table gives an empty result.
+    kept_sha256 is of the bytes. An empty table gives an empty result. Columns named like those
+    that are added are replaced. The least long can't be told from a null id.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     kept = docs.drop(*ADDED)
-    rows = kept.withColumns({"text": text, "_id": F.coalesce("doc_id", F.lit(NO_ID)).cast("long"), "_digest": F.crc32(text.cast("binary"))})
-    cut = rows.select("_id", "_digest", "text").mapInArrow(_cut(buckets), "bucket int, n int, runs binary")
+    inner = own_id, own_digest, home = tuple(free(c, kept.columns) for c in ("_id", "_digest", "_home"))
+    rows = kept.withColumns({"text": text, own_id: F.coalesce("doc_id", F.lit(NO_ID)).cast("long"), own_digest: F.crc32(text.cast("binary"))})
+    cut = rows.select(F.col(own_id).alias("_id"), F.col(own_digest).alias("_digest"), "text").mapInArrow(_cut(buckets), "bucket int, n int, runs binary")
     spans = cut.groupBy("bucket").applyInArrow(_matched(buckets), "_home long, n int, spans binary")
-    homed = rows.withColumn("_home", _home(F.col("_id"), buckets))
+    homed = rows.withColumn(home, _home(F.col(own_id), F.col(own_digest), buckets))
     kind = kept.drop("text").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
     kind = kind.add("kept_sha256", "string").add("kept_text", "string")
-    return homed.groupBy("_home").cogroup(spans.groupBy("_home")).applyInArrow(_cleaned, kind)
+    clean = partial(_cleaned, inner)
+    return homed.groupBy(home).cogroup(spans.groupBy("_home")).applyInArrow(lambda k, a, b: clean(k, a, b), kind)
 
 
-def _home(doc_id: Column, homes: int) -> Column:
+def _home(doc_id: Column, digest: Column, homes: int) -> Column:
     """The group of documents that a document is cleaned with; ``_matched`` works out the same."""
-    return F.pmod(doc_id.bitwiseXOR(F.shiftright(doc_id, 17)), F.lit(homes)).cast("long")
+    return F.pmod(doc_id.bitwiseXOR(F.shiftright(doc_id, 17)).bitwiseXOR(digest), F.lit(homes)).cast("long")

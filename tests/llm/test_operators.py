@@ -591,3 +591,57 @@ def test_chat_examples(spark):
         assert (r.n_turns, r.turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat.read_back(chat.prefix_examples(df.limit(0))).count() == 0
+
+
+# -- columns of the caller's, and languages ---------------------------------------------------------
+
+INNER = ("_id", "_home", "_digest", "__id", "_lang", "_class_q", "_common", "_word_q", "_row", "_text", "_rest", "_words", "_lines", "_hashes", "_classes", "_kinds", "_blank", "k", "n", "of", "has", "word", "bin")
+
+
+def test_columns_named_like_inner_ones_stay(docs):
+    clash = docs.select("doc_id", "text", "lang").withColumns({c: F.lit(f"own {c}") for c in INNER})
+    judged = quality.judge(clash)
+    assert set(INNER) <= set(judged.columns) and judged.filter(" AND ".join(f"`{c}` = 'own {c}'" for c in INNER)).count() == docs.count()
+    plain = quality.judge(docs.select("doc_id", "text", "lang"))
+    assert rows_of(judged.select(plain.columns).na.fill(-1)) == rows_of(plain.na.fill(-1))
+    cleaned = suffix.remove_repeats(clash)
+    assert cleaned.filter(" AND ".join(f"`{c}` = 'own {c}'" for c in INNER)).count() == docs.count()
+    assert rows_of(cleaned.select("doc_id", "n_bytes", "kept_sha256").na.fill(-1)) == rows_of(
+        suffix.remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "kept_sha256").na.fill(-1)
+    )
+
+
+def test_rows_without_an_id_are_spread_over_homes(spark):
+    r = rnd(31)
+    rows = [(None, f"{sentence(r, 30)} {i}") for i in range(60)] + [(5, "x" * 100), (9, "x" * 100)]
+    held = spark.createDataFrame(rows, "doc_id long, text string")
+    homes = held.select(suffix._home(F.coalesce("doc_id", F.lit(suffix.NO_ID)), F.crc32(F.col("text").cast("binary")), 16).alias("h"))
+    assert homes.distinct().count() > 10
+    found = {(x.doc_id, x.n_removed) for x in suffix.remove_repeats(held).collect()}
+    assert found == {(None, 0), (5, 0), (9, 100)}
+
+
+def test_every_language_and_long_words_have_references(spark, monkeypatch):
+    """More languages than any cap, and common words of many letters, in bins so few that they are opened or shared."""
+    monkeypatch.setattr(quality, "BINS", 7)
+    r = rnd(41)
+    rows = []
+    for lang in range(90):
+        words = [f"{'abcdefghij'[lang % 10] * (1 + k % 9)}{chr(97 + lang // 10)}{chr(97 + k)}" for k in range(26)]
+        rows += [(f"l{lang}", " ".join(r.choice(words) for _ in range(r.randint(30, 60)))) for _ in range(3)]
+    rows += [(None, "solo ohne sprache"), ("empty", ""), ("empty", None), ("signs", "123 456 !!")]
+    found = {x.lang: x for x in quality.references(spark.createDataFrame(rows, "lang string, text string")).collect()}
+    assert len(found) == 93
+    for lang in [*{x[0] for x in rows if x[0]}, None]:
+        count = Counter(w for g, t in rows for w in (t or "").split() if lang is None or g == lang)
+        best = sorted(((w, n) for w, n in count.items() if w[0].isalpha()), key=lambda x: (-x[1], x[0]))[: quality.COMMON]
+        assert found[lang].common == [w for w, _ in best]
+        total = sum(count.values())
+        want = [n / total for _, n in best] + [(total - sum(n for _, n in best)) / total] if total else [1.0]
+        assert found[lang].word_q == pytest.approx(want)
+
+
+def test_sets_of_too_many_words_are_refused(docs):
+    for words in (0, 6):
+        with pytest.raises(ValueError):
+            setjoin.link(docs, words)

@@ -12,12 +12,19 @@ from signalforge.llm import setjoin
 from tests.llm.test_operators import corpus, joined, repeats, rnd, sentence
 
 
+#: Columns that a stage sets itself.
+CHANGED = ("kept_text",)
+
+
 def tables(spark, folder):
     r = rnd(11)
-    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in dict(corpus()).items()]
+    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in corpus()]  # with a repeated row
     rows += [(1000 + i, f"{sentence(r, 30)} {'scumword' if i % 3 == 0 else ''} {sentence(r, 10)}", "en", "s", 0) for i in range(200)]
     rows += [(2000, " ".join(w.upper() + "$$%" for w in sentence(r, 80).split()), "en", "s", 0)]
+    clash = {"_at": 7, "_id": 8, "_home": 9, "_digest": 10, "_row": 11, "_lang": "x", "_common": "y", "_class_q": 1, "_word_q": 2, "_hashes": 3, "_classes": 4}
+    clash |= {"kept": 5, "score": 0.5, "predicted": 1, "component_id": 3, "node": 1, "token": 2, "kept_text": "z", "n_words": 6, "bucket": 2, "features": 4}
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({k: F.lit(v) for k, v in clash.items() if k not in CHANGED})
     docs.write.parquet(f"{folder}/documents.parquet")
     labels = [(1000 + i, 1, int(i % 3 == 0)) for i in range(200)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -59,10 +66,25 @@ def test_stages(spark, tmp_path):
             assert hashlib.sha256(t.encode()).hexdigest() == want[i][1]
 
 
-def test_run(spark, tmp_path):
+def test_two_runs_keep_their_results(spark, tmp_path):
+    tables(spark, tmp_path)
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    again = corpus_pipeline.run(spark, str(tmp_path))
+    assert first.agg(F.max("length")).first()[0] <= 1024
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "piece", "length", "ids_crc32").collect()))
+    assert rows(first) == rows(again)
+
+
+def test_a_stage_called_twice_keeps_both_results(spark, tmp_path):
     tables(spark, tmp_path)
-    found = corpus_pipeline.run(spark, str(tmp_path))
-    assert found.agg(F.max("length")).first()[0] <= 1024
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first = corpus_pipeline.keep_one_of_each_group(spark, docs, str(tmp_path))
+    other = corpus_pipeline.keep_one_of_each_group(spark, docs.filter("doc_id < 20"), str(tmp_path))
+    assert first.count() > other.count() > 0
+    held = len(corpus_pipeline._HELD)
+    del first, other
+    corpus_pipeline.drop_low_quality(spark, docs, str(tmp_path))
+    assert len(corpus_pipeline._HELD) < held
 
 
 def near(rows, k, percent):
