@@ -102,7 +102,8 @@ def resample_bars(bars: DataFrame, interval: str, minutes: int) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    bars.write.mode("overwrite").partitionBy("interval", "symbol").parquet(path)
+    """A plain folder of bars, new each time; ``sources.cache`` keeps one that is refreshed."""
+    bars.write.mode("errorifexists").partitionBy("interval", "symbol").parquet(path)
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
