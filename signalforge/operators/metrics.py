@@ -45,9 +45,9 @@ def summarise(trades: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def chronological(trades: DataFrame) -> list:
-    """A date's trades in order: by the clock minute of entry where they have one, symbol, interval and bar."""
+    """A date's trades in order: by the clock minute of entry where they have one, symbol, interval and bar; controls may share a bar."""
     minute = [F.asc_nulls_last("entry_minute")] if "entry_minute" in trades.columns else []
-    return [*minute, "symbol", "interval", "entry_index"]
+    return [*minute, "symbol", "interval", "entry_index", "net_r"]
 
 
 def _within_dates(trades: DataFrame) -> DataFrame:

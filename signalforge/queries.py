@@ -17,7 +17,7 @@ from signalforge.operators import trades as trade
 from signalforge.plans import run as plan
 from signalforge.plans.run import grid
 from signalforge.sources import bars as bar
-from signalforge.sources import fixtures, showcase
+from signalforge.sources import cache, fixtures, quotes, registry, showcase
 
 T, RULES, COSTS, STATS = sql.default()
 #: Bootstrap draws of the queries, as many as runs take.
@@ -259,6 +259,15 @@ _QUOTES = """q AS (
 )"""
 
 
+_SAMPLED = _QUOTES.replace("FROM lineitem", "FROM lineitem WHERE l_partkey % 390 IN (1, 10, 25, 60, 180, 300, 361, 372, 385) AND l_linenumber < 2")
+
+
+@query(f"WITH {_SAMPLED} SELECT symbol, bucket, {sql.r6('half_spread_bps')} AS half_spread_bps FROM qt")
+def quote_table_sampled(spark, d):
+    """The table from the quotes at each bucket's sample points alone."""
+    return _round(cost.quote_table(quotes.sampled(fixtures.quotes(spark, d))), ["half_spread_bps"])
+
+
 @query(f"WITH {_QUOTES} SELECT symbol, bucket, {sql.r6('half_spread_bps')} AS half_spread_bps FROM qt")
 def quote_table(spark, d):
     return _round(cost.quote_table(fixtures.quotes(spark, d)), ["half_spread_bps"])
@@ -281,6 +290,68 @@ def quote_lookup(spark, d):
     return _round(rows.select(F.col("own").alias("symbol"), "session", "bar_idx", "cost_source", "cost"), ["cost"])
 
 
+@query(
+    f"""WITH {sql.bars()}, {_QUOTES}, half AS (SELECT * FROM qt WHERE bucket <> 'open'),
+b AS (SELECT *, CASE symbol WHEN 'view' THEN 'R' WHEN 'click' THEN 'N' ELSE symbol END AS s2,
+  CASE WHEN minute < 30 THEN 'open' WHEN minute >= 360 THEN 'close' ELSE 'midday' END AS bucket FROM bars),
+x AS (SELECT b.interval, CASE WHEN o.half_spread_bps IS NOT NULL THEN 'observed' WHEN r.symbol IS NOT NULL THEN 'imputed' ELSE 'fallback' END AS cost_source
+FROM b LEFT JOIN half o ON o.symbol = b.s2 AND o.bucket = b.bucket LEFT JOIN (SELECT DISTINCT symbol FROM half) r ON r.symbol = b.s2)
+SELECT interval, cost_source, count(*) AS bars, {sql.r6("count(*) / sum(count(*)) OVER (PARTITION BY interval)")} AS share FROM x GROUP BY interval, cost_source"""
+)
+def quote_source_shares(spark, d):
+    table = cost.quote_table(fixtures.quotes(spark, d)).filter("bucket <> 'open'")
+    named = F.when(F.col("symbol") == "view", "R").when(F.col("symbol") == "click", "N").otherwise(F.col("symbol"))
+    return _round(quotes.source_shares(cost.priced(fixtures.bars(spark, d).withColumn("symbol", named), table, COSTS)), ["share"])
+
+
+_ESTIMATED = f"""p AS (
+  SELECT *, lead(high) OVER w AS h2, lead(low) OVER w AS l2 FROM bars WINDOW w AS (PARTITION BY {sql.K} ORDER BY bar_idx)
+), a AS (
+  SELECT {sql.K}, h2, pow(ln(high / low), 2) + pow(ln(h2 / l2), 2) AS one, pow(ln(greatest(high, h2) / least(low, l2)), 2) AS two FROM p
+), b AS (
+  SELECT *, (sqrt(2 * one) - sqrt(one)) / (3 - 2 * sqrt(2)) - sqrt(two / (3 - 2 * sqrt(2))) AS alpha FROM a
+), spread AS (
+  SELECT symbol, session, avg(CASE WHEN h2 IS NOT NULL THEN greatest(0.0, 2 * (exp(alpha) - 1) / (1 + exp(alpha))) END) AS spread FROM b GROUP BY symbol, session
+)"""
+#: Prices of the tables move far more than a market's; a session's highs are drawn to its lows by a divisor of its own.
+_CALMED = "SELECT * REPLACE (low + (high - low) / (500 + 400 * (dayofyear(session) % 7)) AS high) FROM bars"
+
+
+@query(
+    f"""WITH {sql.bars('day').replace('bars AS (', 'wide AS (')}, bars AS ({_CALMED.replace('FROM bars', 'FROM wide')}), {_ESTIMATED}
+SELECT symbol, session, {sql.r6('spread')} AS spread, {sql.r6('CASE WHEN spread IS NULL OR spread <= 0 OR spread > 0.02 THEN 0.0001 ELSE spread / 2 END')} AS cost FROM spread"""
+)
+def spread_costs(spark, d):
+    """What a session is charged: half its estimated spread, or the fixed cost where the estimate is none or implausible."""
+    part = 500 + 400 * (F.dayofyear("session") % 7)
+    bars = fixtures.bars(spark, d, "day").withColumn("high", F.col("low") + (F.col("high") - F.col("low")) / part)
+    return _round(cost.estimated(bars, COSTS), ["spread", "cost"])
+
+
+@query(
+    f"""WITH {sql.bars()} SELECT interval, count(DISTINCT symbol) AS symbols, count(DISTINCT session) AS dates, count(DISTINCT symbol || '|' || session) AS sessions,
+count(*) AS bars, CAST(min(session) AS VARCHAR) AS first_session, CAST(max(session) AS VARCHAR) AS last_session FROM bars GROUP BY interval"""
+)
+def cache_description(spark, d):
+    rows = cache.description(fixtures.bars(spark, d))
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("first_session", "last_session")})
+
+
+@query(f"WITH {sql.bars('day')} SELECT symbol, session, CAST(row_number() OVER (PARTITION BY symbol ORDER BY session DESC) AS INTEGER) AS place FROM (SELECT DISTINCT symbol, session FROM bars) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY session DESC) <= 5")
+def newest_sessions(spark, d):
+    return cache.newest_sessions(fixtures.bars(spark, d, "day"), 5)
+
+
+@query(f"WITH {sql.bars()} SELECT symbol, CAST(ts AS VARCHAR) AS at, open, high, low, close, volume FROM bars")
+def wide_extract(spark, d):
+    """Bars from a wide table with one row for each time, as a download of several symbols gives them."""
+    bars = fixtures.bars(spark, d)
+    fields = ("open", "high", "low", "close", "volume")
+    wide = bars.groupBy("ts").pivot("symbol").agg(*[F.first(c).alias(c) for c in fields])
+    named = [F.col(f"`{c}`").alias(".".join(c.rsplit("_", 1))) for c in wide.columns if c != "ts"]
+    return registry.extracted(wide.select("ts", *named)).select("symbol", F.col("ts").cast("string").alias("at"), *fields)
+
+
 # -- statistics ---------------------------------------------------------------------------------
 
 _FIGURES = ["win_rate", "expectancy_r", "gross_expectancy_r", "total_return_pct", "avg_bars_held", "profit_factor", "sharpe_per_trade"]
@@ -531,6 +602,66 @@ def trades_page(spark, d):
     return _round(rows.select("session", "pattern", "symbol", "entry_index", "exit_reason", "net_r"), ["net_r"])
 
 
+@query(
+    f"WITH RECURSIVE {_TRADES}, hit AS (SELECT * FROM trades WHERE exit_reason = 'stop') SELECT session, pattern, symbol, entry_index, {sql.r6('net_r')} AS net_r, "
+    "(SELECT count(*) FROM hit) AS total FROM hit ORDER BY net_r, session, pattern, interval, symbol, entry_index LIMIT 25"
+)
+def trades_page_with_total(spark, d):
+    rows = drill.counted_page(_own(spark, d), {"exit_reason": "stop"}, "net_r", False, 0, 25)
+    return _round(rows.select("session", "pattern", "symbol", "entry_index", "net_r", "total"), ["net_r"])
+
+
+_COMPARED = f"""{_TRADES}, {sql.matched(RULES, SEED)}, {sql.net('control_exits', 'paid', RULES, COSTS)}, both_kinds AS (
+  SELECT pattern, interval, symbol, session, entry_index, net_r, false AS matched FROM trades
+  UNION ALL SELECT 'random_short', interval, symbol, session, entry_index, net_r, false FROM trades WHERE pattern = 'bearish_hikkake'
+  UNION ALL SELECT pattern, interval, symbol, session, entry_index, net_r, true FROM paid WHERE direction > 0
+), against AS (
+  SELECT 'bullish_hikkake' AS pattern, 'matched' AS kind, interval, symbol, session, entry_index, net_r FROM both_kinds WHERE pattern = 'bullish_hikkake' AND matched
+  UNION ALL SELECT 'bearish_hikkake', 'reference', interval, symbol, session, entry_index, net_r FROM both_kinds WHERE pattern = 'random_short' AND NOT matched
+), curve AS (
+  SELECT a.*, row_number() OVER w AS trade_no, sum(net_r) OVER (w ROWS UNBOUNDED PRECEDING) AS equity_r
+  FROM (SELECT a.*, b.minute FROM against a JOIN bars b ON b.symbol = a.symbol AND b.interval = a.interval AND b.session = a.session AND b.bar_idx = a.entry_index) a
+  WINDOW w AS (PARTITION BY pattern, a.interval ORDER BY a.session, minute, a.symbol, entry_index, net_r)
+)"""
+
+
+@query(f"WITH RECURSIVE {_COMPARED} SELECT pattern, interval, kind, session, CAST(trade_no AS INTEGER) AS trade_no, {sql.r6('equity_r')} AS equity_r FROM curve")
+def comparison_curve(spark, d):
+    """A pattern with matched controls is held against them, one without against random entries of its direction."""
+    bars = fixtures.bars(spark, d)
+    own = _own(spark, d)
+    controls = trade.net(trade.matched(own, bars, RULES, SEED), RULES, COSTS).filter("direction > 0")
+    few = lambda t, m: t.select("pattern", "interval", "symbol", "session", "entry_index", "entry_minute", "net_r", F.lit(m).alias("matched"))
+    reference = few(own.filter("pattern = 'bearish_hikkake'"), False).withColumn("pattern", F.lit("random_short"))
+    rows = few(own, False).unionByName(reference).unionByName(few(controls, True))
+    found = drill.comparison_curve(rows, ["bullish_hikkake", "bearish_hikkake"])
+    return _round(found.select("pattern", "interval", "kind", "session", "trade_no", "equity_r"), ["equity_r"])
+
+
+_OTHER = Thresholds(long_body=0.4, small_body=0.5, near_equal=0.01, trend_lookback=6)
+
+
+def _viewed(run: str, t: Thresholds) -> str:
+    return (
+        f"(WITH RECURSIVE {sql.trades(t, RULES, COSTS)} SELECT '{run}' AS run, b.symbol, b.interval, b.session, b.bar_idx, b.close, s.bar_idx IS NOT NULL AS signal, "
+        f"{sql.r6('tr.net_r')} AS net_r, tr.exit_reason FROM bars b LEFT JOIN (SELECT * FROM signals WHERE pattern = 'bullish_harami') s "
+        "ON s.symbol = b.symbol AND s.interval = b.interval AND s.session = b.session AND s.bar_idx = b.bar_idx LEFT JOIN (SELECT * FROM trades WHERE pattern = 'bullish_harami') tr "
+        "ON tr.symbol = b.symbol AND tr.interval = b.interval AND tr.session = b.session AND tr.entry_index = b.bar_idx)"
+    )
+
+
+@query(f"SELECT * FROM {_viewed('first', T)} UNION ALL SELECT * FROM {_viewed('second', _OTHER)}")
+def session_view(spark, d):
+    """Every session as two runs with other thresholds saw it: bars, signals found anew, stored trades where they were entered."""
+    bars = fixtures.bars(spark, d)
+    stored = trade.trades(bars, T, RULES, COSTS, ["bullish_harami"]).withColumn("run", F.lit("first"))
+    stored = stored.unionByName(trade.trades(bars, _OTHER, RULES, COSTS, ["bullish_harami"]).withColumn("run", F.lit("second")))
+    runs = {"first": (T, {"1h": T.trend_lookback}), "second": (_OTHER, {"1h": _OTHER.trend_lookback})}
+    rows = drill.session_view(bars, stored, runs, "bullish_harami")
+    one = F.try_element_at("trades", F.lit(1))  # non-overlapping trades: one at a bar at most
+    return _round(rows.select("run", *KEY, "bar_idx", "close", "signal", one["net_r"].alias("net_r"), one["exit_reason"].alias("exit_reason")), ["net_r"])
+
+
 @query(f"WITH RECURSIVE {_TRADES} SELECT symbol, count(*) AS trades FROM trades GROUP BY symbol ORDER BY trades DESC, symbol LIMIT 3")
 def top_symbols(spark, d):
     return drill.top_symbols(_own(spark, d), 3)
@@ -559,9 +690,120 @@ def ticker_indicators(spark, d):
     return _round(ticker.latest(fixtures.daily(spark, d)).select("symbol", "day", *_IND), _IND)
 
 
-@query()
+_INFO_SQL = """parts AS (
+  SELECT p_brand AS symbol, CAST(sum(p_size) AS BIGINT) AS s FROM part GROUP BY p_brand
+), info AS (
+  SELECT symbol, CASE WHEN s % 11 <> 3 THEN s % 41 - 5 END AS tpe, CASE WHEN s % 7 <> 2 THEN s % 37 - 3 END AS fpe,
+    CASE WHEN s % 10 <> 4 THEN (s % 9) / 2 - CAST(0.5 AS DOUBLE) END AS pb, CAST(s % 30 AS DOUBLE) / 100 AS roe,
+    CASE WHEN s % 8 <> 1 THEN s % 250 - 20 END AS debt, CAST(s % 35 AS DOUBLE) / 100 AS margin, CAST(s % 95 AS DOUBLE) / 100 - CAST(0.1 AS DOUBLE) AS payout,
+    CASE WHEN s % 9 <> 5 THEN CAST(s % 25 AS DOUBLE) / 10 END AS beta, CASE WHEN s % 6 <> 4 THEN s * s % 7000000 END AS volume,
+    CAST(s % 90 + 10 AS DOUBLE) AS bid, (s % 90 + 10) * (1 + CAST(s % 7 - 1 AS DOUBLE) / 1000) AS ask,
+    CASE WHEN s % 5 <> 2 THEN s % 11 - 5 END AS change, s % 2 = 0 AS earnings FROM parts
+)"""
+_GROWTH_SQL = """y0 AS (
+  SELECT p_brand AS symbol, year(l_shipdate) AS year, sum(l_linenumber) AS a, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand <> 'Brand#11' GROUP BY ALL
+), yearly AS (
+  SELECT symbol, year, CASE WHEN n % 5 <> 1 THEN floor(CAST(a AS DOUBLE) * 10 / n) END AS eps, floor(CAST(n AS DOUBLE) / 300) AS revenue FROM y0
+), steps AS (
+  SELECT symbol, 'eps' AS what, eps AS v, lag(eps) OVER (PARTITION BY symbol ORDER BY year) AS was FROM yearly WHERE eps IS NOT NULL
+  UNION ALL SELECT symbol, 'revenue', revenue, lag(revenue) OVER (PARTITION BY symbol ORDER BY year) FROM yearly
+), growth AS (
+  SELECT symbol, what, CASE WHEN count(*) >= 2 THEN CASE WHEN bool_or(v < was) THEN 0.0 ELSE 1.0 END END AS trend FROM steps GROUP BY symbol, what
+)"""
+
+
+@query(f"WITH {_GROWTH_SQL} SELECT symbol, max(CASE WHEN what = 'eps' THEN trend END) AS eps_trend, max(CASE WHEN what = 'revenue' THEN trend END) AS revenue_trend FROM growth GROUP BY symbol")
+def ticker_growth(spark, d):
+    return ticker.growth(fixtures.statements(spark, d)).select("symbol", "eps_trend", "revenue_trend")
+
+
+_YEAR_SQL = """px AS (
+  SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS day, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
+    median(l_extendedprice / l_quantity) AS close FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL
+), yr AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY symbol) AS n12, last_day,
+    count(*) FILTER (WHERE day > last_day - INTERVAL 6 MONTH) OVER (PARTITION BY symbol) AS n6, count(*) FILTER (WHERE day > last_day - INTERVAL 1 MONTH) OVER (PARTITION BY symbol) AS n1,
+    lag(close) OVER w AS before, lead(close) OVER w AS after, date_trunc('week', day) <> coalesce(date_trunc('week', lead(day) OVER w), DATE '1900-01-01') AS week_end
+  FROM (SELECT *, max(day) OVER (PARTITION BY symbol) AS last_day FROM px) WHERE day > last_day - INTERVAL 12 MONTH WINDOW w AS (PARTITION BY symbol ORDER BY day)
+), back AS (
+  SELECT *, n12 - i AS b, greatest(close - before, 0) AS gain, greatest(before - close, 0) AS loss,
+    close > before AND close > after AS peak, close < before AND close < after AS trough FROM yr
+), weeks AS (
+  SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM yr WHERE week_end
+), ends AS (
+  SELECT symbol, max(n) AS weeks, max(CASE WHEN k = 1 THEN close END) AS week, avg(CASE WHEN k <= 10 THEN close END) AS week10 FROM weeks GROUP BY symbol
+), turns AS (
+  SELECT symbol, kind, max(CASE WHEN k = 1 THEN close END) AS newer, max(CASE WHEN k = 2 THEN close END) AS older FROM (
+    SELECT symbol, close, kind, row_number() OVER (PARTITION BY symbol, kind ORDER BY i DESC) AS k FROM (
+      SELECT symbol, i, close, 'peak' AS kind FROM back WHERE peak AND b BETWEEN 1 AND least(90, n12) - 2
+      UNION ALL SELECT symbol, i, close, 'trough' FROM back WHERE trough AND b BETWEEN 1 AND least(90, n12) - 2)) GROUP BY symbol, kind
+), doubles AS (
+  SELECT symbol, bool_or(coalesce(abs(newer - older) / older <= 0.03, false)) AS doubled FROM turns GROUP BY symbol
+), own AS (
+  SELECT symbol, any_value(n12) AS n12, any_value(n6) AS n6, any_value(n1) AS n1, max(CASE WHEN b = 0 THEN close END) AS price,
+    avg(CASE WHEN b < 20 THEN close END) AS s20, avg(CASE WHEN b < 50 THEN close END) AS s50, stddev_samp(CASE WHEN b < 20 THEN close END) AS sd,
+    avg(CASE WHEN b < 14 THEN gain END) AS up, avg(CASE WHEN b < 14 THEN loss END) AS down, avg(CASE WHEN b < 10 THEN (high - low) / close END) AS range10,
+    min(CASE WHEN b < 60 THEN close END) AS support, 4 * stddev_samp(CASE WHEN b < 20 THEN close END) / avg(CASE WHEN b < 20 THEN close END) AS width,
+    4 * stddev_samp(CASE WHEN b BETWEEN 59 AND 78 THEN close END) / avg(CASE WHEN b BETWEEN 59 AND 78 THEN close END) AS old_width
+  FROM back GROUP BY symbol
+)"""
+_SCORES_SQL = f"""{_INFO_SQL}, {_GROWTH_SQL}, {_YEAR_SQL}, x AS (
+  SELECT i.*, o.* EXCLUDE (symbol), e.* EXCLUDE (symbol), coalesce(d.doubled, false) AS doubled, g.trend AS eps, r.trend AS revenue,
+    CASE WHEN bid > 0 AND ask > bid THEN (ask - bid) / bid END AS quoted,
+    CASE WHEN up = 0 AND down = 0 THEN 50 WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END AS rsi
+  FROM info i LEFT JOIN own o USING (symbol) LEFT JOIN ends e USING (symbol) LEFT JOIN doubles d USING (symbol)
+  LEFT JOIN growth g ON g.symbol = i.symbol AND g.what = 'eps' LEFT JOIN growth r ON r.symbol = i.symbol AND r.what = 'revenue'
+), scores AS (
+  SELECT symbol, style, label, CAST(score AS DOUBLE) AS score FROM x, LATERAL (VALUES
+    ('long_term', 'eps_trend', eps), ('long_term', 'revenue_trend', revenue),
+    ('long_term', 'growth_outlook', CASE WHEN tpe > 0 AND fpe > 0 THEN CASE WHEN fpe < tpe THEN 1 WHEN fpe > tpe THEN 0 ELSE 0.5 END END),
+    ('long_term', 'pe', CASE WHEN tpe IS NOT NULL THEN CASE WHEN tpe > 0 AND tpe <= 25 THEN 1 ELSE 0 END END),
+    ('long_term', 'pb', CASE WHEN pb IS NOT NULL THEN CASE WHEN pb > 0 AND pb <= 3 THEN 1 ELSE 0 END END),
+    ('long_term', 'roe', CASE WHEN roe >= CAST(0.1 AS DOUBLE) THEN 1 ELSE 0 END),
+    ('long_term', 'debt_to_equity', CASE WHEN debt IS NOT NULL THEN CASE WHEN debt < 0 THEN 0 WHEN debt < 100 THEN 1 WHEN debt <= 200 THEN 0.5 ELSE 0 END END),
+    ('long_term', 'profit_margin', CASE WHEN margin >= CAST(0.2 AS DOUBLE) THEN 1 WHEN margin >= CAST(0.1 AS DOUBLE) THEN 0.5 ELSE 0 END),
+    ('long_term', 'payout', CASE WHEN payout >= 0 THEN CASE WHEN payout <= CAST(0.6 AS DOUBLE) THEN 1 WHEN payout <= CAST(0.7 AS DOUBLE) THEN 0.5 ELSE 0 END END),
+    ('long_term', 'volatility', CASE WHEN beta IS NOT NULL THEN CASE WHEN beta <= CAST(1.2 AS DOUBLE) THEN 1 WHEN beta <= CAST(1.8 AS DOUBLE) THEN 0.5 ELSE 0 END END),
+    ('short_term', 'moving_averages', CASE WHEN n6 >= 50 THEN CASE WHEN price > s20 AND s20 > s50 THEN 1 WHEN price > s20 THEN 0.5 ELSE 0 END END),
+    ('short_term', 'rsi', CASE WHEN n6 > 14 THEN CASE WHEN rsi < 30 THEN 1 ELSE 0.5 END END),
+    ('short_term', 'bands', CASE WHEN n6 >= 20 THEN CASE WHEN price <= s20 - 2 * sd THEN 1 ELSE 0.5 END END),
+    ('short_term', 'earnings', CASE WHEN earnings THEN 1 END),
+    ('short_term', 'average_volume', CASE WHEN volume IS NOT NULL THEN CASE WHEN volume >= 1000000 THEN 1 WHEN volume >= 100000 THEN 0.5 ELSE 0 END END),
+    ('short_term', 'quote', CASE WHEN quoted IS NOT NULL THEN CASE WHEN quoted <= CAST(0.001 AS DOUBLE) THEN 1 WHEN quoted <= CAST(0.005 AS DOUBLE) THEN 0.5 ELSE 0 END END),
+    ('day_trading', 'daily_range', CASE WHEN n1 >= 10 THEN CASE WHEN range10 >= 0.04 THEN 1 WHEN range10 >= 0.02 THEN 0.5 ELSE 0 END END),
+    ('day_trading', 'beta', CASE WHEN beta IS NOT NULL THEN CASE WHEN beta >= CAST(1.5 AS DOUBLE) THEN 1 WHEN beta >= 1 THEN 0.5 ELSE 0 END END),
+    ('day_trading', 'volume_depth', CASE WHEN volume IS NOT NULL THEN CASE WHEN volume >= 5000000 THEN 1 WHEN volume >= 1000000 THEN 0.5 ELSE 0 END END),
+    ('day_trading', 'change', CASE WHEN change IS NOT NULL THEN CASE WHEN abs(change) >= 3 THEN 1 ELSE 0 END END),
+    ('swing', 'support', CASE WHEN n12 >= 60 THEN CASE WHEN (price - support) / support <= 0.03 THEN 1 ELSE 0.5 END END),
+    ('swing', 'squeeze', CASE WHEN n12 >= 80 THEN CASE WHEN width < old_width * 0.7 THEN 1 WHEN width < old_width THEN 0.5 ELSE 0 END END),
+    ('swing', 'double', CASE WHEN n12 >= 40 THEN CASE WHEN doubled THEN 1 ELSE 0.5 END END),
+    ('swing', 'alignment', CASE WHEN n12 >= 100 AND weeks >= 10 THEN CASE WHEN (price > s20) = (week > week10) THEN 1 ELSE 0 END END)) AS t(style, label, score)
+)"""
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return ticker.metrics(fixtures.daily(spark, d), fixtures.company_info(spark, d), fixtures.statements(spark, d))
+
+
+@query(f"WITH {_SCORES_SQL} SELECT symbol, style, label, score FROM scores")
+def ticker_metrics(spark, d):
+    """All 24 metrics of every symbol."""
+    return _scores(spark, d).select("symbol", "style", "label", "score")
+
+
+@query(
+    f"""WITH {_SCORES_SQL}, counted AS (
+  SELECT symbol, style, score FROM scores
+  UNION ALL SELECT symbol, t.style, score FROM scores, (VALUES ('day_trading'), ('swing')) AS t(style) WHERE scores.style = 'short_term'
+), r AS (
+  SELECT symbol, style, count(*) AS metrics, count(score) AS evaluated, coalesce(sum(score), 0) AS score FROM counted GROUP BY symbol, style
+) SELECT symbol, style, metrics, evaluated, score, {sql.r6("score / nullif(evaluated, 0)")} AS indicator_score,
+  CASE WHEN evaluated < 3 OR CAST(evaluated AS DOUBLE) / metrics < 0.6 THEN 'inconclusive' WHEN score / evaluated >= CAST(0.8 AS DOUBLE) THEN 'strong' WHEN score / evaluated >= CAST(0.6 AS DOUBLE) THEN 'moderate' ELSE 'poor' END AS rating FROM r"""
+)
 def ticker_verdicts(spark, d):
-    return ticker.scored(fixtures.daily(spark, d))
+    """Ratings of every symbol and style."""
+    rows = ticker.ratings(_scores(spark, d))
+    return _round(rows.select("symbol", "style", "metrics", "evaluated", "score", "indicator_score", "rating"), ["indicator_score"])
 
 
 def leaderboard(spark: SparkSession, d: str) -> DataFrame:
@@ -606,7 +848,7 @@ OUT = dict.fromkeys(
     (
         "bars_validate session_index geometry_columns lags_and_extremes signals control_rate control_mask candidates "
         "exits_first_touch trades_overlap_allowed trades_nonoverlap matched_controls corwin_schultz quote_lookup "
-        "equity_curve breakdown_session date_totals holdout_split draw_trials draw_trials_with_replacement trades_page"
+        "equity_curve breakdown_session date_totals holdout_split draw_trials draw_trials_with_replacement trades_page trades_page_with_total spread_costs newest_sessions comparison_curve session_view"
     ).split(),
     ("session",),
 )

@@ -46,6 +46,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("symbol"),
         F.to_date("l_shipdate").alias("day"),
         (F.col("l_partkey") % 390).cast("int").alias("minute"),
+        F.col("l_linenumber").cast("int").alias("second"),
         (price * (1 - F.col("l_discount"))).alias("bp"),
         (price * (1 + F.col("l_tax"))).alias("ap"),
     )
@@ -60,3 +61,41 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.groupBy(F.col("p_brand").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(
         F.max(price).alias("high"), F.min(price).alias("low"), F.median(price).alias("close"), F.sum("l_quantity").alias("volume")
     )
+
+
+def company_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of each brand, by arithmetic on its parts' sizes; some are absent, negative or not finite."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    s = F.col("s")
+    rows = parts.groupBy(F.col("p_brand").alias("symbol")).agg(F.sum("p_size").cast("long").alias("s"))
+    none_at = lambda m, r, x: F.when(s % m != r, x)
+    return rows.select(
+        "symbol",
+        none_at(11, 3, (s % 41 - 5).cast("double")).alias("trailing_pe"),
+        none_at(7, 2, (s % 37 - 3).cast("double")).alias("forward_pe"),
+        F.when(s % 10 == 4, F.lit(float("inf"))).otherwise((s % 9) / 2 - 0.5).alias("price_to_book"),
+        ((s % 30) / 100).alias("return_on_equity"),
+        none_at(8, 1, (s % 250 - 20).cast("double")).alias("debt_to_equity"),
+        ((s % 35) / 100).alias("profit_margin"),
+        ((s % 95) / 100 - 0.1).alias("payout_ratio"),
+        none_at(9, 5, (s % 25) / 10).alias("beta"),
+        none_at(6, 4, (s * s % 7_000_000).cast("double")).alias("average_volume"),
+        (s % 90 + 10).cast("double").alias("bid"),
+        ((s % 90 + 10) * (1 + (s % 7 - 1) / 1000)).alias("ask"),
+        none_at(5, 2, (s % 11 - 5).cast("double")).alias("change_pct"),
+        F.when(s % 2 == 0, "2025-04-01").alias("earnings_date"),
+    )
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly figures of each brand from its order lines: the mean discount in tenths of a percent as EPS, thousands sold as revenue; a year may lack one."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(
+        spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"
+    )
+    rows = items.groupBy(F.col("p_brand").alias("symbol"), F.year("l_shipdate").alias("year")).agg(F.sum("l_linenumber").alias("a"), F.count("*").alias("n"))
+    return rows.select(
+        "symbol",
+        "year",
+        F.when(F.col("n") % 5 != 1, F.floor(F.col("a") * 10 / F.col("n")).cast("double")).alias("eps"),
+        F.floor(F.col("n") / 300).cast("double").alias("revenue"),
+    ).filter(F.col("symbol") != "Brand#11")
