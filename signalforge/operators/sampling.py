@@ -11,6 +11,10 @@ from signalforge.config import INTERVALS, Run
 from signalforge.sources.bars import KEY
 
 
+#: Columns that a trade takes over from its trial, where it has one.
+TRIAL = ("trial_index", "trial_seed", "window", "sample")
+
+
 def narrowest(intervals: list[str]) -> str:
     return min(intervals, key=lambda i: INTERVALS[i])
 
@@ -100,7 +104,7 @@ def control_mask(bars: DataFrame, rates: DataFrame, lookback: int, seed: int, na
 
     rates may have several trials (trial_index, trial_seed) of a session, which draw each by itself.
     """
-    trial = [c for c in ("trial_index", "trial_seed") if c in rates.columns]
+    trial = [c for c in TRIAL if c in rates.columns]
     own_seed = F.col("trial_seed").cast("string") if trial else F.lit(str(seed))
     h = F.md5(F.concat_ws("|", own_seed, F.lit(name), *[F.col(k).cast("string") for k in KEY], F.col("bar_idx").cast("string")))
     rows = bars.select(*KEY, "bar_idx").filter(F.col("bar_idx") >= lookback).join(rates, KEY)

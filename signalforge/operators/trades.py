@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 
 from signalforge.config import Costs, Thresholds, TradeRules
 from signalforge.operators.patterns import REGISTRY, fired, masks
+from signalforge.operators.sampling import TRIAL
 from signalforge.sources.bars import KEY, in_order
 
-#: Columns that a trade takes over from its trial, where it has one.
-TRIAL = ("trial_index", "trial_seed")
 #: Bars held up to which each bar carries those ahead of it; longer trades look into their session's bars.
 SHORT = 64
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from signalforge.config import Costs, Stats, Thresholds, TradeRules
 from signalforge.functions.geometry import BASE, LAGGED, LAGS
 from signalforge.operators.patterns import REGISTRY
-from signalforge.sources import showcase
 
 K = "symbol, interval, session"
 
@@ -71,17 +70,6 @@ def signals(t: Thresholds, names: list[str] | None = None, by: str = "week", sho
 ), signals AS ({' UNION ALL '.join(parts)})"""
 
 
-def detected(t: Thresholds, name: str) -> str:
-    """Signals of one detector on the tables' bars and on those that show it."""
-    rows = ", ".join(
-        f"('{s}', '{i}', DATE '{day}', {k}, {o}, {h}, {low}, {c}, {v})" for s, i, day, k, o, h, low, c, v in showcase.rows(t, [name])
-    )
-    shown = f"""
-  UNION ALL SELECT s, i, d, NULL, CAST(k AS INTEGER), CAST(o AS DOUBLE), CAST(h AS DOUBLE), CAST(l AS DOUBLE), CAST(c AS DOUBLE), CAST(v AS DOUBLE), NULL
-  FROM (VALUES {rows}) AS x(s, i, d, k, o, h, l, c, v)"""
-    return f"WITH {signals(t, [name], shown=shown)} SELECT {K}, pattern, bar_idx FROM signals"
-
-
 def levels(rules: TradeRules) -> str:
     """From rows with entry and stop: risk, target and the last bar."""
     return f"""*, direction * (entry - stop) AS risk,

@@ -42,10 +42,10 @@ def own_trades(
 
 
 def of_trials(rows: DataFrame, trials: DataFrame | None) -> DataFrame:
-    """Rows of a session once for each trial that drew it, with the trial's index and seed."""
+    """Rows of a session once for each trial that drew it, with what the trial stamps on them."""
     if trials is None:
         return rows
-    return rows.join(trials.select("symbol", "session", "trial_index", F.col("seed").alias("trial_seed")), ["symbol", "session"])
+    return rows.join(trials.select("symbol", "session", "trial_index", F.col("seed").alias("trial_seed"), "window", "sample"), ["symbol", "session"])
 
 
 def control_trades(
@@ -120,7 +120,10 @@ def measured(
             few = F.broadcast(selected)  # at most one row for each pattern and interval
             own, control = (x.join(few, metrics.BY, "left_semi") for x in (own, control))
         rows = metrics.summarise(own, grid(bars.sparkSession, [*lookbacks, ALL], names, controls=True))
-        rows = rows.join(metrics.max_drawdown(own), metrics.BY, "left")
+        unit = ("trial_index",) if trials is not None else ("symbol", "session")
+        more = [metrics.max_drawdown(own), metrics.consistency(own, config.stats, unit), metrics.exit_mix(own)]
+        more += [metrics.stability(own, config.stats)] if trials is not None else []
+        rows = reduce(lambda a, b: a.join(b, metrics.BY, "left"), more, rows)  # one row for each pattern and interval
         return settled(metrics.inferred(rows, own, control, bars.select("session"), config.stats, config.run.seed))
 
 

@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signalforge import detectors
 from signalforge import oracles as sql
 from signalforge.config import Config, Run, Stats, Thresholds, TradeRules
 from signalforge.functions.geometry import geometry, rolling_max, rolling_min
@@ -17,7 +18,7 @@ from signalforge.operators import trades as trade
 from signalforge.plans import run as plan
 from signalforge.plans.run import grid
 from signalforge.sources import bars as bar
-from signalforge.sources import cache, fixtures, quotes, registry, showcase
+from signalforge.sources import cache, fixtures, quotes, registry
 
 T, RULES, COSTS, STATS = sql.default()
 #: Bootstrap draws of the queries, as many as runs take.
@@ -139,13 +140,21 @@ def signals(spark, d):
     return patterns.signals(fixtures.bars(spark, d), T)
 
 
+#: Limits under which the tables' jumping prices show nearly every pattern.
+WIDE = Thresholds(
+    doji_body=0.3, small_body=0.7, long_body=0.2, near_equal=0.05, trend_lookback=3, opposite_shadow_max=0.4, doji_shadow_min=0.4, marubozu_body=0.7, shadow_dominance=1.5
+)
+
+
 def _detect(name: str, spark: SparkSession, d: str) -> DataFrame:
-    return patterns.signals(fixtures.bars(spark, d).unionByName(showcase.bars(spark, T, [name]), allowMissingColumns=True), T, [name])
+    """Signals of one detector on all bars that the tables hold: events by hours and five minutes, order lines by maker and day."""
+    bars = fixtures.bars(spark, d).drop("ts").unionByName(fixtures.maker_bars(spark, d)).unionByName(fixtures.five_minute_bars(spark, d))
+    return patterns.signals(bars, WIDE, [name])
 
 
 for _name in patterns.REGISTRY:
     QUERIES[f"detect_{_name}"] = partial(_detect, _name)
-    SQL[f"detect_{_name}"] = partial(sql.detected, T, _name)
+    SQL[f"detect_{_name}"] = partial(detectors.detected, WIDE, _name)
 
 
 @query(f"WITH {sql.signals(T)} SELECT pattern, symbol, count(*) AS signals FROM signals GROUP BY pattern, symbol")
@@ -629,7 +638,7 @@ _COMPARED = f"""{_TRADES}, {sql.matched(RULES, SEED)}, {sql.net('control_exits',
 def comparison_curve(spark, d):
     """A pattern with matched controls is held against them, one without against random entries of its direction."""
     bars = fixtures.bars(spark, d)
-    own = _own(spark, d)
+    own = trade.trades(bars, T, RULES, COSTS, ["bullish_hikkake", "bearish_hikkake"])
     controls = trade.net(trade.matched(own, bars, RULES, SEED), RULES, COSTS).filter("direction > 0")
     few = lambda t, m: t.select("pattern", "interval", "symbol", "session", "entry_index", "entry_minute", "net_r", F.lit(m).alias("matched"))
     reference = few(own.filter("pattern = 'bearish_hikkake'"), False).withColumn("pattern", F.lit("random_short"))

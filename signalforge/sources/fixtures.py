@@ -38,6 +38,27 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "week") -> DataFrame:
     )
 
 
+def maker_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars of makers' parts from order lines, in sessions of a year; a day's lines are in the order of their orders."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.substring("p_brand", 1, 7).alias("maker"))
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(parts, "l_partkey")
+    price, at = F.col("l_extendedprice") / F.col("l_quantity"), F.struct("l_orderkey", "l_linenumber")
+    rows = items.groupBy(F.col("maker").alias("symbol"), F.to_date("l_shipdate").alias("day")).agg(
+        F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.sum("l_quantity").cast("double").alias("volume")
+    )
+    held = rows.select("symbol", F.lit("1d").alias("interval"), F.to_date(F.date_trunc("year", "day")).alias("session"), F.col("day").cast("timestamp").alias("ts"), "open", "high", "low", "close", "volume")
+    return sessionise(validate(held), F.col("session")).select(*KEY, "bar_idx", "open", "high", "low", "close", "volume", "minute")
+
+
+def five_minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute bars of all events, in sessions of a UTC day."""
+    rows = ticks(spark, sf_dir)
+    found = rows.groupBy("symbol", F.lit("5m").alias("interval"), F.window("ts", "5 minutes").start.alias("ts")).agg(
+        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("size").alias("volume")
+    )
+    return sessionise(validate(found), F.to_date("ts")).select(*KEY, "bar_idx", "open", "high", "low", "close", "volume", "minute")
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as quotes around the price of a unit, with day and minute since the open."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

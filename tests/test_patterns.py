@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalforge.config import Thresholds
 from signalforge.operators import patterns
-from signalforge.sources import showcase
+from tests import showcase
 from signalforge.sources.bars import in_order
 
 T = Thresholds()
