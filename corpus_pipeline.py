@@ -68,10 +68,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Repeated rows of one id are copies like any others. Rows without words are groups of their own.
     """
     ship(spark)
-    rows = stored(docs.select(F.monotonically_increasing_id().alias("_at"), "doc_id", "text", F.struct(*docs.columns).alias("_row")))
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("_at"), F.struct(*docs.columns).alias("_row")))
     with owned() as within:
-        links = setjoin.link(rows.select(F.col("_at").alias("doc_id"), "text"), SHINGLE, PERCENT)
-        groups = rows.select("_at", "doc_id").join(links.select(F.col("doc_id").alias("_at"), "component_id"), "_at")
+        links = setjoin.link(rows.select(F.col("_at").alias("doc_id"), F.col("_row.text").alias("text")), SHINGLE, PERCENT)
+        groups = rows.select("_at", "_row.doc_id").join(links.select(F.col("doc_id").alias("_at"), "component_id"), "_at")
         first = groups.groupBy("component_id").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_at")).alias("first")
         )
