@@ -369,11 +369,11 @@ def verdict(stats: Stats, control: Column) -> Column:
 
 
 def confirmed(discovery: DataFrame, validation: DataFrame) -> DataFrame:
-    """An edge of discovery stays one only if validation finds it too; other verdicts stay."""
+    """An edge of discovery stays one only if validation finds it too; other verdicts stay. Both verdicts stay beside it."""
     later = validation.select(*BY, F.col("verdict").alias("validation_verdict"))
     rows = discovery.join(later, BY, "left")
     lost = (F.col("verdict") == "EDGE") & (F.coalesce("validation_verdict", F.lit("")) != "EDGE")
-    return rows.withColumn("verdict", F.when(lost, "NOISE").otherwise(F.col("verdict")))
+    return rows.withColumns({"discovery_verdict": F.col("verdict"), "verdict": F.when(lost, "NOISE").otherwise(F.col("verdict"))})
 
 
 def ranked(rows: DataFrame, stats: Stats) -> DataFrame:

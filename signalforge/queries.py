@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from signalforge import oracles as sql
 from signalforge.config import Config, Run, Stats, Thresholds, TradeRules
 from signalforge.functions.geometry import geometry, rolling_max, rolling_min
 from signalforge.operators import costs as cost
-from signalforge.operators import drill, metrics, patterns, sampling, ticker
+from signalforge.operators import drill, metrics, patterns, sampling, summary, ticker
 from signalforge.operators import trades as trade
 from signalforge.plans import run as plan
 from signalforge.plans.run import grid
@@ -529,6 +529,35 @@ def holm(spark, d):
     return _round(metrics.holm(_evidence(spark, d), STATS).select("pattern", "interval", "p_adjusted"), ["p_adjusted"])
 
 
+@query(
+    "WITH RECURSIVE "
+    + f"{_DAILY}, {_TOTALS}, "
+    + ", ".join(
+        sql.draws("totals", 2000, k).replace("day AS", f"day{k} AS").replace("JOIN day USING", f"JOIN day{k} USING").replace("FROM day)", f"FROM day{k})")
+        .replace("slot AS", f"slot{k} AS").replace("FROM slot", f"FROM slot{k}").replace("weight AS", f"weight{k} AS").replace("JOIN weight", f"JOIN weight{k}").replace("means AS", f"means{k} AS")
+        for k in (1, 2, 3)
+    )
+    + """, est AS (SELECT pattern, interval, avg(net_r) AS estimate FROM trades GROUP BY ALL),
+m AS (SELECT 1 AS seed, * FROM means1 UNION ALL SELECT 2, * FROM means2 UNION ALL SELECT 3, * FROM means3),
+e AS (SELECT seed, m.pattern, m.interval, count(mean) AS finite, quantile_cont(mean, 0.025) AS ci_low,
+  (count(*) FILTER (WHERE mean IS NULL OR abs(mean - estimate) >= abs(estimate) - 1e-12) + 1) / 2001.0 AS p FROM m JOIN est USING (pattern, interval) GROUP BY ALL)
+SELECT seed, interval, count(*) AS rows, count(*) FILTER (WHERE finite >= 1900 AND p <= 0.05 AND ci_low > 0) AS positive_expectancy FROM e GROUP BY seed, interval"""
+)
+def null_calibration(spark, d):
+    """How many patterns' unadjusted tests pass, by seed of the draws."""
+    bars = fixtures.bars(spark, d, "day")
+    totals = metrics.totals_of(trade.trades(bars, T, RULES, COSTS), None, bars)
+    rows = [metrics.tested(totals, spark, 2000, k).withColumn("seed", F.lit(k)) for k in (1, 2, 3)]
+    told = {"p_adjusted": F.col("p_value"), "delta_p_adjusted": F.lit(None).cast("double"), "verdict": F.lit(""), "kind": F.lit("pattern")}
+    found = summary.calibration(reduce(DataFrame.unionByName, rows).withColumns(told))
+    return found.select("seed", "interval", "rows", "positive_expectancy")
+
+
+@query(f"WITH RECURSIVE {_TRADES} SELECT interval, 2 * count(cost_bps) AS legs_priced, {sql.r6('avg(cost_bps)')} AS mean_cost_bps FROM trades GROUP BY interval")
+def executed_cost(spark, d):
+    return _round(summary.executed_cost(_own(spark, d)), ["mean_cost_bps"])
+
+
 # -- sampling -----------------------------------------------------------------------------------
 
 _RUN_DATES = """pool AS (SELECT DISTINCT symbol, session FROM bars), dd AS (

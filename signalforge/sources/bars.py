@@ -56,8 +56,18 @@ def sessionise(bars: DataFrame, session: Column | None = None) -> DataFrame:
     return rows.withColumn("bar_idx", F.row_number().over(by_time) - 1)
 
 
-def resample_ticks(ticks: DataFrame, interval: str, seconds: int) -> DataFrame:
-    """Bars of so many seconds: prices from eligible prints, volume from all; no bar without an eligible print."""
+def utc(rows: DataFrame, zone: str | None = None) -> DataFrame:
+    """Times without a zone become instants: they are UTC, or local to ``zone``. Instants stay, whatever zone they were written in."""
+    if rows.schema["ts"].dataType.typeName() != "timestamp_ntz":
+        return rows
+    return rows.withColumn("ts", F.convert_timezone(F.lit(zone or "UTC"), F.lit("UTC"), F.col("ts")).cast("string").cast("timestamp"))
+
+
+def resample_ticks(ticks: DataFrame, interval: str, seconds: int, arrival: str | None = None) -> DataFrame:
+    """Bars of so many seconds: prices from eligible prints, volume from all; no bar without an eligible print.
+
+    Prints of one time are taken in the order of the column ``arrival``, or of their prices.
+    """
     codes = F.coalesce("conditions", F.array().cast("array<string>"))
     rows = ticks.withColumns(
         {
@@ -66,7 +76,7 @@ def resample_ticks(ticks: DataFrame, interval: str, seconds: int) -> DataFrame:
         }
     )
     price = F.when(F.col("ok"), F.col("price"))
-    at = F.when(F.col("ok"), F.struct("ts", "price"))
+    at = F.when(F.col("ok"), F.struct("ts", *([arrival] if arrival else []), "price"))
     found = rows.groupBy("symbol", F.lit(interval).alias("interval"), F.col("bin").alias("ts")).agg(
         F.min(at)["price"].alias("open"),
         F.max(price).alias("high"),

@@ -88,6 +88,18 @@ def windows(name: str, interval: str, now: dt.datetime, configured: int = 0) ->
     return out[::-1]
 
 
+#: Most days of one symbol's seconds that may be asked for at once; prints come by the million.
+SYMBOL_DAYS = 20
+
+
+def check_load(name: str, intervals: list[str], symbols: int, configured: int = 0) -> None:
+    """Refuse bars of seconds over more than ``SYMBOL_DAYS`` days of one symbol."""
+    for i in intervals:
+        days = lookback_days(name, i, configured) * symbols
+        if INTERVALS[i] < 1 and days > SYMBOL_DAYS:
+            raise ValueError(f"{i} bars of {symbols} symbols are {days:,} symbol-days, more than {SYMBOL_DAYS}: take fewer symbols or days")
+
+
 def pages(fetch: Fetch, place: str, symbol: str, interval: str, start: dt.datetime, end: dt.datetime, retries: int, pause: float) -> Iterator[Page]:
     """Every page of a window, by their tokens; a failed request is repeated with a doubled pause, a token that comes again is an error."""
     token, seen = None, set()
