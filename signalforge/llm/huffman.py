@@ -32,8 +32,8 @@ from signalforge.llm.common import shared_dir, stored
 
 #: Longest code, ids of a block, of a piece that is encoded at once and of a file; the last two are whole blocks.
 MAX_BITS, BLOCK, PIECE, FILE_IDS = 18, 512, 1 << 18, 1 << 21
-#: Chunks whose ids a worker remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 600_000, 48
+#: Chunks whose ids a worker remembers in each of two generations, and the longest of them in bytes.
+REMEMBERED, LONGEST = 400_000, 48
 END_ID = 1
 SUFFIX, MAGIC = ".ids", b"SFIDS001"
 HEAD = struct.Struct("<8sIIQQQIBQQQ")
@@ -56,7 +56,7 @@ class Words(dict):
 
     def __init__(self, path: str, kind: str):
         super().__init__()
-        self.library, self.kind = Tokenizer.from_file(path), kind
+        self.library, self.code, self.older = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[kind], {}
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.plain = re.compile("[\x21-\x7e\xa1-įı-ſ]+")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[{self.NUMBERS}]|[^{self.LETTERS}{self.NUMBERS}]+")
@@ -65,16 +65,25 @@ class Words(dict):
         self.signs = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def encoded(self, text: str) -> list[int]:
-        if not self.plain.fullmatch(text) or any(t in text for t in self.added):
+        tokenize = self.library.model.tokenize
+        if text.isascii() and text.isalpha():  # one piece, whose bytes stand for themselves
+            return [t.id for t in tokenize(text.lower())]
+        if not self.plain.fullmatch(text) or "<" in text and any(t in text for t in self.added):
             return self.library.encode(text, add_special_tokens=False).ids
-        model = self.library.model
-        pieces = self.split.findall(text.lower())
-        return [t.id for p in pieces for t in model.tokenize(p.encode().decode("latin-1").translate(self.signs))]
+        ids = []
+        for p in self.split.findall(text.lower()):
+            ids += [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.signs))]
+        return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = np.array(self.encoded(chunk.decode()), self.kind).tobytes()
+        """Chunks that come again move from the older generation to the newer; when that is full, the older one goes."""
+        ids = self.older.pop(chunk, None)
+        if ids is None:
+            found = self.encoded(chunk.decode())
+            ids = struct.pack(f"<{len(found)}{self.code}", *found)
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
