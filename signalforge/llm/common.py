@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,14 @@ def dropped(spark: SparkSession, paths: list[str]) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Return what a worker no longer holds to the system: NumPy and Arrow keep large blocks, and workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def free(name: str, taken: Iterable[str]) -> str:
     """``name``, with as many underscores before it as keep it apart from the columns ``taken``; Spark's names ignore case."""
     held = {t.lower() for t in taken}

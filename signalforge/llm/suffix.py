@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalforge.llm.common import NO_ID, free, shuffle_partitions
+from signalforge.llm.common import NO_ID, free, give_back, shuffle_partitions
 
 SPAN, KMER = 50, 8
 #: Bytes of text for each bucket, of text worked on at once, of text behind each shuffled block, and of runs in a transform.
@@ -355,6 +355,7 @@ def _matched(homes: int):
             o = np.flatnonzero(home == h)
             rows.append((int(h), len(o), _packed(*[s[o].astype(k) for s, k in zip(spans, SPAN_KINDS, strict=True)])))
         cols = list(zip(*rows, strict=True)) or [[], [], []]
+        give_back()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["_home", "n", "spans"])
 
     return run
@@ -387,6 +388,7 @@ def _cleaned(inner: tuple[str, str, str], _: tuple, docs: pa.Table, spans: pa.Ta
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
     cols = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
     rest = [c for c in docs.column_names if c not in (*inner, "text")]
+    give_back()
     return pa.Table.from_arrays([*[docs.column(c) for c in rest], *cols], [*rest, *ADDED])
 
 
