@@ -29,6 +29,8 @@ from signalforge.llm.common import NO_ID, free, give_back, shuffle_partitions
 SPAN, KMER = 50, 8
 #: Bytes of text for each bucket, of text worked on at once, of text behind each shuffled block, and of runs in a transform.
 BUCKET_BYTES, STEP_BYTES, BLOCK_BYTES, TRANSFORM_BYTES = 10 << 20, (1 << 19) - 64, 12 << 20, 1 << 20
+#: Runs hashed or gathered at once.
+HASH_ROWS = 1 << 13
 #: A window reaches this far on at least one side of its minimizer's start or end.
 _SIDE = (SPAN - KMER) // 2
 _LONGEST = 2 * SPAN - KMER
@@ -138,6 +140,8 @@ def _cut(buckets: int):
                     held, size = [], 0
         if held:
             yield block(held)
+        held = []
+        give_back()
 
     return run
 
@@ -189,14 +193,14 @@ def _hashed(raw: np.ndarray, at: np.ndarray, size: np.ndarray | int, width: int,
     """Hash of ``size`` bytes from each place, padded to ``width``, a multiple of 8."""
     out = np.empty(len(at), np.uint64)
     sizes = np.broadcast_to(np.asarray(size), (len(at),))
-    for lo in range(0, len(at), 65536):
-        a, n = at[lo : lo + 65536], sizes[lo : lo + 65536]
+    for lo in range(0, len(at), HASH_ROWS):
+        a, n = at[lo : lo + HASH_ROWS], sizes[lo : lo + HASH_ROWS]
         held = raw[np.minimum(a[:, None] + np.arange(width), len(raw) - 1)]
         held = np.where(np.arange(width) < n[:, None], held, 0).astype(np.uint8)
         x = held.view(np.uint64)
         x = (x ^ (x >> np.uint64(29))) * _ROW[row, : width // 8]
         total = (x ^ (x >> np.uint64(32))).sum(1, dtype=np.uint64)
-        out[lo : lo + 65536] = _mixed(total + n.astype(np.uint64) * _A)
+        out[lo : lo + HASH_ROWS] = _mixed(total + n.astype(np.uint64) * _A)
     return out
 
 
@@ -317,20 +321,41 @@ def _transformed(raw, at, size, chosen, begins, strings, least) -> None:
     least[of] = np.repeat(best, np.diff(np.append(first, len(of))))
 
 
+def _only(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of some runs, one after another."""
+    steps = range(0, len(at), HASH_ROWS)
+    return np.concatenate([raw[:0], *(raw[_ragged(at[lo : lo + HASH_ROWS], size[lo : lo + HASH_ROWS])] for lo in steps)])
+
+
+def _gathered(table: pa.Table) -> list[np.ndarray]:
+    """The runs of a bucket's blocks, one block unpacked at a time into arrays of the whole bucket."""
+    counts, blobs = table.column("n").to_pylist(), table.column("runs")
+    each = sum(np.dtype(k).itemsize for k in RUN_KINDS)
+    text = sum(zstandard.frame_content_size(b.as_py()) - each * n for b, n in zip(blobs, counts, strict=True))
+    out = [np.empty(sum(counts), k) for k in RUN_KINDS] + [np.empty(text, np.uint8)]
+    row = byte = 0
+    for blob, n in zip(blobs, counts, strict=True):
+        *columns, raw = _unpacked(blob.as_py(), n, RUN_KINDS)
+        for x, part in zip(out, columns, strict=False):
+            x[row : row + n] = part
+        out[-1][byte : byte + len(raw)] = raw
+        row, byte = row + n, byte + len(raw)
+    return out
+
+
 def _matched(homes: int):
     """Spans to remove, for each bucket: one row per home of the documents."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [_unpacked(b, n, RUN_KINDS) for b, n in zip(table.column("runs").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        doc, digest, pos, size, off, raw = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        del parts
-        size, off, pos = size.astype(np.int64), off.astype(np.int64), pos.astype(np.int64)
-        at = np.cumsum(size) - size
+        doc, digest, pos, size, off, raw = _gathered(table)
+        at = np.cumsum(size, dtype=np.int64) - size
         key = _hashed(raw, at + off, KMER, KMER, 0)
         keep = np.flatnonzero(_shared(key, doc))
-        near = _near(raw, at[keep], size[keep], off[keep], doc[keep])
+        near = _near(raw, at[keep], size[keep].astype(np.int64), off[keep].astype(np.int64), doc[keep])
         keep = keep[near]
-        doc, digest, pos, size, at, off, key = (x[keep] for x in (doc, digest, pos, size, at, off, key))
+        doc, digest, key = doc[keep], digest[keep], key[keep]
+        pos, size, off = (x[keep].astype(np.int64) for x in (pos, size, off))
+        raw, at = _only(raw, at[keep], size), np.cumsum(size) - size
         if len(keep):
             a, b = _hashed(raw, at, size, 96, 0), _hashed(raw, at, size, 96, 1)
             order = np.lexsort((doc, b, a))
