@@ -15,25 +15,27 @@ of one id in the order in which they were stored. Other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from signalforge.llm.common import shared_dir, stored
 
 #: Longest code, ids of a block, of a piece that is encoded at once and of a file; the last two are whole blocks.
 MAX_BITS, BLOCK, PIECE, FILE_IDS = 18, 512, 1 << 18, 1 << 21
-#: Chunks whose ids a worker remembers in each of two generations, and the longest of them in bytes.
+#: Pieces whose ids a worker remembers in each of two generations, and the longest of them in characters.
 REMEMBERED, LONGEST = 400_000, 48
+#: Pieces that the library gets in one text, and bytes of texts whose words are looked at together.
+JOINED, TOGETHER = 200, 12_000_000
 END_ID = 1
 SUFFIX, MAGIC = ".ids", b"SFIDS001"
 HEAD = struct.Struct("<8sIIQQQIBQQQ")
@@ -43,53 +45,91 @@ HEAD = struct.Struct("<8sIIQQQIBQQQ")
 
 
 class Words(dict):
-    """Ids of chunks between ASCII white space, as bytes; a chunk that isn't held is encoded and remembered.
+    """Ids of pieces, as bytes; a piece that isn't held is encoded by the library and remembered.
 
     The pre-tokeniser drops white space and looks neither ahead nor back, and normalisation works
-    character by character within a chunk, so a text's ids are its chunks' ids in order. Chunks of
-    letters, digits and signs below U+0180 are split here and merged by the library's model, which
-    saves the library's pattern engine; any other goes through the library as a whole.
+    character by character within a chunk between ASCII white space, so a text's ids are its chunks'
+    ids in order. Each different chunk of a batch is looked at once. Chunks of letters, digits and
+    signs below U+0180 are lowered and split into pieces by Arrow, which saves the library's pattern
+    engine; any other is one piece, marked by ``WHOLE``, and goes through the library as it stands.
     """
 
     #: Letters and numbers below U+0180, where Unicode's classes are settled; U+0130 grows when it is lowered.
     LETTERS, NUMBERS = "a-zªµºß-öø-ſ", "0-9²³¹¼-¾"
+    #: No sign of a chunk that is split.
+    WHOLE = "\0"
 
     def __init__(self, path: str, kind: str):
         super().__init__()
-        self.library, self.code, self.older = Tokenizer.from_file(path), {"<u2": "H", "<u4": "I"}[kind], {}
+        self.library, self.kind, self.older = Tokenizer.from_file(path), kind, {}
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.plain = re.compile("[\x21-\x7e\xa1-įı-ſ]+")
-        self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{self.LETTERS}]+|[{self.NUMBERS}]|[^{self.LETTERS}{self.NUMBERS}]+")
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        self.signs = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-    def encoded(self, text: str) -> list[int]:
-        tokenize = self.library.model.tokenize
-        if text.isascii() and text.isalpha():  # one piece, whose bytes stand for themselves
-            return [t.id for t in tokenize(text.lower())]
-        if not self.plain.fullmatch(text) or "<" in text and any(t in text for t in self.added):
-            return self.library.encode(text, add_special_tokens=False).ids
-        ids = []
-        for p in self.split.findall(text.lower()):
-            ids += [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.signs))]
+        self.plain = "^[\x21-\x7e\xa1-įı-ſ]*$"
+        self.split = f"('s|'t|'re|'ve|'m|'ll|'d|[{self.NUMBERS}]|[^{self.LETTERS}{self.NUMBERS}]+)"
+        self.merger = Tokenizer(self.library.model)  # takes shown pieces with a space between
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        plainly = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in plainly]
+        self.signs = {b: chr(b) for b in plainly} | {b: chr(256 + i) for i, b in enumerate(hidden) if b != 32}
+
+    def shown(self, pieces: str) -> str:
+        """The library's signs for the bytes of pieces; a space stays one."""
+        return pieces if pieces.isascii() else pieces.encode().decode("latin-1").translate(self.signs)
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        out, short, width = [b""] * len(pieces), [], np.dtype(self.kind).itemsize
+        for k, p in enumerate(pieces):
+            if p.startswith(self.WHOLE):
+                out[k] = np.array(self.library.encode(p[1:], add_special_tokens=False).ids, self.kind).tobytes()
+            elif len(p) > LONGEST:  # joined ones cost more memory
+                out[k] = np.array([t.id for t in self.library.model.tokenize(self.shown(p))], self.kind).tobytes()
+            elif p:
+                short.append(k)
+        for at in range(0, len(short), JOINED):
+            own = short[at : at + JOINED]
+            found = self.merger.encode(self.shown(" ".join([pieces[k] for k in own])), add_special_tokens=False)
+            raw, start = np.array(found.ids, self.kind).tobytes(), 0
+            for k, end in zip(own, (np.bincount(found.word_ids).cumsum() * width).tolist(), strict=True):
+                out[k], start = raw[start:end], end
+        return out
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces that come again move from the older generation to the newer; when that is full, the older one goes."""
+        ids = list(map(self.get, pieces))
+        lost = [k for k, x in enumerate(ids) if x is None]
+        for k in lost:
+            ids[k] = self.older.pop(pieces[k], None)
+        new = [k for k in lost if ids[k] is None]
+        for k, x in zip(new, self.encoded([pieces[k] for k in new]), strict=True):
+            ids[k] = x
+        for k in lost:
+            if len(pieces[k]) <= LONGEST:
+                if len(self) >= REMEMBERED:
+                    self.older = dict(self)
+                    self.clear()
+                self[pieces[k]] = ids[k]
         return ids
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        """Chunks that come again move from the older generation to the newer; when that is full, the older one goes."""
-        ids = self.older.pop(chunk, None)
-        if ids is None:
-            found = self.encoded(chunk.decode())
-            ids = struct.pack(f"<{len(found)}{self.code}", *found)
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def chunks(self, chunks: pa.Array) -> pa.Array:
+        chunks = chunks.cast(pa.large_string())  # spaces between digits make a chunk three times as long
+        plain = pc.match_substring_regex(chunks, self.plain)
+        for token in self.added:
+            plain = pc.and_not(plain, pc.match_substring(chunks, token))
+        spaced = pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(chunks), self.split, r" \1 "))
+        marked = pc.binary_join_element_wise(pa.scalar(self.WHOLE, pa.large_string()), chunks, pa.scalar("", pa.large_string()))
+        return through(pc.if_else(plain, spaced, marked), lambda x: pa.array(self.pieces(x.to_numpy(zero_copy_only=False).tolist()), pa.binary()))
+
+    def texts(self, texts: pa.Array) -> pa.Array:
+        return through(pc.ascii_trim_whitespace(texts), self.chunks)
 
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.texts(pa.array([text.decode()]))[0].as_py()
+
+
+def through(texts: pa.Array, ids: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """Ids of texts, from those of their different parts between white space; an empty text has the part ``""``."""
+    parts = pc.ascii_split_whitespace(texts)
+    each = parts.flatten().dictionary_encode()
+    return pc.binary_join(pa.ListArray.from_arrays(parts.offsets, ids(each.dictionary).take(each.indices)), b"")
 
 
 _WORDS: dict[tuple[str, str], Words] = {}
@@ -102,15 +142,27 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WORDS.setdefault((path, kind), Words(path, kind)) if (path, kind) not in _WORDS else _WORDS[path, kind]
         close, width = np.array([END_ID], kind).tobytes(), np.dtype(kind).itemsize
-        for batch in batches:
-            ids = [words.of(t.as_buffer().to_pybytes()) + close for t in batch.column("text").cast(pa.large_binary())]
-            n = pa.array([len(x) // width for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+        for batch in together(batches):
+            ids = pc.binary_join_element_wise(words.texts(batch.column("text")), close, b"")
+            n = pc.divide(pc.binary_length(ids).cast(pa.int64()), width)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, ids], ["doc_id", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, ids binary")
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``TOGETHER`` bytes at least, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= TOGETHER:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def id_kind(path: str) -> str:
     """The narrowest type that holds every id of the vocabulary."""
     return "<u2" if max(Tokenizer.from_file(path).get_vocab(True).values()) < 1 << 16 else "<u4"
@@ -181,40 +233,44 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """(the codes of ids, end to end, filled up to whole 64-bit words, bit at which each block starts)."""
-    width = lengths[ids].astype(np.int64)
+    width, code = lengths[ids], codes[ids]
+    if len(ids) % 2:
+        width, code = np.append(width, np.uint8(0)), np.append(code, np.uint64(0))
+    code = code[::2] << width[1::2] | code[1::2]  # two codes are placed at once
+    width = width[::2].astype(np.int64) + width[1::2]
     ends = np.cumsum(width)
     at = ends - width
-    code, room = codes[ids], 64 - (at & 63) - width
+    room = 64 - (at & 63) - width
     high = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
     word = at >> 6
-    first = np.flatnonzero(np.diff(word, prepend=-1))  # codes are shorter than words, so one starts in each
+    first = np.flatnonzero(np.diff(word, prepend=-1))  # two codes are shorter than words, so some start in each
     out = np.zeros(int(ends[-1] + 63 >> 6), np.uint64)
     out[: len(first)] = np.bitwise_or.reduceat(high, first)
     over = np.flatnonzero(room < 0)
     out[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-    return out.astype(">u8").tobytes(), at[::BLOCK]
+    return out.astype(">u8").tobytes(), at[:: BLOCK // 2]
 
 
 def unpacked(payload: bytes, marks: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
     """The n ids of a payload whose blocks start at the bits ``marks``."""
-    out = np.zeros((len(marks), BLOCK), np.uint32)
     if n == 0:
-        return out.reshape(-1)
+        return np.zeros(0, np.uint32)
+    out = np.zeros((BLOCK, len(marks)), np.uint32)
     _, order = canonical(lengths)
     most = int(lengths.max())
     spread = 1 << (most - lengths[order].astype(np.int64))
-    ids, bits = np.zeros(1 << most, np.uint32), np.ones(1 << most, np.int64)
-    ids[: spread.sum()], bits[: spread.sum()] = np.repeat(order, spread), np.repeat(lengths[order].astype(np.int64), spread)
+    table = np.ones(1 << most, np.uint32)  # of each window of bits: the id, and below it five bits for its code's length
+    table[: spread.sum()] = np.repeat(order.astype(np.uint32) << 5 | lengths[order], spread)
     raw = np.frombuffer(payload + b"\0" * 4, np.uint8).astype(np.uint32)
     words = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
     at, mask, last = marks.astype(np.int64), np.uint32((1 << most) - 1), n - (len(marks) - 1) * BLOCK
     for k in range(BLOCK if len(marks) > 1 else last):
         if k == last:
             at = at[:-1]  # the last block is shorter
-        window = words[at >> 3] >> (32 - most - (at & 7)).astype(np.uint32) & mask
-        out[: len(at), k] = ids[window]
-        at = at + bits[window]
-    return out.reshape(-1)[:n]
+        found = table[words[at >> 3] >> (32 - most - (at & 7)).astype(np.uint32) & mask]
+        out[k, : len(at)] = found >> 5
+        at = at + (found & 31)
+    return out.T.reshape(-1)[:n]
 
 
 # -- files ----------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -41,6 +42,32 @@ def test_worker_forgets(monkeypatch, library):
     assert len(words) <= 5
 
 
+def test_a_piece_is_encoded_once():
+    words = huffman.Words(PATH, "<u2")
+    texts = ["Word, word. WORD! Word. word,", "word! (Word) , .", "wörd,"]
+    one_by_one = [huffman.Words(PATH, "<u2").of(t.encode()) for t in texts]
+    assert [words.of(t.encode()) for t in texts] == one_by_one
+    assert set(words) == {"word", ",", ".", "!", "(", ")", "wörd"}  # not each of the chunks that they stand in
+
+
+def test_texts_of_a_batch_are_the_librarys(library):
+    r, words = random.Random(4), huffman.Words(PATH, "<u2")
+    signs = [chr(i) for i in range(0x190)] + list("aé́Σ中\0\0  \n\t") * 4
+    signs += ["<|endoftext|>", "'Re", "don't", "WORLD, ", "hello", "q" * 60, "é" * 60, " " + "z" * 49 + "!"]
+    texts = ["", " ", "\0", "\0a", "a\0", *("".join(r.choices(signs, k=r.choice((1, 3, 20, 200)))) for _ in range(500))]
+    for batch in (pa.array(texts), pa.array(["x", *texts]).slice(1)):  # the second time all are remembered
+        found = [np.frombuffer(x, "<u2").tolist() for x in words.texts(batch).to_pylist()]
+        assert found == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert words.texts(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_batches_are_taken_together(monkeypatch):
+    monkeypatch.setattr(huffman, "TOGETHER", 100)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["t" * size]}) for k, size in enumerate((5, 0, 200, 1, 1))]
+    found = [b.column("doc_id").to_pylist() for b in huffman.together(iter(batches))]
+    assert found == [[0, 1, 2], [3, 4]] and list(huffman.together(iter([]))) == []
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 700])
 def test_codes_are_cheapest_and_decode(n):
     r = np.random.default_rng(n)
