@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalforge.llm.common import shuffle_partitions, stored
+from signalforge.llm.common import shuffle_partitions, stored, thrifty, thrifty_group
 from signalforge.llm.components import components
 
 #: Words of a shingle and least similarity of linked sets, where the caller names none.
@@ -38,6 +38,8 @@ SHINGLE, PERCENT = 4, 85
 HOT = 1_000_000
 #: A token's least count among a task's distinct sets to be counted as frequent.
 HOT_LOCAL = 2
+#: Tokens that a task counts at once.
+HOT_TOKENS = 6_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -114,35 +116,46 @@ def _need(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
+def _again(t: np.ndarray, times: int) -> np.ndarray:
+    """Of sorted values: whether each one is the first of ``times`` equal ones in a row."""
+    return np.append(t[times - 1 :] == t[: len(t) - times + 1], np.zeros(min(times - 1, len(t)), bool))
+
+
 def hot_tokens(docs: DataFrame, shingle: int) -> np.ndarray:
     """The most frequent tokens, least frequent first; counts that stay small in a task are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held = np.empty(HOT_TOKENS, np.uint64)
         seen: set[int] = set()
         size = 0
 
         def counted() -> pa.RecordBatch:
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= HOT_LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
+            t = held[:size]
+            t.sort()
+            often = _again(t, HOT_LOCAL)
+            first = np.flatnonzero(often & ~np.append(False, often[:-1]))
+            n = np.flatnonzero(often & ~np.append(often[1:], False)) - first + HOT_LOCAL
+            return pa.RecordBatch.from_arrays([pa.array(t[first].view(np.int64)), pa.array(n)], ["token", "n"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 s = shingles(text, shingle)
                 if (node := _node(s)) in seen:
                     continue
+                if size + len(s) > len(held):
+                    if size:
+                        yield counted()
+                    if len(s) > len(held):
+                        held = np.empty(len(s), np.uint64)
+                    size = 0
+                    seen.clear()
                 seen.add(node)
-                held.append(s)
+                held[size : size + len(s)] = s
                 size += len(s)
-                if size > 6_000_000:
-                    yield counted()
-                    held, size = [], 0
-                    seen.clear()
-        if held:
+        if size:
             yield counted()
 
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(thrifty(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = stored(found)
     # the least count that at most HOT tokens reach, from the number of tokens of each count below a bound
     capped = found.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("tokens")).collect()
@@ -167,7 +180,7 @@ def nodes_of(docs: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, node], ["doc_id", "n", "node"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n int, node long")
+    return rows.mapInArrow(thrifty(run), "doc_id long, n int, node long")
 
 
 def votes_needed(n):
@@ -197,22 +210,27 @@ def _blocks(held: list[tuple[int, int, np.ndarray]], buckets: int) -> pa.RecordB
     """(node, size, tokens) of some sets as one row for each bucket of tokens.
 
     A token is sent as its bucket and 32 more bits; two tokens that agree in both share a list,
-    which can add candidates and loses none.
+    which can add candidates and loses none. held is emptied.
     """
     size = np.array([len(h[2]) for h in held])
-    hashed = _mixed(np.concatenate([h[2] for h in held]).view(np.uint64))
-    bucket = (hashed % np.uint64(buckets)).astype("i4")
-    small = (hashed >> np.uint64(32)).astype("u4")
-    of = np.repeat(np.arange(len(held)), size)
-    pos = np.arange(len(small)) - np.repeat(np.cumsum(size) - size, size)
-    order = np.argsort(bucket, kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
     names, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
+    bucket, small = np.empty(int(size.sum()), "i4"), np.empty(int(size.sum()), "u4")
+    pos = np.empty(len(small), "u4")
+    for h, hi in zip(held, np.cumsum(size), strict=True):
+        hashed, lo = _mixed(h[2].view(np.uint64)), hi - len(h[2])
+        bucket[lo:hi] = hashed % np.uint64(buckets)
+        small[lo:hi] = hashed >> np.uint64(32)
+        pos[lo:hi] = np.arange(hi - lo)
+    held.clear()
+    of = np.repeat(np.arange(len(size), dtype="i4"), size)
+    order = np.argsort(bucket, kind="stable").astype("i4")
+    last = np.cumsum(np.bincount(bucket))
+    found = np.flatnonzero(np.diff(last, prepend=0))
     rows = []
-    for b, lo, hi in zip(found, first, np.append(first[1:], len(order)), strict=True):
+    for b, lo, hi in zip(found, np.append(0, last[found[:-1]]), last[found], strict=True):
         o = order[lo:hi]
         own, place = np.unique(of[o], return_inverse=True)
-        raw = [small[o], place.astype("u4"), pos[o].astype("u4"), names[own], sizes[own].astype("u4")]
+        raw = [small[o], place.astype("u4"), pos[o], names[own], sizes[own].astype("u4")]
         data = zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in raw))
         rows.append((int(b), len(o), data))
     cols = list(zip(*rows, strict=True)) or [[], [], []]
@@ -249,17 +267,17 @@ def postings(docs: DataFrame, hot: np.ndarray, buckets: int, shingle: int, perce
                 if not len(s) or (node := _node(s)) in seen:
                     continue
                 seen.add(node)
-                held.append((node, len(s), prefix(s.view(np.int64), by_token, ordered, percent)))
+                held.append((node, len(s), prefix(s.view(np.int64), by_token, ordered, percent).copy()))  # a slice would hold the whole set
                 size += len(held[-1][2])
                 if size >= BLOCK_TOKENS:
                     yield _blocks(held, buckets)
-                    held, size = [], 0
+                    size = 0
                     if len(seen) > 1_000_000:  # a set sent twice is met again in its lists
                         seen.clear()
         if held:
             yield _blocks(held, buckets)
 
-    return docs.select("text").mapInArrow(run, "bucket int, size int, data binary")
+    return docs.select("text").mapInArrow(thrifty(run), "bucket int, size int, data binary")
 
 
 def lists(blocks: DataFrame) -> DataFrame:
@@ -276,7 +294,7 @@ def lists(blocks: DataFrame) -> DataFrame:
         many = np.repeat(count > 1, count)
         return pa.table({k: v[many] for k, v in {"token": token, "n": n, "pos": pos, "node": node}.items()})
 
-    return blocks.groupBy("bucket").applyInArrow(run, "token long, n int, pos int, node long")
+    return blocks.groupBy("bucket").applyInArrow(thrifty_group(run), "token long, n int, pos int, node long")
 
 
 def shared_tokens(whole: DataFrame, buckets: int) -> DataFrame:
@@ -292,7 +310,7 @@ def shared_tokens(whole: DataFrame, buckets: int) -> DataFrame:
                 size += b - a
                 if size >= BLOCK_TOKENS:
                     yield _blocks(held, buckets)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield _blocks(held, buckets)
 
@@ -305,8 +323,8 @@ def shared_tokens(whole: DataFrame, buckets: int) -> DataFrame:
         names, times = np.unique(node[order[many]], return_counts=True)
         return pa.table({"node": names, "shared": times})
 
-    blocks = whole.select("node", "tokens").mapInArrow(cut, "bucket int, size int, data binary")
-    counts = blocks.groupBy("bucket").applyInArrow(count, "node long, shared long")
+    blocks = whole.select("node", "tokens").mapInArrow(thrifty(cut), "bucket int, size int, data binary")
+    counts = blocks.groupBy("bucket").applyInArrow(thrifty_group(count), "node long, shared long")
     return counts.groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
@@ -328,7 +346,7 @@ def sketches(whole: DataFrame) -> DataFrame:
             words = bits.view(np.int64).reshape(-1, len(WORDS)).T
             yield pa.RecordBatch.from_arrays([batch.column("node"), *map(pa.array, words)], ["node", *WORDS])
 
-    return whole.select("node", "tokens").mapInArrow(run, "node long, " + ", ".join(f"{w} long" for w in WORDS))
+    return whole.select("node", "tokens").mapInArrow(thrifty(run), "node long, " + ", ".join(f"{w} long" for w in WORDS))
 
 
 #: Rounds that link components along chains, one pair for each set, before all open pairs are taken.
@@ -368,7 +386,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             flat = pa.array(np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(pa.array(offsets), flat)], ["node", "tokens"])
 
-    found = rows.select("text", bit.alias("bit")).mapInArrow(run, "node long, tokens array<long>")
+    found = rows.select("text", bit.alias("bit")).mapInArrow(thrifty(run), "node long, tokens array<long>")
     return found.join(_sent(nodes.select("node"), many), "node", "left_semi")
 
 
@@ -580,7 +598,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     in_lists = lambda df: df.repartition(parts, "token").sortWithinPartitions("token", "n", "pos", "node")
 
     # one lead for each set: of those with enough prefix tokens in common, the one that most sets could have
-    stars = in_lists(entries).mapInArrow(partial(_leads, percent), "u long, v long, u_n long, v_n long")
+    stars = in_lists(entries).mapInArrow(thrifty(partial(_leads, percent)), "u long, v long, u_n long, v_n long")
     stars = stars.groupBy("u", "v", "u_n", "v_n").agg(F.count("*").alias("votes"))
     stars = stored(stars.filter(F.col("votes") >= enough(F.least("u_n", "v_n"))).select("u", "v", "votes"))
     liked = stars.groupBy("v").agg(F.count("*").alias("liked"))
@@ -592,7 +610,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
     roots = stored(components(links))
     for _ in range(CHAIN_ROUNDS):
         mixed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        chains = in_lists(mixed).mapInArrow(partial(_chains, percent), "u long, v long")
+        chains = in_lists(mixed).mapInArrow(thrifty(partial(_chains, percent)), "u long, v long")
         votes = chains.groupBy("u", "v").agg(F.count("*").alias("votes"))
         best = votes.groupBy("u").agg(F.max(F.struct("votes", "v")).alias("m"))
         tried = _compared(best.select("u", F.col("m.v").alias("v")), whole)
@@ -615,7 +633,7 @@ def link(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Dat
             "more": F.coalesce("more", F.lit(0)),
         }
     )
-    pairs = in_lists(open_).mapInArrow(partial(_pairs, percent), "u long, v long, u_n long, v_n long, votes long, sure boolean")
+    pairs = in_lists(open_).mapInArrow(thrifty(partial(_pairs, percent)), "u long, v long, u_n long, v_n long, votes long, sure boolean")
     pairs = pairs.groupBy("u", "v", "u_n", "v_n").agg(F.max("sure").alias("sure"), F.sum("votes").alias("votes"))
     pairs = stored(pairs.filter(F.col("sure") | (F.col("votes") >= enough(F.least("u_n", "v_n")))))
     checked = _compared(pairs.filter(~F.col("sure")), whole)

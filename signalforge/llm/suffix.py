@@ -24,11 +24,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalforge.llm.common import NO_ID, free, give_back, shuffle_partitions
+from signalforge.llm.common import NO_ID, free, give_back, shuffle_partitions, thrifty, thrifty_group
 
 SPAN, KMER = 50, 8
 #: Bytes of text for each bucket, of text worked on at once, of text behind each shuffled block, and of runs in a transform.
-BUCKET_BYTES, STEP_BYTES, BLOCK_BYTES, TRANSFORM_BYTES = 10 << 20, (1 << 19) - 64, 12 << 20, 1 << 20
+BUCKET_BYTES, STEP_BYTES, BLOCK_BYTES, TRANSFORM_BYTES = 10 << 20, (1 << 17) - 64, 12 << 20, 1 << 19
+#: Bytes of packed blocks in a batch that a worker sends.
+SENT_BYTES = 4 << 20
 #: Runs hashed or gathered at once.
 HASH_ROWS = 1 << 13
 #: A window reaches this far on at least one side of its minimizer's start or end.
@@ -106,44 +108,52 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _cut(buckets: int):
-    """Blocks of runs: one row per bucket for every ``BLOCK_BYTES`` of text."""
-
-    def block(held: list[tuple]) -> pa.RecordBatch:
-        bucket, doc, digest, pos, size, off = (np.concatenate([h[i] for h in held]) for i in range(6))
-        shift = np.cumsum([0, *[len(h[7]) for h in held[:-1]]])
-        at = np.concatenate([(h[6] + s).astype("i4") for h, s in zip(held, shift, strict=True)])
-        raw = np.concatenate([h[7] for h in held])
-        order = np.argsort(bucket, kind="stable")
-        found, first = np.unique(bucket[order], return_index=True)
-        rows: list[tuple] = []
-        for b, lo, hi in zip(found, first, np.append(first[1:], len(order)), strict=True):
-            o = order[lo:hi]
-            held_bytes = raw[_ragged(at[o].astype(np.int64), size[o].astype(np.int64))]
-            rows.append((int(b), len(o), _packed(doc[o], digest[o], pos[o], size[o], off[o], held_bytes)))
+    """Blocks of runs: one row per bucket for every ``BLOCK_BYTES`` of text, sent by about ``SENT_BYTES``."""
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) or [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "n", "runs"])
 
+    def block(columns: list[np.ndarray], raw: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bucket, doc, digest, pos, size, off, at = columns
+        order = np.argsort(bucket, kind="stable").astype("i4")
+        last = np.cumsum(np.bincount(bucket))
+        found = np.flatnonzero(np.diff(last, prepend=0))
+        rows: list[tuple] = []
+        ready = 0
+        for b, lo, hi in zip(found, np.append(0, last[found[:-1]]), last[found], strict=True):
+            o = order[lo:hi]
+            rows.append((int(b), len(o), _packed(doc[o], digest[o], pos[o], size[o], off[o], _only(raw, at[o], size[o]))))
+            ready += len(rows[-1][2])
+            if ready >= SENT_BYTES:
+                yield sent(rows)
+                rows, ready = [], 0
+        if rows:
+            yield sent(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        # one set of arrays for all blocks of a task, as long as one run for each byte; what isn't written takes no memory
+        most = BLOCK_BYTES + 2 * STEP_BYTES + SPAN
+        columns, texts = [np.empty(most, k) for k in ("i4", *RUN_KINDS, "i4")], np.empty(most, np.uint8)
+        n = size = 0
         for batch in batches:
             for ids, digests, bases, raw, ends in _steps(batch):
                 start, length, off, key = runs(raw, ends)
                 of = np.searchsorted(ends, start, side="right")
                 begin = np.concatenate(([0], ends[:-1]))
-                place = (start - begin[of] + bases[of]).astype("u4")
-                bucket = (key % np.uint64(buckets)).astype("i4")
-                small = length.astype("u1"), off.astype("u1"), start.astype("i4")
-                held.append((bucket, ids[of], digests[of].astype("u4"), place, *small, raw))
-                size += len(raw)
+                bucket = key % np.uint64(buckets)
+                new = bucket, ids[of], digests[of], start - begin[of] + bases[of], length, off, start + size
+                for x, part in zip(columns, new, strict=True):
+                    x[n : n + len(part)] = part
+                texts[size : size + len(raw)] = raw
+                n, size = n + len(start), size + len(raw)
                 if size >= BLOCK_BYTES:
-                    yield block(held)
-                    held, size = [], 0
-        if held:
-            yield block(held)
-        held = []
-        give_back()
+                    yield from block([x[:n] for x in columns], texts[:size])
+                    n = size = 0
+        if size:
+            yield from block([x[:n] for x in columns], texts[:size])
 
-    return run
+    return thrifty(run)
 
 
 def _steps(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -323,8 +333,13 @@ def _transformed(raw, at, size, chosen, begins, strings, least) -> None:
 
 def _only(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of some runs, one after another."""
-    steps = range(0, len(at), HASH_ROWS)
-    return np.concatenate([raw[:0], *(raw[_ragged(at[lo : lo + HASH_ROWS], size[lo : lo + HASH_ROWS])] for lo in steps)])
+    out = np.empty(int(size.sum(dtype=np.int64)), np.uint8)
+    done = 0
+    for lo in range(0, len(at), HASH_ROWS):
+        part = raw[_ragged(at[lo : lo + HASH_ROWS].astype(np.int64), size[lo : lo + HASH_ROWS].astype(np.int64))]
+        out[done : done + len(part)] = part
+        done += len(part)
+    return out
 
 
 def _gathered(table: pa.Table) -> list[np.ndarray]:
@@ -380,10 +395,9 @@ def _matched(homes: int):
             o = np.flatnonzero(home == h)
             rows.append((int(h), len(o), _packed(*[s[o].astype(k) for s, k in zip(spans, SPAN_KINDS, strict=True)])))
         cols = list(zip(*rows, strict=True)) or [[], [], []]
-        give_back()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["_home", "n", "spans"])
 
-    return run
+    return thrifty_group(run)
 
 
 def _cleaned(inner: tuple[str, str, str], _: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
